@@ -11,12 +11,36 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rallyframe.llm.tiling import contaminated
+
+    return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rallyframe.llm.repeats import digests
 
     return digests(read(spark, sf_dir, "documents"))
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rallyframe.llm.near import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "documents"), n=4)
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rallyframe.llm.bpe import digests
+
+    return digests(read(spark, sf_dir, "documents"))
+
+
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rallyframe.llm.topk import top_k
+
+    return top_k(read(spark, sf_dir, "embeddings"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rallyframe.llm.toxicity import toxicity
 

@@ -18,6 +18,8 @@ U = np.uint64
 BLOCK_BYTES = 1 << 20
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: All ASCII but letters and digits, for matches that ignore punctuation.
+NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -32,7 +34,6 @@ def byte_weights(seed: int, lower: bool) -> np.ndarray:
     w = mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15) + U(seed)) | U(1)
     if lower:
         w[65:91] = w[97:123]
-    w[SEPARATOR] = 0
     return w
 
 
@@ -60,6 +61,7 @@ class Words:
     starts: np.ndarray
     ends: np.ndarray
     first: np.ndarray  #: word offsets, one more than documents
+    separator: np.ndarray  #: by byte
 
     def owner(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
@@ -68,7 +70,8 @@ class Words:
         if not len(self.starts):
             return np.zeros(0, U)
         n = len(self.data)
-        terms = byte_weights(seed, lower)[self.data] * powers(BASE, n)[:n]
+        weights = np.where(self.separator, U(0), byte_weights(seed, lower))
+        terms = weights[self.data] * powers(BASE, n)[:n]
         return mix(np.add.reduceat(terms, self.starts) * powers(BASE_INVERSE, n)[self.starts])
 
     def word(self, k: int) -> bytes:
@@ -91,8 +94,8 @@ def raw(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return bytes_[off[0] : off[-1]], off - off[0]
 
 
-def find_words(data: np.ndarray, off: np.ndarray) -> Words:
-    inside = ~SEPARATOR[data]
+def find_words(data: np.ndarray, off: np.ndarray, separator: np.ndarray = SEPARATOR) -> Words:
+    inside = ~separator[data]
     begins, ends = inside.copy(), inside.copy()
     begins[1:] &= ~inside[:-1]
     ends[:-1] &= ~inside[1:]
@@ -101,16 +104,16 @@ def find_words(data: np.ndarray, off: np.ndarray) -> Words:
     last = off[1:][np.diff(off) > 0] - 1
     ends[last] |= inside[last]
     starts = np.flatnonzero(begins)
-    return Words(data, starts, np.flatnonzero(ends) + 1, np.searchsorted(starts, off))
+    return Words(data, starts, np.flatnonzero(ends) + 1, np.searchsorted(starts, off), separator)
 
 
-def blocks(column, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, Words]]:
+def blocks(column, separator: np.ndarray = SEPARATOR, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, Words]]:
     """(first row, row after the last, words) for runs of rows of about ``limit`` bytes; a longer text is a run of its own."""
     data, off = raw(strings(column))
     a, n = 0, len(off) - 1
     while a < n:
         b = max(a + 1, int(np.searchsorted(off, off[a] + limit, "right")) - 1)
-        yield a, b, find_words(data[off[a] : off[b]], off[a : b + 1] - off[a])
+        yield a, b, find_words(data[off[a] : off[b]], off[a : b + 1] - off[a], separator)
         a = b
 
 
