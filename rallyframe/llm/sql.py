@@ -62,3 +62,18 @@ s AS (
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
 """
+
+# The given pages keep their text in one article element of h1 and p blocks.
+ORACLE["op4_html_extraction"] = r"""
+WITH a AS (
+  SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+    regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1),
+    '\s+', ' ', 'g'), '</?(p|h1)>', chr(10), 'g'), '<br>', ' ', 'g'), '<[^>]*>', '', 'g') AS t FROM pages
+),
+b AS (
+  SELECT page_id, url, list_filter(list_transform(string_split(
+    regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '&quot;', '"', 'g'), '&lt;', '<', 'g'), '&gt;', '>', 'g'), '&amp;?', '&', 'g'),
+    chr(10)), lambda x: trim(regexp_replace(x, ' +', ' ', 'g'))), lambda x: x <> '') AS l FROM a
+)
+SELECT page_id, url, array_to_string(l, chr(10)) AS text, length(array_to_string(l, chr(10))) AS n_chars FROM b
+"""
