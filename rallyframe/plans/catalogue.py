@@ -1,9 +1,113 @@
-"""All queries over the given tables."""
+"""All queries over the facts that Spark derives from ``events``, each over all its rows."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from rallyframe.operators import balls, motion, pose, rackets, reports, selection, tracker, trajectory
+from rallyframe.plans import oracle
+from rallyframe.sources import facts
+
+IDS = [21, 37, 62, 87, -1, 21, 99999]
+TIMES = ["00:00:01", "00:02", "2", "", "1:2:3:4", "16:04:13"]
+
+
+class Facts:
+    """The fact tables of one data folder and the steps that several queries share."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.ev = spark, facts.event_frames(spark, sf_dir)
+
+    frames = property(lambda s: facts.frames(s.ev))
+    videos = property(lambda s: facts.videos(s.ev))
+    keypoints = property(lambda s: facts.keypoints(s.ev))
+    detections = property(lambda s: facts.ball_detections(s.ev))
+    poses = property(lambda s: pose.primary_pose(s.keypoints))
+    boxes = property(lambda s: pose.player_box(pose.gate(s.keypoints)))
+    candidates = property(lambda s: balls.in_bounds(s.detections))
+    moving = property(lambda s: balls.moving_by_frame(s.frames, s.candidates))
+    active = property(lambda s: tracker.active_ball(s.moving))
+    found = property(lambda s: rackets.associated(rackets.rackets(facts.racket_detections(s.ev)), s.poses))
+    carried = property(lambda s: rackets.carried(s.frames, s.found))
+    ids = property(lambda s: s.spark.createDataFrame([(i,) for i in IDS], "frame_id int"))
+    times = property(lambda s: s.spark.createDataFrame([(t,) for t in TIMES], "ts string"))
+
+    @property
+    def first(self) -> DataFrame:
+        """The first moving ball of each frame: the simple track, which SQL can express."""
+        return balls.first_ball(balls.moving(self.frames, self.candidates))
+
+    @property
+    def states(self) -> DataFrame:
+        return rackets.states(self.carried, self.first)
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    """Doubles to four places, for comparison across engines."""
+    return df.select(*[F.round(c, 4).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+QUERIES: dict[str, Callable[[Facts], DataFrame]] = {
+    "pose_gate": lambda x: pose.gate(x.keypoints),
+    "pose_wide": lambda x: pose.wide(pose.gate(x.keypoints)),
+    "primary_person": lambda x: pose.primary(pose.wide(pose.gate(x.keypoints))).select("video_id", "frame_num", "person_idx"),
+    "swing_label": lambda x: pose.label_frames(x.frames, x.poses),
+    "elbow_angles": lambda x: pose.elbow_angles(x.poses),
+    "torso_angle": lambda x: pose.torso_angle(x.poses),
+    "swing_metrics": lambda x: pose.swing_metrics(x.poses, x.first),
+    "metrics_long": lambda x: pose.metrics_long(pose.swing_metrics(x.poses, x.first)),
+    "player_box": lambda x: x.boxes,
+    "ball_rescale": lambda x: balls.rescale(x.detections.withColumns({"x": F.expr("x % 640"), "y": F.expr("y % 360")})),
+    "ball_in_bounds": lambda x: x.candidates,
+    "ball_moving": lambda x: balls.moving(x.frames, x.candidates),
+    "first_ball": lambda x: balls.first_ball(x.detections),
+    "racket_filter": lambda x: rackets.rackets(facts.racket_detections(x.ev)),
+    "racket_assoc": lambda x: x.found,
+    "racket_carry": lambda x: x.carried,
+    "racket_state": lambda x: x.states,
+    "lost_counter": lambda x: tracker.lost_counter(x.moving),
+    "track_segments": lambda x: tracker.segments(x.moving).select("video_id", "frame_num", "segment_id"),
+    "active_ball": lambda x: x.active,
+    "step_distance": lambda x: trajectory.step_distance(x.first),
+    "step_statistics": lambda x: trajectory.step_statistics(x.first),
+    "outlier_replace": lambda x: trajectory.replace_outliers(x.first),
+    "savgol_segment": lambda x: trajectory.smooth_runs(x.first),
+    "smooth_cumulative": lambda x: trajectory.smooth_cumulatively(x.active),
+    "trail8": lambda x: trajectory.trail(x.frames, x.first),
+    "history40": lambda x: trajectory.history(x.first),
+    "track_lines": lambda x: trajectory.lines(x.first),
+    "stationary_runs": lambda x: trajectory.still_runs(x.detections.filter("det_idx = 1").select("video_id", "frame_num", "x", "y")),
+    "frame_assembly": lambda x: reports.frame_assembly(x.frames, x.poses, x.first, x.states),
+    "tracked_frames": lambda x: reports.frame_assembly(x.frames, x.poses, x.active, rackets.states(x.carried, x.active)),
+    "video_catalogue": lambda x: selection.names(selection.catalogue(x.videos)).select("video_id", "path", "video_name", "annotated_path", "frames_dir", "named_frames_dir"),
+    "video_meta": lambda x: selection.metadata(x.videos),
+    "videos_rejected": lambda x: selection.split_valid(x.videos)[1].select("video_id", "path", "reject_reason"),
+    "frames_by_id": lambda x: selection.frames_by_id(x.videos, x.frames, x.ids),
+    "frames_by_time": lambda x: selection.frames_by_time(x.videos, x.frames, x.times),
+    "requests_rejected": lambda x: selection.rejected(x.videos, x.frames, x.ids, x.times),
+    "extract_union": lambda x: selection.extracted(x.videos, x.frames, x.ids, x.times),
+    "extract_summary": lambda x: selection.extract_summary(selection.extracted(x.videos, x.frames, x.ids, x.times)),
+    "keyframe_card": lambda x: reports.keyframe_card(x.ids, x.frames, x.poses, x.first, x.states, x.videos),
+    "run_summary": lambda x: reports.run_summary(x.frames),
+    "progress": lambda x: reports.progress(x.frames, x.videos),
+    "ball_speed": lambda x: motion.ball_speed(x.first, x.videos),
+    "racket_motion": lambda x: motion.racket_motion(x.found),
+    "ball_direction": lambda x: motion.ball_direction(x.first, x.boxes),
+    "swing_phase": lambda x: motion.swing_phase(x.states),
+    "every_nth": lambda x: motion.every_nth(x.frames, 5).select("video_id", "frame_num"),
+    "wrist_path": lambda x: motion.wrist_path(x.poses),
+    "player_overlap": lambda x: motion.box_overlaps(x.boxes.withColumn("person_idx", F.lit(0))),
+    "player_ids": lambda x: motion.player_ids(x.boxes.withColumn("person_idx", F.lit(0))),
+}
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    make = lambda f: lambda spark, sf_dir: rounded(f(Facts(spark, sf_dir)))
+    return {name: make(f) for name, f in QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: oracle.statement(name) for name in QUERIES if name in oracle.SELECT}
