@@ -12,7 +12,10 @@ VIDEO = r"(?i)\.(mp4|avi|mov|mkv)$"
 
 def list_videos(spark: SparkSession, folder: str, recursive: bool = True, exclude: str | None = None) -> DataFrame:
     """(path, length, modificationTime) of the video files under a folder; their content isn't read."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(folder if recursive else f"{folder}/*").select("path", "length", "modificationTime")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length", "modificationTime")
+    if not recursive:
+        inside = F.substring_index("path", folder.split(":", 1)[-1].rstrip("/") + "/", -1)
+        found = found.filter(~inside.contains("/"))
     return catalogue(found, exclude)
 
 
