@@ -34,7 +34,7 @@ from rallyframe.llm.shared import fresh_path
 #: The mask that record checksums take.
 MASK_DELTA = 0xA282EAD8
 FILE_BYTES = 24 << 20
-KEEP, LONG_PIECE = 400_000, 64
+KEEP, LONG_PIECE = 1_500_000, 64
 HEAD = struct.Struct("<QI")
 UNSAFE = re.compile(r"\s \s|\s \Z")
 SPACE = re.compile(r"\s")
