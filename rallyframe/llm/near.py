@@ -6,10 +6,11 @@ with nothing. Documents of one set are one node (a digest group, never expanded
 Each node gets ``bands * rows`` bins from one hash of each shingle; an empty bin takes the
 value of the first filled bin in its own fixed probe sequence. Bands give bucket keys.
 
-In each bucket candidate pairs form stars: its centres against its other members, so
-pairs grow with members, not with their square. Rounds go on with new centres in buckets
-whose members are still in different components, so no link in a bucket is left
-untested; a pair already known to be connected is not tested. A link is confirmed on the
+In each bucket candidate pairs form stars: a centre (first the node that shares most
+buckets) against the other members, so pairs grow with members, not with their square.
+Rounds go on, with up to ``LANES`` centres from outside its largest component, in buckets
+whose members are still in different components, so no link in a bucket is left untested.
+From the second round on a pair must share enough of its rarest shingles, an exact test; a pair already known to be connected is not tested. A link is confirmed on the
 full sets: ``100 * intersection >= percent * union``. With 48 bands of 6 rows a pair at
 similarity 0.8 meets in some bucket with probability 1 - 5e-7, above it more surely.
 
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from rallyframe.llm.shared import stored
 from rallyframe.llm.text import U, Words, blocks, grams, mix
 
-BANDS, ROWS, PROBES = 48, 6, 64
+BANDS, ROWS, PROBES, LANES, SHARE = 48, 6, 64, 256, 4
 
 
 def shingle_sets(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -142,25 +143,54 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(F.expr(f"100 * both >= {percent} * (size(sa) + size(sb) - both)")).select("a", "b").distinct()
 
 
+def rarest(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(node, rare): the shingles of each set that fewest of these sets hold, rarest first, as many as the prefix test needs.
+
+    Null for a node with several sets (rows that share an id): the test is open for it.
+    """
+    mine = sets.join(nodes, "node", "left_semi")
+    shingles = mine.select("node", F.explode("set").alias("s"))
+    known = shingles.join(shingles.groupBy("s").agg(F.count("*").alias("df")), "s")
+    ordered = known.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("all"))  # bounded by a document's set
+    several = mine.groupBy("node").agg((F.count("*") > 1).alias("several"))
+    keep = F.expr(f"slice(transform(all, x -> x.s), 1, size(all) - cast(ceil(size(all) * {percent} / 100) as int) + {SHARE})")
+    return ordered.join(several, "node").select("node", F.when(~F.col("several"), keep).alias("rare"))
+
+
+def prefix_test(percent: int):
+    """Whether a member (size, rare) and a centre (c_size, c_rare) can be alike: sets with t shingles in common share
+    ``SHARE`` of their size - t + ``SHARE`` rarest ones in any one order (or t, if that is less)."""
+    t = f"cast(ceil((size + c_size) * {percent} / {100 + percent}) as int)"
+    part = lambda c: f"slice({c}rare, 1, greatest(cast({c}size as int) - {t} + {SHARE}, 0))"
+    share = f"size(array_intersect({part('')}, {part('c_')})) >= least({SHARE}, {t})"
+    return F.expr(f"rare is null or c_rare is null or {share}")
+
+
 def links_within_buckets(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
     """Components (x, label) of the nodes linked in any bucket of members (key, node, size, weight)."""
-    comp = None
+    comp, round_, rare = None, 0, None
     while True:
         m = members.withColumn("comp", F.col("node"))
         if comp is not None:
             m = members.join(comp, members.node == comp.x, "left").select(*members.columns, F.coalesce("label", "node").alias("comp"))
         m = stored(m, "members")
-        parts = m.groupBy("key", "comp").agg(F.count("*").alias("n"), F.max(F.struct("weight", "node", "size")).alias("top"), F.min(F.struct("weight", "node", "size")).alias("low"))
-        large = parts.groupBy("key").agg(F.max(F.struct("n", "comp")).comp.alias("large"), F.count("*").alias("parts"), F.max(F.struct("top", "comp")).alias("hub")).filter("parts > 1")
-        outer = parts.join(large.select("key", "large"), "key").filter("comp <> large").groupBy("key").agg(F.min(F.struct("low", "comp")).alias("outlier"))
-        centres = large.join(outer, "key").select("key", F.explode(F.array(
-            F.struct(F.col("hub.top.node").alias("c"), F.col("hub.top.size").alias("c_size"), F.col("hub.comp").alias("c_comp")),
-            F.struct(F.col("outlier.low.node").alias("c"), F.col("outlier.low.size").alias("c_size"), F.col("outlier.comp").alias("c_comp")),
-        )).alias("s")).select("key", "s.*").distinct()
+        here = F.struct("weight", "node", "size", "comp")
+        parts = m.groupBy("key", "comp").agg(F.count("*").alias("n"), F.max(here).alias("top"))
+        large = parts.groupBy("key").agg(F.max(F.struct("n", "comp")).comp.alias("large"), F.count("*").alias("parts"), F.max("top").alias("c")).filter("parts > 1")
+        if round_ == 0:  # the member that meets most others
+            centres = large.select("key", "c")
+        else:  # members outside the largest part, some of each bucket at once
+            outside = m.join(large.select("key", "large"), "key").filter("comp <> large")
+            centres = outside.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(LANES)).alias("lane")).agg(F.max(here).alias("c")).select("key", "c")
+        centres = centres.select("key", F.col("c.node").alias("c"), F.col("c.size").alias("c_size"), F.col("c.comp").alias("c_comp"))
+        if rare is not None:
+            centres = centres.join(rare.select(F.col("node").alias("c"), F.col("rare").alias("c_rare")), "c")
         centres = stored(centres, "centres")
         if centres.isEmpty():
             return comp
         alike = F.expr(f"100 * least(size, c_size) >= {percent} * greatest(size, c_size)")
+        if rare is not None:
+            alike &= prefix_test(percent)
         pairs = m.join(centres, "key").filter((F.col("comp") != F.col("c_comp")) & alike).select(F.least("c", "node").alias("a"), F.greatest("c", "node").alias("b")).distinct()
         links = stored(confirmed(pairs, sets, percent), "links")
         if not links.isEmpty():
@@ -168,7 +198,12 @@ def links_within_buckets(members: DataFrame, sets: DataFrame, percent: int) -> D
             comp = components(whole)
         # Centres are done: each was held against every member of its bucket that isn't connected with it.
         rest = m.join(centres.select("key", F.col("c").alias("node")), ["key", "node"], "left_anti")
-        members = stored(rest.join(centres.select("key").distinct(), "key", "left_semi").select("key", "node", "size", "weight"), "rest")
+        members = rest.join(centres.select("key").distinct(), "key", "left_semi").drop("comp")
+        if rare is None:
+            members = stored(members, "rest")
+            rare = stored(rarest(sets, members.select("node").distinct(), percent), "rare")
+            members = members.join(rare, "node")
+        round_ += 1
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
