@@ -236,9 +236,9 @@ def train(lines: list[str], seed: int = 9, copies: int = 24, epochs: int = 12, r
 
 
 def sample_lines(docs: DataFrame, text_col: str, sample_rows: int) -> list[str]:
-    """One line of each of a bounded sample of rows, the same ones each time, without lines that name a license."""
-    line = F.element_at(F.split(F.substring(text_col, 1, 4000), "\n"), 1)
-    rows = docs.filter(F.col(text_col).isNotNull()).select(F.substring(line, 1, 400).alias("t")).orderBy(F.xxhash64("t")).limit(sample_rows).collect()
+    """One line of up to 400 characters of each of a bounded sample of rows, the same ones each time, without lines that name a license."""
+    line = F.try_element_at(F.filter(F.split(text_col, "\n"), lambda x: (F.length(x) > 0) & (F.length(x) <= 400)), F.lit(1))
+    rows = docs.select(line.alias("t")).filter("t is not null").orderBy(F.xxhash64("t")).limit(sample_rows).collect()
     return [r["t"] for r in rows if r["t"].strip() and "licen" not in r["t"].lower()]
 
 
