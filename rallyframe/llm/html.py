@@ -255,7 +255,7 @@ def settle_labels(page: Page) -> Page:
             bad[x.parent] += bad[i]
     for i, x in enumerate(page.nodes):
         if x.label is None or not x.words:
-            x.label = x.label if x.label is not None and not (good[i] + bad[i]) else int(good[i] > bad[i])
+            x.label = int(good[i] > bad[i]) if good[i] + bad[i] else x.label or 0
     return page
 
 
@@ -302,50 +302,69 @@ def labelled_pages(n: int, seed: int = 3) -> list[Page]:
         generic = tag in ("div", "section", "p", "ul", "ol")
         at = f' class="{r.choice(BLOCKS_OFF[part])}"' if generic else named(BLOCKS_OFF[part])
         said = lambda: f"<p>{words(4, 30)}</p>"
+        heading = lambda: f"<{(h := r.choice(('h2', 'h3', 'h4')))}>{words(1, 4, False)}</{h}>"
         inner = {
             "nav": lambda: listing() if tag != "ul" else "".join(f"<li>{link()}</li>" for _ in range(r.randint(2, 8))),
             "header": lambda: r.choice((f"<h1>{link()}</h1>", f"<div>{words(1, 4, False)}</div>", f"<p>{words(2, 8, False)}</p>")) + r.choice(("", listing())),
             "footer": lambda: r.choice((f"&copy; {words(2, 9)}", said(), listing() + said(), f"&copy; {word()}.example &middot; {words(4, 9)}")),
-            "aside": lambda: f"<h3>{words(1, 4, False)}</h3>" + r.choice((listing(), said(), said() + listing())),
+            "aside": lambda: heading() + r.choice((listing(), said(), said() + listing())),
             "notice": lambda: r.choice((words(5, 30), said())) if tag != "p" else words(5, 30),
             "ad": lambda: r.choice((words(4, 24), said(), link(3, 9))) if tag != "p" else words(4, 20),
             "form": lambda: f"<label>{words(1, 3, False)}</label><input name=q>" + r.choice(("", said(), f"<div>{words(2, 8)}</div>")),
-            "comments": lambda: r.choice(("", f"<h3>{words(1, 3, False)}</h3>")) + "".join(r.choice((f'<div class="comment">{said()}</div>', f"<li>{words(5, 40)}</li>", f'<div class="reply"><b>{word()}</b> {words(6, 40)}</div>', said())) for _ in range(r.randint(1, 6))),
+            "comments": lambda: r.choice(("", heading())) + "".join(r.choice((f'<div class="comment">{said()}</div>', f"<li>{words(5, 40)}</li>", f'<div class="reply"><b>{word()}</b> {words(6, 40)}</div>', said())) for _ in range(r.randint(1, 6))),
             "share": lambda: r.choice((" ".join(link() for _ in range(r.randint(1, 5))), words(1, 5, False))) if tag != "p" else words(1, 5, False),
         }[part]()
         return f'<{tag}{at} data-y="0">{inner}</{tag}>'
 
     def body_block() -> str:
-        text = " ".join(words(3, 40) for _ in range(r.choice((1, 1, 2, 4))))
+        text = " ".join(words(1, 40) for _ in range(r.choice((1, 1, 2, 4))))
         if r.random() < 0.25:
             text = f"<b>{text}" + r.choice(("</b>", "<br>"))
         if r.random() < 0.2:
             text += f" {link()} {words(2, 9)}"
+        cell = lambda: words(1, 6, r.random() < 0.3)
+        return r.choice([
+            *[lambda: f"<p>{text}" + r.choice(("</p>", "</p>", ""))] * 10,
+            *[lambda: f"<{(h := r.choice(('h2', 'h3')))}>{words(1, 8, False)}</{h}>"] * 2,
+            *[lambda: f"<{(t := r.choice(('ul', 'ul', 'ol')))}>" + "".join(f"<li>{words(1, 20, r.random() < 0.5)}</li>" for _ in range(r.randint(1, 6))) + f"</{t}>"] * 2,
+            lambda: f"<blockquote>{r.choice((text, f'<p>{text}</p>'))}</blockquote>",
+            lambda: f"<p>{words(1, 3)}</p>",
+            lambda: f"<div>{text}</div>",
+            lambda: f"<section><p>{text}</p></section>",
+            lambda: "<table>" + "".join(f"<tr><td>{cell()}</td><td>{cell()}</td></tr>" for _ in range(r.randint(1, 4))) + "</table>",
+            lambda: f"<pre>{words(2, 20, False)}</pre>",
+            lambda: f"<figure><img src=x><figcaption>{words(2, 12)}</figcaption></figure>",
+            lambda: f"<dl><dt>{words(1, 3, False)}</dt><dd>{words(2, 12)}</dd></dl>",
+        ])()
+
+    def headline() -> str:
+        h = f"<{(t := r.choice(('h1', 'h1', 'h2')))}>{words(1, 10, False)}</{t}>"
         kind_ = r.random()
-        if kind_ < 0.74:
-            return f"<p>{text}" + r.choice(("</p>", "</p>", ""))
-        if kind_ < 0.82:
-            return f"<h2>{words(1, 8, False)}</h2>"
-        if kind_ < 0.9:
-            return "<ul>" + "".join(f"<li>{words(2, 20)}</li>" for _ in range(r.randint(1, 5))) + "</ul>"
-        if kind_ < 0.95:
-            return f"<blockquote><p>{text}</p></blockquote>"
-        return f"<p>{words(1, 3)}</p>"
+        if kind_ < 0.15:
+            byline = f'<p class="byline" data-y="0">{words(2, 5, False)}</p>' if r.random() < 0.6 else ""
+            return f"<header>{h}{byline}</header>"
+        return "" if kind_ > 0.9 else h
 
     pages = []
     for _ in range(n):
-        tag = r.choice("article article article main div div section".split())
+        tag = r.choice("article article article main div div section none".split())
         at = named(CONTENT_NAMES) if tag in ("article", "main") else f' class="{r.choice(CONTENT_NAMES)}"'
-        inner = [f"<h1>{words(1, 10, False)}</h1>"] * (r.random() < 0.9) + [body_block() for _ in range(r.choice((1, 2, 4, 8, 16)))]
-        for part in r.sample(["ad", "aside", "notice", "share", "comments", "form", "nav"], r.choice((0, 0, 1, 1, 2))):
-            inner.insert(r.randint(1, len(inner)) if part != "comments" else len(inner), off(part))
-        article = f'<{tag}{at} data-y="1">{"".join(inner)}</{tag}>'
-        if r.random() < 0.4:
-            article = f'<div{named(["wrapper", "container", "page", "row", "site", "layout"])}>{article}{off("aside") if r.random() < 0.5 else ""}</div>'
+        inner = [headline()] + [body_block() for _ in range(r.choice((1, 2, 2, 4, 8, 16)))]
+        for part in r.sample(["ad", "aside", "notice", "share", "comments", "form", "nav", "footer"], r.choice((0, 0, 1, 1, 2))):
+            inner.insert(r.randint(1, len(inner)) if part not in ("comments", "footer") else len(inner), off(part))
+        if tag == "none":  # content right under the body: what isn't marked otherwise
+            article = "".join(inner)
+        else:
+            article = f'<{tag}{at} data-y="1">{"".join(inner)}</{tag}>'
+        if tag != "none" and r.random() < 0.45:
+            wrap = named(["wrapper", "container", "page", "row", "site", "layout", "main", "outer"])
+            inside = [article] + [off(p) for p in ("aside", "comments", "share") if r.random() < 0.25]
+            article = f"<div{wrap}>{''.join(inside)}</div>"
         before = [off(p) for p in ("notice", "header", "nav", "share", "ad", "form") if r.random() < 0.4]
         after = [off(p) for p in ("comments", "aside", "ad", "share", "notice", "form", "footer") if r.random() < 0.4]
         r.shuffle(before)
-        pages.append(settle_labels(parse(f"<html><body>{''.join(before)}{article}{''.join(after)}</body></html>", want_labels=True)))
+        rest = "1" if tag == "none" else "0"
+        pages.append(settle_labels(parse(f'<html><body data-y="{rest}">{"".join(before)}{article}{"".join(after)}</body></html>', want_labels=True)))
     return pages
 
 
@@ -366,7 +385,7 @@ def main_text(source: str, model: Model) -> str:
     return "\n".join(k for k in kept if k)
 
 
-def fit(pages: DataFrame, sample_rows: int = 200, composed: int = 400) -> Model:
+def fit(pages: DataFrame, sample_rows: int = 200, composed: int = 900) -> Model:
     """Learns from composed pages and at most ``sample_rows`` pages of the table, the same ones each time."""
     rows = pages.filter(F.col("html").isNotNull() & (F.length("html") < 50_000)).select("html").orderBy(F.xxhash64("html")).limit(sample_rows).collect()
     real = [p for p in (label_by_sections(parse(r["html"])) for r in rows) if p]
