@@ -34,7 +34,7 @@ from rallyframe.llm.shared import fresh_path
 #: The mask that record checksums take.
 MASK_DELTA = 0xA282EAD8
 FILE_BYTES = 24 << 20
-KEEP, LONG_PIECE = 1_500_000, 64
+KEEP, LONG_PIECE = 700_000, 64
 HEAD = struct.Struct("<QI")
 UNSAFE = re.compile(r"\s \s|\s \Z")
 SPACE = re.compile(r"\s")
@@ -98,30 +98,33 @@ class LibraryEncoder:
 
     def joined(self, pieces: list[str]) -> list[bytes]:
         """Pieces that each begin with their only white space, a space, in one go."""
-        ids = np.array(self.library.encode("".join(pieces), add_special_tokens=False).ids, "<u4")
+        ids = np.array(self.library.encode_batch_fast(["".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
         starts = np.flatnonzero(self.spaced[ids])
         if len(starts) != len(pieces) or (len(starts) and starts[0]):
             return self.whole(pieces)
-        return [x.tobytes() for x in np.split(ids, starts[1:])]
+        data, cuts = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
+        return [data[a:z] for a, z in zip(cuts, cuts[1:], strict=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         odd = [bool(UNSAFE.search(t)) or any(s in t for s in self.special) for t in texts]
         cut = [None if o else [p if i == 0 else " " + p for i, p in enumerate(t.split(" "))] for t, o in zip(texts, odd, strict=True)]
-        known = dict(self.pieces)
-        new = {p for c in cut if c for p in c if p and p not in known}
+        known = self.pieces
+        new = {p for c in cut if c for p in c if p not in known}
+        new.discard("")
         plain = [p for p in new if p[0] == " " and len(p) > 1 and not SPACE.search(p, 1)]
         rest = list(new.difference(plain))
         known.update(zip(rest, self.whole(rest), strict=True))
-        for a in range(0, len(plain), 2000):
-            known.update(zip(plain[a : a + 2000], self.joined(plain[a : a + 2000]), strict=True))
-        for p in new:
-            if len(self.pieces) >= KEEP:
-                break
-            if len(p) <= LONG_PIECE:
-                self.pieces[p] = known[p]
+        for a in range(0, len(plain), 256):
+            known.update(zip(plain[a : a + 256], self.joined(plain[a : a + 256]), strict=True))
         known[""] = b""
         whole = iter(self.whole([t for t, o in zip(texts, odd, strict=True) if o]))
-        return [next(whole) if c is None else b"".join(map(known.__getitem__, c)) for c in cut]
+        out = [next(whole) if c is None else b"".join(map(known.__getitem__, c)) for c in cut]
+        spare = len(known) - KEEP
+        for p in new:  # the table stays within its bound, and long pieces stay out of it
+            if spare > 0 or len(p) > LONG_PIECE:
+                del known[p]
+                spare -= 1
+        return out
 
 
 @cache
@@ -180,7 +183,7 @@ def read_records(spark: SparkSession, path: str, index: DataFrame) -> DataFrame:
             for content, at in zip(b["content"], b["at"], strict=True):
                 data = memoryview(content.as_buffer())
                 for a in range(0, len(at), 512):
-                    part = [x.as_py() for x in at.values.slice(a, 512)] if hasattr(at, "values") else at.as_py()[a : a + 512]
+                    part = at.values.slice(a, 512).to_pylist()
                     got = [record(bytes(data[x["offset"] : x["offset"] + x["size"] - 1])) for x in part]
                     ends = np.cumsum([0] + [len(ids) for _, ids in got])
                     ids = np.concatenate([ids.astype(np.int32) for _, ids in got])
