@@ -28,11 +28,16 @@ def label_poses(poses: DataFrame, p: Params = DEFAULT) -> DataFrame:
     return wide.select("video_id", "frame_num", swing_type(p).alias("swing_type"), *[c.alias(n) for n, c in metric_columns(p).items()])
 
 
+def timeout(idle: str | None) -> str:
+    """Without an idle time state stays for good, and a query over what is available now ends."""
+    return GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
+
+
 def near(a, b, p: Params) -> bool:
     return (a[0] - b[0]) ** 2 + (a[1] - b[1]) ** 2 < p.min_ball_movement**2
 
 
-def track(frames: DataFrame, p: Params = DEFAULT, idle: str = "10 minutes") -> DataFrame:
+def track(frames: DataFrame, p: Params = DEFAULT, idle: str | None = "10 minutes") -> DataFrame:
     """The active ball of each frame of a stream of FRAMES rows (candidates after the row filters).
 
     State: the last frame taken, its candidates, the tracker's ball, counter and static
@@ -68,14 +73,15 @@ def track(frames: DataFrame, p: Params = DEFAULT, idle: str = "10 minutes") -> D
             at, before = int(n), own
             rows.append((key[0], n, *(ball or (None, None)), False))
         state.update((at, [c for b in before for c in b], list(tracker.last) if tracker.last else None, tracker.lost, [c for (x, y), s in tracker.candidates for c in (x, y, s)]))
-        state.setTimeoutDuration(int(pd.Timedelta(idle).total_seconds() * 1000))
+        if idle:
+            state.setTimeoutDuration(int(pd.Timedelta(idle).total_seconds() * 1000))
         out = pd.DataFrame(rows, columns=["video_id", "frame_num", "x", "y", "late"])
         yield out.astype({"x": "Int32", "y": "Int32"})
 
-    return frames.groupBy("video_id").applyInPandasWithState(run, out_schema, state_schema, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return frames.groupBy("video_id").applyInPandasWithState(run, out_schema, state_schema, "append", timeout(idle))
 
 
-def carry_racket(found: DataFrame, p: Params = DEFAULT, idle: str = "10 minutes") -> DataFrame:
+def carry_racket(found: DataFrame, p: Params = DEFAULT, idle: str | None = "10 minutes") -> DataFrame:
     """The player's racket in each frame of a stream (video_id, frame_num, x1, y1, x2, y2; null without one), kept for ``racket_lost_frames``."""
 
     def run(key, batches, state: GroupState):
@@ -94,10 +100,11 @@ def carry_racket(found: DataFrame, p: Params = DEFAULT, idle: str = "10 minutes"
                 seen, box = None, None
             rows.append((key[0], at, *(box or [None] * 4), seen))
         state.update((at, seen, box))
-        state.setTimeoutDuration(int(pd.Timedelta(idle).total_seconds() * 1000))
+        if idle:
+            state.setTimeoutDuration(int(pd.Timedelta(idle).total_seconds() * 1000))
         yield pd.DataFrame(rows, columns=["video_id", "frame_num", "x1", "y1", "x2", "y2", "last_seen_frame"]).astype({c: "Int32" for c in ("x1", "y1", "x2", "y2", "last_seen_frame")})
 
-    return found.groupBy("video_id").applyInPandasWithState(run, "video_id long, frame_num int, x1 int, y1 int, x2 int, y2 int, last_seen_frame int", "at int, seen int, box array<int>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return found.groupBy("video_id").applyInPandasWithState(run, "video_id long, frame_num int, x1 int, y1 int, x2 int, y2 int, last_seen_frame int", "at int, seen int, box array<int>", "append", timeout(idle))
 
 
 def checkpoints(points: DataFrame, p: Params = DEFAULT, delay: str = "1 minute") -> DataFrame:

@@ -11,8 +11,9 @@ DATA = "/root/testdata/sf0.001"
 
 def drain(stream, name, mode="append"):
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    return q
+    done = q.awaitTermination(100)
+    q.stop()
+    assert done
 
 
 def test_tracking_in_micro_batches(spark, tmp_path):
@@ -23,10 +24,10 @@ def test_tracking_in_micro_batches(spark, tmp_path):
     for k, lo in enumerate(range(0, 120, 30)):
         part = rows[(rows.frame_num >= lo) & (rows.frame_num < lo + 30)].sample(frac=1, random_state=k)
         if len(part):
-            data = [(int(r.video_id), int(r.frame_num), r.event_time, None if r.balls is None else [tuple(b) for b in r.balls]) for r in part.itertuples()]
+            data = [(int(r.video_id), int(r.frame_num), r.event_time.to_pydatetime(), None if r.balls is None else [tuple(b) for b in r.balls]) for r in part.itertuples()]
             spark.createDataFrame(data, live.FRAMES).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     source = spark.readStream.schema(live.FRAMES).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    drain(live.track(source), "tracked")
+    drain(live.track(source, idle=None), "tracked")
     got = spark.sql("select video_id, frame_num, x, y from tracked where x is not null and not late")
     want = tracker.active_ball(balls.moving_by_frame(frames, d))
     late = spark.sql("select * from tracked where late").count()
@@ -35,12 +36,12 @@ def test_tracking_in_micro_batches(spark, tmp_path):
 
 def test_racket_carry_and_windows(spark, tmp_path):
     t = pd.Timestamp("2024-01-01")
-    rows = [(1, n, t + pd.Timedelta(seconds=n / 10), 5 if n == 2 else None, 5 if n == 2 else None) for n in range(60)]
+    rows = [(1, n, (t + pd.Timedelta(seconds=n / 10)).to_pydatetime(), 5 if n == 2 else None, 5 if n == 2 else None) for n in range(60)]
     schema = "video_id long, frame_num int, event_time timestamp, x int, y int"
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
     read = lambda: spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
     found = read().selectExpr("video_id", "frame_num", "x as x1", "y as y1", "x as x2", "y as y2")
-    drain(live.carry_racket(found), "carried")
+    drain(live.carry_racket(found, idle=None), "carried")
     kept = [r.frame_num for r in spark.sql("select frame_num from carried where x1 is not null order by 1").collect()]
     assert kept == list(range(2, 8))
     drain(live.progress(read()), "seconds", "complete")
