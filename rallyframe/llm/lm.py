@@ -8,16 +8,22 @@ word's probability from the network is that of its ids, given that a word starts
 that of a start after it, so the probabilities of all words add up to one at most. Texts
 fall into ``TOPICS`` kinds by their frequent ids. For each kind a word's probability is a
 mixture of the network's, the word's share in training texts of the kind, and its share in
-all; a text's probability is the mixture over kinds. Weights come from training words that
-are counted without their own text. Context windows of ``WINDOW`` ids overlap by
+all; a text's probability is the mixture over kinds. Weights come from all training words,
+each counted without its own text: they are tallied by the ratios of their three
+probabilities, to a twentieth of a decade, and expectation maximisation runs on the tally. Context windows of ``WINDOW`` ids overlap by
 ``OVERLAP``; each id is scored once, with at least ``OVERLAP`` ids before it unless the text
 has fewer.
 
-Gathered from the whole corpus: counts of all words by kind of text and of all subword ids in
-training texts. Texts are dealt into chunks; a chunk sends each of its words once, with its count,
-to a bucket of the word's hash; buckets add up and return the counts to each chunk in the
-order in which it sent them. No word list is broadcast or gathered. The network learns on
-windows of a bounded sample of training texts (``sample_rows``).
+Everything is learned from all training texts. Texts are dealt into chunks; the ids of a
+chunk's training texts are stored once, in the order of their keys, and each pass is a sum over
+chunks added in their order, so reruns agree. Passes count ids and their neighbours, find
+the kinds of texts by k-means, and train the network: in each of ``ROUNDS`` rounds every
+chunk runs Adam over its share of its windows, and the parameters are averaged (input rows
+by how often a chunk has them). The rounds together take every window once, or more often
+where there are fewer than ``LEAST_WINDOWS``. For counts of words by kind a chunk sends each
+of its words once, with its count, to a bucket of the word's hash; buckets add up and return
+the counts to each chunk in the order in which it sent them. No word list is broadcast or
+gathered.
 
 Rows whose crc32(id as text) mod 10 is 0 teach nothing. Null or empty texts are an end
 alone. Repeated rows are scored and counted each. Null ids count as the empty text and are
@@ -39,7 +45,9 @@ from rallyframe.llm.shared import crc_mod, row_key, stored
 from rallyframe.llm.text import U, Words, blocks
 
 WINDOW, OVERLAP, WIDTH, HIDDEN = 16, 4, 24, 32
-TOPICS, MARKS, FIT_ROWS = 6, 64, 200
+TOPICS, MARKS = 6, 64
+ROUNDS, LEAST_WINDOWS = 8, 115_200
+TALLY, REACH = 20, 10  # cells a decade, decades to each side
 TOP, CLUSTERS, BINS, KNOWN_INPUTS = 20, 9, 3, 4096
 CHUNK_BYTES = 16 << 20
 SLICE = 1024
@@ -109,15 +117,19 @@ class Network:
 
 
 def neighbours(ids: np.ndarray, some: np.ndarray, size: int, reach: int = 6) -> np.ndarray:
-    """For each id, how often each of ``some`` is among the ids before it; rows of unit length."""
+    """For each id, how often each of ``some`` is among the ids before it."""
     slot = np.full(size, -1)
     slot[some] = np.arange(len(some))
     v = np.zeros((size, len(some)), np.float32)
     for d in range(1, reach + 1):
         s = slot[ids[:-d]]
         np.add.at(v, (ids[d:][s >= 0], s[s >= 0]), 1)
-    v = np.sqrt(v)
-    return v / np.maximum(np.sqrt((v * v).sum(1, keepdims=True)), 1e-6)
+    return v
+
+
+def unit(v: np.ndarray) -> np.ndarray:
+    """Rows of unit length."""
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-6)
 
 
 def clustered(v: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
@@ -147,24 +159,45 @@ class Topics:
         return (self.profile(ids, bound) @ self.centre.T).argmax(1)
 
 
-def find_topics(ids: np.ndarray, bound: np.ndarray, size: int) -> Topics:
-    slot = np.full(size, MARKS)
-    top = np.argsort(-np.bincount(ids, minlength=size), kind="stable")[:MARKS]
-    slot[top] = np.arange(MARKS)
+def find_topics(held: DataFrame, counts: np.ndarray, rounds: int = 12) -> Topics:
+    """k-means by cosine over all training texts, from the commonest leading marks on."""
+    slot = np.full(len(counts), MARKS)
+    slot[np.argsort(-counts, kind="stable")[:MARKS]] = np.arange(MARKS)
     out = Topics(slot, np.eye(TOPICS, MARKS))
-    if len(bound) > TOPICS:
-        v = out.profile(ids, bound)
-        found = clustered(v[np.lexsort((v[:, 0], v.argmax(1)))], TOPICS)[1]
-        out.centre = found
+
+    def sums(centre: np.ndarray):
+        """Sum of the profiles, and number, of the texts next to each centre."""
+        kinds = Topics(slot, centre)
+
+        def work(ids, bound, chunk):
+            total = np.zeros((len(centre), MARKS + 1))
+            for a in range(0, len(bound) - 1, SLICE):
+                cut = bound[a : a + SLICE + 1]
+                v = kinds.profile(ids[cut[0] : cut[-1]], cut - cut[0])
+                own = np.eye(len(centre))[(v @ centre.T).argmax(1)]
+                total += own.T @ np.concatenate([v, np.ones((len(v), 1))], 1)
+            return total
+
+        return passed(held, work).reshape(-1, MARKS + 1)
+
+    if not counts.any():
+        return out
+    lead = sums(np.eye(MARKS))
+    most = np.argsort(-lead[:, -1], kind="stable")[:TOPICS]
+    most = most[lead[most, -1] > 0]
+    out.centre[: len(most)] = unit(lead[most, :-1])
+    for _ in range(rounds):
+        near = sums(out.centre)
+        met = near[:, -1] > 0
+        out.centre[met] = unit(near[met, :-1])
     return out
 
 
-def make_classes(counts: np.ndarray, starts: np.ndarray, end: int, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int]:
-    """Classes, log10 shares, input rows, number of classes, and of those that start words (they come first)."""
+def make_classes(counts: np.ndarray, starts: np.ndarray, end: int, near: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int]:
+    """From ids' counts and unit vectors of neighbours: classes, log10 shares, input rows, number of classes, and of those that start words (they come first)."""
     smooth = counts + 0.1
     order = np.argsort(-smooth, kind="stable")
     classes, n = np.zeros(len(counts), np.int64), 0
-    near = neighbours(ids, order[:64], len(counts)) if len(ids) > 6 else np.zeros((len(counts), 64), np.float32)
     for kind in (True, False):
         mine = order[(starts[order] == kind) & (order != end)]
         classes[mine[:TOP]] = n + np.arange(len(mine[:TOP]))
@@ -311,36 +344,125 @@ def mixed(weights: np.ndarray, word: np.ndarray, kind: np.ndarray, share: np.nda
     return top + np.log10(10 ** (x - top) + 10 ** (y - top))
 
 
-def fit_weights(word: np.ndarray, kind: np.ndarray, share: np.ndarray, rounds: int = 40) -> np.ndarray:
-    """Weights of network, kind and all by expectation maximisation."""
-    w, p = np.array([0.2, 0.5, 0.3]), np.stack([10 ** np.maximum(word, -300), kind, share], 1)
+def tally(word: np.ndarray, kind: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Words by the ratios of their share in a kind and in all to the network's probability (log10)."""
+    side = 2 * TALLY * REACH + 1
+    with np.errstate(divide="ignore"):
+        x, y = (np.rint((np.clip(np.log10(s) - word, -REACH, REACH) + REACH) * TALLY).astype(np.int64) for s in (kind, share))
+    return np.bincount(x * side + y, minlength=side * side).astype(float)
+
+
+def fit_weights(times: np.ndarray, rounds: int = 40) -> np.ndarray:
+    """Weights of network, kind and all by expectation maximisation on a tally."""
+    w, side = np.array([0.2, 0.5, 0.3]), 2 * TALLY * REACH + 1
+    cell = np.flatnonzero(times)
+    n = times[cell, None]
+    if not len(cell):
+        return w
+    p = 10.0 ** np.stack([np.zeros(len(cell)), cell // side / TALLY - REACH, cell % side / TALLY - REACH], 1)
     for _ in range(rounds):
         mine = p * w
-        w = np.maximum((mine / (mine.sum(1, keepdims=True) + 1e-300)).mean(0), 0.01)
+        w = np.maximum((n * mine / mine.sum(1, keepdims=True)).sum(0) / n.sum(), 0.01)
         w /= w.sum()
     return w
 
 
-def train(ids: np.ndarray, bound: np.ndarray, counts: np.ndarray, starts: np.ndarray, end: int, steps: int = 1200, batch: int = 96, rate: float = 0.01, seed: int = 2) -> Network:
-    """Adam on random windows of the sample texts."""
-    classes, share, inputs, n, n_starts = make_classes(counts, starts, end, ids)
-    p = start_parameters(n, np.bincount(classes, counts + 0.1, minlength=n))
-    net = Network(classes, share, inputs, p, starts, n_starts, end)
-    if len(bound) < 2:
-        return net
-    r = np.random.default_rng(seed)
-    before, target, scored = windows(ids, bound, end)
-    m1, m2 = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
+def encoded(dealt: DataFrame, path: str) -> DataFrame:
+    """(chunk, ids, bound): ids of a chunk's training texts in the order of their keys, and their offsets; one row for each chunk."""
+    kind = "<u2" if subwords(path).size <= 1 << 16 else "<u4"
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, bounds, base = [], [np.zeros(1, np.int64)], 0
+        for _, _, words in blocks(table.sort_by("k")["t"]):
+            seq, bound = subwords(path).sequence(words, words.hashes(seed=17, lower=True))
+            ids.append(seq.astype(kind).tobytes())
+            bounds.append(bound[1:] + base)
+            base += len(seq)
+        return pa.table({"chunk": table["chunk"].slice(0, 1), "kind": pa.array([kind]), "ids": pa.array([b"".join(ids)], pa.binary()), "bound": pa.array([np.concatenate(bounds).tobytes()], pa.binary())})
+
+    rows = dealt.filter("train").select("chunk", "k", "t")
+    return stored(rows.groupBy("chunk").applyInArrow(run, "chunk long, kind string, ids binary, bound binary"), "ids")
+
+
+def added(table: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(x.as_buffer()) for x in table.sort_by("chunk")["data"])
+    return pa.table({"slice": table["slice"].slice(0, 1), "data": pa.array([total.tobytes()], pa.binary())})
+
+
+def summed_rows(rows: DataFrame) -> np.ndarray:
+    """Sum of the arrays in (chunk, slice, data), slices in a row, added in the order of chunks."""
+    got = {r["slice"]: np.frombuffer(r["data"]) for r in rows.groupBy("slice").applyInArrow(added, "slice long, data binary").collect()}  # as many as slices
+    return np.concatenate([np.zeros(0), *(got[k] for k in range(len(got)))])
+
+
+def sliced(chunk: int, x: np.ndarray) -> list[pa.Array]:
+    parts = np.split(x.reshape(-1).astype(float), range(SLICE, x.size, SLICE))
+    return [pa.array([chunk] * len(parts), pa.int64()), pa.array(range(len(parts)), pa.int64()), pa.array([y.tobytes() for y in parts], pa.binary())]
+
+
+def passed(held: DataFrame, work) -> np.ndarray:
+    """Sum over all chunks of the array that ``work`` makes of (ids, bound, chunk), flat."""
+
+    def run(batches):
+        for b in batches:
+            for chunk, kind, ids, bound in zip(*(b[c] for c in ("chunk", "kind", "ids", "bound")), strict=True):
+                x = work(np.frombuffer(ids.as_buffer(), kind.as_py()).astype(np.int64), np.frombuffer(bound.as_buffer(), np.int64), chunk.as_py())
+                yield pa.record_batch(sliced(chunk.as_py(), x), names=["chunk", "slice", "data"])
+
+    return summed_rows(held.mapInArrow(run, "chunk long, slice long, data binary"))
+
+
+def n_windows(bound: np.ndarray) -> int:
+    return int(np.maximum(1, 1 + -(-(np.diff(bound) - WINDOW) // (WINDOW - OVERLAP))).sum())
+
+
+def share_of_round(n: int, epochs: int, k: int, chunk: int, seed: int) -> np.ndarray:
+    """The windows, of ``n``, that a chunk takes in round ``k``; all rounds together take each ``epochs`` times."""
+    lo, hi = n * epochs * k // ROUNDS, n * epochs * (k + 1) // ROUNDS
+    each = [np.random.default_rng([seed, chunk, e]).permutation(n)[max(lo - e * n, 0) : hi - e * n] for e in range(lo // n, -(-hi // n))]
+    return np.concatenate([np.zeros(0, np.int64), *each])
+
+
+def learn(net: Network, ids: np.ndarray, bound: np.ndarray, chunk: int, k: int, epochs: int, batch: int = 96, rate: float = 0.01, seed: int = 2) -> np.ndarray:
+    """Adam over a chunk's windows of round ``k``: input rows' counts, number of windows, parameters times these."""
+    p = {c: v.copy() for c, v in net.p.items()}
+    before, target, scored = windows(ids, bound, net.end)
+    mine = share_of_round(len(target), epochs, k, chunk, seed)
+    met = np.zeros(len(p["embed"]))
+    m1, m2 = ({c: np.zeros_like(v) for c, v in p.items()} for _ in range(2))
+    steps = -(-len(mine) // batch)
     for step in range(1, steps + 1):
-        pick = r.integers(0, len(target), batch)
+        pick = mine[(step - 1) * batch : step * batch]
         bf, tg, on = before[pick], target[pick], scored[pick]
-        prob, kept = forward(p, np.where(bf < 0, inputs[end], inputs[ids[bf]]))
-        g = backward(p, prob, kept, classes[ids[tg]], on)
-        lr = rate * min(1, step / 50) * (1 - 0.9 * step / steps)
-        for k in p:
-            m1[k] += 0.1 * (g[k] - m1[k])
-            m2[k] += 0.01 * (g[k] * g[k] - m2[k])
-            p[k] -= (lr * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+        x = np.where(bf < 0, net.inputs[net.end], net.inputs[ids[bf]])
+        prob, kept = forward(p, x)
+        g = backward(p, prob, kept, net.classes[ids[tg]], on)
+        met += np.bincount(x.reshape(-1), minlength=len(met))
+        lr = rate * min(1, step / 50) * (1 - 0.9 * (k + step / steps) / ROUNDS)
+        for c in p:
+            m1[c] += 0.1 * (g[c] - m1[c])
+            m2[c] += 0.01 * (g[c] * g[c] - m2[c])
+            p[c] -= (lr * (m1[c] / (1 - 0.9**step)) / (np.sqrt(m2[c] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+    return np.concatenate([met, [len(mine)], *((v.astype(float) * (met[:, None] if c == "embed" else len(mine))).reshape(-1) for c, v in p.items())])
+
+
+def train(held: DataFrame, counts: np.ndarray, n: int, starts: np.ndarray, end: int) -> Network:
+    """Rounds over ``n`` windows of all training texts, parameters averaged after each."""
+    size, top = len(counts), np.argsort(-counts, kind="stable")[:64]
+    near = passed(held, lambda ids, bound, chunk: neighbours(ids, top, size) if len(ids) > 6 else np.zeros((size, 64))) if n else np.zeros(size * 64)
+    classes, share, inputs, many, n_starts = make_classes(counts, starts, end, unit(np.sqrt(near.reshape(size, 64))).astype(np.float32))
+    net = Network(classes, share, inputs, start_parameters(many, np.bincount(classes, counts + 0.1, minlength=many)), starts, n_starts, end)
+    epochs = -(-LEAST_WINDOWS // n) if n else 0
+    for k in range(ROUNDS if n else 0):
+        now = held.sparkSession.sparkContext.broadcast(net)
+        total = passed(held, lambda ids, bound, chunk, now=now, k=k: learn(now.value, ids, bound, chunk, k, epochs))
+        rows = len(net.p["embed"])
+        met, taken, at = total[:rows], total[rows], rows + 1
+        for c, v in net.p.items():
+            x, at = total[at : at + v.size].reshape(v.shape), at + v.size
+            fresh = x / np.maximum(met, 1)[:, None] if c == "embed" else x / max(taken, 1)
+            net.p[c] = np.where(met[:, None] > 0, fresh, v).astype(np.float32) if c == "embed" else fresh.astype(np.float32) if taken else v
+        now.unpersist()
     return net
 
 
@@ -371,13 +493,12 @@ def by_bucket(h: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def gathered(dealt: DataFrame, buckets: int, path: str, topics: Topics) -> DataFrame:
-    """(chunk, bucket, data): counts of a chunk's words by kind; chunk -1: sums of subword ids by slice, then training texts
-    by kind; chunk -2: distinct words, then all words by kind."""
+    """(chunk, bucket, data): counts of a chunk's words by kind; chunk -1: training texts by kind; chunk -2: distinct words, then all words by kind."""
     shared = dealt.sparkSession.sparkContext.broadcast(topics)
 
     def send(table: pa.Table) -> pa.Table:
         sub, kind_of = subwords(path), shared.value
-        ids, texts = np.zeros(sub.size, np.int64), np.zeros(TOPICS, np.int64)
+        texts = np.zeros(TOPICS, np.int64)
         train_row = np.asarray(table["train"]).astype(bool)
         kinds = []
         for a, z, words in blocks(table["t"]):
@@ -385,12 +506,10 @@ def gathered(dealt: DataFrame, buckets: int, path: str, topics: Topics) -> DataF
             kinds.append(kind_of.of(seq, bound))
             use = train_row[a:z]
             texts += np.bincount(kinds[-1][use], minlength=TOPICS)
-            ids += np.bincount(seq[np.repeat(use, np.diff(bound))], minlength=sub.size)
         h, n = chunk_words(table["t"], train_row, kinds)
         cuts = by_bucket(h, buckets)
         rows = [(b, h[cuts[b] : cuts[b + 1]].tobytes(), n[cuts[b] : cuts[b + 1]].tobytes()) for b in range(buckets) if cuts[b] < cuts[b + 1]]
-        slices = [*np.split(ids, range(SLICE, sub.size, SLICE)), texts]
-        rows += [(-1 - s, b"", x.tobytes()) for s, x in enumerate(slices)]
+        rows.append((-1, b"", texts.tobytes()))
         b, x, y = zip(*rows, strict=True)
         chunk = table["chunk"][0].as_py()
         return pa.table({"bucket": pa.array(b, pa.int64()), "chunk": pa.array([chunk] * len(b), pa.int64()), "h": pa.array(x, pa.binary()), "n": pa.array(y, pa.binary())})
@@ -422,18 +541,6 @@ def word_starts(path: str) -> np.ndarray:
     return starts
 
 
-def sample_ids(rows: DataFrame, path: str, sample_rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of a bounded sample of training texts, the same ones each time."""
-    texts = [r["t"] for r in rows.filter("train").orderBy(F.xxhash64("k")).limit(sample_rows).select("t").collect()]
-    ids, bounds, base = [np.zeros(0, np.int64)], [np.zeros(1, np.int64)], 0
-    for _, _, words in blocks(pa.array(texts, pa.string())):
-        s, b = subwords(path).sequence(words, words.hashes(seed=17, lower=True))
-        ids.append(s)
-        bounds.append(b[1:] + base)
-        base += len(s)
-    return np.concatenate(ids), np.concatenate(bounds)
-
-
 @dataclass
 class Model:
     """What scoring needs besides a chunk's word counts."""
@@ -456,12 +563,13 @@ class Model:
 
 def chunk_counts(h: np.ndarray, back: pa.Table) -> np.ndarray:
     """Counts by kind of a chunk's sorted words, as its buckets returned them."""
-    order = np.argsort(np.asarray(back["bucket"]))
+    bucket = np.asarray(back["bucket"])
+    order = [o for o in np.argsort(bucket) if bucket[o] >= 0]
     got = [np.frombuffer(back["data"][int(o)].as_buffer(), np.int64).reshape(-1, TOPICS) for o in order]
     return np.concatenate([*got, np.zeros((0, TOPICS), np.int64)])
 
 
-def score(docs: DataFrame, path: str | None = None, sample_rows: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     path = path or byte_bpe()
     spark, sub = docs.sparkSession, subwords(path)
@@ -469,69 +577,73 @@ def score(docs: DataFrame, path: str | None = None, sample_rows: int = 1000, id_
     rows = rows.withColumn("train", F.col("train") & F.col("i").isNotNull())
     size = rows.agg(F.sum(F.octet_length("t")).alias("bytes"), F.sum(F.col("train").cast("long")).alias("train")).first()
     chunks = max(1, -(-(size["bytes"] or 0) // CHUNK_BYTES))
-    dealt = rows.select("i", "t", "train", F.pmod(F.xxhash64("k", "i"), F.lit(chunks)).cast("long").alias("chunk"))
-    sample, bound = sample_ids(rows, path, sample_rows)
-    topics = find_topics(sample, bound, sub.size)
+    dealt = rows.select("i", "t", "k", "train", F.pmod(F.xxhash64("k", "i"), F.lit(chunks)).cast("long").alias("chunk"))
+    held = encoded(dealt, path)
+    met = passed(held, lambda ids, bound, chunk: np.append(np.bincount(ids, minlength=sub.size), n_windows(bound)))
+    counts = met[:-1] if len(met) else np.zeros(sub.size)
+    topics = find_topics(held, counts)
     returned = gathered(dealt, int(min(chunks, 1 << 16)), path, topics)
-    sums = {-1 - r["bucket"]: np.frombuffer(r["data"], np.int64) for r in returned.filter("chunk = -1").toLocalIterator()}  # a row for each slice of the vocabulary
-    slices = -(-sub.size // SLICE)
-    counts = np.concatenate([sums[s] for s in range(slices)]) if sums else np.zeros(sub.size, np.int64)
-    texts = sums.get(slices, np.zeros(TOPICS, np.int64))
+    texts = next((np.frombuffer(r["data"], np.int64) for r in returned.filter("chunk = -1").collect()), np.zeros(TOPICS, np.int64))  # one row
     totals = [np.frombuffer(r["data"], np.int64) for r in returned.filter("chunk = -2").toLocalIterator()]  # one for each bucket
     distinct, by_kind = (int(np.sum(totals, 0)[0]), np.sum(totals, 0)[1:]) if totals else (0, np.zeros(TOPICS, np.int64))
     n_train = int(size["train"] or 0)
     n, v = int(by_kind.sum()) + n_train, distinct + (n_train > 0)
-    net = train(sample, bound, counts, word_starts(path), sub.end)
+    net = train(held, counts, int(met[-1]) if len(met) else 0, word_starts(path), sub.end)
     model = Model(net, topics, by_kind, texts, np.array([0.2, 0.5, 0.3]))
     first = spark.sparkContext.broadcast(model)
 
-    def tokens(words: Words, m: Model, h: np.ndarray, c: np.ndarray):
-        """Network scores, kinds of texts, ends, word places in the chunk, text of each token."""
+    def tokens(words: Words, h: np.ndarray):
+        """Ids and their offsets, ends, word places in the chunk, text of each token."""
         got = words.hashes(seed=17, lower=True)
-        seq, cut = subwords(path).sequence(words, got)
         docs_ = len(words.first) - 1
         is_end = np.zeros(len(got) + docs_, bool)
         is_end[words.first[1:] + np.arange(docs_)] = True
-        return word_scores(m.net, seq, cut), m.topics.of(seq, cut), is_end, np.searchsorted(h, got), np.repeat(np.arange(docs_), np.diff(words.first) + 1)
+        return *subwords(path).sequence(words, got), is_end, np.searchsorted(h, got), np.repeat(np.arange(docs_), np.diff(words.first) + 1)
 
     def fit(table: pa.Table, back: pa.Table) -> pa.Table:
-        """Mixture weights from some training texts of one chunk, each counted without itself."""
-        m, w = first.value, model_default
+        """The network's scores of all words of a chunk (slice -1), and the tally of its training words, each counted without its own text."""
+        if not table.num_rows:
+            return pa.table({"chunk": pa.array([], pa.int64()), "slice": pa.array([], pa.int64()), "data": pa.array([], pa.binary())})
+        m, table = first.value, table.sort_by("k")
         h, _ = chunk_words(table["t"])
         c = chunk_counts(h, back)
-        use = np.flatnonzero(np.asarray(table["train"]).astype(bool))[:FIT_ROWS]
-        parts = []
-        for _, _, words in blocks(table["t"].combine_chunks().take(pa.array(use))) if len(use) else ():
-            word, kind, is_end, at, own = tokens(words, m, h, c)
+        train_row, chunk = np.asarray(table["train"]).astype(bool), table["chunk"][0].as_py()
+        scores, cells = [], 0
+        for a, z, words in blocks(table["t"]):
+            seq, cut, is_end, at, own = tokens(words, h)
+            word, kind = word_scores(m.net, seq, cut), m.topics.of(seq, cut)
+            scores.append(word.astype(np.float32).tobytes())
             token = np.full(len(word), len(h))
             token[~is_end] = at
             _, inverse, times = np.unique(own * (len(h) + 1) + token, return_inverse=True, return_counts=True)
             left = np.zeros((len(word), TOPICS))
             left[np.arange(len(word)), kind[own]] = times[inverse]
             by, all_ = m.shares(c[at], is_end, left)
-            parts.append((word, by[np.arange(len(word)), kind[own]], all_))
-        if parts:
-            w = fit_weights(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-        return pa.table({"w": pa.array([list(w)], pa.list_(pa.float64()))})
-
-    model_default = model.weights
-    one = dealt.filter("chunk = 0").groupBy("chunk").cogroup(returned.filter("chunk = 0").groupBy("chunk"))
-    for r in one.applyInArrow(fit, "w array<double>").collect():  # one row
-        model.weights = np.array(r["w"])
+            use = train_row[a:z][own]
+            cells = cells + tally(word[use], by[np.arange(len(word)), kind[own]][use], all_[use])
+        out = sliced(chunk, cells)
+        return pa.table({"chunk": pa.concat_arrays([pa.array([chunk], pa.int64()), out[0]]), "slice": pa.concat_arrays([pa.array([-1], pa.int64()), out[1]]), "data": pa.concat_arrays([pa.array([b"".join(scores)], pa.binary()), out[2]])})
+
+    counted = returned.filter("chunk >= 0")
+    fitted = stored(dealt.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(fit, "chunk long, slice long, data binary"), "scores")
+    model.weights = fit_weights(summed_rows(fitted.filter("slice >= 0")))
+    back_ = counted.unionByName(fitted.filter("slice = -1").select("chunk", F.col("slice").alias("bucket"), "data"))
     shared = spark.sparkContext.broadcast(model)
 
     def finish(table: pa.Table, back: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.table({"i": table["i"], "n_tokens": pa.array([], pa.int64()), "n_known": pa.array([], pa.int64()), "base_score": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
-        m = shared.value
+        m, table = shared.value, table.sort_by("k")
         h, _ = chunk_words(table["t"])
+        scores, done = np.frombuffer(back["data"][back["bucket"].to_pylist().index(-1)].as_buffer(), np.float32), 0
         c = chunk_counts(h, back)
         all_c = c.sum(1)
         log_c, rest = np.log10(all_c + 0.1), math.log10(n + 0.1 * (v + 1))
         prior = np.log10((m.texts + 0.5) / (m.texts.sum() + 0.5 * TOPICS))
         n_tokens, known, base, full = (np.zeros(table.num_rows, t) for t in (np.int64, np.int64, float, float))
         for a, z, words in blocks(table["t"]):
-            word, _, is_end, at, own = tokens(words, m, h, c)
+            _, _, is_end, at, own = tokens(words, h)
+            word, done = scores[done : done + len(own)].astype(float), done + len(own)
             of_word = own[~is_end]
             n_tokens[a:z] = np.diff(words.first) + 1
             known[a:z] = np.bincount(of_word, all_c[at] > 0, minlength=z - a).astype(np.int64) + (n_train > 0)
@@ -542,6 +654,6 @@ def score(docs: DataFrame, path: str | None = None, sample_rows: int = 1000, id_
             full[a:z] = top + np.log10((10 ** (each - top[:, None])).sum(1))
         return pa.table({"i": table["i"], "n_tokens": n_tokens, "n_known": known, "base_score": base, "score": full})
 
-    scored = dealt.groupBy("chunk").cogroup(returned.filter("chunk >= 0").groupBy("chunk")).applyInArrow(finish, f"i {dict(rows.dtypes)['i']}, n_tokens long, n_known long, base_score double, score double")
-    held = (crc_mod(F.col("i"), MOD) == 0) | F.col("i").isNull()
-    return scored.select(F.col("i").alias(id_col), held.alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+    scored = dealt.groupBy("chunk").cogroup(back_.groupBy("chunk")).applyInArrow(finish, f"i {dict(rows.dtypes)['i']}, n_tokens long, n_known long, base_score double, score double")
+    out = (crc_mod(F.col("i"), MOD) == 0) | F.col("i").isNull()
+    return scored.select(F.col("i").alias(id_col), out.alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

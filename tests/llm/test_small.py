@@ -334,3 +334,27 @@ def test_toxicity(spark):
     kept = toxicity.drop_toxic(docs, marks)
     assert kept.columns == docs.columns and kept.filter("doc_id = 5000").count() == 2
     assert toxicity.toxicity(docs.limit(0), marks.limit(0)).count() == 0
+
+
+def test_lm_learns_from_all_training_texts(spark):
+    r = np.random.default_rng(5)
+    vocabulary = [f"{a}{b}" for a in ("red", "stone", "river", "glass", "moon") for b in ("ton", "berg", "field", "s", "er", "ing")]
+    rows = [(i, " ".join(r.choice(vocabulary, int(r.integers(3, 12)))) + (f" rare{chr(97 + i % 26)}" if i > 1100 else "")) for i in range(1300)]
+    one = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    other = spark.createDataFrame(rows[::-1], "doc_id long, text string").repartition(5)
+    a, b = ({x.doc_id: x.score for x in lm.score(d).collect()} for d in (one, other))
+    assert a == pytest.approx(b, rel=1e-4)
+    texts = pa.table({"chunk": [0] * len(rows), "k": [str(i).encode() for i, _ in rows], "t": [t for _, t in rows], "train": [True] * len(rows)})
+    held = lm.encoded(spark.createDataFrame(texts), BPE)
+    counts = lm.passed(held, lambda ids, bound, chunk: np.append(np.bincount(ids, minlength=lm.subwords(BPE).size), lm.n_windows(bound)))
+    net = lm.train(held, counts[:-1], int(counts[-1]), lm.word_starts(BPE), lm.subwords(BPE).end)
+    begun = lm.start_parameters(len(net.p["bias"]), np.ones(len(net.p["bias"])))
+    moved = np.abs(net.p["embed"] - begun["embed"]).max(1) > 0
+    ended = lm.subwords(BPE).end  # the end is an input at the start of a text
+    assert moved[net.inputs[np.flatnonzero(counts[:-1])]].all() and moved[net.inputs[ended]]
+
+
+def test_lm_rounds_take_every_window_equally_often():
+    for n, epochs in ((1, 1), (7, 3), (1000, 2)):
+        taken = np.concatenate([lm.share_of_round(n, epochs, k, 4, 2) for k in range(lm.ROUNDS)])
+        assert (np.bincount(taken, minlength=n) == epochs).all()
