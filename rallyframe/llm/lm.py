@@ -5,7 +5,8 @@ it, are cut into ids of a public byte-level BPE vocabulary. An id's probability
 its class, from a causal self-attention network in numpy, times its share of the class in
 all training texts; classes are frequent ids and clusters of ids with like neighbours. A
 word's probability from the network is that of its ids, given that a word starts, times
-that of a start after it, so the probabilities of all words add up to one at most. Texts
+that of a start after it, so the probabilities of all words add up to one at most. The
+``TOP`` most frequent ids that start a word, and as many that do not, are classes of their own. Texts
 fall into ``TOPICS`` kinds by their frequent ids. For each kind a word's probability is a
 mixture of the network's, the word's share in training texts of the kind, and its share in
 all; a text's probability is the mixture over kinds. Weights come from all training words,
@@ -44,11 +45,11 @@ from rallyframe.llm.bpe import byte_bpe, loaded
 from rallyframe.llm.shared import crc_mod, row_key, stored
 from rallyframe.llm.text import U, Words, blocks
 
-WINDOW, OVERLAP, WIDTH, HIDDEN = 16, 4, 24, 32
+WINDOW, OVERLAP, WIDTH, HIDDEN = 32, 8, 24, 48
 TOPICS, MARKS = 6, 64
 ROUNDS, LEAST_WINDOWS = 8, 115_200
 TALLY, REACH = 20, 10  # cells a decade, decades to each side
-TOP, CLUSTERS, BINS, KNOWN_INPUTS = 20, 9, 3, 4096
+TOP, CLUSTERS, BINS, KNOWN_INPUTS = 500, 9, 3, 4096
 CHUNK_BYTES = 16 << 20
 SLICE = 1024
 KEEP_WORDS = 400_000
@@ -570,7 +571,7 @@ def chunk_counts(h: np.ndarray, back: pa.Table) -> np.ndarray:
 
 
 def score(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, network_score (without the mixture with word counts) and score of every row."""
     path = path or byte_bpe()
     spark, sub = docs.sparkSession, subwords(path)
     rows = docs.select(F.col(id_col).alias("i"), F.coalesce(text_col, F.lit("")).alias("t"), row_key(id_col, text_col).alias("k"), (crc_mod(F.col(id_col), MOD) != 0).alias("train"))
@@ -632,7 +633,7 @@ def score(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text
 
     def finish(table: pa.Table, back: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return pa.table({"i": table["i"], "n_tokens": pa.array([], pa.int64()), "n_known": pa.array([], pa.int64()), "base_score": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
+            return pa.table({"i": table["i"], "n_tokens": pa.array([], pa.int64()), "n_known": pa.array([], pa.int64()), "base_score": pa.array([], pa.float64()), "network_score": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
         m, table = shared.value, table.sort_by("k")
         h, _ = chunk_words(table["t"])
         scores, done = np.frombuffer(back["data"][back["bucket"].to_pylist().index(-1)].as_buffer(), np.float32), 0
@@ -640,7 +641,7 @@ def score(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text
         all_c = c.sum(1)
         log_c, rest = np.log10(all_c + 0.1), math.log10(n + 0.1 * (v + 1))
         prior = np.log10((m.texts + 0.5) / (m.texts.sum() + 0.5 * TOPICS))
-        n_tokens, known, base, full = (np.zeros(table.num_rows, t) for t in (np.int64, np.int64, float, float))
+        n_tokens, known, base, alone, full = (np.zeros(table.num_rows, t) for t in (np.int64, np.int64, float, float, float))
         for a, z, words in blocks(table["t"]):
             _, _, is_end, at, own = tokens(words, h)
             word, done = scores[done : done + len(own)].astype(float), done + len(own)
@@ -648,12 +649,13 @@ def score(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text
             n_tokens[a:z] = np.diff(words.first) + 1
             known[a:z] = np.bincount(of_word, all_c[at] > 0, minlength=z - a).astype(np.int64) + (n_train > 0)
             base[a:z] = np.bincount(of_word, log_c[at], minlength=z - a) + math.log10(n_train + 0.1) - n_tokens[a:z] * rest
+            alone[a:z] = np.bincount(own, word, minlength=z - a)
             by, share = m.shares(c[at], is_end)
             each = np.stack([np.bincount(own, mixed(m.weights, word, by[:, k], share), minlength=z - a) for k in range(TOPICS)], 1) + prior
             top = each.max(1)
             full[a:z] = top + np.log10((10 ** (each - top[:, None])).sum(1))
-        return pa.table({"i": table["i"], "n_tokens": n_tokens, "n_known": known, "base_score": base, "score": full})
+        return pa.table({"i": table["i"], "n_tokens": n_tokens, "n_known": known, "base_score": base, "network_score": alone, "score": full})
 
-    scored = dealt.groupBy("chunk").cogroup(back_.groupBy("chunk")).applyInArrow(finish, f"i {dict(rows.dtypes)['i']}, n_tokens long, n_known long, base_score double, score double")
+    scored = dealt.groupBy("chunk").cogroup(back_.groupBy("chunk")).applyInArrow(finish, f"i {dict(rows.dtypes)['i']}, n_tokens long, n_known long, base_score double, network_score double, score double")
     out = (crc_mod(F.col("i"), MOD) == 0) | F.col("i").isNull()
-    return scored.select(F.col("i").alias(id_col), out.alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+    return scored.select(F.col("i").alias(id_col), out.alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "network_score", "score")

@@ -358,3 +358,15 @@ def test_lm_rounds_take_every_window_equally_often():
     for n, epochs in ((1, 1), (7, 3), (1000, 2)):
         taken = np.concatenate([lm.share_of_round(n, epochs, k, 4, 2) for k in range(lm.ROUNDS)])
         assert (np.bincount(taken, minlength=n) == epochs).all()
+
+
+def test_lm_network_reaches_back_and_tells_ids_apart(docs):
+    assert (lm.WINDOW, lm.OVERLAP) >= (32, 8)
+    size = 3000
+    starts = np.arange(size) % 2 == 0
+    starts[7] = True
+    classes, *_, n, n_starts = lm.make_classes(np.arange(size, 0, -1.0), starts, 7, np.zeros((size, 64), np.float32))
+    assert len(set(classes[:1000].tolist())) == 1000 and n == len(lm.start_parameters(n, np.ones(n))["bias"])
+    assert (classes[starts] < n_starts).all() and (classes[~starts] >= n_starts).all()
+    rows = lm.score(docs).collect()
+    assert all(np.isfinite(r.network_score) and r.network_score < 0 for r in rows)
