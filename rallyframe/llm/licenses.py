@@ -1,6 +1,7 @@
 """License scan: a trained paragraph classifier with template comparison.
 
-A paragraph is a line. Its features are the distinct hashed 1- to 3-grams of its words
+A paragraph is a line, or neighbouring lines without a blank one between that hold enough
+word pairs of a template together (a wrapped notice, reported at its first line). Its features are the distinct hashed 1- to 3-grams of its words
 (runs of letters and digits, lower case A-Z, every run of digits made one sign). A sparse
 multinomial logistic regression over license families and "none" scores it; temperature
 and the bar for an answer are calibrated on variants that were not trained on, so that
@@ -10,7 +11,8 @@ paragraph. The templates also make the training set, together with a bounded sam
 the table's own lines (``sample_rows`` rows) as "none".
 
 Reported are license paragraphs (a family) and paragraphs that look like a license grant
-but that no template confirms (family "unknown"). Null or empty texts hold none. Repeated
+but that no template confirms (family "unknown"). Lines of a confirmed wrapped notice are not
+reported as unknown by themselves. Null or empty texts hold none. Repeated
 rows are reported each. Empty tables give an empty result. Only the named columns are read.
 """
 
@@ -95,6 +97,7 @@ TEMPLATES: dict[str, list[str]] = {
         "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
     ],
     "all-rights-reserved": [
+        "All rights reserved.",
         "All rights reserved. No part of this work may be reproduced without prior written permission.",
         "Proprietary and confidential. Unauthorized copying of this file is strictly prohibited.",
     ],
@@ -154,10 +157,34 @@ def feature_rows(texts: list[str]) -> list[np.ndarray]:
     return [np.unique(index[own == i]) for i in range(len(texts))]
 
 
+def hashes_of(texts: list[str]) -> list[np.ndarray]:
+    words = find_words(*raw(strings(pa.array(texts, pa.string()))), NOT_ALNUM)
+    h = word_hashes(words)
+    return [h[a:z] for a, z in zip(words.first[:-1], words.first[1:], strict=True)]
+
+
 def pairs(h: np.ndarray) -> set:
     return set(zip(h.tolist(), h[1:].tolist(), strict=False)) if len(h) > 1 else {(x,) for x in h.tolist()}
 
 
+def spans(at: np.ndarray, key: np.ndarray, need: float, reach: int) -> list[tuple[int, int]]:
+    """First and last word of stretches of ``reach`` words at most in which ``need`` of the pairs (place, key) stand."""
+    out, a = [], 0
+    while a < len(at):
+        mine = key[a : np.searchsorted(at, at[a] + reach, "right")]
+        first = np.unique(mine, return_index=True)[1]
+        if len(first) < need:
+            a += 1
+            continue
+        mine = mine[: first.max() + 1]
+        last = len(mine) - 1 - np.unique(mine[::-1], return_index=True)[1]
+        start, a = int(at[a + last.min()]), a + len(mine)
+        while a < len(at) and at[a] <= at[a - 1] + 1:  # pairs that follow on
+            a += 1
+        out.append((start, int(at[a - 1]) + 1))
+    return out
+
+
 @dataclass
 class Model:
     index: np.ndarray  #: used features, sorted
@@ -178,6 +205,42 @@ class Model:
         return max(len(t & have) / len(t) for t in self.templates[family])
 
 
+class Wrapped:
+    """Finds lines that hold a template together."""
+
+    def __init__(self, model: Model):
+        sets = [t for f in model.templates.values() for t in f]
+        self.size = np.array([len(t) for t in sets])
+        two = np.array([x for t in sets for x in t], U).reshape(-1, 2)
+        key, owner = grams(two.reshape(-1), np.arange(0, 2 * len(two) + 1, 2), 2)[0], np.repeat(np.arange(len(sets)), self.size)
+        order = np.argsort(key, kind="stable")
+        self.key, self.owner, self.confirm = key[order], owner[order], model.confirm
+
+    def lines(self, words: Words, h: np.ndarray, row: np.ndarray) -> list[tuple[int, int]]:
+        """First and last line of each stretch of several lines."""
+        blank = np.diff(words.first) == 0
+        part = np.cumsum(np.r_[False, (row[1:] != row[:-1]) | blank[1:]]) if len(row) else np.zeros(0, np.int64)
+        g, at = grams(h, np.append(words.first[:-1][np.r_[True, part[1:] != part[:-1]]], words.first[-1]) if len(row) else words.first, 2)
+        lo, hi = np.searchsorted(self.key, g), np.searchsorted(self.key, g, "right")
+        n = hi - lo
+        entry = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        at = np.repeat(at, n)
+        group = part[np.searchsorted(words.first, at, "right") - 1].astype(np.int64) * len(self.size) + self.owner[entry]
+        order = np.argsort(group, kind="stable")
+        at, entry, group = at[order], entry[order], group[order]
+        cuts = np.r_[np.flatnonzero(np.r_[True, group[1:] != group[:-1]]), len(group)] if len(group) else [0]
+        out = set()
+        for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+            size = self.size[group[a] % len(self.size)]
+            need = self.confirm * size
+            if z - a >= need and len(np.unique(entry[a:z])) >= need:
+                for x, y in spans(at[a:z], entry[a:z], need, 2 * size + 20):
+                    first, last = (int(np.searchsorted(words.first, w, "right")) - 1 for w in (x, y))
+                    if first < last:
+                        out.add((first, last))
+        return sorted(out)
+
+
 def varied(text: str, r: random.Random, filler: list[str]) -> str:
     """A template as it turns up: other numbers, a word lost or added, text before or after."""
     words = text.split()
@@ -236,10 +299,12 @@ def train(lines: list[str], seed: int = 9, copies: int = 24, epochs: int = 12, r
 
 
 def sample_lines(docs: DataFrame, text_col: str, sample_rows: int) -> list[str]:
-    """One line of up to 400 characters of each of a bounded sample of rows, the same ones each time, without lines that name a license."""
+    """One line of up to 400 characters of each of a bounded sample of rows, the same ones each time, without lines that name a license or hold a template."""
     line = F.try_element_at(F.filter(F.split(text_col, "\n"), lambda x: (F.length(x) > 0) & (F.length(x) <= 400)), F.lit(1))
     rows = docs.select(line.alias("t")).filter("t is not null").orderBy(F.xxhash64("t")).limit(sample_rows).collect()
-    return [r["t"] for r in rows if r["t"].strip() and "licen" not in r["t"].lower()]
+    known = [pairs(h) for t in TEMPLATES.values() for h in hashes_of(t)]
+    texts = [r["t"] for r in rows if r["t"].strip() and "licen" not in r["t"].lower()]
+    return [t for t, h in zip(texts, hashes_of(texts), strict=True) if not any(len(k & pairs(h)) >= 0.6 * len(k) for k in known)]
 
 
 def scan(docs: DataFrame, model: Model | None = None, sample_rows: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -252,6 +317,13 @@ def scan(docs: DataFrame, model: Model | None = None, sample_rows: int = 2000, i
         m = shared.value
         slot = np.full(1 << BITS, -1, np.int32)
         slot[m.index] = np.arange(len(m.index))
+        wrapped = Wrapped(m)
+
+        def judged(p: np.ndarray, own_h: np.ndarray) -> tuple[str, float, float]:
+            best = 1 + int(p[1:].argmax())
+            alike = m.similarity(FAMILIES[best], own_h)
+            return FAMILIES[best] if alike >= m.confirm and p[best] >= m.bar else "unknown", p[best], alike
+
         for b in batches:
             for a in range(0, b.num_rows, 256):
                 words, row, line = lines_of(b["t"].slice(a, 256))
@@ -264,14 +336,31 @@ def scan(docs: DataFrame, model: Model | None = None, sample_rows: int = 2000, i
                 z = np.zeros((len(some), len(FAMILIES))) + m.bias
                 np.add.at(z, short, m.weight[s])
                 p = m.probability(z) if len(z) else z
-                out = {"doc": [], "line": [], "family": [], "probability": [], "similarity": []}
+                found = {}  # by first and last line
                 for k in np.flatnonzero(1 - p[:, 0] >= m.bar) if len(z) else ():
-                    best = 1 + int(p[k, 1:].argmax())
-                    own_h = h[words.first[some[k]] : words.first[some[k] + 1]]
-                    alike = m.similarity(FAMILIES[best], own_h)
-                    known = alike >= m.confirm and p[k, best] >= m.bar
-                    for c, v in zip(out, (a + row[some[k]], line[some[k]], FAMILIES[best] if known else "unknown", p[k, best], alike), strict=True):
-                        out[c].append(v)
+                    found[some[k], some[k]] = judged(p[k], h[words.first[some[k]] : words.first[some[k] + 1]])
+                taken = {}  # family by line
+                for (x, _), (family, *_) in found.items():
+                    taken[x] = family
+                more = []
+                for x, y in wrapped.lines(words, h, row):
+                    own_h = h[words.first[x] : words.first[y + 1]]
+                    s = slot[np.unique(occurrences(own_h, np.array([0, len(own_h)]))[0])]
+                    q = m.probability((m.weight[s[s >= 0]].sum(0) + m.bias)[None])[0]
+                    if 1 - q[0] >= m.bar:
+                        more.append((x, y, judged(q, own_h)))
+                for x, y, got in sorted(more, key=lambda v: (v[2][0] == "unknown", -v[2][2], v[0])):
+                    inside = [taken.get(k) for k in range(x, y + 1)]
+                    if got[0] == "unknown" and any(inside):
+                        continue
+                    for k in range(x, y + 1):
+                        if taken.get(k) in (None, "unknown"):
+                            found.pop((k, k), None)
+                            taken[k] = got[0]
+                    if got[0] not in inside:
+                        found[x, y] = got
+                keys = sorted(found)
+                out = {"doc": [a + row[x] for x, _ in keys], "line": [line[x] for x, _ in keys]} | {c: [found[k][j] for k in keys] for j, c in enumerate(("family", "probability", "similarity"))}
                 yield pa.record_batch([b["i"].take(pa.array(out["doc"], pa.int64())), pa.array(out["line"], pa.int64()), pa.array(out["family"], pa.string()), pa.array(out["probability"], pa.float64()), pa.array(out["similarity"], pa.float64())], names=["doc_id", "line", "family", "probability", "similarity"])
 
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['i']}, line long, family string, probability double, similarity double")

@@ -370,3 +370,22 @@ def test_lm_network_reaches_back_and_tells_ids_apart(docs):
     assert (classes[starts] < n_starts).all() and (classes[~starts] >= n_starts).all()
     rows = lm.score(docs).collect()
     assert all(np.isfinite(r.network_score) and r.network_score < 0 for r in rows)
+
+
+def test_licenses_over_several_lines(spark):
+    lines = ["plain words only here", "the cat sat on the mat with a hat", "nothing to see", "numbers 1 2 3 and more text"] * 20
+    model = licenses.train(lines)
+    rows, want = [], []
+    for family, templates in licenses.TEMPLATES.items():
+        for t in templates:
+            w = t.split()
+            for n in (4, 9):  # words in a line
+                wrapped = [" * " + " ".join(w[a : a + n]) for a in range(0, len(w), n)]
+                want.append((len(rows), 2, family))
+                rows.append((len(rows), "\n".join(["plain words only here", "", *wrapped, "", "nothing to see", "plain words only here"])))
+    want.append((len(rows), 1, "all-rights-reserved"))
+    rows.append((len(rows), "the cat sat on the mat\nAll rights reserved."))
+    rows.append((len(rows), "the cat sat on the mat with a hat\nnothing to see\n\nplain words only here"))
+    got = sorted((r.doc_id, r.line, r.family) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), model).collect())
+    assert [x for x in want if x not in got] == [] and {x[0] for x in got} == {x[0] for x in want}
+    assert [x for x in got if x[2] == "unknown"] == []
