@@ -4,7 +4,8 @@ A document's set holds its distinct ``n``-word shingles (words in lower case A-Z
 fewer words the whole sequence is the one shingle; without words it is empty and linked
 with nothing. Documents of one set are one node (a digest group, never expanded to pairs).
 Each node gets ``bands * rows`` bins from one hash of each shingle; an empty bin takes the
-value of the first filled bin in its own fixed probe sequence. Bands give bucket keys.
+value of the first filled bin in its own fixed probe sequence (``PROBES`` draws, then an
+order of all bins), so the choice never depends on the gaps between filled bins. Bands give bucket keys.
 
 In each bucket candidate pairs form stars: a centre (first the node that shares most
 buckets) against the other members, so pairs grow with members, not with their square.
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from rallyframe.llm.shared import stored
 from rallyframe.llm.text import U, Words, blocks, grams, mix
 
-BANDS, ROWS, PROBES, LANES, SHARE = 48, 6, 64, 256, 4
+BANDS, ROWS, PROBES, LANES, SHARE, FILL = 48, 6, 64, 256, 4, 4096
 
 
 def shingle_sets(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,6 +62,13 @@ def probes(bins: int) -> np.ndarray:
     return (x % U(bins)).astype(np.int64).reshape(bins, PROBES)
 
 
+@cache
+def orders(bins: int) -> np.ndarray:
+    """For each bin an order of all bins of its own."""
+    x = mix(np.arange(1, bins * bins + 1, dtype=U) * U(0x9E3779B97F4A7C15) + U(77))
+    return x.reshape(bins, bins).argsort(1)
+
+
 def bins_of(g: np.ndarray, first: np.ndarray, bins: int) -> np.ndarray:
     """The least hash in each bin, for each document; empty bins filled. Documents without shingles get zeros."""
     docs = len(first) - 1
@@ -79,10 +87,11 @@ def bins_of(g: np.ndarray, first: np.ndarray, bins: int) -> np.ndarray:
         ok = full[d, source]
         value[d[ok], i[ok]] = value[d[ok], source[ok]]
         d, i = d[~ok], i[~ok]
-    for doc in np.unique(d):  # few filled bins: the next filled one after the last probe
-        mine = i[d == doc]
-        filled = np.flatnonzero(full[doc])
-        value[doc, mine] = value[doc, filled[np.searchsorted(filled, table[mine, -1]) % len(filled)]]
+    for k in range(0, len(d), FILL):  # few filled bins: on through the bin's own order of all bins, to the first filled one
+        doc, mine = d[k : k + FILL], i[k : k + FILL]
+        order = orders(bins)[mine]
+        source = order[np.arange(len(doc)), np.take_along_axis(full[doc], order, 1).argmax(1)]
+        value[doc, mine] = value[doc, source]
     return value
 
 

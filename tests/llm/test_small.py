@@ -389,3 +389,14 @@ def test_licenses_over_several_lines(spark):
     got = sorted((r.doc_id, r.line, r.family) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), model).collect())
     assert [x for x in want if x not in got] == [] and {x[0] for x in got} == {x[0] for x in want}
     assert [x for x in got if x[2] == "unknown"] == []
+
+
+def test_small_sets_at_the_bound_meet_in_a_band():
+    r = np.random.default_rng(11)
+    g = r.integers(0, 2**64, (30_000, 5), dtype=np.uint64)
+    missed = 0
+    for a in range(0, len(g), 5000):
+        one, two = np.sort(g[a : a + 5000, :4], 1), np.sort(g[a : a + 5000], 1)
+        x, y = (near.band_keys(near.bins_of(v.reshape(-1), np.arange(len(v) + 1) * v.shape[1], 288), 48, 6) for v in (one, two))
+        missed += int((~(x == y).any(1)).sum())
+    assert missed <= 1  # probability 5e-7 of each pair
