@@ -362,7 +362,7 @@ def test_lm_rounds_take_every_window_equally_often():
 
 def test_lm_network_reaches_back_and_tells_ids_apart(docs):
     assert (lm.WINDOW, lm.OVERLAP) >= (32, 8)
-    size = 3000
+    size = 6000
     starts = np.arange(size) % 2 == 0
     starts[7] = True
     classes, *_, n, n_starts = lm.make_classes(np.arange(size, 0, -1.0), starts, 7, np.zeros((size, 64), np.float32))
