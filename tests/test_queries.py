@@ -25,7 +25,7 @@ def plain(df: pd.DataFrame) -> list[tuple]:
     def cell(v):
         if hasattr(v, "tolist") and getattr(v, "ndim", 0):
             return repr(v.tolist())
-        if v is None or v != v:
+        if v is None or v is pd.NA or v != v:
             return "null"
         return repr(float(v)) if isinstance(v, (int, float)) or hasattr(v, "dtype") else str(v)
 
