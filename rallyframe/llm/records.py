@@ -30,14 +30,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rallyframe.llm.shared import fresh_path
+from rallyframe.llm.text import U, IdTable, Words, blocks, mix
 
 #: The mask that record checksums take.
 MASK_DELTA = 0xA282EAD8
-FILE_BYTES = 24 << 20
-KEEP, LONG_PIECE = 700_000, 64
+FILE_BYTES = 16 << 20
+KEEP, LONG_PIECE, TOGETHER = 1_300_000, 64, 512
 HEAD = struct.Struct("<QI")
-UNSAFE = re.compile(r"\s \s|\s \Z")
-SPACE = re.compile(r"\s")
+ODD_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 def masked(data: bytes) -> int:
@@ -74,10 +74,11 @@ def record(data: bytes, check: bool = True) -> tuple[int | None, np.ndarray]:
 class LibraryEncoder:
     """Ids of whole texts by the tokenizers library.
 
-    The library cuts a text before each single space between words, whatever stands around
-    it, so pieces between such spaces are encoded apart: new pieces of a batch go to the
-    library, joined, and a table of at most ``KEEP`` pieces spares it the others. Texts where
-    a cut could split a run of white space, or with a special token, go to it whole.
+    The library's split never joins a character with white space after it, so a text may be cut before
+    each run of white space and the pieces (a run of white space and a word) encoded apart. New
+    pieces of a block go to the library; a table of at most ``KEEP`` pieces, found by 128 bits of
+    their hashes, spares it the others. Texts with a special token, with white space beyond
+    ASCII, or with white space at their end go to it whole.
     """
 
     def __init__(self, path: str):
@@ -89,43 +90,102 @@ class LibraryEncoder:
         self.library.no_padding()
         size = self.library.get_vocab_size(with_added_tokens=True)
         self.width = 2 if size <= 1 << 16 else 4
+        self.kind = f"<u{self.width}"
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.spaced = np.array([(self.library.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
-        self.pieces: dict[str, bytes] = {}
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def joined(self, pieces: list[str]) -> list[bytes]:
-        """Pieces that each begin with their only white space, a space, in one go."""
-        ids = np.array(self.library.encode_batch_fast(["".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
-        starts = np.flatnonzero(self.spaced[ids])
-        if len(starts) != len(pieces) or (len(starts) and starts[0]):
-            return self.whole(pieces)
-        data, cuts = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
-        return [data[a:z] for a, z in zip(cuts, cuts[1:], strict=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        odd = [bool(UNSAFE.search(t)) or any(s in t for s in self.special) for t in texts]
-        cut = [None if o else [p if i == 0 else " " + p for i, p in enumerate(t.split(" "))] for t, o in zip(texts, odd, strict=True)]
-        known = self.pieces
-        new = {p for c in cut if c for p in c if p not in known}
-        new.discard("")
-        plain = [p for p in new if p[0] == " " and len(p) > 1 and not SPACE.search(p, 1)]
-        rest = list(new.difference(plain))
-        known.update(zip(rest, self.whole(rest), strict=True))
-        for a in range(0, len(plain), 256):
-            known.update(zip(plain[a : a + 256], self.joined(plain[a : a + 256]), strict=True))
-        known[""] = b""
-        whole = iter(self.whole([t for t, o in zip(texts, odd, strict=True) if o]))
-        out = [next(whole) if c is None else b"".join(map(known.__getitem__, c)) for c in cut]
-        spare = len(known) - KEEP
-        for p in new:  # the table stays within its bound, and long pieces stay out of it
-            if spare > 0 or len(p) > LONG_PIECE:
-                del known[p]
-                spare -= 1
+        self.table = IdTable(KEEP, self.kind)
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        out = []
+        for a in range(0, len(texts), 64):
+            out += [np.array(e.ids, self.kind) for e in self.library.encode_batch_fast(texts[a : a + 64], add_special_tokens=False)]
+        return out
+
+    def apart(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of ids of texts, and their ids one after the other."""
+        ids = self.whole(texts)
+        return np.array([len(x) for x in ids], np.int64), np.concatenate([*ids, np.zeros(0, self.kind)])
+
+    def joined(self, words: Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words with just a space before each, ``TOGETHER`` words in one go."""
+        lens, flat = [], []
+        for a in range(0, len(at), TOGETHER):
+            part = at[a : a + TOGETHER]
+            size = words.ends[part] - words.starts[part] + 1
+            ends = np.cumsum(size)
+            text = words.data[np.arange(ends[-1]) + np.repeat(words.starts[part] - 1 - (ends - size), size)].tobytes().decode()
+            ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+            starts = np.flatnonzero(self.spaced[ids])
+            if len(starts) == len(part) and not starts[0]:
+                lens.append(np.diff(np.r_[starts, len(ids)]))
+                flat.append(ids)
+            else:
+                n, ids = self.apart([" " + words.word(k).decode() for k in part])
+                lens.append(n)
+                flat.append(ids)
+        return np.concatenate([*lens, np.zeros(0, np.int64)]), np.concatenate([*flat, np.zeros(0, self.kind)])
+
+    def encode(self, texts) -> list[np.ndarray]:
+        """``texts``: an Arrow column; nulls count as empty."""
+        out: list[np.ndarray] = []
+        for a, z, words in blocks(texts):
+            out += self.encode_block(words, texts.slice(a, z - a).to_pylist())
         return out
 
+    def encode_block(self, words: Words, texts: list[str | None]) -> list[np.ndarray]:
+        n_bytes = np.array([len((t or "").encode()) if t and not t.isascii() else len(t or "") for t in texts])
+        begin = np.cumsum(n_bytes) - n_bytes
+        has = np.diff(words.first) > 0
+        last = np.where(has, words.ends[np.maximum(words.first[1:] - 1, 0)] if len(words.ends) else 0, -1)
+        odd = (last != begin + n_bytes) & (n_bytes > 0)
+        for d, t in enumerate(texts):
+            if t and not odd[d]:
+                odd[d] = any(s in t for s in self.special) or (not t.isascii() and ODD_SPACE.search(t) is not None)
+        ids, ends = self.encode_words(words, begin, ~odd[words.owner()])
+        cut = ends[words.first]
+        out = [ids[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)]
+        at = np.flatnonzero(odd)
+        for d, own in zip(at.tolist(), self.whole([texts[d] for d in at]), strict=True):
+            out[d] = own
+        return out
+
+    def encode_words(self, words: Words, begin: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces to ``use``, one after the other, and where each piece's end."""
+        n = len(words.starts)
+        if not n:
+            return np.zeros(0, self.kind), np.zeros(1, np.int64)
+        gap_from = np.r_[0, words.ends[:-1]]
+        lead = words.first[:-1][np.diff(words.first) > 0]
+        gap_from[lead] = begin[np.diff(words.first) > 0]
+        gap = words.starts - gap_from
+        code = np.where(gap == 0, 0, words.data[np.maximum(words.starts - 1, 0)]).astype(U)
+        short = use & (words.ends - words.starts <= LONG_PIECE) & (gap <= 1)  # these may stand in the table
+        salt = mix(code + U(1))
+        one, two = words.hashes(seed=19) + salt, words.hashes(seed=23) ^ salt
+        entry = np.where(short, self.table.find(one, two), -1)
+        new = np.flatnonzero(short & (entry < 0))
+        _, first, inverse = np.unique(one[new], return_index=True, return_inverse=True)
+        spaced = code[new[first]] == 0x20
+        other = np.flatnonzero(use & ~short)
+        with_space, without = new[first][spaced], new[first][~spaced]
+        n1, ids1 = self.joined(words, with_space)
+        n2, ids2 = self.apart([words.data[gap_from[k] : words.ends[k]].tobytes().decode() for k in np.r_[without, other].tolist()])
+        held = entry >= 0
+        n0, ids0 = self.table.lists(entry[held])
+        lens, start = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        lens[held], start[held] = n0, np.cumsum(n0) - n0
+        made, source = np.r_[n1, n2], np.concatenate([ids0, ids1, ids2])
+        made_at = len(ids0) + np.cumsum(made) - made
+        place = np.zeros(len(first), np.int64)
+        place[spaced], place[~spaced] = np.arange(len(with_space)), len(with_space) + np.arange(len(without))
+        lens[new], start[new] = made[place[inverse]], made_at[place[inverse]]
+        lens[other], start[other] = made[len(first) :], made_at[len(first) :]
+        ends = np.cumsum(lens)
+        ids = source[np.arange(ends[-1]) + np.repeat(start - (ends - lens), lens)] if ends[-1] else source[:0]
+        added = np.r_[with_space, without]
+        self.table.add(one[added], two[added], made[: len(added)], source[len(ids0) :])
+        return ids, np.r_[0, ends]
+
 
 @cache
 def encoder(path: str) -> LibraryEncoder:
@@ -136,16 +196,17 @@ def write_records(docs: DataFrame, out: str, tokenizer: str, end_id: int = 0, id
     """Writes all rows of ``docs`` as records under ``out``, in ascending order of id."""
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.coalesce(text_col, F.lit("")).alias("t"))
     n_bytes = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    dealt = rows.repartitionByRange(max(1, -(-n_bytes // FILE_BYTES)), "i").sortWithinPartitions("i", F.xxhash64("t"))
+    rows = rows.select("i", "t", F.xxhash64("t").alias("h"), F.spark_partition_id().alias("p"))  # rows of one id, or alike in all, can be dealt out too
+    dealt = rows.repartitionByRange(max(1, -(-n_bytes // FILE_BYTES)), "i", "h", "p").sortWithinPartitions("i", "h").select("i", "t")
 
     def run(batches):
         enc = encoder(tokenizer)
-        end = np.array([end_id], "<u4")
+        end = np.array([end_id], enc.kind)
         for b in batches:
             for a in range(0, b.num_rows, 256):
                 part = b.slice(a, 256)
-                made = enc.encode(part["t"].to_pylist())
-                out_ = [frame(i, np.concatenate([np.frombuffer(x, "<u4"), end]), enc.width) for i, x in zip(part["i"].to_pylist(), made, strict=True)]
+                made = enc.encode(part["t"])
+                out_ = [frame(i, np.concatenate([x, end]), enc.width) for i, x in zip(part["i"].to_pylist(), made, strict=True)]
                 yield pa.record_batch([pa.array(out_, pa.binary())], names=["record"])
 
     dealt.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value")).write.option("compression", "none").text(out)
@@ -174,8 +235,11 @@ def write_index(spark: SparkSession, path: str, out: str) -> None:
     scan.join(bases, "file").select("file", "offset", "size", "doc_id", "n_tokens", (F.col("base") + F.col("before")).alias("start")).write.parquet(out)
 
 
-def read_records(spark: SparkSession, path: str, index: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) of the records in ``index``, whole or any part of it, checksums verified."""
+def read_records(spark: SparkSession, path: str, index: DataFrame, digest: bool = False) -> DataFrame:
+    """(doc_id, start, n_tokens, ids) of the records in ``index``, whole or any part of it, checksums verified.
+
+    ``digest``: instead of the ids, ``ids_crc32``, the CRC-32 of all ids as little-endian unsigned 32-bit integers.
+    """
     wanted = index.groupBy("file").agg(F.collect_list(F.struct("offset", "size", "start")).alias("at"))  # bounded by a file
 
     def run(batches):
@@ -185,22 +249,16 @@ def read_records(spark: SparkSession, path: str, index: DataFrame) -> DataFrame:
                 for a in range(0, len(at), 512):
                     part = at.values.slice(a, 512).to_pylist()
                     got = [record(bytes(data[x["offset"] : x["offset"] + x["size"] - 1])) for x in part]
-                    ends = np.cumsum([0] + [len(ids) for _, ids in got])
-                    ids = np.concatenate([ids.astype(np.int32) for _, ids in got])
-                    yield pa.record_batch([pa.array([d for d, _ in got], pa.int64()), pa.array([x["start"] for x in part], pa.int64()), pa.array(np.diff(ends), pa.int64()), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))], names=["doc_id", "start", "n_tokens", "ids"])
-
-    return files(spark, path).join(wanted, "file").select("content", "at").mapInArrow(run, "doc_id long, start long, n_tokens long, ids array<int>")
-
-
-def checksums(records: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and the CRC-32 of all ids as little-endian unsigned 32-bit integers."""
-
-    def run(batches):
-        for b in batches:
-            crc = [zlib.crc32(np.asarray(x.values).astype("<u4").tobytes()) for x in b["ids"]]
-            yield pa.record_batch([b["doc_id"], b["start"], b["n_tokens"], pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                    n = [len(ids) for _, ids in got]
+                    if digest:
+                        made = pa.array([zlib.crc32(ids.astype("<u4").tobytes()) for _, ids in got], pa.int64())
+                    else:
+                        ends = np.cumsum([0, *n]).astype(np.int32)
+                        made = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([ids.astype(np.int32) for _, ids in got])))
+                    yield pa.record_batch([pa.array([d for d, _ in got], pa.int64()), pa.array([x["start"] for x in part], pa.int64()), pa.array(n, pa.int64()), made], names=["doc_id", "start", "n_tokens", last[0]])
 
-    return records.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    last = ("ids_crc32", "long") if digest else ("ids", "array<int>")
+    return files(spark, path).join(wanted, "file").select("content", "at").mapInArrow(run, f"doc_id long, start long, n_tokens long, {' '.join(last)}")
 
 
 def written_and_read(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
@@ -211,4 +269,4 @@ def written_and_read(docs: DataFrame, tokenizer: str | None = None) -> DataFrame
     path, index = fresh_path(spark, "records"), fresh_path(spark, "index")
     write_records(docs, path, tokenizer or byte_bpe())
     write_index(spark, path, index)
-    return checksums(read_records(spark, path, spark.read.parquet(index)))
+    return read_records(spark, path, spark.read.parquet(index), digest=True)  # in one go: a second Python step would keep as many workers again

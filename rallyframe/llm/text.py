@@ -131,3 +131,62 @@ def grams(h: np.ndarray, first: np.ndarray, n: int, salt: int = 0) -> tuple[np.n
         ok[at[(at >= 0) & (at < m)]] = False
     at = np.flatnonzero(ok)
     return mix(out[at]), at
+
+
+class IdTable:
+    """Lists of ids by 128-bit keys, in open addressing over numpy arrays; at most ``keep`` lists, some 40 bytes each."""
+
+    def __init__(self, keep: int, kind: str = "<u2"):
+        self.keep, self.n = keep, 0
+        self.mask = (1 << (3 * keep // 2 - 1).bit_length()) - 1
+        self.one, self.two = np.zeros(self.mask + 1, U), np.zeros(self.mask + 1, U)
+        self.entry = np.full(self.mask + 1, -1, np.int32)
+        self.offset = np.zeros(1, np.int64)
+        self.ids = np.zeros(0, kind)
+        self.used = 0
+
+    def find(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """The entry of each key, -1 for keys that aren't there."""
+        out = np.full(len(one), -1, np.int64)
+        at, open_ = (one & U(self.mask)).astype(np.int64), np.arange(len(one))
+        while len(open_):
+            e = self.entry[at]
+            same = (self.one[at] == one[open_]) & (self.two[at] == two[open_]) & (e >= 0)
+            out[open_[same]] = e[same]
+            on = ~same & (e >= 0)
+            open_, at = open_[on], (at[on] + 1) & self.mask
+        return out
+
+    def add(self, one: np.ndarray, two: np.ndarray, lens: np.ndarray, ids: np.ndarray) -> None:
+        """Adds distinct new keys with their lists, one after the other in ``ids``, as many as there is room for."""
+        n = min(len(one), self.keep - self.n)
+        if n <= 0:
+            return
+        one, two, lens = one[:n], two[:n], lens[:n]
+        total = int(lens.sum())
+        if self.used + total > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.zeros(max(total, len(self.ids) // 2 + 4096), self.ids.dtype)])
+        self.ids[self.used : self.used + total] = ids[:total]
+        if self.n + n + 1 > len(self.offset):
+            self.offset = np.concatenate([self.offset[: self.n + 1], np.zeros(max(n, len(self.offset) // 2 + 4096), np.int64)])
+        self.offset[self.n + 1 : self.n + n + 1] = self.used + np.cumsum(lens)
+        entry = np.arange(self.n, self.n + n)
+        self.used, self.n = self.used + total, self.n + n
+        at, open_ = (one & U(self.mask)).astype(np.int64), np.arange(n)
+        while len(open_):
+            free = np.flatnonzero(self.entry[at] < 0)
+            _, first = np.unique(at[free], return_index=True)  # one key for each free slot
+            won = free[first]
+            self.one[at[won]], self.two[at[won]], self.entry[at[won]] = one[open_[won]], two[open_[won]], entry[open_[won]]
+            on = np.ones(len(open_), bool)
+            on[won] = False
+            open_, at = open_[on], (at[on] + 1) & self.mask
+
+    def lists(self, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lengths of the entries' lists, and the lists one after the other."""
+        start = self.offset[entry]
+        lens = self.offset[entry + 1] - start
+        ends = np.cumsum(lens)
+        if not len(entry) or not ends[-1]:
+            return lens, np.zeros(0, self.ids.dtype)
+        return lens, self.ids[np.arange(ends[-1]) + np.repeat(start - (ends - lens), lens)]
