@@ -9,14 +9,15 @@ order of all bins), so the choice never depends on the gaps between filled bins.
 
 In each bucket candidate pairs form stars: a centre (first the node that shares most
 buckets) against the other members, so pairs grow with members, not with their square.
-Rounds go on, with up to ``LANES`` centres from outside its largest component, in buckets
+One bucket in ``FIRST`` goes first, to connect most nodes with few pairs. Rounds go on, with up to ``LANES`` centres from outside its largest component, in buckets
 whose members are still in different components, so no link in a bucket is left untested.
-From the second round on a pair must share enough of its rarest shingles, an exact test; a pair already known to be connected is not tested. A link is confirmed on the
+From then on a pair must share enough of its rarest shingles, an exact test; a pair already known to be connected is not tested. A link is confirmed on the
 full sets: ``100 * intersection >= percent * union``. With 48 bands of 6 rows a pair at
 similarity 0.8 meets in some bucket with probability 1 - 5e-7, above it more surely.
 
-Rows that share an id are one node. Rows with a null id take part in nothing: component
-null, kept. Empty tables give empty results. Only the named columns are read.
+Rows that share an id are one document: the sets they have are linked. A row without words
+is linked with nothing, whatever other rows of its id hold. Rows with a null id take part in
+nothing: component null, kept. Superseded intermediate tables are deleted. Empty tables give empty results. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -29,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rallyframe.llm.shared import stored
+from rallyframe.llm.shared import broadcast_if_small, discard, row_key, stored
 from rallyframe.llm.text import U, Words, blocks, grams, mix
 
-BANDS, ROWS, PROBES, LANES, SHARE, FILL = 48, 6, 64, 256, 4, 4096
+BANDS, ROWS, PROBES, LANES, SHARE, FILL, FIRST = 48, 6, 64, 256, 4, 4096, 8
 
 
 def shingle_sets(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -103,7 +104,9 @@ def band_keys(value: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """(i, digest, size, keys) of each row (i, t); digest and keys are null for empty sets."""
+    """(i, digest, size, keys) of each row (i, t), and its further columns; digest and keys are null for empty sets."""
+    others = [c for c in docs.columns if c != "t"]
+    types = dict(docs.dtypes)
 
     def run(batches):
         for b in batches:
@@ -114,9 +117,9 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                 none = pa.array(size == 0)
                 digest = [hashlib.md5(g[first[d] : first[d + 1]].tobytes()).digest() if size[d] else None for d in range(z - a)]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(z - a + 1, dtype=np.int32) * bands), pa.array(keys.reshape(-1)), mask=none)
-                yield pa.record_batch([b["i"].slice(a, z - a), pa.array(digest, pa.binary()), pa.array(size.astype(np.int64)), lists], names=["i", "digest", "size", "keys"])
+                yield pa.record_batch([*(b[c].slice(a, z - a) for c in others), pa.array(digest, pa.binary()), pa.array(size.astype(np.int64)), lists], names=[*others, "digest", "size", "keys"])
 
-    return docs.mapInArrow(run, f"i {dict(docs.dtypes)['i']}, digest binary, size long, keys array<long>")
+    return docs.mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in others) + ", digest binary, size long, keys array<long>")
 
 
 def full_sets(docs: DataFrame, n: int) -> DataFrame:
@@ -139,23 +142,27 @@ def components(links: DataFrame) -> DataFrame:
         spread = labels.join(near, "x").select("x", F.least("label", "near").alias("to"), F.col("label").alias("was"))
         jump = labels.select(F.col("x").alias("to"), F.col("label").alias("further"))
         after = stored(spread.join(jump, "to", "left").select("x", F.least("to", F.coalesce("further", "to")).alias("label"), "was"), "labels")
-        labels = after.select("x", "label")
+        discard(labels)
+        labels = after
         if after.filter("label < was").isEmpty():
-            return labels
+            discard(edges)
+            return after
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are alike enough."""
-    left = sets.select(F.col("node").alias("a"), F.col("set").alias("sa"))
-    right = sets.select(F.col("node").alias("b"), F.col("set").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("sa", "sb")))
-    return both.filter(F.expr(f"100 * both >= {percent} * (size(sa) + size(sb) - both)")).select("a", "b").distinct()
+    """The pairs (a, b) whose full sets are alike enough; only sets of nodes in pairs are shuffled."""
+    pairs = stored(pairs, "pairs")
+    mine = {c: sets.join(broadcast_if_small(pairs.select(F.col(c).alias("node")).distinct()), "node", "left_semi").select(F.col("node").alias(c), F.col("set").alias(f"s{c}")) for c in "ab"}
+    both = pairs.join(mine["a"], "a").join(mine["b"], "b").withColumn("both", F.size(F.array_intersect("sa", "sb")))
+    links = stored(both.filter(F.expr(f"100 * both >= {percent} * (size(sa) + size(sb) - both)")).select("a", "b").distinct(), "links")
+    discard(pairs)
+    return links
 
 
 def rarest(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """(node, rare): the shingles of each set that fewest of these sets hold, rarest first, as many as the prefix test needs.
 
-    Null for a node with several sets (rows that share an id): the test is open for it.
+    Null for a node with several sets (texts of one least id): the test is open for it.
     """
     mine = sets.join(nodes, "node", "left_semi")
     shingles = mine.select("node", F.explode("set").alias("s"))
@@ -175,68 +182,112 @@ def prefix_test(percent: int):
     return F.expr(f"rare is null or c_rare is null or {share}")
 
 
-def links_within_buckets(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """Components (x, label) of the nodes linked in any bucket of members (key, node, size, weight)."""
-    comp, round_, rare = None, 0, None
+def links_within_buckets(members: DataFrame, sets: DataFrame, percent: int, comp: DataFrame | None = None) -> DataFrame | None:
+    """Components (x, label) of the nodes linked in any bucket of members (key, node, size, weight), on top of those known before.
+
+    Round 0 takes one bucket in ``FIRST``, to connect most nodes with few pairs; round 1 takes a star in each
+    bucket that still has several components, the rounds after it more centres until none is left.
+    """
+    round_, rare = 0, None
     while True:
-        m = members.withColumn("comp", F.col("node"))
-        if comp is not None:
-            m = members.join(comp, members.node == comp.x, "left").select(*members.columns, F.coalesce("label", "node").alias("comp"))
+        m = members.filter(F.pmod(F.xxhash64("key"), F.lit(FIRST)) == 0) if round_ == 0 else members
+        if comp is None:
+            m = m.withColumn("comp", F.col("node"))
+        else:
+            m = m.join(comp, m.node == comp.x, "left").select(*m.columns, F.coalesce("label", "node").alias("comp"))
         m = stored(m, "members")
         here = F.struct("weight", "node", "size", "comp")
         parts = m.groupBy("key", "comp").agg(F.count("*").alias("n"), F.max(here).alias("top"))
         large = parts.groupBy("key").agg(F.max(F.struct("n", "comp")).comp.alias("large"), F.count("*").alias("parts"), F.max("top").alias("c")).filter("parts > 1")
-        if round_ == 0:  # the member that meets most others
-            centres = large.select("key", "c")
-        else:  # members outside the largest part, some of each bucket at once
+        large = stored(large.select("key", "large", "c"), "large")
+        if round_ > 1:  # only buckets that still have several components go on
+            before, m = m, stored(m.join(large.select("key"), "key", "left_semi"), "open")
+            discard(before)
+            if rare is None:
+                rare = stored(rarest(sets, m.select("node").distinct(), percent), "rare")
+                before, m = m, stored(m.join(rare, "node"), "open")
+                discard(before)
+            # Members outside the largest part, some of each bucket at once.
             outside = m.join(large.select("key", "large"), "key").filter("comp <> large")
             centres = outside.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(LANES)).alias("lane")).agg(F.max(here).alias("c")).select("key", "c")
+        else:  # the member that meets most others
+            centres = large.select("key", "c")
         centres = centres.select("key", F.col("c.node").alias("c"), F.col("c.size").alias("c_size"), F.col("c.comp").alias("c_comp"))
         if rare is not None:
             centres = centres.join(rare.select(F.col("node").alias("c"), F.col("rare").alias("c_rare")), "c")
         centres = stored(centres, "centres")
-        if centres.isEmpty():
+        if round_ > 0 and centres.isEmpty():
+            discard(m, large, centres)
             return comp
         alike = F.expr(f"100 * least(size, c_size) >= {percent} * greatest(size, c_size)")
         if rare is not None:
             alike &= prefix_test(percent)
         pairs = m.join(centres, "key").filter((F.col("comp") != F.col("c_comp")) & alike).select(F.least("c", "node").alias("a"), F.greatest("c", "node").alias("b")).distinct()
-        links = stored(confirmed(pairs, sets, percent), "links")
+        links = confirmed(pairs, sets, percent)
         if not links.isEmpty():
             whole = links if comp is None else links.unionByName(comp.filter("x <> label").select(F.col("label").alias("a"), F.col("x").alias("b")))
-            comp = components(whole)
-        # Centres are done: each was held against every member of its bucket that isn't connected with it.
-        rest = m.join(centres.select("key", F.col("c").alias("node")), ["key", "node"], "left_anti")
-        members = rest.join(centres.select("key").distinct(), "key", "left_semi").drop("comp")
-        if rare is None:
-            members = stored(members, "rest")
-            rare = stored(rarest(sets, members.select("node").distinct(), percent), "rare")
-            members = members.join(rare, "node")
+            before, comp = comp, components(whole)
+            discard(before)
+        discard(links, large)
+        if round_ > 1:
+            # Centres are done: each was held against every member of its bucket that isn't connected with it.
+            before, members = members, stored(m.join(centres.select("key", F.col("c").alias("node")), ["key", "node"], "left_anti").drop("comp"), "rest")
+            discard(before)
+        discard(m, centres)
         round_ += 1
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (least id reachable by links, itself included) and kept, for every row."""
-    rows_ = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
+def grouped(rows_: DataFrame, n: int, percent: int, bands: int, rows: int, by_id: bool) -> tuple[DataFrame, DataFrame]:
+    """For rows (i, t): the stored signatures, and (digest, label), the component of each set; ``by_id``: rows that share an id are linked."""
     signed = stored(signatures(rows_, n, bands, rows), "signatures")
     known = signed.filter("i is not null and digest is not null")
-    nodes = stored(known.groupBy("digest").agg(F.min("i").alias("node"), F.first("size").alias("size"), F.first("keys").alias("keys")), "nodes")
-    in_bucket = nodes.select("node", "size", F.explode("keys").alias("key"))
-    shared = in_bucket.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("key", "n")
+    nodes = known.groupBy("digest").agg(F.min("i").alias("node"), F.first("size").alias("size"), F.first("keys").alias("keys"))
+    in_bucket = nodes.select("node", "size", F.explode("keys").alias("key")).repartition("key")
+    # The size is asked for too so that both sides of the join below read one and the same shuffle.
+    shared = in_bucket.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.max("size").alias("top"), F.count("*").alias("n")).filter("lo < hi and top > 0").select("key", "n")
     members = stored(in_bucket.join(shared, "key").distinct(), "buckets")
     weight = members.groupBy("node").agg(F.sum("n").alias("weight"))
-    involved = weight.select(F.col("node").alias("i"))
-    sets = stored(full_sets(rows_.join(involved, "i", "left_semi"), n), "sets")
-    linked = links_within_buckets(members.drop("n").join(weight, "node").select("key", "node", "size", "weight"), sets, percent)
-    # Rows that share an id link the sets they have; ids are nodes only by way of their sets.
-    by_set = nodes.select("digest", "node")
-    if linked is not None:
-        by_set = by_set.join(linked, by_set.node == linked.x, "left").select("digest", F.coalesce("label", "node").alias("node"))
-    found = signed.join(by_set, "digest", "left").select(F.col("i").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("node", "i").alias("component_id"))
+    weighed = stored(members.drop("n").join(weight, "node").select("key", "node", "size", "weight"), "weighed")
+    discard(members)
+    involved = weighed.select(F.col("node").alias("i")).distinct()
+    sets = stored(full_sets(rows_.join(broadcast_if_small(involved), "i", "left_semi"), n), "sets")
+    by_set = known.groupBy("digest").agg(F.min("i").alias("node"))
+    same = None
+    if by_id:
+        several = known.groupBy("i").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).filter("lo < hi").select("i")
+        own = known.select("i", "digest").join(several, "i", "left_semi").distinct().join(by_set, "digest")
+        star = stored(own.join(own.groupBy("i").agg(F.min("node").alias("a")), "i").filter("a < node").select("a", F.col("node").alias("b")).distinct(), "same")
+        same = None if star.isEmpty() else components(star)
+        discard(star)
+    linked = links_within_buckets(weighed, sets, percent, same)
+    discard(sets, weighed)
+    if linked is None:
+        return signed, by_set.withColumnRenamed("node", "label")
+    return signed, by_set.join(linked, by_set.node == linked.x, "left").select("digest", F.coalesce("label", "node").alias("label"))
+
+
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id (least id reachable by links, itself included) and kept, for every row."""
+    signed, label = grouped(docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")), n, percent, bands, rows, by_id=True)
+    found = signed.select("i", "digest", "size").join(label, "digest", "left").select(F.col("i").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("label", "i").alias("component_id"))
     return found.select(id_col, "n_shingles", F.when(F.col(id_col).isNotNull(), F.col("component_id")).alias("component_id"), F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """``docs``, all columns, with one document of each group: the one with the least id. Rows with a null id stay."""
-    gone = near_duplicates(docs.select("doc_id", "text"), n, percent).filter("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+def drop_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """``docs``, all columns, with one row of each group of texts: the one with the least id (then the least row key).
+
+    Rows are documents here: rows that share an id but not a text are only grouped if their texts are alike, and of
+    rows equal in id and text one stays. Rows with a null id or without words stay.
+    """
+    key = row_key("doc_id", "text")
+    signed, label = grouped(docs.select("doc_id", "text", key.alias("k")).select(F.col("doc_id").alias("i"), F.col("text").alias("t"), "k"), n, percent, bands, rows, by_id=False)
+    rows_ = stored(signed.filter("i is not null and digest is not null").select("i", "k", "digest").join(label, "digest").select("label", "i", "k"), "grouped")
+    one = stored(rows_.groupBy("label").agg(F.min(F.struct("i", "k")).alias("one")).select(F.col("one.k").alias("_kept")), "kept")
+    doubled = stored(rows_.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").select("k"), "doubled").join(one, F.col("k") == F.col("_kept"), "left_semi")
+    gone = stored(rows_.select("k").join(one, F.col("k") == F.col("_kept"), "left_anti").unionByName(doubled).distinct().toDF("_gone"), "gone")
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    keyed = docs.withColumn("_row_key", key).toDF(*names, "_row_key") if "_row_key" not in docs.columns else docs.select(*[F.col(c).alias(x) for c, x in zip(docs.columns, names, strict=True)], key.alias("_row_key"))
+    kept = keyed.join(broadcast_if_small(gone), F.col("_row_key") == F.col("_gone"), "left_anti")
+    if not doubled.isEmpty():
+        kept = kept.unionByName(keyed.join(doubled.toDF("_twice"), F.col("_row_key") == F.col("_twice"), "left_semi").dropDuplicates(["_row_key"]))
+    return kept.select(*names).toDF(*docs.columns)

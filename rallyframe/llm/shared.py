@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+SMALL_BYTES = 32 << 20
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's ``spark.checkpoint.dir``; a folder of our own only where it is unset (tests)."""
@@ -27,7 +28,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: cuts lineage, survives lost executors."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Deletes tables that ``stored`` wrote; nothing that is still to be read may depend on them."""
+    for df in frames:
+        if path := getattr(df, "_stored_at", None):
+            sc = df.sparkSession.sparkContext
+            at = sc._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def broadcast_if_small(keys: DataFrame, most: int = SMALL_BYTES) -> DataFrame:
+    """``keys`` (one column) marked for a broadcast if they take at most ``most`` bytes; as they are otherwise, for a shuffled join."""
+    (name,) = keys.columns
+    size = keys.agg((F.count("*") * 16 + F.coalesce(F.sum(F.octet_length(F.col(name).cast("string").cast("binary"))), F.lit(0))).alias("n")).first()["n"]
+    return F.broadcast(keys) if size <= most else keys
 
 
 def crc_mod(id_col: Column, n: int) -> Column:

@@ -67,6 +67,28 @@ def test_records(spark, docs, empty, tmp_path):
     assert records.read_records(spark, path, index.filter("doc_id in (5, 9)")).count() == 2
 
 
+def test_library_encoder_by_pieces_and_whole(monkeypatch):
+    library = __import__("tokenizers").Tokenizer.from_file(BPE)
+    r = np.random.default_rng(4)
+    letters = list("aàbB 1²٣ \n\t.,'!ǅ中🙂   s \u3000\x1c\r\xa0") + ["<|endoftext|>", "  ", " \n", "\n\n", "word ", "the ", "x" * 70]
+    texts = [None, "", *("".join(r.choice(letters, int(r.integers(0, 30)))) for _ in range(4000)), LONG[:20_000]]
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for keep in (5, 1000, 100_000):
+        monkeypatch.setattr(records, "KEEP", keep)
+        own = records.LibraryEncoder(BPE)
+        for _ in range(2):
+            assert [x.tolist() for x in own.encode(pa.array(texts, pa.string()))] == want
+        assert own.table.n <= keep
+
+
+def test_records_of_repeated_ids(spark):
+    rows = [(None, "a b")] * 40 + [(3, "c")] * 5 + [(3, "d"), (1, "")]
+    df = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, start long").repartition(3)
+    got = sorted((r.start, r.n_tokens, r.doc_id) for r in records.written_and_read(df).collect())
+    assert len(got) == len(rows) and [d for *_, d in got] == [None] * 40 + [1] + [3] * 6
+    assert [s for s, *_ in got] == np.cumsum([0] + [n for _, n, _ in got])[:-1].tolist()
+
+
 def test_broken_record_is_found():
     data = records.frame(7, np.array([1, 2, 3]), 2)
     assert records.record(data)[1].tolist() == [1, 2, 3]
@@ -400,3 +422,14 @@ def test_small_sets_at_the_bound_meet_in_a_band():
         x, y = (near.band_keys(near.bins_of(v.reshape(-1), np.arange(len(v) + 1) * v.shape[1], 288), 48, 6) for v in (one, two))
         missed += int((~(x == y).any(1)).sum())
     assert missed <= 1  # probability 5e-7 of each pair
+
+
+def test_rows_that_share_an_id_are_one_document(spark):
+    texts = {c: " ".join(f"{c}{i}" for i in range(20)) for c in "ABC"}
+    rows = [(1, "A"), (5, "A"), (5, "B"), (9, "B"), (7, "C"), (7, "C"), (None, "A"), (None, "A")]
+    df = spark.createDataFrame([(i, texts[c], i) for i, c in rows], "doc_id long, text string, _row_key long")
+    got = sorted((r.doc_id, r.component_id) for r in near.near_duplicates(df, n=4).collect() if r.doc_id is not None)
+    assert got == [(1, 1), (5, 1), (5, 1), (7, 7), (7, 7), (9, 1)]
+    kept = near.drop_near_duplicates(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id or 0, r.text[0]) for r in kept.collect()) == [(0, "A"), (0, "A"), (1, "A"), (5, "B"), (7, "C")]
