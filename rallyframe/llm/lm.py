@@ -1,30 +1,25 @@
 """Scores of whole texts by a causal self-attention model over subword ids.
 
 The model. A text is its words (lower case A-Z) and an end. Words, each with a space before
-it, are cut into ids of a public byte-level BPE vocabulary. An id's probability is that of
-its class, from a causal self-attention network in numpy, times its share of the class in
-all training texts; classes are frequent ids and clusters of ids with like neighbours. A
-word's probability from the network is that of its ids, given that a word starts, times
-that of a start after it, so the probabilities of all words add up to one at most. The
-``TOP`` most frequent ids that start a word, and as many that do not, are classes of their own. Texts
-fall into ``TOPICS`` kinds by their frequent ids. For each kind a word's probability is a
-mixture of the network's, the word's share in training texts of the kind, and its share in
-all; a text's probability is the mixture over kinds. Weights come from all training words,
-each counted without its own text: they are tallied by the ratios of their three
-probabilities, to a twentieth of a decade, and expectation maximisation runs on the tally. Context windows of ``WINDOW`` ids overlap by
+it, are cut into ids of a public byte-level BPE vocabulary, and a causal self-attention
+network in numpy predicts each id from those before it, in two steps: its group, then the id
+in the group. Groups hold ``GROUP`` ids of like frequency, and either only ids that start a
+word (the end is one of them, a group of its own) or only others; ids beyond the ``GROUPS`` groups of each
+kind fall into ``BINS`` groups in which an id has its share of the training ids. A word's
+probability is that of its ids, given that a word starts, times that of a start after it,
+so the probabilities of all words add up to one at most. A text's score is the sum of the
+log10 probabilities of its words and its end. Context windows of ``WINDOW`` ids overlap by
 ``OVERLAP``; each id is scored once, with at least ``OVERLAP`` ids before it unless the text
 has fewer.
 
-Everything is learned from all training texts. Texts are dealt into chunks; the ids of a
-chunk's training texts are stored once, in the order of their keys, and each pass is a sum over
-chunks added in their order, so reruns agree. Passes count ids and their neighbours, find
-the kinds of texts by k-means, and train the network: in each of ``ROUNDS`` rounds every
-chunk runs Adam over its share of its windows, and the parameters are averaged (input rows
-by how often a chunk has them). The rounds together take every window once, or more often
-where there are fewer than ``LEAST_WINDOWS``. For counts of words by kind a chunk sends each
-of its words once, with its count, to a bucket of the word's hash; buckets add up and return
-the counts to each chunk in the order in which it sent them. No word list is broadcast or
-gathered.
+Everything is learned from all training texts. Texts are dealt into chunks and shuffled once; a chunk's ids are
+stored as one row. Passes over chunks count ids and train the network: in each of ``ROUNDS``
+rounds every chunk runs Adam over its share of its windows, and the parameters are averaged
+(input rows and group outputs by how often a chunk has them); sums are made in each task first. The rounds
+together take every window once, or more often where there are fewer than
+``LEAST_WINDOWS``. For the counts of the base score a chunk sends each of its words once, with its
+count, to a bucket of the word's hash; buckets add up and return the counts to each chunk in
+the order in which it sent them. No word list is broadcast or gathered.
 
 Rows whose crc32(id as text) mod 10 is 0 teach nothing. Null or empty texts are an end
 alone. Repeated rows are scored and counted each. Null ids count as the empty text and are
@@ -43,47 +38,44 @@ from pyspark.sql import functions as F
 
 from rallyframe.llm.bpe import byte_bpe, loaded
 from rallyframe.llm.shared import crc_mod, row_key, stored
-from rallyframe.llm.text import U, Words, blocks
+from rallyframe.llm.text import U, IdTable, Words, blocks
 
 WINDOW, OVERLAP, WIDTH, HIDDEN = 32, 8, 24, 48
-TOPICS, MARKS = 6, 64
-ROUNDS, LEAST_WINDOWS = 8, 115_200
-TALLY, REACH = 20, 10  # cells a decade, decades to each side
-TOP, CLUSTERS, BINS, KNOWN_INPUTS = 500, 9, 3, 4096
-CHUNK_BYTES = 16 << 20
-SLICE = 1024
-KEEP_WORDS = 400_000
+GROUPS, GROUP, BINS, KNOWN_INPUTS = 32, 64, 3, 4096
+ROUNDS, LEAST_WINDOWS, BATCH = 8, 57_600, 128
+CHUNK_BYTES = 8 << 20
+SLICE = 4096
+KEEP_WORDS = 600_000
 MOD = 10
 
 
 class Subwords:
-    """Ids of words, by word hash; keeps at most ``KEEP_WORDS`` words."""
+    """Ids of words; a table of at most ``KEEP_WORDS`` words, found by 128 bits of their hashes, saves time."""
 
     def __init__(self, path: str):
         self.bpe = loaded(path)
         self.end = next(iter(self.bpe.special.values()))
         self.size = len(self.bpe.bytes)
-        self.known: dict[int, bytes] = {}
-
-    def of(self, words: Words, at: np.ndarray, hashes: np.ndarray) -> list[bytes]:
-        out = []
-        for k, h in zip(at.tolist(), hashes.tolist(), strict=True):
-            got = self.known.get(h)
-            if got is None:
-                word = words.word(k).lower()
-                got = b"".join(np.array(self.bpe.encode_bytes(p.encode()), "<u4").tobytes() for p in self.bpe.split(" " + word.decode("utf-8", "replace")))
-                if len(self.known) < KEEP_WORDS:
-                    self.known[h] = got
-            out.append(got)
-        return out
+        self.kind = "<u2" if self.size <= 1 << 16 else "<u4"
+        self.known = IdTable(KEEP_WORDS, self.kind)
+
+    def cut(self, word: bytes) -> list[int]:
+        return [i for p in self.bpe.split(" " + word.decode("utf-8", "replace")) for i in self.bpe.encode_bytes(p.encode())]
 
     def sequence(self, words: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts of a block one after the other, each with the end, and their offsets."""
+        """Ids of all texts of a block one after the other, each with the end, and their offsets; ``h``: the words' hashes."""
         u, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        pieces = self.of(words, first, u)
-        flat = np.frombuffer(b"".join(pieces), "<u4").astype(np.int64)
-        lens = np.array([len(p) // 4 for p in pieces], np.int64)
-        offset = np.cumsum(lens) - lens
+        two = words.hashes(seed=29, lower=True)[first] if len(u) else u
+        entry = self.known.find(u, two)
+        new = np.flatnonzero(entry < 0)
+        made = [self.cut(lower_ascii(words.word(k))) for k in first[new].tolist()]
+        n0, ids0 = self.known.lists(entry[entry >= 0])
+        n1, ids1 = np.array([len(x) for x in made], np.int64), np.array([i for x in made for i in x], self.kind)
+        lens, offset = np.zeros(len(u), np.int64), np.zeros(len(u), np.int64)
+        lens[entry >= 0], offset[entry >= 0] = n0, np.cumsum(n0) - n0
+        lens[new], offset[new] = n1, len(ids0) + np.cumsum(n1) - n1
+        self.known.add(u[new], two[new], n1, ids1)
+        flat = np.concatenate([ids0, ids1]).astype(np.int64)
         n = lens[inverse] if len(u) else np.zeros(0, np.int64)
         ends = np.concatenate([[0], np.cumsum(n)])
         docs = len(words.first) - 1
@@ -95,6 +87,10 @@ class Subwords:
         return out, bound
 
 
+def lower_ascii(word: bytes) -> bytes:
+    return word.lower()  # bytes: A-Z only
+
+
 _subwords: dict[str, Subwords] = {}
 
 
@@ -106,141 +102,73 @@ def subwords(path: str) -> Subwords:
 
 @dataclass
 class Network:
-    """Class, log10 share in its class and input row of each id; parameters."""
+    """Group of each id, place in it (-1: none of its own) with log10 share in the group, input row; parameters."""
 
-    classes: np.ndarray
+    group: np.ndarray
+    place: np.ndarray
     share: np.ndarray
     inputs: np.ndarray
     p: dict[str, np.ndarray]
     starts: np.ndarray  #: ids that start a word, the end among them
-    n_starts: int  #: classes of such ids; they come first
+    n_starts: int  #: groups of such ids; they come first
     end: int
 
 
-def neighbours(ids: np.ndarray, some: np.ndarray, size: int, reach: int = 6) -> np.ndarray:
-    """For each id, how often each of ``some`` is among the ids before it."""
-    slot = np.full(size, -1)
-    slot[some] = np.arange(len(some))
-    v = np.zeros((size, len(some)), np.float32)
-    for d in range(1, reach + 1):
-        s = slot[ids[:-d]]
-        np.add.at(v, (ids[d:][s >= 0], s[s >= 0]), 1)
-    return v
-
-
-def unit(v: np.ndarray) -> np.ndarray:
-    """Rows of unit length."""
-    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-6)
-
-
-def clustered(v: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
-    """k-means by cosine from evenly spread rows on: cluster of each row, centres."""
-    centre = v[:: max(1, len(v) // k)][:k]
-    for _ in range(rounds):
-        own = (v @ centre.T).argmax(1)
-        centre = np.stack([v[own == j].sum(0) if (own == j).any() else centre[j] for j in range(len(centre))])
-        centre /= np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-6)
-    return own, centre
-
-
-@dataclass
-class Topics:
-    """Kinds of texts: mark of each id (or the spare one) and the centre of each kind over marks."""
-
-    slot: np.ndarray
-    centre: np.ndarray
-
-    def profile(self, ids: np.ndarray, bound: np.ndarray) -> np.ndarray:
-        n = len(bound) - 1
-        own = np.repeat(np.arange(n), np.diff(bound))
-        v = np.sqrt(np.bincount(own * (MARKS + 1) + self.slot[ids], minlength=n * (MARKS + 1)).reshape(n, -1)[:, :MARKS])
-        return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-6)
-
-    def of(self, ids: np.ndarray, bound: np.ndarray) -> np.ndarray:
-        return (self.profile(ids, bound) @ self.centre.T).argmax(1)
-
-
-def find_topics(held: DataFrame, counts: np.ndarray, rounds: int = 12) -> Topics:
-    """k-means by cosine over all training texts, from the commonest leading marks on."""
-    slot = np.full(len(counts), MARKS)
-    slot[np.argsort(-counts, kind="stable")[:MARKS]] = np.arange(MARKS)
-    out = Topics(slot, np.eye(TOPICS, MARKS))
-
-    def sums(centre: np.ndarray):
-        """Sum of the profiles, and number, of the texts next to each centre."""
-        kinds = Topics(slot, centre)
-
-        def work(ids, bound, chunk):
-            total = np.zeros((len(centre), MARKS + 1))
-            for a in range(0, len(bound) - 1, SLICE):
-                cut = bound[a : a + SLICE + 1]
-                v = kinds.profile(ids[cut[0] : cut[-1]], cut - cut[0])
-                own = np.eye(len(centre))[(v @ centre.T).argmax(1)]
-                total += own.T @ np.concatenate([v, np.ones((len(v), 1))], 1)
-            return total
-
-        return passed(held, work).reshape(-1, MARKS + 1)
-
-    if not counts.any():
-        return out
-    lead = sums(np.eye(MARKS))
-    most = np.argsort(-lead[:, -1], kind="stable")[:TOPICS]
-    most = most[lead[most, -1] > 0]
-    out.centre[: len(most)] = unit(lead[most, :-1])
-    for _ in range(rounds):
-        near = sums(out.centre)
-        met = near[:, -1] > 0
-        out.centre[met] = unit(near[met, :-1])
-    return out
-
-
-def make_classes(counts: np.ndarray, starts: np.ndarray, end: int, near: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int]:
-    """From ids' counts and unit vectors of neighbours: classes, log10 shares, input rows, number of classes, and of those that start words (they come first)."""
+def make_groups(counts: np.ndarray, starts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int, int]:
+    """From ids' counts: groups, places, log10 shares, input rows, number of groups, and of those whose ids start words (they come first)."""
     smooth = counts + 0.1
     order = np.argsort(-smooth, kind="stable")
-    classes, n = np.zeros(len(counts), np.int64), 0
+    group, place, n = np.zeros(len(counts), np.int64), np.full(len(counts), -1), 0
     for kind in (True, False):
         mine = order[(starts[order] == kind) & (order != end)]
-        classes[mine[:TOP]] = n + np.arange(len(mine[:TOP]))
-        n += TOP
-        rest = mine[TOP:]
-        met = near[rest].any(1)
-        if met.sum() >= CLUSTERS:
-            classes[rest[met]] = n + clustered(near[rest[met]], CLUSTERS)[0]
-            rest = rest[~met]
-        n += CLUSTERS
+        top, rest = mine[: GROUPS * GROUP], mine[GROUPS * GROUP :]
+        group[top], place[top] = n + np.arange(len(top)) // GROUP, np.arange(len(top)) % GROUP
+        n += GROUPS
         mass = np.cumsum(smooth[rest])
         if len(rest):
-            classes[rest] = n + np.minimum(BINS - 1, (mass - smooth[rest]) * BINS // mass[-1]).astype(np.int64)
+            group[rest] = n + np.minimum(BINS - 1, (mass - smooth[rest]) * BINS // mass[-1]).astype(np.int64)
         n += BINS
         if kind:
-            classes[end] = n
+            group[end] = n
             n += 1
             n_starts = n
-    total = np.bincount(classes, smooth, minlength=n)
-    share = np.log10(smooth) - np.log10(total[classes])
-    inputs = KNOWN_INPUTS + classes
+    total = np.bincount(group, smooth, minlength=n)
+    share = np.where(place < 0, np.log10(smooth) - np.log10(total[group]), 0.0)
+    inputs = KNOWN_INPUTS + group
     inputs[order[:KNOWN_INPUTS]] = np.arange(KNOWN_INPUTS)
-    return classes, share, inputs, n, n_starts
+    return group, place, share, inputs, n, n_starts
 
 
-def start_parameters(n_classes: int, mass: np.ndarray, seed: int = 1) -> dict[str, np.ndarray]:
+def start_parameters(n_groups: int, group: np.ndarray, place: np.ndarray, counts: np.ndarray, seed: int = 1) -> dict[str, np.ndarray]:
+    """Small random numbers; biases from the counts."""
     r = np.random.default_rng(seed)
-    make = lambda *s, scale=1.0: (r.standard_normal(s) * scale / math.sqrt(s[0])).astype(np.float32)
+    make = lambda *s, scale=1.0: (r.standard_normal(s) * scale / math.sqrt(s[-2])).astype(np.float32)
+    mass = np.bincount(group, counts + 0.1, minlength=n_groups)
+    inner = np.full((n_groups, GROUP), -30.0, np.float32)
+    at = place >= 0
+    inner[group[at], place[at]] = np.log((counts[at] + 0.1) / mass[group[at]])
     return {
-        "embed": (r.standard_normal((KNOWN_INPUTS + n_classes, WIDTH)) * 0.3).astype(np.float32),
+        "embed": (r.standard_normal((KNOWN_INPUTS + n_groups, WIDTH)) * 0.3).astype(np.float32),
         "place": (r.standard_normal((WINDOW, WIDTH)) * 0.1).astype(np.float32),
         "q": make(WIDTH, WIDTH), "k": make(WIDTH, WIDTH), "v": make(WIDTH, WIDTH), "o": make(WIDTH, WIDTH, scale=0.5),
         "w1": make(WIDTH, HIDDEN), "b1": np.zeros(HIDDEN, np.float32), "w2": make(HIDDEN, WIDTH, scale=0.5),
-        "out": make(WIDTH, n_classes, scale=0.5), "bias": np.log(mass / mass.sum() + 1e-6).astype(np.float32),
+        "out": make(WIDTH, n_groups, scale=0.5), "bias": np.log(mass / mass.sum() + 1e-6).astype(np.float32),
+        "out2": make(n_groups, WIDTH, GROUP, scale=0.5), "bias2": inner,
     }
 
 
 MASK = np.where(np.tril(np.ones((WINDOW, WINDOW), bool)), 0, -1e9).astype(np.float32)
 
 
-def forward(p: dict[str, np.ndarray], x: np.ndarray, skip: int = 0) -> tuple[np.ndarray, tuple]:
-    """Probabilities of the next class at the places from ``skip`` on of windows x of input rows, and what backward needs."""
+def soft(z: np.ndarray) -> np.ndarray:
+    np.minimum(z, 60, out=z)
+    np.exp(z, out=z)
+    z /= z.sum(-1, keepdims=True)
+    return z
+
+
+def hidden(p: dict[str, np.ndarray], x: np.ndarray, skip: int = 0) -> tuple[np.ndarray, tuple]:
+    """States at the places from ``skip`` on of windows x of input rows, and what backward needs."""
     b, t = x.shape
     e = p["embed"][x] + p["place"][:t]
     flat = e.reshape(b * t, WIDTH)
@@ -248,33 +176,63 @@ def forward(p: dict[str, np.ndarray], x: np.ndarray, skip: int = 0) -> tuple[np.
     late = np.ascontiguousarray(e[:, skip:]).reshape(-1, WIDTH)
     q = (late @ (p["q"] / np.float32(math.sqrt(WIDTH)))).reshape(b, t - skip, WIDTH)
     a = q @ k.transpose(0, 2, 1)
-    np.minimum(a, 60, out=a)
     a += MASK[skip:t, :t]
-    np.exp(a, out=a)
-    a /= a.sum(2, keepdims=True)
+    a = soft(a)
     c = (a @ v).reshape(-1, WIDTH)
     h = late + c @ p["o"]
     z = h @ p["w1"] + p["b1"]
     np.maximum(z, 0, out=z)
-    u = h + z @ p["w2"]
-    out = u @ p["out"] + p["bias"]
-    np.minimum(out, 60, out=out)
-    np.exp(out, out=out)
-    out /= out.sum(1, keepdims=True)
-    return out, (x, flat, q, k, v, a, c, h, z, u)
+    return h + z @ p["w2"], (x, flat, q, k, v, a, c, h, z)
+
+
+def by_group(group: np.ndarray, place: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """Group and rows of the targets that have a place in a group."""
+    rows = np.flatnonzero(place >= 0)
+    rows = rows[np.argsort(group[rows], kind="stable")]
+    cuts = np.flatnonzero(np.diff(group[rows])) + 1
+    return [(int(group[r[0]]), r) for r in np.split(rows, cuts) if len(r)]
 
 
-def backward(p: dict[str, np.ndarray], prob: np.ndarray, kept: tuple, y: np.ndarray, on: np.ndarray) -> dict[str, np.ndarray]:
-    """Gradients of the mean negative log-likelihood of classes y where ``on``; forward had no skip."""
-    x, e, q, k, v, a, c, h, z, u = kept
+def predicted(p: dict[str, np.ndarray], u: np.ndarray, group: np.ndarray, place: np.ndarray, n_starts: int) -> tuple[np.ndarray, np.ndarray]:
+    """log10 probability of each target (its group, and its place if it has one), and that of any start of a word."""
+    one = soft(u @ p["out"] + p["bias"])
+    got = one[np.arange(len(u)), group]
+    for g, rows in by_group(group, place):
+        got[rows] *= soft(u[rows] @ p["out2"][g] + p["bias2"][g])[np.arange(len(rows)), place[rows]]
+    return np.log10(np.maximum(got, 1e-30)), np.log10(np.maximum(one[:, :n_starts].sum(1), 1e-30))
+
+
+def summed_rows_at(index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Rows added up by index."""
+    order = np.argsort(index, kind="stable")
+    lead = np.flatnonzero(np.diff(index[order], prepend=-1))
+    out = np.zeros((n, rows.shape[1]), rows.dtype)
+    out[index[order][lead]] = np.add.reduceat(rows[order], lead)
+    return out
+
+
+def gradient(p: dict[str, np.ndarray], x: np.ndarray, group: np.ndarray, place: np.ndarray, on: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the mean negative log-likelihood of the targets (flat) where ``on``."""
+    u, (x, e, q, k, v, a, c, h, z) = hidden(p, x)
     b, t = x.shape
     cube = lambda m: m.reshape(b, t, WIDTH)
     flat = lambda m: m.reshape(b * t, WIDTH)
-    d = prob.copy()
-    d[np.arange(b * t), y.reshape(-1)] -= 1
-    d *= (on.reshape(-1, 1) / max(1, on.sum())).astype(np.float32)
-    g = {"out": u.T @ d, "bias": d.sum(0)}
-    du = d @ p["out"].T
+    use = np.flatnonzero(on)
+    w_all, group, place, each = u[use], group[use], place[use], u.dtype.type(1 / max(1, len(use)))
+    d = soft(w_all @ p["out"] + p["bias"])
+    d[np.arange(len(use)), group] -= 1
+    d *= each
+    g = {"out": w_all.T @ d, "bias": d.sum(0), "out2": np.zeros_like(p["out2"]), "bias2": np.zeros_like(p["bias2"])}
+    du_all = d @ p["out"].T
+    for j, rows in by_group(group, place):
+        w = w_all[rows]
+        d2 = soft(w @ p["out2"][j] + p["bias2"][j])
+        d2[np.arange(len(rows)), place[rows]] -= 1
+        d2 *= each
+        g["out2"][j], g["bias2"][j] = w.T @ d2, d2.sum(0)
+        du_all[rows] += d2 @ p["out2"][j].T
+    du = np.zeros_like(u)
+    du[use] = du_all
     g["w2"] = z.T @ du
     dz = (du @ p["w2"].T) * (z > 0)
     g["w1"], g["b1"] = h.T @ dz, dz.sum(0)
@@ -289,8 +247,7 @@ def backward(p: dict[str, np.ndarray], prob: np.ndarray, kept: tuple, y: np.ndar
     de = dh + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
     g["place"] = np.zeros_like(p["place"])
     g["place"][:t] = cube(de).sum(0)
-    g["embed"] = np.zeros_like(p["embed"])
-    np.add.at(g["embed"], x.reshape(-1), de)
+    g["embed"] = summed_rows_at(x.reshape(-1), de, len(p["embed"]))
     return g
 
 
@@ -312,105 +269,49 @@ def windows(ids: np.ndarray, bound: np.ndarray, end: int) -> tuple[np.ndarray, n
     return before, target, scored
 
 
-def word_scores(net: Network, ids: np.ndarray, bound: np.ndarray, batch: int = 256) -> np.ndarray:
-    """log10 probability from the network of each word, and of each text's end, in order."""
+def text_scores(net: Network, ids: np.ndarray, bound: np.ndarray, batch: int = BATCH) -> np.ndarray:
+    """log10 probability of each text: of its words, each given that a word starts, and of its end."""
     before, target, scored = windows(ids, bound, net.end)
-    x_all, y_all = net.inputs[ids], net.classes[ids]
+    x_all = net.inputs[ids]
     own, start = net.share[ids].copy(), np.zeros(len(ids))
     first = target[:, 0] == bound[np.searchsorted(bound, target[:, 0], "right") - 1]
     for mine, skip in ((np.flatnonzero(first), 0), (np.flatnonzero(~first), OVERLAP)):
         for a in range(0, len(mine), batch):
             w = mine[a : a + batch]
-            bf, tg, on = before[w], target[w, skip:], scored[w, skip:].reshape(-1)
-            prob, _ = forward(net.p, np.where(bf < 0, net.inputs[net.end], x_all[bf]), skip)
-            tg = tg.reshape(-1)
-            got = prob[np.arange(len(tg)), y_all[tg]]
-            own[tg[on]] += np.log10(np.maximum(got[on], 1e-30))
-            start[tg[on]] = np.log10(np.maximum(prob[:, : net.n_starts].sum(1)[on], 1e-30))
-    begins = np.flatnonzero(net.starts[ids])
-    total = np.add.reduceat(own, begins) - start[begins] if len(begins) else np.zeros(0)
-    last = np.searchsorted(begins, bound[1:] - 1)  # the end of each text: nothing follows
-    follows = np.ones(len(begins), bool)
-    follows[last] = False
-    total[follows] += start[begins[np.flatnonzero(follows) + 1]]
-    return total
-
-
-def mixed(weights: np.ndarray, word: np.ndarray, kind: np.ndarray, share: np.ndarray) -> np.ndarray:
-    """log10 of the mixture of the network's word probabilities (log10) with the words' shares in a kind and in all."""
-    rest = weights[1] * kind + weights[2] * share
-    with np.errstate(divide="ignore"):
-        x, y = np.log10(rest), np.log10(weights[0]) + word
-    top = np.maximum(x, y)
-    return top + np.log10(10 ** (x - top) + 10 ** (y - top))
-
-
-def tally(word: np.ndarray, kind: np.ndarray, share: np.ndarray) -> np.ndarray:
-    """Words by the ratios of their share in a kind and in all to the network's probability (log10)."""
-    side = 2 * TALLY * REACH + 1
-    with np.errstate(divide="ignore"):
-        x, y = (np.rint((np.clip(np.log10(s) - word, -REACH, REACH) + REACH) * TALLY).astype(np.int64) for s in (kind, share))
-    return np.bincount(x * side + y, minlength=side * side).astype(float)
-
-
-def fit_weights(times: np.ndarray, rounds: int = 40) -> np.ndarray:
-    """Weights of network, kind and all by expectation maximisation on a tally."""
-    w, side = np.array([0.2, 0.5, 0.3]), 2 * TALLY * REACH + 1
-    cell = np.flatnonzero(times)
-    n = times[cell, None]
-    if not len(cell):
-        return w
-    p = 10.0 ** np.stack([np.zeros(len(cell)), cell // side / TALLY - REACH, cell % side / TALLY - REACH], 1)
-    for _ in range(rounds):
-        mine = p * w
-        w = np.maximum((n * mine / mine.sum(1, keepdims=True)).sum(0) / n.sum(), 0.01)
-        w /= w.sum()
-    return w
-
-
-def encoded(dealt: DataFrame, path: str) -> DataFrame:
-    """(chunk, ids, bound): ids of a chunk's training texts in the order of their keys, and their offsets; one row for each chunk."""
-    kind = "<u2" if subwords(path).size <= 1 << 16 else "<u4"
-
-    def run(table: pa.Table) -> pa.Table:
-        ids, bounds, base = [], [np.zeros(1, np.int64)], 0
-        for _, _, words in blocks(table.sort_by("k")["t"]):
-            seq, bound = subwords(path).sequence(words, words.hashes(seed=17, lower=True))
-            ids.append(seq.astype(kind).tobytes())
-            bounds.append(bound[1:] + base)
-            base += len(seq)
-        return pa.table({"chunk": table["chunk"].slice(0, 1), "kind": pa.array([kind]), "ids": pa.array([b"".join(ids)], pa.binary()), "bound": pa.array([np.concatenate(bounds).tobytes()], pa.binary())})
-
-    rows = dealt.filter("train").select("chunk", "k", "t")
-    return stored(rows.groupBy("chunk").applyInArrow(run, "chunk long, kind string, ids binary, bound binary"), "ids")
-
-
-def added(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x.as_buffer()) for x in table.sort_by("chunk")["data"])
-    return pa.table({"slice": table["slice"].slice(0, 1), "data": pa.array([total.tobytes()], pa.binary())})
-
-
-def summed_rows(rows: DataFrame) -> np.ndarray:
-    """Sum of the arrays in (chunk, slice, data), slices in a row, added in the order of chunks."""
-    got = {r["slice"]: np.frombuffer(r["data"]) for r in rows.groupBy("slice").applyInArrow(added, "slice long, data binary").collect()}  # as many as slices
-    return np.concatenate([np.zeros(0), *(got[k] for k in range(len(got)))])
-
-
-def sliced(chunk: int, x: np.ndarray) -> list[pa.Array]:
-    parts = np.split(x.reshape(-1).astype(float), range(SLICE, x.size, SLICE))
-    return [pa.array([chunk] * len(parts), pa.int64()), pa.array(range(len(parts)), pa.int64()), pa.array([y.tobytes() for y in parts], pa.binary())]
-
-
-def passed(held: DataFrame, work) -> np.ndarray:
-    """Sum over all chunks of the array that ``work`` makes of (ids, bound, chunk), flat."""
+            bf, tg, on = before[w], target[w, skip:].reshape(-1), scored[w, skip:].reshape(-1)
+            u, _ = hidden(net.p, np.where(bf < 0, net.inputs[net.end], x_all[bf]), skip)
+            y = ids[tg[on]]
+            got, starts = predicted(net.p, u[on], net.group[y], net.place[y], net.n_starts)
+            own[tg[on]] += got
+            start[tg[on]] = starts
+    begins = net.starts[ids]
+    begins[bound[:-1]] = False  # the first start of a text is certain
+    inner = own - np.where(net.starts[ids], start, 0.0)  # given that a word starts
+    total = np.concatenate([[0.0], np.cumsum(inner + np.where(begins, start, 0.0))])
+    return total[bound[1:]] - total[bound[:-1]]
+
+
+def passed(held: DataFrame, kind: str, size: int, work) -> np.ndarray:
+    """Sum over all chunks of the array of ``size`` that ``work`` makes of (ids, bound, chunk): in each task first, then by slices."""
 
     def run(batches):
+        total = np.zeros(size)
         for b in batches:
-            for chunk, kind, ids, bound in zip(*(b[c] for c in ("chunk", "kind", "ids", "bound")), strict=True):
-                x = work(np.frombuffer(ids.as_buffer(), kind.as_py()).astype(np.int64), np.frombuffer(bound.as_buffer(), np.int64), chunk.as_py())
-                yield pa.record_batch(sliced(chunk.as_py(), x), names=["chunk", "slice", "data"])
+            for chunk, ids, bound, train in zip(b["chunk"].to_pylist(), b["ids"], b["bound"], b["train"], strict=True):
+                ids, bound, use = np.frombuffer(ids.as_buffer(), kind), np.frombuffer(bound.as_buffer(), np.int64), np.frombuffer(train.as_buffer(), bool)
+                n = np.diff(bound)
+                total += work(ids[np.repeat(use, n)].astype(np.int64), np.concatenate([[0], np.cumsum(n[use])]), chunk)
+        at = range(0, size, SLICE)
+        yield pa.record_batch([pa.array(range(len(at)), pa.int64()), pa.array([total[a : a + SLICE].astype(np.float32 if short else float).tobytes() for a in at], pa.binary())], names=["slice", "data"])
+
+    def added(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_buffer(), np.float32 if short else float).astype(float) for x in table["data"])
+        return pa.table({"slice": table["slice"].slice(0, 1), "data": pa.array([total.tobytes()], pa.binary())})
 
-    return summed_rows(held.mapInArrow(run, "chunk long, slice long, data binary"))
+    short = size > 100_000  # parameters go as single floats
+    parts = held.select("chunk", "ids", "bound", "train").mapInArrow(run, "slice long, data binary")
+    got = {r["slice"]: np.frombuffer(r["data"]) for r in parts.groupBy("slice").applyInArrow(added, "slice long, data binary").collect()}  # as many as slices
+    return np.concatenate([np.zeros(0), *(got[k] for k in range(len(got)))]) if got else np.zeros(size)
 
 
 def n_windows(bound: np.ndarray) -> int:
@@ -424,116 +325,56 @@ def share_of_round(n: int, epochs: int, k: int, chunk: int, seed: int) -> np.nda
     return np.concatenate([np.zeros(0, np.int64), *each])
 
 
-def learn(net: Network, ids: np.ndarray, bound: np.ndarray, chunk: int, k: int, epochs: int, batch: int = 96, rate: float = 0.01, seed: int = 2) -> np.ndarray:
-    """Adam over a chunk's windows of round ``k``: input rows' counts, number of windows, parameters times these."""
+def learn(net: Network, ids: np.ndarray, bound: np.ndarray, chunk: int, k: int, epochs: int, rate: float = 0.01, seed: int = 2) -> np.ndarray:
+    """Adam over a chunk's windows of round ``k``: counts of input rows and of groups, number of windows, parameters times these."""
     p = {c: v.copy() for c, v in net.p.items()}
     before, target, scored = windows(ids, bound, net.end)
     mine = share_of_round(len(target), epochs, k, chunk, seed)
-    met = np.zeros(len(p["embed"]))
+    met, used = np.zeros(len(p["embed"])), np.zeros(len(p["out2"]))
     m1, m2 = ({c: np.zeros_like(v) for c, v in p.items()} for _ in range(2))
-    steps = -(-len(mine) // batch)
+    steps = -(-len(mine) // BATCH)
     for step in range(1, steps + 1):
-        pick = mine[(step - 1) * batch : step * batch]
-        bf, tg, on = before[pick], target[pick], scored[pick]
+        pick = mine[(step - 1) * BATCH : step * BATCH]
+        bf, tg, on = before[pick], target[pick].reshape(-1), scored[pick].reshape(-1)
         x = np.where(bf < 0, net.inputs[net.end], net.inputs[ids[bf]])
-        prob, kept = forward(p, x)
-        g = backward(p, prob, kept, net.classes[ids[tg]], on)
+        y = ids[tg]
+        g = gradient(p, x, net.group[y], net.place[y], on)
         met += np.bincount(x.reshape(-1), minlength=len(met))
-        lr = rate * min(1, step / 50) * (1 - 0.9 * (k + step / steps) / ROUNDS)
+        used += np.bincount(net.group[y[on]], minlength=len(used))
+        lr = rate * min(1, step / 20) * (1 - 0.9 * (k + step / steps) / ROUNDS)
+        one, two = lr / (1 - 0.9**step), 1 / math.sqrt(1 - 0.99**step)
         for c in p:
-            m1[c] += 0.1 * (g[c] - m1[c])
-            m2[c] += 0.01 * (g[c] * g[c] - m2[c])
-            p[c] -= (lr * (m1[c] / (1 - 0.9**step)) / (np.sqrt(m2[c] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
-    return np.concatenate([met, [len(mine)], *((v.astype(float) * (met[:, None] if c == "embed" else len(mine))).reshape(-1) for c, v in p.items())])
+            m1[c] += np.float32(0.1) * (g[c] - m1[c])
+            m2[c] += np.float32(0.01) * (g[c] * g[c] - m2[c])
+            p[c] -= np.float32(one) * m1[c] / (np.sqrt(m2[c]) * np.float32(two) + np.float32(1e-6))
+    weight = {"embed": met[:, None], "out2": used[:, None, None], "bias2": used[:, None]}
+    return np.concatenate([met, used, [len(mine)], *((v * weight.get(c, len(mine))).reshape(-1) for c, v in p.items())])
 
 
-def train(held: DataFrame, counts: np.ndarray, n: int, starts: np.ndarray, end: int) -> Network:
+def train(held: DataFrame, kind: str, counts: np.ndarray, n: int, starts: np.ndarray, end: int) -> Network:
     """Rounds over ``n`` windows of all training texts, parameters averaged after each."""
-    size, top = len(counts), np.argsort(-counts, kind="stable")[:64]
-    near = passed(held, lambda ids, bound, chunk: neighbours(ids, top, size) if len(ids) > 6 else np.zeros((size, 64))) if n else np.zeros(size * 64)
-    classes, share, inputs, many, n_starts = make_classes(counts, starts, end, unit(np.sqrt(near.reshape(size, 64))).astype(np.float32))
-    net = Network(classes, share, inputs, start_parameters(many, np.bincount(classes, counts + 0.1, minlength=many)), starts, n_starts, end)
+    group, place, share, inputs, many, n_starts = make_groups(counts, starts, end)
+    net = Network(group, place, share, inputs, start_parameters(many, group, place, counts), starts, n_starts, end)
     epochs = -(-LEAST_WINDOWS // n) if n else 0
+    rows, size = len(net.p["embed"]), sum(v.size for v in net.p.values())
     for k in range(ROUNDS if n else 0):
         now = held.sparkSession.sparkContext.broadcast(net)
-        total = passed(held, lambda ids, bound, chunk, now=now, k=k: learn(now.value, ids, bound, chunk, k, epochs))
-        rows = len(net.p["embed"])
-        met, taken, at = total[:rows], total[rows], rows + 1
+        total = passed(held, kind, rows + many + 1 + size, lambda ids, bound, chunk, now=now, k=k: learn(now.value, ids, bound, chunk, k, epochs))
+        met, used, taken, at = total[:rows], total[rows : rows + many], total[rows + many], rows + many + 1
+        weight = {"embed": met[:, None], "out2": used[:, None, None], "bias2": used[:, None]}
         for c, v in net.p.items():
             x, at = total[at : at + v.size].reshape(v.shape), at + v.size
-            fresh = x / np.maximum(met, 1)[:, None] if c == "embed" else x / max(taken, 1)
-            net.p[c] = np.where(met[:, None] > 0, fresh, v).astype(np.float32) if c == "embed" else fresh.astype(np.float32) if taken else v
+            w = weight.get(c, np.full([1] * v.ndim, taken))
+            net.p[c] = np.where(w > 0, x / np.maximum(w, 1), v).astype(np.float32)
         now.unpersist()
     return net
 
 
-def chunk_words(texts, train_row: np.ndarray | None = None, kinds: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the distinct words of a chunk, and how often each is in its training texts of each kind."""
-    h, n = [], []
-    for k, (a, z, words) in enumerate(blocks(texts)):
-        u, inverse = np.unique(words.hashes(seed=17, lower=True), return_inverse=True)
-        h.append(u)
-        if kinds is not None:
-            own = words.owner()
-            use = train_row[a:z][own]
-            n.append(np.bincount((inverse * TOPICS + kinds[k][own])[use], minlength=len(u) * TOPICS).reshape(-1, TOPICS))
-    if not h:
-        return np.zeros(0, U), np.zeros((0, TOPICS), np.int64)
-    u, inverse = np.unique(np.concatenate(h), return_inverse=True)
-    return u, summed(inverse, np.concatenate(n), len(u)) if n else np.zeros((0, TOPICS), np.int64)
-
-
-def summed(group: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """Rows of counts added up by group."""
-    return np.stack([np.bincount(group, rows[:, k], minlength=n) for k in range(rows.shape[1])], 1).astype(np.int64)
-
-
 def by_bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     """Offsets of the buckets in sorted hashes."""
     return np.searchsorted((h >> U(32)) * U(buckets) >> U(32), np.arange(buckets + 1, dtype=U))
 
 
-def gathered(dealt: DataFrame, buckets: int, path: str, topics: Topics) -> DataFrame:
-    """(chunk, bucket, data): counts of a chunk's words by kind; chunk -1: training texts by kind; chunk -2: distinct words, then all words by kind."""
-    shared = dealt.sparkSession.sparkContext.broadcast(topics)
-
-    def send(table: pa.Table) -> pa.Table:
-        sub, kind_of = subwords(path), shared.value
-        texts = np.zeros(TOPICS, np.int64)
-        train_row = np.asarray(table["train"]).astype(bool)
-        kinds = []
-        for a, z, words in blocks(table["t"]):
-            seq, bound = sub.sequence(words, words.hashes(seed=17, lower=True))
-            kinds.append(kind_of.of(seq, bound))
-            use = train_row[a:z]
-            texts += np.bincount(kinds[-1][use], minlength=TOPICS)
-        h, n = chunk_words(table["t"], train_row, kinds)
-        cuts = by_bucket(h, buckets)
-        rows = [(b, h[cuts[b] : cuts[b + 1]].tobytes(), n[cuts[b] : cuts[b + 1]].tobytes()) for b in range(buckets) if cuts[b] < cuts[b + 1]]
-        rows.append((-1, b"", texts.tobytes()))
-        b, x, y = zip(*rows, strict=True)
-        chunk = table["chunk"][0].as_py()
-        return pa.table({"bucket": pa.array(b, pa.int64()), "chunk": pa.array([chunk] * len(b), pa.int64()), "h": pa.array(x, pa.binary()), "n": pa.array(y, pa.binary())})
-
-    def add(table: pa.Table) -> pa.Table:
-        counts = [np.frombuffer(x.as_buffer(), np.int64) for x in table["n"]]
-        bucket = table["bucket"][0].as_py()
-        if bucket < 0:
-            chunk, data = [-1], [sum(counts).tobytes()]
-        else:
-            hashes = [np.frombuffer(x.as_buffer(), U) for x in table["h"]]
-            u, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
-            total = summed(inverse, np.concatenate(counts).reshape(-1, TOPICS), len(u))
-            cuts = np.cumsum([0] + [len(x) for x in hashes])
-            data = [total[inverse[a:z]].tobytes() for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
-            chunk = table["chunk"].to_pylist() + [-2]
-            data.append(np.append((total.sum(1) > 0).sum(), total.sum(0)).astype(np.int64).tobytes())
-        return pa.table({"chunk": pa.array(chunk, pa.int64()), "bucket": pa.array([bucket] * len(chunk), pa.int64()), "data": pa.array(data, pa.binary())})
-
-    sent = dealt.groupBy("chunk").applyInArrow(send, "bucket long, chunk long, h binary, n binary")
-    return stored(sent.groupBy("bucket").applyInArrow(add, "chunk long, bucket long, data binary"), "counts")
-
-
 def word_starts(path: str) -> np.ndarray:
     """Which ids start a word: those with a leading space, and the end."""
     sub = subwords(path)
@@ -542,120 +383,129 @@ def word_starts(path: str) -> np.ndarray:
     return starts
 
 
-@dataclass
-class Model:
-    """What scoring needs besides a chunk's word counts."""
+def packed(dealt: DataFrame, path: str, buckets: int) -> DataFrame:
+    """Rows of each chunk, in the order of keys. One with bucket -1: the texts' row ids, ids, words (as places among the
+    chunk's distinct words, three bytes each), offsets of both, which texts train. For each bucket one with the hashes
+    of the chunk's distinct words, and how often each is in training texts."""
+    types = dict(dealt.dtypes)
+
+    def run(table: pa.Table) -> pa.Table:
+        sub, table = subwords(path), table.sort_by("k")
+        train = np.asarray(table["train"]).astype(bool)
+        ids, bounds, word_bounds, hashes, inverses, counts, base = [], [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], [], [], [], 0
+        for a, z, words in blocks(table["t"]):
+            h = words.hashes(seed=17, lower=True)
+            seq, bound = sub.sequence(words, h)
+            ids.append(seq.astype(sub.kind))
+            bounds.append(bound[1:] + base)
+            base += len(seq)
+            word_bounds.append(words.first[1:] + word_bounds[-1][-1])
+            u, inverse = np.unique(h, return_inverse=True)
+            hashes.append(u)
+            inverses.append(inverse)
+            counts.append(np.bincount(inverse[train[a:z][words.owner()]], minlength=len(u)))
+        u, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
+        n = np.bincount(inverse, np.concatenate(counts), minlength=len(u)).astype("<u4")
+        place, at = [], 0
+        for own, inv in zip(hashes, inverses, strict=True):
+            place.append(inverse[at : at + len(own)][inv].astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes())
+            at += len(own)
+        cuts = by_bucket(u, buckets)
+        full = np.flatnonzero(np.diff(cuts)).tolist()
+        m = len(full)
+        none = lambda x: pa.array([x] + [None] * m, pa.binary())
+        rows = pa.ListArray.from_arrays(pa.array([0, table.num_rows], pa.int32()), table["i"].combine_chunks())
+        return pa.table({
+            "chunk": pa.array([table["chunk"][0].as_py()] * (m + 1), pa.int64()), "bucket": pa.array([-1, *full], pa.int64()), "i": pa.concat_arrays([rows, pa.nulls(m, rows.type)]),
+            "ids": none(b"".join(x.tobytes() for x in ids)), "bound": none(np.concatenate(bounds).tobytes()), "train": none(train.tobytes()), "words": none(b"".join(place)), "word_bound": none(np.concatenate(word_bounds).tobytes()),
+            "h": pa.array([None, *(u[cuts[b] : cuts[b + 1]].tobytes() for b in full)], pa.binary()), "n": pa.array([None, *(n[cuts[b] : cuts[b + 1]].tobytes() for b in full)], pa.binary()),
+        })
+
+    schema = f"chunk long, bucket long, i array<{types['i']}>, ids binary, bound binary, train binary, words binary, word_bound binary, h binary, n binary"
+    return stored(dealt.select("chunk", "k", "i", "t", "train").groupBy("chunk").applyInArrow(run, schema), "packed")
+
+
+def returned(sent: DataFrame) -> DataFrame:
+    """(chunk, bucket, data): counts of a chunk's words over all chunks; chunk -2: number of distinct training words, then of all."""
 
-    net: Network
-    topics: Topics
-    words: np.ndarray  #: training words by kind
-    texts: np.ndarray  #: training texts by kind
-    weights: np.ndarray
+    def add(table: pa.Table) -> pa.Table:
+        hashes, counts = ([np.frombuffer(x.as_buffer(), t) for x in table[c]] for c, t in (("h", U), ("n", "<u4")))
+        u, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
+        total = np.bincount(inverse, np.concatenate(counts), minlength=len(u)).astype(np.int64)
+        cuts = np.cumsum([0] + [len(x) for x in hashes])
+        data = [total[inverse[a:z]].tobytes() for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
+        data.append(np.array([(total > 0).sum(), total.sum()], np.int64).tobytes())
+        return pa.table({"chunk": pa.array([*table["chunk"].to_pylist(), -2], pa.int64()), "bucket": pa.array([table["bucket"][0].as_py()] * len(data), pa.int64()), "data": pa.array(data, pa.binary())})
 
-    def shares(self, c: np.ndarray, is_end: np.ndarray, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Share of each token in each kind, and in all; ``c`` are the words' counts by kind, ``own`` what to leave out."""
-        n = np.zeros((len(is_end), TOPICS))
-        n[~is_end], n[is_end] = c, self.texts
-        if own is not None:
-            n = np.maximum(n - own, 0)
-        total = self.words + self.texts
-        return n / np.maximum(total, 1), n.sum(1) / max(1, total.sum())
+    return stored(sent.groupBy("bucket").applyInArrow(add, "chunk long, bucket long, data binary"), "counts")
 
 
-def chunk_counts(h: np.ndarray, back: pa.Table) -> np.ndarray:
-    """Counts by kind of a chunk's sorted words, as its buckets returned them."""
-    bucket = np.asarray(back["bucket"])
-    order = [o for o in np.argsort(bucket) if bucket[o] >= 0]
-    got = [np.frombuffer(back["data"][int(o)].as_buffer(), np.int64).reshape(-1, TOPICS) for o in order]
-    return np.concatenate([*got, np.zeros((0, TOPICS), np.int64)])
+def learned(held: DataFrame, path: str) -> Network:
+    """The network that all training texts of the chunks give."""
+    sub = subwords(path)
+    size = sub.size
+    met = passed(held, sub.kind, size + 1, lambda ids, bound, chunk: np.append(np.bincount(ids, minlength=size), n_windows(bound)))
+    return train(held, sub.kind, met[:-1], int(met[-1]), word_starts(path), sub.end)
 
 
-def score(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, network_score (without the mixture with word counts) and score of every row."""
-    path = path or byte_bpe()
-    spark, sub = docs.sparkSession, subwords(path)
+def dealt_rows(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int, int]:
+    """Rows (i, t, k, train, chunk), the number of chunks and of training rows; the chunk only decides where a text is worked on."""
     rows = docs.select(F.col(id_col).alias("i"), F.coalesce(text_col, F.lit("")).alias("t"), row_key(id_col, text_col).alias("k"), (crc_mod(F.col(id_col), MOD) != 0).alias("train"))
     rows = rows.withColumn("train", F.col("train") & F.col("i").isNotNull())
     size = rows.agg(F.sum(F.octet_length("t")).alias("bytes"), F.sum(F.col("train").cast("long")).alias("train")).first()
     chunks = max(1, -(-(size["bytes"] or 0) // CHUNK_BYTES))
-    dealt = rows.select("i", "t", "k", "train", F.pmod(F.xxhash64("k", "i"), F.lit(chunks)).cast("long").alias("chunk"))
-    held = encoded(dealt, path)
-    met = passed(held, lambda ids, bound, chunk: np.append(np.bincount(ids, minlength=sub.size), n_windows(bound)))
-    counts = met[:-1] if len(met) else np.zeros(sub.size)
-    topics = find_topics(held, counts)
-    returned = gathered(dealt, int(min(chunks, 1 << 16)), path, topics)
-    texts = next((np.frombuffer(r["data"], np.int64) for r in returned.filter("chunk = -1").collect()), np.zeros(TOPICS, np.int64))  # one row
-    totals = [np.frombuffer(r["data"], np.int64) for r in returned.filter("chunk = -2").toLocalIterator()]  # one for each bucket
-    distinct, by_kind = (int(np.sum(totals, 0)[0]), np.sum(totals, 0)[1:]) if totals else (0, np.zeros(TOPICS, np.int64))
-    n_train = int(size["train"] or 0)
-    n, v = int(by_kind.sum()) + n_train, distinct + (n_train > 0)
-    net = train(held, counts, int(met[-1]) if len(met) else 0, word_starts(path), sub.end)
-    model = Model(net, topics, by_kind, texts, np.array([0.2, 0.5, 0.3]))
-    first = spark.sparkContext.broadcast(model)
-
-    def tokens(words: Words, h: np.ndarray):
-        """Ids and their offsets, ends, word places in the chunk, text of each token."""
-        got = words.hashes(seed=17, lower=True)
-        docs_ = len(words.first) - 1
-        is_end = np.zeros(len(got) + docs_, bool)
-        is_end[words.first[1:] + np.arange(docs_)] = True
-        return *subwords(path).sequence(words, got), is_end, np.searchsorted(h, got), np.repeat(np.arange(docs_), np.diff(words.first) + 1)
-
-    def fit(table: pa.Table, back: pa.Table) -> pa.Table:
-        """The network's scores of all words of a chunk (slice -1), and the tally of its training words, each counted without its own text."""
-        if not table.num_rows:
-            return pa.table({"chunk": pa.array([], pa.int64()), "slice": pa.array([], pa.int64()), "data": pa.array([], pa.binary())})
-        m, table = first.value, table.sort_by("k")
-        h, _ = chunk_words(table["t"])
-        c = chunk_counts(h, back)
-        train_row, chunk = np.asarray(table["train"]).astype(bool), table["chunk"][0].as_py()
-        scores, cells = [], 0
-        for a, z, words in blocks(table["t"]):
-            seq, cut, is_end, at, own = tokens(words, h)
-            word, kind = word_scores(m.net, seq, cut), m.topics.of(seq, cut)
-            scores.append(word.astype(np.float32).tobytes())
-            token = np.full(len(word), len(h))
-            token[~is_end] = at
-            _, inverse, times = np.unique(own * (len(h) + 1) + token, return_inverse=True, return_counts=True)
-            left = np.zeros((len(word), TOPICS))
-            left[np.arange(len(word)), kind[own]] = times[inverse]
-            by, all_ = m.shares(c[at], is_end, left)
-            use = train_row[a:z][own]
-            cells = cells + tally(word[use], by[np.arange(len(word)), kind[own]][use], all_[use])
-        out = sliced(chunk, cells)
-        return pa.table({"chunk": pa.concat_arrays([pa.array([chunk], pa.int64()), out[0]]), "slice": pa.concat_arrays([pa.array([-1], pa.int64()), out[1]]), "data": pa.concat_arrays([pa.array([b"".join(scores)], pa.binary()), out[2]])})
-
-    counted = returned.filter("chunk >= 0")
-    fitted = stored(dealt.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(fit, "chunk long, slice long, data binary"), "scores")
-    model.weights = fit_weights(summed_rows(fitted.filter("slice >= 0")))
-    back_ = counted.unionByName(fitted.filter("slice = -1").select("chunk", F.col("slice").alias("bucket"), "data"))
-    shared = spark.sparkContext.broadcast(model)
-
-    def finish(table: pa.Table, back: pa.Table) -> pa.Table:
+    return rows.withColumn("chunk", F.pmod(F.xxhash64("k"), F.lit(chunks)).cast("long")), chunks, int(size["train"] or 0)
+
+
+def score(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
+    path = path or byte_bpe()
+    spark, sub = docs.sparkSession, subwords(path)
+    dealt, chunks, n_train = dealt_rows(docs, id_col, text_col)
+    whole = packed(dealt, path, int(min(chunks, 1 << 16)))
+    held = whole.filter("bucket = -1")
+    back = returned(whole.filter("bucket >= 0").select("chunk", "bucket", "h", "n"))
+    totals = [np.frombuffer(r["data"], np.int64) for r in back.filter("chunk = -2").toLocalIterator()]  # one for each bucket
+    distinct, n_words = (int(x) for x in np.sum(totals, 0)) if totals else (0, 0)
+    n, v = n_words + n_train, distinct + (n_train > 0)
+    net = spark.sparkContext.broadcast(learned(held, path))
+    kind = sub.kind
+
+    def judged(batches):
+        """The network's score of each text of a chunk."""
+        for b in batches:
+            for chunk, ids, bound in zip(b["chunk"].to_pylist(), b["ids"], b["bound"], strict=True):
+                ids, bound = np.frombuffer(ids.as_buffer(), kind), np.frombuffer(bound.as_buffer(), np.int64)
+                out, a = np.zeros(len(bound) - 1), 0
+                while a < len(out):  # some texts at once, however long each is
+                    z = max(a + 1, int(np.searchsorted(bound, bound[a] + (1 << 17), "right")) - 1)
+                    out[a:z] = text_scores(net.value, ids[bound[a] : bound[z]].astype(np.int64), bound[a : z + 1] - bound[a])
+                    a = z
+                yield pa.record_batch([pa.array([chunk], pa.int64()), pa.array([-1], pa.int64()), pa.array([out.tobytes()], pa.binary())], names=["chunk", "bucket", "data"])
+
+    scores = held.select("chunk", "ids", "bound").mapInArrow(judged, "chunk long, bucket long, data binary")
+
+    def finish(table: pa.Table, got: pa.Table) -> pa.Table:
+        """Base scores from the counts that came back, and the network's scores."""
+        none = {"n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
         if not table.num_rows:
-            return pa.table({"i": table["i"], "n_tokens": pa.array([], pa.int64()), "n_known": pa.array([], pa.int64()), "base_score": pa.array([], pa.float64()), "network_score": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
-        m, table = shared.value, table.sort_by("k")
-        h, _ = chunk_words(table["t"])
-        scores, done = np.frombuffer(back["data"][back["bucket"].to_pylist().index(-1)].as_buffer(), np.float32), 0
-        c = chunk_counts(h, back)
-        all_c = c.sum(1)
-        log_c, rest = np.log10(all_c + 0.1), math.log10(n + 0.1 * (v + 1))
-        prior = np.log10((m.texts + 0.5) / (m.texts.sum() + 0.5 * TOPICS))
-        n_tokens, known, base, alone, full = (np.zeros(table.num_rows, t) for t in (np.int64, np.int64, float, float, float))
-        for a, z, words in blocks(table["t"]):
-            _, _, is_end, at, own = tokens(words, h)
-            word, done = scores[done : done + len(own)].astype(float), done + len(own)
-            of_word = own[~is_end]
-            n_tokens[a:z] = np.diff(words.first) + 1
-            known[a:z] = np.bincount(of_word, all_c[at] > 0, minlength=z - a).astype(np.int64) + (n_train > 0)
-            base[a:z] = np.bincount(of_word, log_c[at], minlength=z - a) + math.log10(n_train + 0.1) - n_tokens[a:z] * rest
-            alone[a:z] = np.bincount(own, word, minlength=z - a)
-            by, share = m.shares(c[at], is_end)
-            each = np.stack([np.bincount(own, mixed(m.weights, word, by[:, k], share), minlength=z - a) for k in range(TOPICS)], 1) + prior
-            top = each.max(1)
-            full[a:z] = top + np.log10((10 ** (each - top[:, None])).sum(1))
-        return pa.table({"i": table["i"], "n_tokens": n_tokens, "n_known": known, "base_score": base, "network_score": alone, "score": full})
-
-    scored = dealt.groupBy("chunk").cogroup(back_.groupBy("chunk")).applyInArrow(finish, f"i {dict(rows.dtypes)['i']}, n_tokens long, n_known long, base_score double, network_score double, score double")
+            return pa.table({"i": pa.array([], table.schema.field("i").type.value_type)} | {c: pa.array([], t) for c, t in none.items()})
+        order = np.argsort(np.asarray(got["bucket"]), kind="stable")
+        score_, *counts = (np.frombuffer(got["data"][int(o)].as_buffer(), float if j == 0 else np.int64) for j, o in enumerate(order))
+        c = np.concatenate([np.zeros(0, np.int64), *counts])
+        place = np.zeros((len(table["words"][0].as_buffer()) // 3, 4), np.uint8)
+        place[:, :3] = np.frombuffer(table["words"][0].as_buffer(), np.uint8).reshape(-1, 3)
+        place = place.reshape(-1).view("<u4").astype(np.int64)
+        bound = np.frombuffer(table["word_bound"][0].as_buffer(), np.int64)
+        own, docs_ = np.repeat(np.arange(len(bound) - 1), np.diff(bound)), len(bound) - 1
+        n_tokens = np.diff(bound) + 1
+        known = np.bincount(own, c[place] > 0, minlength=docs_).astype(np.int64) + (n_train > 0)
+        rest = math.log10(n + 0.1 * (v + 1))
+        base = np.bincount(own, np.log10(c + 0.1)[place], minlength=docs_) + math.log10(n_train + 0.1) - n_tokens * rest
+        return pa.table({"i": table["i"].combine_chunks().flatten(), "n_tokens": n_tokens, "n_known": known, "base_score": base, "score": score_})
+
+    back_ = back.filter("chunk >= 0").unionByName(scores)
+    joined = held.select("chunk", "i", "words", "word_bound").groupBy("chunk").cogroup(back_.groupBy("chunk"))
+    scored = joined.applyInArrow(finish, f"i {dict(dealt.dtypes)['i']}, n_tokens long, n_known long, base_score double, score double")
     out = (crc_mod(F.col("i"), MOD) == 0) | F.col("i").isNull()
-    return scored.select(F.col("i").alias(id_col), out.alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "network_score", "score")
+    return scored.select(F.col("i").alias(id_col), out.alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
