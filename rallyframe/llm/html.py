@@ -20,19 +20,23 @@ import html
 import math
 import random
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+from rallyframe.llm.shared import sample_by_hash
+
+NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+QUOTE_OR_END = re.compile("[>\"']")
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 NAME_PART = re.compile(r"[a-z]+")
 #: Element names of HTML by their role.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym audio b bdi bdo big canvas cite code data del dfn em font i ins kbd label mark math mfrac mi mn mo mrow msqrt msub msup mtext noscript object q rp rt ruby s samp semantics small span strike strong sub sup svg time tt u var video wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset("script style head noscript template iframe svg math object select textarea button title canvas audio video".split())
+SKIPPED = frozenset("script style head template iframe select textarea button title".split())
 RAW = frozenset("script style textarea title".split())
 CLOSES_P = frozenset("address article aside blockquote details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -57,6 +61,51 @@ class Page:
     blocks: list[tuple[int, list[str]]] = field(default_factory=list)  #: node and pieces of text, in page order
 
 
+def tags(source: str):
+    """(start, end, closing, name, attributes) of each tag; name is empty for comments and declarations. What has no end is text.
+
+    Never goes back: quotes are respected up to a quote without an end; tags before that one end at the next ``>``.
+    """
+    at, last, plain_until = 0, source.rfind(">"), 0
+    while 0 <= (start := source.find("<", at)) < last:
+        if source.startswith("<!--", start):
+            end = source.find("-->", start + 4)
+            end = len(source) if end < 0 else end + 3
+            yield start, end, False, "", ""
+            at = end
+            continue
+        if source[start + 1] in "!?":
+            at = source.index(">", start) + 1
+            yield start, at, False, "", ""
+            continue
+        m = NAME.match(source, start + 1)
+        if m is None:
+            at = start + 1
+            continue
+        walk = m.end()
+        while True:
+            if start < plain_until:
+                end = source.find(">", m.end())
+                break
+            got = QUOTE_OR_END.search(source, walk)
+            if got is None or got[0] == ">":
+                end = -1 if got is None else got.start()
+            else:
+                close = source.find(got[0], got.end())
+                if close >= 0:
+                    walk = close + 1
+                    continue
+                end = -1
+            if end < 0:  # a quote without an end, or none but quoted ends
+                plain_until = len(source) if got is None else got.start() + 1
+                end = source.find(">", m.end())
+            break
+        if end < 0:
+            return
+        at = end + 1
+        yield start, at, bool(m[1]), m[2].lower(), source[m.end() : end]
+
+
 def parse(source: str, want_labels: bool = False) -> Page:
     """Block elements of a page as a tree in document order, and its text blocks."""
     page = Page([Node("", -1, ())])
@@ -79,31 +128,35 @@ def parse(source: str, want_labels: bool = False) -> Page:
         node.link_words += n if links > 0 else 0
         node.sentence |= any(c in s for c in ".!?")
 
+    open_: Counter = Counter()  #: elements on the stack by tag
+    without_end: set[str] = set()  #: tags of which no closing tag is left
+
     def close(depth: int) -> None:
         nonlocal current
+        open_.subtract(nodes[i].tag for i in stack[depth:])
         del stack[depth:]
         current = None
 
     size = len(source)
-    while at < size:
-        m = TOKEN.search(source, at)
-        if m is None:
-            text(source[at:])
-            break
-        if m.start() > at:
-            text(source[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+    for start, stop, closing, tag, attributes in tags(source):
+        if start < at:  # inside an element that is skipped
+            continue
+        if start > at:
+            text(source[at:start])
+        at = stop
+        if not tag:
             continue
-        tag, closing = m[2].lower(), bool(m[1])
         if tag in SKIPPED:
-            if not closing and not m[3].endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
+            if not closing and not attributes.endswith("/"):
+                end = None if tag in without_end else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
                 if end:
                     at = end.end()
-                elif tag == "head":
+                    continue
+                without_end.add(tag)
+                if tag == "head" and "body" not in without_end:
                     body = re.compile(r"<body\b", re.I).search(source, at)
                     at = body.start() if body else at
+                    without_end.add("body")
                 elif tag in RAW:
                     at = size
             continue
@@ -119,15 +172,16 @@ def parse(source: str, want_labels: bool = False) -> Page:
                 current = None
             continue
         if closing:
-            for d in range(len(stack) - 1, 0, -1):
-                if nodes[stack[d]].tag == tag:
-                    close(d)
-                    break
+            if open_[tag] > 0:
+                for d in range(len(stack) - 1, 0, -1):
+                    if nodes[stack[d]].tag == tag:
+                        close(d)
+                        break
             current = None
             continue
         if tag in CLOSES_P and nodes[stack[-1]].tag == "p":
             close(len(stack) - 1)
-        if tag in SIBLINGS:
+        if tag in SIBLINGS and any(open_[t] > 0 for t in SIBLINGS[tag]):
             for d in range(len(stack) - 1, 0, -1):
                 t = nodes[stack[d]].tag
                 if t in SCOPES[tag]:
@@ -135,15 +189,18 @@ def parse(source: str, want_labels: bool = False) -> Page:
                 if t in SIBLINGS[tag]:
                     close(d)
                     break
-        names = tuple(w for a in ATTRIBUTE.findall(m[3]) for w in NAME_PART.findall((a[1] or a[2] or a[3]).lower())) if m[3] else ()
+        names = tuple(w for a in ATTRIBUTE.findall(attributes) for w in NAME_PART.findall((a[1] or a[2] or a[3]).lower())) if attributes else ()
         node = Node(tag, stack[-1], names)
         if want_labels:
-            y = re.search(r'data-y="([01])"', m[3])
+            y = re.search(r'data-y="([01])"', attributes)
             node.label = int(y[1]) if y else nodes[stack[-1]].label
         nodes.append(node)
         current, links = None, 0
-        if not m[3].endswith("/"):
+        if not attributes.endswith("/"):
             stack.append(len(nodes) - 1)
+            open_[tag] += 1
+    if at < size:
+        text(source[at:])
     return page
 
 
@@ -385,10 +442,10 @@ def main_text(source: str, model: Model) -> str:
     return "\n".join(k for k in kept if k)
 
 
-def fit(pages: DataFrame, sample_rows: int = 200, composed: int = 900) -> Model:
-    """Learns from composed pages and at most ``sample_rows`` pages of the table, the same ones each time."""
-    rows = pages.filter(F.col("html").isNotNull() & (F.length("html") < 50_000)).select("html").orderBy(F.xxhash64("html")).limit(sample_rows).collect()
-    real = [p for p in (label_by_sections(parse(r["html"])) for r in rows) if p]
+def fit(pages: DataFrame, sample_rows: int = 200, sample_chars: int = 50_000, composed: int = 900) -> Model:
+    """Learns from composed pages and at most ``sample_rows`` pages of the table of under ``sample_chars`` characters, the same ones each time."""
+    sample = sample_by_hash(pages.filter(F.length("html") < sample_chars).select("html"), sample_rows)
+    real = [p for p in (label_by_sections(parse(h)) for h in sample) if p]
     return train(labelled_pages(composed) + real)
 
 

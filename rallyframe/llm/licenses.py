@@ -7,7 +7,8 @@ multinomial logistic regression over license families and "none" scores it; temp
 and the bar for an answer are calibrated on variants that were not trained on, so that
 text unlike any family becomes "unknown" rather than a family. A predicted family counts
 only if one of its templates confirms it: enough of the template's word pairs stand in the
-paragraph. The templates also make the training set, together with a bounded sample of
+paragraph, where a pair weighs the more the fewer families have it, so words that most grants
+share can't confirm a license that no template knows. The templates also make the training set, together with a bounded sample of
 the table's own lines (``sample_rows`` rows) as "none".
 
 Reported are license paragraphs (a family) and paragraphs that look like a license grant
@@ -18,7 +19,9 @@ rows are reported each. Empty tables give an empty result. Only the named column
 
 from __future__ import annotations
 
+import math
 import random
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rallyframe.llm.shared import sample_by_hash
 from rallyframe.llm.text import NOT_ALNUM, U, Words, find_words, grams, raw, strings
 
 BITS = 18
@@ -192,7 +196,7 @@ class Model:
     bias: np.ndarray
     temperature: float
     bar: float
-    templates: dict[str, list[set]]
+    templates: dict[str, list[dict]]  #: word pairs with their weights
     confirm: float
 
     def probability(self, z: np.ndarray) -> np.ndarray:
@@ -200,9 +204,15 @@ class Model:
         return e / e.sum(-1, keepdims=True)
 
     def similarity(self, family: str, h: np.ndarray) -> float:
-        """Largest share of a template's word pairs that the paragraph has."""
+        """Largest share of a template's word pairs that the paragraph has; a pair weighs the more the fewer families have it."""
         have = pairs(h)
-        return max(len(t & have) / len(t) for t in self.templates[family])
+        return max(sum(w for x, w in t.items() if x in have) / sum(t.values()) for t in self.templates[family])
+
+
+def weighted(templates: dict[str, list[set]]) -> dict[str, list[dict]]:
+    """Weights of word pairs: the logarithm of families over those with the pair, so that words that most grants share confirm none."""
+    n = Counter(x for sets in templates.values() for x in set().union(*sets))
+    return {f: [{x: math.log(1 + len(templates) / n[x]) if n[x] == 1 else math.log(len(templates) / n[x]) + 0.05 for x in t} for t in sets] for f, sets in templates.items()}
 
 
 class Wrapped:
@@ -291,7 +301,7 @@ def train(lines: list[str], seed: int = 9, copies: int = 24, epochs: int = 12, r
 
     words = find_words(*raw(strings(pa.array([t for f in FAMILIES[1:] for t in TEMPLATES[f]], pa.string()))), NOT_ALNUM)
     parts = iter(np.split(word_hashes(words), words.first[1:-1]))
-    model = Model(used, w[used], bias, min(np.geomspace(0.25, 8, 26), key=loss), 0.5, {f: [pairs(next(parts)) for _ in TEMPLATES[f]] for f in FAMILIES[1:]}, confirm)
+    model = Model(used, w[used], bias, min(np.geomspace(0.25, 8, 26), key=loss), 0.5, weighted({f: [pairs(next(parts)) for _ in TEMPLATES[f]] for f in FAMILIES[1:]}), confirm)
     p = model.probability(z)
     wrong = p[np.arange(len(y)), p.argmax(1)][(p.argmax(1) != y) & (p.argmax(1) > 0)]
     model.bar = float(min(0.9, max(0.5, np.quantile(wrong, 0.9)))) if len(wrong) else 0.5
@@ -301,9 +311,9 @@ def train(lines: list[str], seed: int = 9, copies: int = 24, epochs: int = 12, r
 def sample_lines(docs: DataFrame, text_col: str, sample_rows: int) -> list[str]:
     """One line of up to 400 characters of each of a bounded sample of rows, the same ones each time, without lines that name a license or hold a template."""
     line = F.try_element_at(F.filter(F.split(text_col, "\n"), lambda x: (F.length(x) > 0) & (F.length(x) <= 400)), F.lit(1))
-    rows = docs.select(line.alias("t")).filter("t is not null").orderBy(F.xxhash64("t")).limit(sample_rows).collect()
+    rows = sample_by_hash(docs.select(line.alias("t")), sample_rows)
     known = [pairs(h) for t in TEMPLATES.values() for h in hashes_of(t)]
-    texts = [r["t"] for r in rows if r["t"].strip() and "licen" not in r["t"].lower()]
+    texts = [t for t in rows if t.strip() and "licen" not in t.lower()]
     return [t for t, h in zip(texts, hashes_of(texts), strict=True) if not any(len(k & pairs(h)) >= 0.6 * len(k) for k in known)]
 
 
@@ -353,6 +363,10 @@ def scan(docs: DataFrame, model: Model | None = None, sample_rows: int = 2000, i
                     inside = [taken.get(k) for k in range(x, y + 1)]
                     if got[0] == "unknown" and any(inside):
                         continue
+                    for k in range(x, y + 1):  # a line that holds less of the notice than all its lines do goes up in it
+                        if (k, k) in found and found[k, k][0] == got[0] != "unknown" and found[k, k][2] < got[2]:
+                            taken[k] = None
+                    inside = [taken.get(k) for k in range(x, y + 1)]
                     for k in range(x, y + 1):
                         if taken.get(k) in (None, "unknown"):
                             found.pop((k, k), None)

@@ -58,3 +58,15 @@ def row_key(id_name: str, text_name: str) -> Column:
     """Sixteen bytes that stand for (id, text): rows equal in both share a key, others do not."""
     piece = lambda c: F.coalesce(F.concat(F.lit("v"), c), F.lit("n"))
     return F.unhex(F.md5(F.concat_ws("\x00", piece(F.col(id_name).cast("string")), piece(F.col(text_name))).cast("binary")))
+
+
+def sample_by_hash(texts: DataFrame, n: int) -> list[str]:
+    """At most ``n`` different texts of a one-column frame, those of least hash: the hashes are gathered first, then just these texts."""
+    (name,) = texts.columns
+    rows = texts.filter(F.col(name).isNotNull()).select(F.col(name).alias("t"), F.xxhash64(name).alias("h"))
+    least = [r["h"] for r in rows.select("h").distinct().orderBy("h").limit(n).collect()]  # eight bytes each
+    if not least:
+        return []
+    wanted = F.broadcast(texts.sparkSession.createDataFrame([(h,) for h in least], "h long"))
+    found = rows.join(wanted, "h").groupBy("h").agg(F.first("t").alias("t")).collect()  # n rows at most
+    return [r["t"] for r in sorted(found, key=lambda r: r["h"])]

@@ -9,7 +9,7 @@ one score wide. A last pass keeps what is above the k-th score and, among equals
 and no score list is gathered whole.
 
 Vectors that are null, or hold null or non-finite components, take no part, nor do rows
-with a null id. A query is held against the vectors of its own length only.
+with a null id, nor vectors so long (square norm of the scaled vector 2^62 or more) that a score could pass 64 bits. A query is held against the vectors of its own length only.
 Repeated ids: a query is searched once (its least vector), each candidate row counts, and
 a query's own rows are all left out. Fewer than k candidates: all of them. Empty tables
 give an empty result.
@@ -22,17 +22,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rallyframe.llm.shared import stored
+from rallyframe.llm.shared import fresh_path, stored
 
 BINS = 256
 BLOCK = 4096
-EXACT = 1 << 53
+EXACT, LARGEST = 1 << 53, 1 << 62
 
 
 def whole_vectors(vectors: DataFrame, scale: int, id_col: str, vec_col: str) -> DataFrame:
     """(id, v): components as floor(scale * x), of the rows that take part."""
     v = F.transform(F.col(vec_col), lambda x: x.cast("double"))
     fit = F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    norm = F.aggregate(v, F.lit(0.0), lambda s, x: s + F.pow(F.abs(x) * F.lit(float(scale)) + 1, F.lit(2.0)))
+    fit &= F.coalesce(norm < float(LARGEST), F.lit(False))
     return vectors.filter(fit).select(F.col(id_col).alias("id"), F.transform(v, lambda x: F.floor(x * F.lit(scale)).cast("long")).alias("v"))
 
 
@@ -127,15 +129,16 @@ def top_k(vectors: DataFrame, k: int = 20, query_mod: int = 20, scale: int = 64,
     size = all_.agg(F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x)).alias("norm"), F.count(F.when(F.col("id") % query_mod == 0, 1)).alias("n")).first()
     blocks = -(-size["n"] // BLOCK) if size["n"] else 0
     bound = int(size["norm"] or 0) + 1  # no inner product exceeds the largest square norm
-    found = None
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    schema = "query_id long, rank int, vec_id long, score long"
+    path = fresh_path(vectors.sparkSession, "top")  # each block's result is stored, so the plan doesn't grow with the blocks
     for b in range(blocks):
         rows = queries.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).orderBy("id").collect()
         for width in sorted({len(r["v"]) for r in rows}):
             mine = [r for r in rows if len(r["v"]) == width]
             kept = search_block(all_, np.array([r["id"] for r in mine], np.int64), np.array([r["v"] for r in mine], np.int64).reshape(len(mine), width), bound, k)
-            found = kept if found is None else found.unionByName(kept)
-    if found is None:
-        return all_.filter("false").select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.col("id").alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+            ranked = kept.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+            ranked.select("query_id", "rank", "vec_id", "score").write.mode("append").parquet(path)
+    if not blocks:
+        return all_.filter("false").select(F.col("id").cast("long").alias("query_id"), F.lit(1).alias("rank"), F.col("id").cast("long").alias("vec_id"), F.lit(0).cast("long").alias("score"))
+    return vectors.sparkSession.read.schema(schema).parquet(path)

@@ -7,8 +7,8 @@ vector (at most ``2**bits`` entries, hence the proven size of the broadcast). Sc
 one pass over all texts without a shuffle.
 
 Null or empty texts have the bias as their only feature. Null labels and null ids teach
-nothing. Repeated rows are scored each. An empty table gives an empty result; without any
-usable label each score is 0.5 or less by the bias alone. Only the named columns are read,
+nothing; an id with conflicting labels counts as toxic. Repeated rows are scored each. An empty table gives an empty result; without any
+usable label each score is just under 0.5. Only the named columns are read,
 so other columns may have any names.
 """
 
@@ -25,6 +25,9 @@ from rallyframe.llm.shared import crc_mod
 from rallyframe.llm.text import U, Words, blocks, mix
 
 
+NO_EVIDENCE = -0.01  #: bias without evidence for either label, so that such texts don't count as toxic
+
+
 @dataclass(frozen=True)
 class Ftrl:
     bits: int = 20
@@ -77,7 +80,7 @@ def train(rows: list[tuple[np.ndarray, int]], p: Ftrl) -> Model:
             s[i] += g * g
     w = weights(np.arange(n))
     at = np.flatnonzero(w[:-1])
-    return Model(float(w[-1]), at, w[at], p.bits)
+    return Model(float(w[-1]) or NO_EVIDENCE, at, w[at], p.bits)
 
 
 def labelled_features(docs: DataFrame, labels: DataFrame, p: Ftrl, label: str, holdout_mod: int, id_col: str, text_col: str) -> list[tuple[np.ndarray, int]]:
@@ -151,5 +154,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, p: Ftrl = Ftrl(), holdout_mod:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, p: Ftrl = Ftrl(), threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs``, all columns, whose score is under ``threshold``."""
-    scored = score(docs, fit(docs, labels, p), docs.columns, out="_toxicity")
-    return scored.filter(F.col("_toxicity") < threshold).select(*docs.columns)
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    safe = docs.toDF(*names)
+    scored = score(safe, fit(docs, labels, p), names, out="_toxicity", text_col=names[docs.columns.index("text")])
+    return scored.filter(F.col("_toxicity") < threshold).select(*names).toDF(*docs.columns)

@@ -204,9 +204,41 @@ def test_marginals_are_exact():
     assert np.allclose(m.marginals(page, feats)[0], p / total)
 
 
-def test_lm(docs, empty):
-    got = {r.doc_id: r for r in lm.score(docs).collect()}
-    train = [(i, t) for i, t in ROWS if i is not None and zlib.crc32(str(i).encode()) % 10]
+def plain_score(net, ids):
+    """log10 probability of one text (its ids with the end) by a forward pass in plain Python, id by id."""
+    p, step, total = {k: v.astype(float).tolist() for k, v in net.p.items()}, lm.WINDOW - lm.OVERLAP, 0.0
+    dot = lambda v, m: [sum(a * m[r][c] for r, a in enumerate(v)) for c in range(len(m[0]))]
+    add = lambda *vs: [sum(x) for x in zip(*vs, strict=True)]
+
+    def soft(z):
+        e = [np.exp(x - max(z)) for x in z]
+        return [x / sum(e) for x in e]
+
+    starts = []
+    for k, y in enumerate(ids):
+        window = 0 if k < lm.WINDOW else -(-(k + 1 - lm.WINDOW) // step)
+        x = [net.inputs[net.end if j == 0 else ids[j - 1]] for j in range(window * step, k + 1)]
+        e = [add(p["embed"][i], p["place"][j]) for j, i in enumerate(x)]
+        q = dot(e[-1], p["q"])
+        a = soft([sum(u * w for u, w in zip(q, dot(v, p["k"]), strict=True)) / lm.WIDTH**0.5 for v in e])
+        c = [sum(w * v[d] for w, v in zip(a, [dot(v, p["v"]) for v in e], strict=True)) for d in range(lm.WIDTH)]
+        h = add(e[-1], dot(c, p["o"]))
+        u = add(h, dot([max(0, z) for z in add(dot(h, p["w1"]), p["b1"])], p["w2"]))
+        one = soft(add(dot(u, p["out"]), p["bias"]))
+        g, place = net.group[y], net.place[y]
+        got = np.log10(one[g]) + net.share[y]
+        if place >= 0:
+            got += np.log10(soft(add(dot(u, p["out2"][g]), p["bias2"][g]))[place])
+        start = np.log10(sum(one[: net.n_starts]))
+        total += got + (start if k and net.starts[y] else 0) - (start if net.starts[y] else 0)
+    return total
+
+
+def test_lm(docs, empty, monkeypatch):
+    monkeypatch.setattr(lm, "LEAST_WINDOWS", 3000)
+    twice = docs.unionByName(docs.filter("doc_id = 9"))
+    got = {r.doc_id: r for r in lm.score(twice).collect()}
+    train = [(i, t) for i, t in [*ROWS, ROWS[8]] if i is not None and zlib.crc32(str(i).encode()) % 10]
     c = Counter(w for _, t in train for w in [*words(lower(t)), None])
     n, v = sum(c.values()), len(c)
     for i, t in ROWS:
@@ -215,19 +247,28 @@ def test_lm(docs, empty):
         assert got[i].base_score == pytest.approx(sum(np.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w))
         assert got[i].score < 0 and np.isfinite(got[i].score)
         assert got[i].held_out == (i is None or zlib.crc32(str(i).encode()) % 10 == 0)
-    assert lm.score(empty).count() == 0
+    assert lm.score(twice).count() == len(ROWS) + 1 and lm.score(empty).count() == 0
+    dealt, chunks, _ = lm.dealt_rows(twice, "doc_id", "text")
+    net = lm.learned(lm.packed(dealt, BPE, chunks).filter("bucket = -1"), BPE)
+    for i in (1, 4, 5, 10, 14):
+        t = dict(ROWS)[i]
+        ids = [y for w in words(lower(t)) for y in lm.subwords(BPE).cut(w.encode())] + [net.end]
+        assert got[i].score == pytest.approx(plain_score(net, ids), rel=1e-3), i
 
 
 def test_lm_gradient_and_windows():
     r = np.random.default_rng(0)
-    p = {k: v.astype(np.float64) for k, v in lm.start_parameters(5, np.ones(5)).items()}
-    x, y, on = r.integers(0, 50, (2, 7)), r.integers(0, 5, (2, 7)), r.random((2, 7)) < 0.8
+    counts = np.arange(9000, 0, -1.0)
+    starts = np.arange(9000) % 2 == 0
+    group, place, _, inputs, many, _ = lm.make_groups(counts, starts, 0)
+    p = {k: v.astype(np.float64) for k, v in lm.start_parameters(many, group, place, counts).items()}
+    y, on = r.integers(0, 9000, 14), r.random((2, 7)) < 0.8
+    x = inputs[r.integers(0, 9000, (2, 7))]
 
     def loss():
-        prob, _ = lm.forward(p, x)
-        return -np.log(prob[np.arange(14), y.reshape(-1)])[on.reshape(-1)].mean()
+        return -(lm.predicted(p, lm.hidden(p, x)[0], group[y], place[y], 3)[0] * np.log(10))[on.reshape(-1)].mean()
 
-    g = lm.backward(p, *lm.forward(p, x), y, on)
+    g = lm.gradient(p, x, group[y], place[y], on)
     for k in p:
         at = np.unravel_index(np.abs(g[k]).argmax(), g[k].shape)
         was, e = p[k][at], 1e-5
@@ -242,6 +283,20 @@ def test_lm_gradient_and_windows():
     assert sorted(target[scored].tolist()) == list(range(134))
 
 
+def test_lm_probabilities_of_all_ids_add_up_to_one():
+    counts = np.r_[np.arange(7000, 0, -1.0), np.zeros(3000)]
+    starts = np.arange(10_000) % 3 == 0
+    starts[7] = True
+    group, place, share, _, many, n_starts = lm.make_groups(counts, starts, 7)
+    p = lm.start_parameters(many, group, place, counts)
+    u = np.random.default_rng(1).normal(size=(1, lm.WIDTH)).astype(np.float32)
+    got, start = lm.predicted(p, np.repeat(u, 10_000, 0), group, place, n_starts)
+    assert (10 ** (got + share)).sum() == pytest.approx(1, abs=1e-4)
+    assert (10 ** (got + share))[starts].sum() == pytest.approx(10 ** start[0], abs=1e-4)
+    assert (group[starts] < n_starts).all() and (group[~starts] >= n_starts).all()
+    assert (lm.WINDOW, lm.OVERLAP) >= (32, 8) and (place >= 0).sum() > 4000
+
+
 def brute_near(rows, n=4):
     sets = {}
     for i, t in rows:
@@ -358,22 +413,26 @@ def test_toxicity(spark):
     assert toxicity.toxicity(docs.limit(0), marks.limit(0)).count() == 0
 
 
-def test_lm_learns_from_all_training_texts(spark):
+def test_lm_learns_from_all_training_texts(spark, monkeypatch):
+    monkeypatch.setattr(lm, "LEAST_WINDOWS", 25_000)
     r = np.random.default_rng(5)
     vocabulary = [f"{a}{b}" for a in ("red", "stone", "river", "glass", "moon") for b in ("ton", "berg", "field", "s", "er", "ing")]
-    rows = [(i, " ".join(r.choice(vocabulary, int(r.integers(3, 12)))) + (f" rare{chr(97 + i % 26)}" if i > 1100 else "")) for i in range(1300)]
+    rows = [(i, " ".join(vocabulary[(k + j * (1 + k % 3)) % 30] for j, k in enumerate(r.integers(0, 30, 1).repeat(int(r.integers(3, 12))))) + (f" rare{chr(97 + i % 26)}" if i > 1100 else "")) for i in range(1300)]
     one = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     other = spark.createDataFrame(rows[::-1], "doc_id long, text string").repartition(5)
-    a, b = ({x.doc_id: x.score for x in lm.score(d).collect()} for d in (one, other))
+    first = lm.score(one).collect()
+    a, b = ({x.doc_id: x.score for x in got} for got in (first, lm.score(other).collect()))
     assert a == pytest.approx(b, rel=1e-4)
-    texts = pa.table({"chunk": [0] * len(rows), "k": [str(i).encode() for i, _ in rows], "t": [t for _, t in rows], "train": [True] * len(rows)})
-    held = lm.encoded(spark.createDataFrame(texts), BPE)
-    counts = lm.passed(held, lambda ids, bound, chunk: np.append(np.bincount(ids, minlength=lm.subwords(BPE).size), lm.n_windows(bound)))
-    net = lm.train(held, counts[:-1], int(counts[-1]), lm.word_starts(BPE), lm.subwords(BPE).end)
-    begun = lm.start_parameters(len(net.p["bias"]), np.ones(len(net.p["bias"])))
+    held = [x for x in first if x.held_out]
+    assert len(held) > 80 and sum(x.score for x in held) > sum(x.base_score for x in held) + 0.1 * sum(x.n_tokens for x in held)
+    dealt, chunks, _ = lm.dealt_rows(one, "doc_id", "text")
+    packed = lm.packed(dealt, BPE, chunks).filter("bucket = -1")
+    net = lm.learned(packed, BPE)
+    counts = lm.passed(packed, "<u2", lm.subwords(BPE).size, lambda ids, bound, chunk: np.bincount(ids, minlength=50257))
+    begun = lm.start_parameters(len(net.p["bias"]), net.group, net.place, counts)
     moved = np.abs(net.p["embed"] - begun["embed"]).max(1) > 0
     ended = lm.subwords(BPE).end  # the end is an input at the start of a text
-    assert moved[net.inputs[np.flatnonzero(counts[:-1])]].all() and moved[net.inputs[ended]]
+    assert moved[net.inputs[np.setdiff1d(np.flatnonzero(counts), [ended])]].all() and moved[net.inputs[ended]]
 
 
 def test_lm_rounds_take_every_window_equally_often():
@@ -382,18 +441,6 @@ def test_lm_rounds_take_every_window_equally_often():
         assert (np.bincount(taken, minlength=n) == epochs).all()
 
 
-def test_lm_network_reaches_back_and_tells_ids_apart(docs):
-    assert (lm.WINDOW, lm.OVERLAP) >= (32, 8)
-    size = 6000
-    starts = np.arange(size) % 2 == 0
-    starts[7] = True
-    classes, *_, n, n_starts = lm.make_classes(np.arange(size, 0, -1.0), starts, 7, np.zeros((size, 64), np.float32))
-    assert len(set(classes[:1000].tolist())) == 1000 and n == len(lm.start_parameters(n, np.ones(n))["bias"])
-    assert (classes[starts] < n_starts).all() and (classes[~starts] >= n_starts).all()
-    rows = lm.score(docs).collect()
-    assert all(np.isfinite(r.network_score) and r.network_score < 0 for r in rows)
-
-
 def test_licenses_over_several_lines(spark):
     lines = ["plain words only here", "the cat sat on the mat with a hat", "nothing to see", "numbers 1 2 3 and more text"] * 20
     model = licenses.train(lines)
@@ -433,3 +480,57 @@ def test_rows_that_share_an_id_are_one_document(spark):
     kept = near.drop_near_duplicates(df)
     assert kept.columns == df.columns
     assert sorted((r.doc_id or 0, r.text[0]) for r in kept.collect()) == [(0, "A"), (0, "A"), (1, "A"), (5, "B"), (7, "C")]
+
+
+def test_tiling_of_repetitive_and_reordered_texts():
+    r = np.random.default_rng(8)
+    for _ in range(300):
+        d, i = (r.integers(1, int(r.integers(3, 7)), int(r.integers(1, 40))).astype(np.uint64) for _ in range(2))
+        least = int(r.integers(1, 5))
+        seeds = [(a, b) for a in range(len(d)) for b in range(len(i)) if (a == 0 or b == 0 or d[a - 1] != i[b - 1]) and d[a] == i[b]]
+        got = tiling.tile(d, i, seeds, least)
+        assert sum(n for *_, n in got) == brute_tiles(d.tolist(), i.tolist(), least)
+    import time
+
+    items = tiling.Items(["na " * 600], 5)
+    (_, _, w), *_ = blocks(pa.array(["na " * 8000], pa.string()), tiling.NOT_ALNUM)
+    begun = time.process_time()
+    h = w.hashes(seed=7, lower=True)
+    ((key, seeds),) = items.shared(h, w.first).items()
+    assert sum(n for *_, n in tiling.tile(h, items.tokens[0], seeds, 5)) == 600 and key == (0, 0)
+    assert time.process_time() - begun < 5
+
+
+def test_broken_markup_takes_linear_time():
+    import time
+
+    bad = ["<a" * 100_000, "<a '" * 50_000 + ">", '<a ">"' * 50_000 + "'", "<select>" * 30_000, "<div>" * 20_000 + "</x>" * 20_000, "<div>" * 20_000 + "<li></li>" * 20_000, "<!--" * 50_000 + ">", "<" * 100_000 + ">"]
+    for source in bad:
+        begun = time.process_time()
+        html.parse(source)
+        assert time.process_time() - begun < 2, source[:20]
+    page = html.parse("<p>a < b and <b class='x>y'>c</b> <math><mi>x</mi><mo>=</mo><mn>1</mn></math><object>shown</object>")
+    assert ["".join(x) for _, x in page.blocks] == ["a < b and c x=1shown"]
+
+
+def test_unknown_licenses(spark):
+    lines = ["plain words only here", "the cat sat on the mat with a hat", "nothing to see", "numbers 1 2 3 and more text"] * 20
+    model = licenses.train(lines)
+    texts = ["Licensed under the Eclipse Public License, version 2.0.", "Released under the zlib license.", "Licensed under the European Union Public Licence, version 1.2."]
+    rows = licenses.scan(spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(0, texts[0])], "doc_id long, text string"), model).collect()
+    assert {r.doc_id for r in rows} >= {0, 1} and {r.family for r in rows} == {"unknown"}
+
+
+def test_top_k_of_huge_and_repeated_rows(spark):
+    df = spark.createDataFrame([(0, [1e20, 1.0]), (20, [1.0, 2.0]), (20, [1.0, 2.0]), (1, [3.0, 0.5]), (2, [1e300, 0.0]), (3, [3.0, 0.5])], "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(df).collect())
+    assert got == [(20, 1, 1, 64 * 192 + 128 * 32), (20, 2, 3, 64 * 192 + 128 * 32)]
+
+
+def test_filters_keep_clashing_columns(spark):
+    rows = [(1, "a fine text", 1, 2, 3, 4), (None, None, 1, 2, 3, 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _k int, _bad int, _toxicity int, _c1 int")
+    marks = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")
+    bench = spark.createDataFrame([(1, "other words here")], "item_id long, text string")
+    for kept in (toxicity.drop_toxic(df, marks), tiling.drop_contaminated(df, bench), near.drop_near_duplicates(df)):
+        assert kept.columns == df.columns and sorted(map(repr, kept.collect())) == sorted(map(repr, df.collect()))
