@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rallyframe.functions.geometry import angle, distance, midpoint, point, present, vector_angle
@@ -22,14 +22,17 @@ def wide(gated: DataFrame) -> DataFrame:
     return gated.groupBy("video_id", "frame_num", "person_idx").agg(*[one(i, c).alias(f"{n}_{c}") for i, n in enumerate(KEYPOINT_NAMES) for c in ("x", "y")])
 
 
-def primary(poses: DataFrame) -> DataFrame:
-    """The first person of each frame, whatever its index."""
-    least = poses.groupBy("video_id", "frame_num").agg(F.min("person_idx").alias("person_idx"))
-    return poses.join(least, ["video_id", "frame_num", "person_idx"])
+def primary(rows: DataFrame) -> DataFrame:
+    """The rows (poses, or keypoints) of the first person of each frame, whatever its index."""
+    first = F.min("person_idx").over(Window.partitionBy("video_id", "frame_num"))
+    names = [f"_c{i}" for i in range(len(rows.columns))]
+    marked = rows.select(*[F.col(c).alias(n) for c, n in zip(rows.columns, names, strict=True)], (F.col("person_idx") == first).alias("_first"))
+    return marked.filter("_first").select(*names).toDF(*rows.columns)
 
 
 def primary_pose(keypoints: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    return wide(gate(keypoints.filter("person_idx = 0"), p)).drop("person_idx")
+    """The wide pose of each frame's first person; choosing before the pivot takes no second shuffle."""
+    return wide(gate(primary(keypoints), p)).drop("person_idx")
 
 
 def swing_type(p: Params = DEFAULT):
@@ -122,7 +125,13 @@ def metrics_long(metrics: DataFrame) -> DataFrame:
 
 def player_box(gated: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """Box round the visible keypoints of the primary person but the head's, padded and held in the frame."""
-    seen = gated.filter("person_idx = 0 and kp_idx >= 5 and x is not null")
+    seen = primary(gated).filter("kp_idx >= 5 and x is not null")
     low = lambda c: F.greatest(F.lit(0), F.min(c) - p.box_pad)
     high = lambda c, top: F.least(F.lit(top), F.max(c) + p.box_pad)
     return seen.groupBy("video_id", "frame_num").agg(low("x").alias("x1"), low("y").alias("y1"), high("x", p.width).alias("x2"), high("y", p.height).alias("y2"))
+
+
+def metric_display(metrics: DataFrame) -> DataFrame:
+    """Display strings with units: angles in degrees, the stance in pixels, one decimal; null where there is no value."""
+    unit = {"shoulder_turn": "°", "non_dominant_arm_extension": "°", "arm_extension": "°", "left_knee_angle": "°", "right_knee_angle": "°", "hip_shoulder_separation": "°", "stance_width": "px"}
+    return metrics.select("video_id", "frame_num", *[F.when(F.col(c).isNotNull(), F.format_string(f"%.1f{u}", F.col(c))).alias(c) for c, u in unit.items()])

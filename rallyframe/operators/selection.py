@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window, SparkSession
 from pyspark.sql import functions as F
 
 from rallyframe.functions.geometry import seconds
@@ -113,6 +113,12 @@ def rejected(videos: DataFrame, frames: DataFrame, ids: DataFrame, times: DataFr
     return rows.filter("reason is not null").select("video_id", "source", "requested", "reason")
 
 
+def in_order(selected: DataFrame) -> DataFrame:
+    """Selected frames with their ``position`` in the video's ascending order, dealt out by video and sorted so for writing."""
+    w = Window.partitionBy("video_id").orderBy("frame_num", "source", "requested")
+    return selected.withColumn("position", F.row_number().over(w)).sortWithinPartitions("video_id", "position")
+
+
 def extract_summary(extracted_: DataFrame) -> DataFrame:
     per = extracted_.groupBy("video_id").count()
     return per.agg(F.count("*").alias("videos"), F.coalesce(F.sum("count"), F.lit(0)).alias("frames"))

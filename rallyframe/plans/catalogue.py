@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from rallyframe.operators import balls, motion, pose, rackets, reports, selection, tracker, trajectory
 from rallyframe.plans import oracle
 from rallyframe.sources import facts
+from rallyframe.streaming import live
+from rallyframe.streaming.replay import replay
 
 IDS = [21, 37, 62, 87, -1, 21, 99999]
 TIMES = ["00:00:01", "00:02", "2", "", "1:2:3:4", "16:04:13"]
@@ -35,6 +37,12 @@ class Facts:
     ids = property(lambda s: s.spark.createDataFrame([(i,) for i in IDS], "frame_id int"))
     times = property(lambda s: s.spark.createDataFrame([(t,) for t in TIMES], "ts string"))
 
+    @property
+    def pose_arrays(self) -> DataFrame:
+        """First persons' keypoints as one array of 17 for each frame, as a stream of poses brings them."""
+        kp = F.transform(F.array_sort(F.collect_list(F.struct("kp_idx", "x", "y", "conf"))), lambda k: F.struct(k["x"].alias("x"), k["y"].alias("y"), k["conf"].alias("conf")))
+        return pose.primary(self.keypoints).groupBy("video_id", "frame_num").agg(kp.alias("kp"))
+
     @property
     def first(self) -> DataFrame:
         """The first moving ball of each frame: the simple track, which SQL can express."""
@@ -91,6 +99,16 @@ QUERIES: dict[str, Callable[[Facts], DataFrame]] = {
     "extract_union": lambda x: selection.extracted(x.videos, x.frames, x.ids, x.times),
     "extract_summary": lambda x: selection.extract_summary(selection.extracted(x.videos, x.frames, x.ids, x.times)),
     "keyframe_card": lambda x: reports.keyframe_card(x.ids, x.frames, x.poses, x.first, x.states, x.videos),
+    "frames_in_order": lambda x: selection.in_order(selection.extracted(x.videos, x.frames, x.ids, x.times)).select("video_id", "frame_num", "source", "requested", "position"),
+    "request_lists": lambda x: selection.parse_ids(x.videos.select(F.format_string("%d, %d,x%d", F.col("video_id") % 90, "total_frames", "video_id").alias("asked")), "asked"),
+    "boundary_corners": lambda x: rackets.rackets(facts.racket_detections(x.ev)).select("video_id", "frame_num", "racket_idx", *[c.alias(n) for c, n in zip(balls.bounds(F.col("x2"), F.col("y1"), F.col("x1"), F.col("y2")), ("x1", "y1", "x2", "y2"), strict=True)]),
+    "metric_display": lambda x: pose.metric_display(pose.swing_metrics(x.poses, x.first)),
+    "live_labels": lambda x: live.label_poses(x.pose_arrays).select("video_id", "frame_num", "swing_type"),
+    "live_tracking": lambda x: replay(x.frames.join(balls.per_frame(x.candidates), ["video_id", "frame_num"], "left").select("video_id", "frame_num", "event_time", "balls"), lambda s: live.track(s, idle=None)),
+    "live_racket_carry": lambda x: replay(x.frames.select("video_id", "frame_num").join(x.found, ["video_id", "frame_num"], "left").select("video_id", "frame_num", "x1", "y1", "x2", "y2"), lambda s: live.carry_racket(s, idle=None)),
+    "live_checkpoints": lambda x: live.checkpoints(x.frames.join(x.first, ["video_id", "frame_num"], "left"), gap="365 days"),
+    "live_progress": lambda x: live.progress(x.frames).select("video_id", F.unix_seconds("second").alias("second"), "frames"),
+    "live_rallies": lambda x: live.rallies(x.frames.join(x.first, ["video_id", "frame_num"]), gap="1 hour").select("video_id", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"), "frames"),
     "run_summary": lambda x: reports.run_summary(x.frames),
     "progress": lambda x: reports.progress(x.frames, x.videos),
     "ball_speed": lambda x: motion.ball_speed(x.first, x.videos),

@@ -17,13 +17,15 @@ raw AS (SELECT v AS video_id, f AS frame_num, d.k AS det_idx, CAST(d.x AS INTEGE
     CASE WHEN kind <> 'signup' THEN {'k': 1, 'x': 900 + v % 50 + e % 3, 'y': 600 + e % 2} END,
     CASE WHEN e % 3 = 0 THEN {'k': 2, 'x': 500 + (e * 37) % 1100, 'y': 300 + (e * 53) % 800} END]) AS d
     FROM ev WHERE f % 40 NOT BETWEEN 30 AND 37) WHERE d IS NOT NULL),
-kp AS (SELECT v AS video_id, f AS frame_num, 0 AS person_idx, CAST(i AS INTEGER) AS kp_idx,
-  900 + (e * (7 + 2 * i) + i * 31) % 200 AS x, 450 + i * 20 + (e * (3 + i)) % 60 AS y,
-  CAST(55 + (e * (2 * i + 3) + 7 * i) % 100 AS DOUBLE) / CAST(154 AS DOUBLE) AS conf
-  FROM (SELECT v, f, e, unnest(range(17)) AS i FROM ev WHERE e % 11 <> 0)),
+kp AS (SELECT v AS video_id, f AS frame_num, CAST(p AS INTEGER) AS person_idx, CAST(i AS INTEGER) AS kp_idx,
+  900 + (e * (7 + 2 * i) + i * 31 + p * 137) % 200 AS x, 450 + i * 20 + (e * (3 + i) + p * 9) % 60 AS y,
+  CAST(55 + (e * (2 * i + 3) + 7 * i + p * 41) % 100 AS DOUBLE) / CAST(154 AS DOUBLE) AS conf
+  FROM (SELECT v, f, e, p, unnest(range(17)) AS i FROM (SELECT v, f, e, unnest(range(CASE WHEN e % 5 = 0 THEN 2 ELSE 1 END)) AS p FROM ev) WHERE p = 1 OR e % 11 <> 0)),
 gate AS (SELECT video_id, frame_num, person_idx, kp_idx, conf,
   CASE WHEN conf IS NULL OR conf > 0.5 THEN CAST(x AS INTEGER) END AS x, CASE WHEN conf IS NULL OR conf > 0.5 THEN CAST(y AS INTEGER) END AS y FROM kp),
-pose AS (SELECT video_id, frame_num, person_idx, @PIVOT FROM gate GROUP BY ALL),
+poses AS (SELECT video_id, frame_num, person_idx, @PIVOT FROM gate GROUP BY ALL),
+pose AS (SELECT * FROM poses QUALIFY person_idx = min(person_idx) OVER (PARTITION BY video_id, frame_num)),
+gate1 AS (SELECT * FROM gate QUALIFY person_idx = min(person_idx) OVER (PARTITION BY video_id, frame_num)),
 inb AS (SELECT * FROM raw WHERE radius BETWEEN 3 AND 15 AND x BETWEEN 650 AND 1420 AND y BETWEEN 410 AND 980),
 mov AS (SELECT video_id, frame_num, det_idx, x, y FROM inb b WHERE NOT EXISTS (SELECT 1 FROM inb q WHERE q.video_id = b.video_id
   AND q.frame_num = b.frame_num - 1 AND sqrt(CAST((q.x - b.x) * (q.x - b.x) + (q.y - b.y) * (q.y - b.y) AS DOUBLE)) < 8)),
@@ -66,7 +68,7 @@ cs AS (SELECT *, count(*) OVER (PARTITION BY video_id, c) AS n, CAST(row_number(
   sqrt(CAST(power(x - lag(x) OVER w, 2) + power(y - lag(y) OVER w, 2) AS DOUBLE)) AS d FROM ch WINDOW w AS (PARTITION BY video_id, c ORDER BY frame_num)),
 ob AS (SELECT *, coalesce(n >= 3 AND d > avg(d) OVER q + 3 * stddev_pop(d) OVER q, false) AS bad FROM cs WINDOW q AS (PARTITION BY video_id, c)),
 box AS (SELECT video_id, frame_num, greatest(0, min(x) - 20) AS x1, greatest(0, min(y) - 20) AS y1, least(1920, max(x) + 20) AS x2, least(1080, max(y) + 20) AS y2
-  FROM gate WHERE kp_idx >= 5 AND x IS NOT NULL GROUP BY ALL),
+  FROM gate1 WHERE kp_idx >= 5 AND x IS NOT NULL GROUP BY ALL),
 dir AS (SELECT video_id, frame_num, sqrt(power(x - (x1 + x2) / 2.0, 2) + power(y - (y1 + y2) / 2.0, 2)) AS distance FROM first JOIN box USING (video_id, frame_num))
 """.replace("@PIVOT", ", ".join(f"max(CASE WHEN kp_idx = {i} THEN {c} END) AS {n}_{c}" for i, n in enumerate(KEYPOINT_NAMES) for c in "xy"))
 
@@ -127,7 +129,7 @@ ASSEMBLED = f"""SELECT f.video_id, f.frame_num, coalesce({LABEL.replace("CASE WH
 
 SELECT = {
     "pose_gate": "SELECT video_id, frame_num, person_idx, kp_idx, x, y, round(conf, 4) AS conf FROM gate",
-    "pose_wide": "SELECT * FROM pose",
+    "pose_wide": "SELECT * FROM poses",
     "primary_person": "SELECT video_id, frame_num, min(person_idx) AS person_idx FROM pose GROUP BY ALL",
     "swing_label": f"SELECT f.video_id, f.frame_num, CASE WHEN p.video_id IS NULL THEN 'No Swing' ELSE {LABEL} END AS swing_type FROM frames f LEFT JOIN pose p ON p.video_id = f.video_id AND p.frame_num = f.frame_num",
     "elbow_angles": f"SELECT video_id, frame_num, {r4(ARMS['left'], 'left_elbow_angle')}, {r4(ARMS['right'], 'right_elbow_angle')} FROM pose",
@@ -181,6 +183,19 @@ SELECT = {
       {WORDS['stance_type']} AS stance_type, {r4(KNEES['left'], 'left_knee_angle')}, {r4(KNEES['right'], 'right_knee_angle')}
       FROM frames f JOIN ids ON frame_id = f.frame_num JOIN videos v ON v.video_id = f.video_id LEFT JOIN pose p ON p.video_id = f.video_id AND p.frame_num = f.frame_num
       JOIN state s ON s.video_id = f.video_id AND s.frame_num = f.frame_num""",
+    "frames_in_order": "SELECT video_id, frame_num, source, requested, CAST(row_number() OVER (PARTITION BY video_id ORDER BY frame_num, source, requested) AS INTEGER) AS position FROM (SELECT * FROM byid UNION ALL SELECT * FROM bytime)",
+    "request_lists": "SELECT try_cast(trim(unnest(string_split((video_id % 90) || ', ' || total_frames || ',x' || video_id, ','))) AS INTEGER) AS frame_id FROM videos",
+    "boundary_corners": "SELECT video_id, frame_num, racket_idx, x1, y1, x2, y2 FROM rk",
+    "metric_display": f"WITH m AS (SELECT p.video_id, p.frame_num, {', '.join(f'{x} AS {n}' for n, x in METRICS.items())} FROM {POSE_BALL}) SELECT video_id, frame_num, "
+    + ", ".join(f"printf('%.1f{'px' if n == 'stance_width' else '°'}', {n}) AS {n}" for n in METRICS) + " FROM m",
+    "live_labels": f"SELECT p.video_id, p.frame_num, {LABEL} AS swing_type FROM pose p",
+    "live_racket_carry": "SELECT video_id, frame_num, x1, y1, x2, y2, last_seen_frame, false AS late FROM carry",
+    "live_checkpoints": "SELECT video_id, CAST(frame_num // 30 AS INTEGER) AS checkpoint, count(x) AS points, round(avg(x), 4) AS x, round(avg(y), 4) AS y FROM frames LEFT JOIN first USING (video_id, frame_num) GROUP BY ALL",
+    "live_progress": "SELECT video_id, epoch_us(processed_at) // 1000000 AS second, count(*) AS frames FROM frames GROUP BY ALL",
+    "live_rallies": """WITH a AS (SELECT video_id, epoch_us(processed_at) AS t FROM frames JOIN first USING (video_id, frame_num)),
+      b AS (SELECT *, coalesce(t - lag(t) OVER (PARTITION BY video_id ORDER BY t) > 3600000000, true) AS fresh FROM a),
+      c AS (SELECT *, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY video_id ORDER BY t) AS s FROM b)
+      SELECT video_id, min(t) AS start, max(t) + 3600000000 AS "end", count(*) AS frames FROM c GROUP BY video_id, s""",
     "run_summary": """WITH s AS (SELECT video_id, count(*) AS frames, (epoch_us(max(processed_at)) - epoch_us(min(processed_at))) / 1000000.0::DOUBLE AS seconds FROM frames GROUP BY video_id)
       SELECT video_id, frames, round(seconds, 4) AS seconds, round(CASE WHEN seconds > 0 THEN frames / seconds ELSE 0.0 END, 4) AS average_fps FROM s""",
     "progress": """WITH a AS (SELECT f.*, min(processed_at) OVER (PARTITION BY video_id) AS start FROM frames f),

@@ -38,12 +38,13 @@ def ball_detections(ev: DataFrame) -> DataFrame:
 
 
 def keypoints(ev: DataFrame) -> DataFrame:
-    k = ev.filter("e % 11 <> 0").select("v", "f", "e", F.explode(F.sequence(F.lit(0), F.lit(len(KEYPOINT_NAMES) - 1))).alias("i"))
+    people = ev.select("v", "f", "e", F.explode(F.expr("sequence(0, case when e % 5 = 0 then 1 else 0 end)")).alias("p")).filter("p = 1 or e % 11 <> 0")
+    k = people.select("v", "f", "e", "p", F.explode(F.sequence(F.lit(0), F.lit(len(KEYPOINT_NAMES) - 1))).alias("i"))
     return k.selectExpr(
-        "v as video_id", "f as frame_num", "0 as person_idx", "i as kp_idx",
-        "cast(900 + (e * (7 + 2 * i) + i * 31) % 200 as double) as x",
-        "cast(450 + i * 20 + (e * (3 + i)) % 60 as double) as y",
-        "cast(55 + (e * (2 * i + 3) + 7 * i) % 100 as double) / 154D as conf",
+        "v as video_id", "f as frame_num", "p as person_idx", "i as kp_idx",
+        "cast(900 + (e * (7 + 2 * i) + i * 31 + p * 137) % 200 as double) as x",
+        "cast(450 + i * 20 + (e * (3 + i) + p * 9) % 60 as double) as y",
+        "cast(55 + (e * (2 * i + 3) + 7 * i + p * 41) % 100 as double) / 154D as conf",
     )
 
 

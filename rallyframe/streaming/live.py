@@ -82,7 +82,10 @@ def track(frames: DataFrame, p: Params = DEFAULT, idle: str | None = "10 minutes
 
 
 def carry_racket(found: DataFrame, p: Params = DEFAULT, idle: str | None = "10 minutes") -> DataFrame:
-    """The player's racket in each frame of a stream (video_id, frame_num, x1, y1, x2, y2; null without one), kept for ``racket_lost_frames``."""
+    """The player's racket in each frame of a stream (video_id, frame_num, x1, y1, x2, y2; null without one), kept for ``racket_lost_frames``.
+
+    Frames at or before the last one taken come out with ``late`` set and no racket.
+    """
 
     def run(key, batches, state: GroupState):
         if state.hasTimedOut:
@@ -92,26 +95,27 @@ def carry_racket(found: DataFrame, p: Params = DEFAULT, idle: str | None = "10 m
         rows = []
         for r in pd.concat(list(batches)).sort_values("frame_num", kind="stable").itertuples():
             if at is not None and r.frame_num <= at:
+                rows.append((key[0], int(r.frame_num), None, None, None, None, None, True))
                 continue
             at = int(r.frame_num)
             if r.x1 == r.x1 and r.x1 is not None:
                 seen, box = at, [int(r.x1), int(r.y1), int(r.x2), int(r.y2)]
             if seen is not None and at - seen > p.racket_lost_frames:
                 seen, box = None, None
-            rows.append((key[0], at, *(box or [None] * 4), seen))
+            rows.append((key[0], at, *(box or [None] * 4), seen, False))
         state.update((at, seen, box))
         if idle:
             state.setTimeoutDuration(int(pd.Timedelta(idle).total_seconds() * 1000))
-        yield pd.DataFrame(rows, columns=["video_id", "frame_num", "x1", "y1", "x2", "y2", "last_seen_frame"]).astype({c: "Int32" for c in ("x1", "y1", "x2", "y2", "last_seen_frame")})
+        yield pd.DataFrame(rows, columns=["video_id", "frame_num", "x1", "y1", "x2", "y2", "last_seen_frame", "late"]).astype({c: "Int32" for c in ("x1", "y1", "x2", "y2", "last_seen_frame")})
 
-    return found.groupBy("video_id").applyInPandasWithState(run, "video_id long, frame_num int, x1 int, y1 int, x2 int, y2 int, last_seen_frame int", "at int, seen int, box array<int>", "append", timeout(idle))
+    return found.groupBy("video_id").applyInPandasWithState(run, "video_id long, frame_num int, x1 int, y1 int, x2 int, y2 int, last_seen_frame int, late boolean", "at int, seen int, box array<int>", "append", timeout(idle))
 
 
-def checkpoints(points: DataFrame, p: Params = DEFAULT, delay: str = "1 minute") -> DataFrame:
+def checkpoints(points: DataFrame, p: Params = DEFAULT, delay: str = "1 minute", gap: str = "1 hour") -> DataFrame:
     """Points and centre of each tumbling run of ``checkpoint_frames`` frames of a stream (video_id, frame_num, event_time, x, y)."""
     run = F.floor(F.col("frame_num") / p.checkpoint_frames).cast("int").alias("checkpoint")
-    w = F.window("event_time", "1 hour")  # bounds the state of a run; runs that pass a full hour come in two parts
-    return points.withWatermark("event_time", delay).groupBy("video_id", run, w).agg(F.count("x").alias("points"), F.avg("x").alias("x"), F.avg("y").alias("y")).drop("window")
+    w = F.session_window("event_time", gap)  # a run is done, and its state goes, once nothing came for ``gap``
+    return points.withWatermark("event_time", delay).groupBy("video_id", run, w).agg(F.count("x").alias("points"), F.avg("x").alias("x"), F.avg("y").alias("y")).drop("session_window")
 
 
 def progress(frames: DataFrame, delay: str = "10 seconds", every: str = "1 second") -> DataFrame:
