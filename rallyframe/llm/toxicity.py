@@ -107,7 +107,7 @@ def labelled_features(docs: DataFrame, labels: DataFrame, p: Ftrl, label: str, h
     id_type = dict(rows.dtypes)["_id"]
     found = rows.mapInArrow(featurise, f"_id {id_type}, _y int, f binary").collect()
     found.sort(key=lambda r: (hash_order(r["_id"]), r["f"]))
-    return [(np.frombuffer(r["f"], "<u4").astype(np.int64), r["_y"]) for r in found]
+    return [(np.frombuffer(r["f"], "<u4"), r["_y"]) for r in found]
 
 
 def hash_order(value) -> bytes:
