@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,22 +74,30 @@ def box_overlaps(boxes: DataFrame) -> DataFrame:
 
 
 def player_ids(boxes: DataFrame, least: float = 0.3) -> DataFrame:
-    """Chains of boxes that overlap by ``least`` or more get one player_id; a previous box goes to one box only (the best, then the lower index)."""
+    """Chains of boxes that overlap by ``least`` or more get one player_id; a previous box goes to one box only (the best, then the lower index).
+
+    Windows number the boxes that start a chain, in order of frame, overlap and index. The numbers then go along the chains
+    in segments that start where no box is linked with the frame before, dealt out apart from each other.
+    """
     links = box_overlaps(boxes).filter(F.col("iou") >= least)
     rows = boxes.select(*BY_FRAME, "person_idx").join(links, [*BY_FRAME, "person_idx"], "left")
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["frame_num", "iou", "person_idx"], ascending=[True, False, True], na_position="last")
-        ids, last, at, new = {}, {}, None, 0
-        out = []
-        for f, person, previous in zip(pdf["frame_num"], pdf["person_idx"], pdf["previous_idx"], strict=True):
-            if f != at:
-                last, ids, at = (ids if at is not None and f == at + 1 else {}), {}, f
-            got = last.pop(previous, None) if previous == previous else None
-            if got is None:
-                got, new = new, new + 1
-            ids[person] = got
-            out.append(got)
-        return pd.DataFrame({"video_id": pdf["video_id"], "frame_num": pdf["frame_num"], "person_idx": pdf["person_idx"], "player_id": out})
-
-    return rows.groupBy("video_id").applyInPandas(chain, "video_id long, frame_num int, person_idx int, player_id int")
+    best = Window.partitionBy(*BY_FRAME, "previous_idx").orderBy(F.col("iou").desc(), "person_idx")
+    rows = rows.withColumn("starts", F.col("previous_idx").isNull() | (F.row_number().over(best) > 1))
+    order = in_order().orderBy("frame_num", F.col("iou").desc_nulls_last(), "person_idx").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("new_id", F.when(F.col("starts"), F.sum(F.col("starts").cast("int")).over(order) - 1))
+    linked = F.max(~F.col("starts")).over(Window.partitionBy(*BY_FRAME))
+    rows = rows.withColumn("linked", linked).withColumn("segment", F.sum((~F.col("linked")).cast("int")).over(in_order()))
+    dealt = rows.select(*BY_FRAME, "person_idx", "previous_idx", "new_id", "segment").repartition("video_id", "segment").sortWithinPartitions("video_id", "segment", "frame_num")
+
+    def follow(batches):
+        last, ids, at = {}, {}, None
+        for b in batches:
+            got = []
+            for v, f, person, previous, new in zip(*(b[c].to_pylist() for c in (*BY_FRAME, "person_idx", "previous_idx", "new_id")), strict=True):
+                if (v, f) != at:
+                    last, ids, at = ids, {}, (v, f)
+                got.append(last[previous] if new is None else new)
+                ids[person] = got[-1]
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in (*BY_FRAME, "person_idx")), pa.array(got, pa.int32())], names=[*BY_FRAME, "person_idx", "player_id"])
+
+    return dealt.mapInArrow(follow, "video_id long, frame_num int, person_idx int, player_id int")

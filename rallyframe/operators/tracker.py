@@ -7,15 +7,14 @@ are tracked apart from each other: a long video is many small groups.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rallyframe.params import DEFAULT, Params
 
 Ball = tuple[int, int]
+OUT = pa.schema([("video_id", pa.int64()), ("frame_num", pa.int32()), ("x", pa.int32()), ("y", pa.int32())])
 
 
 class Tracker:
@@ -76,24 +75,26 @@ def segments(moving: DataFrame, p: Params = DEFAULT) -> DataFrame:
     return moving.filter(F.size("balls") > 0).withColumn("segment_id", F.sum(F.when(gap, 1).otherwise(0)).over(w).cast("int")).select("video_id", "frame_num", "segment_id", "balls")
 
 
-def walk(frames: Iterable[tuple[int, list[Ball]]], p: Params) -> Iterator[tuple[int, Ball]]:
-    """Tracks (frame_num, balls) in order; frames missing between two are empty ones."""
-    tracker, at = Tracker(p), None
-    for n, balls in frames:
-        for _ in range(0 if at is None else n - at - 1):
-            tracker.step([])
-        at = n
-        if (ball := tracker.step(balls)) is not None:
-            yield n, ball
-
-
 def active_ball(moving: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """(video_id, frame_num, x, y) of frames that have an active ball; ``moving`` as balls.moving_by_frame makes it."""
-
-    def track(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame_num")
-        frames = ((int(n), [(int(b["x"]), int(b["y"])) for b in balls]) for n, balls in zip(pdf["frame_num"], pdf["balls"], strict=True))
-        rows = [(key[0], n, x, y) for n, (x, y) in walk(frames, p)]
-        return pd.DataFrame(rows, columns=["video_id", "frame_num", "x", "y"])
-
-    return segments(moving, p).groupBy("video_id", "segment_id").applyInPandas(track, "video_id long, frame_num int, x int, y int")
+    """(video_id, frame_num, x, y) of frames that have an active ball; ``moving`` as balls.moving_by_frame makes it.
+
+    Segments are dealt out by hash and stand in order in their partition, so a task walks through many of them
+    and through batches of a long one with the state of one tracker in memory.
+    """
+
+    def track(batches):
+        tracker, key, at = None, None, 0
+        for b in batches:
+            found = []
+            for v, s, n, balls in zip(*(b[c].to_pylist() for c in ("video_id", "segment_id", "frame_num", "balls")), strict=True):
+                if (v, s) != key:
+                    tracker, key, at = Tracker(p), (v, s), n - 1
+                for _ in range(n - at - 1):  # frames missing between two are empty ones
+                    tracker.step([])
+                at = n
+                if (ball := tracker.step([(x["x"], x["y"]) for x in balls])) is not None:
+                    found.append((v, n, *ball))
+            yield pa.RecordBatch.from_pylist([dict(zip(OUT.names, r, strict=True)) for r in found], schema=OUT)
+
+    dealt = segments(moving, p).repartition("video_id", "segment_id").sortWithinPartitions("video_id", "segment_id", "frame_num")
+    return dealt.mapInArrow(track, "video_id long, frame_num int, x int, y int")

@@ -142,9 +142,10 @@ def lines(points: DataFrame, p: Params = DEFAULT, first: int = 30) -> DataFrame:
     return rows.filter((F.col("i") > 1) & (F.col("i") <= first)).select("video_id", (F.col("i") - 1).alias("piece"), "from_x", "from_y", F.col("x").alias("to_x"), F.col("y").alias("to_y"))
 
 
-def still_runs(points: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """Runs of ``static_frames`` steps or more, each under ``static_movement``: first and last frame and number of steps."""
-    rows = points.withColumn("still", F.coalesce(step() < p.static_movement, F.lit(False)))
-    rows = rows.withColumn("run", F.sum(F.when(F.col("still"), 0).otherwise(1)).over(in_order()))
-    runs = rows.groupBy("video_id", "run").agg(F.min("frame_num").alias("first_frame"), F.max("frame_num").alias("last_frame"), F.sum(F.col("still").cast("int")).alias("steps"))
-    return runs.filter(F.col("steps") >= p.static_frames).select("video_id", "first_frame", "last_frame", "steps")
+def still_runs(points: DataFrame, p: Params = DEFAULT, by: tuple[str, ...] = ("video_id",)) -> DataFrame:
+    """Runs of ``static_frames`` steps or more, each under ``static_movement``: first and last frame and number of steps, for each track ``by``."""
+    w = Window.partitionBy(*by).orderBy("frame_num")
+    rows = points.withColumn("still", F.coalesce(step(w=w) < p.static_movement, F.lit(False)))
+    rows = rows.withColumn("run", F.sum(F.when(F.col("still"), 0).otherwise(1)).over(w))
+    runs = rows.groupBy(*by, "run").agg(F.min("frame_num").alias("first_frame"), F.max("frame_num").alias("last_frame"), F.sum(F.col("still").cast("int")).alias("steps"))
+    return runs.filter(F.col("steps") >= p.static_frames).select(*by, "first_frame", "last_frame", "steps")

@@ -87,7 +87,7 @@ QUERIES: dict[str, Callable[[Facts], DataFrame]] = {
     "trail8": lambda x: trajectory.trail(x.frames, x.first),
     "history40": lambda x: trajectory.history(x.first),
     "track_lines": lambda x: trajectory.lines(x.first),
-    "stationary_runs": lambda x: trajectory.still_runs(x.detections.filter("det_idx = 1").select("video_id", "frame_num", "x", "y")),
+    "stationary_runs": lambda x: trajectory.still_runs(x.detections.select("video_id", "det_idx", "frame_num", "x", "y"), by=("video_id", "det_idx")),
     "frame_assembly": lambda x: reports.frame_assembly(x.frames, x.poses, x.first, x.states),
     "tracked_frames": lambda x: reports.frame_assembly(x.frames, x.poses, x.active, rackets.states(x.carried, x.active)),
     "video_catalogue": lambda x: selection.names(selection.catalogue(x.videos)).select("video_id", "path", "video_name", "annotated_path", "frames_dir", "named_frames_dir"),

@@ -163,9 +163,9 @@ SELECT = {
     "track_lines": """WITH h AS (SELECT * FROM first QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY frame_num DESC) <= 40),
       i AS (SELECT video_id, row_number() OVER w AS i, lag(x) OVER w AS from_x, lag(y) OVER w AS from_y, x AS to_x, y AS to_y FROM h WINDOW w AS (PARTITION BY video_id ORDER BY frame_num))
       SELECT video_id, CAST(i - 1 AS INTEGER) AS piece, from_x, from_y, to_x, to_y FROM i WHERE i BETWEEN 2 AND 30""",
-    "stationary_runs": """WITH a AS (SELECT video_id, frame_num, coalesce(sqrt(power(x - lag(x) OVER w, 2) + power(y - lag(y) OVER w, 2)) < 5, false) AS still FROM raw WHERE det_idx = 1 WINDOW w AS (PARTITION BY video_id ORDER BY frame_num)),
-      b AS (SELECT *, sum(CASE WHEN still THEN 0 ELSE 1 END) OVER (PARTITION BY video_id ORDER BY frame_num) AS g FROM a)
-      SELECT video_id, min(frame_num) AS first_frame, max(frame_num) AS last_frame, CAST(sum(CASE WHEN still THEN 1 ELSE 0 END) AS BIGINT) AS steps FROM b GROUP BY video_id, g HAVING sum(CASE WHEN still THEN 1 ELSE 0 END) >= 8""",
+    "stationary_runs": """WITH a AS (SELECT video_id, det_idx, frame_num, coalesce(sqrt(power(x - lag(x) OVER w, 2) + power(y - lag(y) OVER w, 2)) < 5, false) AS still FROM raw WINDOW w AS (PARTITION BY video_id, det_idx ORDER BY frame_num)),
+      b AS (SELECT *, sum(CASE WHEN still THEN 0 ELSE 1 END) OVER (PARTITION BY video_id, det_idx ORDER BY frame_num) AS g FROM a)
+      SELECT video_id, det_idx, min(frame_num) AS first_frame, max(frame_num) AS last_frame, CAST(sum(CASE WHEN still THEN 1 ELSE 0 END) AS BIGINT) AS steps FROM b GROUP BY video_id, det_idx, g HAVING sum(CASE WHEN still THEN 1 ELSE 0 END) >= 8""",
     "frame_assembly": ASSEMBLED,
     "video_catalogue": """SELECT video_id, path, video_name, regexp_extract(path, '(.*)/', 1) || '/out/' || regexp_extract(path, '[^/]*$') AS annotated_path,
       regexp_extract(path, '(.*)/', 1) || '/frames' AS frames_dir, regexp_extract(path, '(.*)/', 1) || '/frames/' || video_name AS named_frames_dir FROM named WHERE lower(path) NOT LIKE '%.txt'""",
@@ -220,6 +220,10 @@ SELECT = {
     "player_overlap": """WITH j AS (SELECT b.video_id, b.frame_num, greatest(0, least(b.x2, q.x2) - greatest(b.x1, q.x1)) * greatest(0, least(b.y2, q.y2) - greatest(b.y1, q.y1)) AS inner_area,
       (b.x2 - b.x1) * (b.y2 - b.y1) AS ab, (q.x2 - q.x1) * (q.y2 - q.y1) AS aq FROM box b JOIN box q ON q.video_id = b.video_id AND q.frame_num = b.frame_num - 1)
       SELECT video_id, frame_num, 0 AS person_idx, 0 AS previous_idx, round(inner_area / CAST(ab + aq - inner_area AS DOUBLE), 4) AS iou FROM j WHERE inner_area > 0""",
+    "player_ids": """WITH j AS (SELECT b.video_id, b.frame_num, greatest(0, least(b.x2, q.x2) - greatest(b.x1, q.x1)) * greatest(0, least(b.y2, q.y2) - greatest(b.y1, q.y1)) AS inner_area,
+      (b.x2 - b.x1) * (b.y2 - b.y1) AS ab, (q.x2 - q.x1) * (q.y2 - q.y1) AS aq FROM box b LEFT JOIN box q ON q.video_id = b.video_id AND q.frame_num = b.frame_num - 1)
+      SELECT video_id, frame_num, 0 AS person_idx, CAST(sum(CASE WHEN inner_area > 0 AND inner_area / CAST(ab + aq - inner_area AS DOUBLE) >= 0.3 THEN 0 ELSE 1 END)
+      OVER (PARTITION BY video_id ORDER BY frame_num) - 1 AS INTEGER) AS player_id FROM j""",
 }
 
 

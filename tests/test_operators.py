@@ -179,6 +179,41 @@ def test_player_ids_follow_boxes(spark):
     assert ids[0, 0] == ids[1, 1] != ids[1, 0] and ids[3, 0] not in (ids[1, 1], ids[1, 0])
 
 
+def test_player_ids_equal_a_walk(spark):
+    rng = random.Random(4)
+    rows = []
+    for v in (1, 2):
+        for f in range(60):
+            for person in range(rng.choice([0, 1, 2, 3])):
+                x = rng.choice([0, 4, 30, 34])
+                rows.append((v, f, person, x, 0, x + 10, 10))
+    boxes = spark.createDataFrame(rows, "video_id long, frame_num int, person_idx int, x1 int, y1 int, x2 int, y2 int")
+    want = {}
+    for v in (1, 2):
+        before, new = {}, 0
+        for f in range(60):
+            here = {r[2]: r[3] for r in rows if r[:2] == (v, f)}
+            share = lambda a, b: max(0, 10 - abs(a - b)) / (20 - max(0, 10 - abs(a - b)))
+            best = {}
+            for person, x in here.items():
+                found = sorted((-share(x, bx), q) for q, (bx, _) in before.items() if share(x, bx) >= 0.3)
+                if found:
+                    best[person] = found[0]
+            now, taken = {}, set()
+            for person in sorted(here, key=lambda i: (best[i][0] if i in best else 1, i)):
+                q = best.get(person, (0, None))[1]
+                if q is None or q in taken:
+                    got, new = new, new + 1
+                else:
+                    got = before[q][1]
+                    taken.add(q)
+                now[person] = (here[person], got)
+                want[v, f, person] = got
+            before = now
+    got = {(r.video_id, r.frame_num, r.person_idx): r.player_id for r in motion.player_ids(boxes).collect()}
+    assert got == want
+
+
 def test_metadata_fallbacks(spark):
     v = spark.createDataFrame([(1, "/a/b.MP4", 1, 1, 29.97, 0), (2, "/a/c.avi", 1, 1, 0.0, 0), (3, None, 1, 1, 25.0, 50)], "video_id long, path string, width int, height int, fps double, total_frames int")
     m = {r.video_id: r for r in selection.metadata(v).collect()}
