@@ -27,7 +27,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rallyframe.llm.shared import broadcast_if_small, discard, row_key, stored
@@ -188,7 +188,7 @@ def links_within_buckets(members: DataFrame, sets: DataFrame, percent: int, comp
     Round 0 takes one bucket in ``FIRST``, to connect most nodes with few pairs; round 1 takes a star in each
     bucket that still has several components, the rounds after it more centres until none is left.
     """
-    round_, rare = 0, None
+    round_, rare, whole = 0, None, None
     while True:
         m = members.filter(F.pmod(F.xxhash64("key"), F.lit(FIRST)) == 0) if round_ == 0 else members
         if comp is None:
@@ -201,20 +201,20 @@ def links_within_buckets(members: DataFrame, sets: DataFrame, percent: int, comp
         large = parts.groupBy("key").agg(F.max(F.struct("n", "comp")).comp.alias("large"), F.count("*").alias("parts"), F.max("top").alias("c")).filter("parts > 1")
         large = stored(large.select("key", "large", "c"), "large")
         if round_ > 1:  # only buckets that still have several components go on
-            before, m = m, stored(m.join(large.select("key"), "key", "left_semi"), "open")
-            discard(before)
+            before, m = m, m.join(large.select("key", "large"), "key")
             if rare is None:
-                rare = stored(rarest(sets, m.select("node").distinct(), percent), "rare")
-                before, m = m, stored(m.join(rare, "node"), "open")
-                discard(before)
-            # Members outside the largest part, some of each bucket at once.
-            outside = m.join(large.select("key", "large"), "key").filter("comp <> large")
-            centres = outside.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(LANES)).alias("lane")).agg(F.max(here).alias("c")).select("key", "c")
+                whole = stored(m, "open")
+                rare = stored(rarest(sets, whole.select("node").distinct(), percent), "rare")
+                m = whole.join(rare, "node")
+            # Members outside the largest part lead, some of each bucket at once.
+            outside = F.col("comp") != F.col("large")
+            lane = Window.partitionBy("key", outside, F.pmod(F.xxhash64("node"), F.lit(LANES))).orderBy(F.col("weight").desc(), F.col("node").desc())
+            m = stored(m.withColumn("leads", outside & (F.row_number().over(lane) == 1)), "open")
+            discard(before, whole)
+            whole = None
+            centres = m.filter("leads").select("key", F.col("node").alias("c"), F.col("size").alias("c_size"), F.col("comp").alias("c_comp"), F.col("rare").alias("c_rare"))
         else:  # the member that meets most others
-            centres = large.select("key", "c")
-        centres = centres.select("key", F.col("c.node").alias("c"), F.col("c.size").alias("c_size"), F.col("c.comp").alias("c_comp"))
-        if rare is not None:
-            centres = centres.join(rare.select(F.col("node").alias("c"), F.col("rare").alias("c_rare")), "c")
+            centres = large.select("key", F.col("c.node").alias("c"), F.col("c.size").alias("c_size"), F.col("c.comp").alias("c_comp"))
         centres = stored(centres, "centres")
         if round_ > 0 and centres.isEmpty():
             discard(m, large, centres)
@@ -225,13 +225,13 @@ def links_within_buckets(members: DataFrame, sets: DataFrame, percent: int, comp
         pairs = m.join(centres, "key").filter((F.col("comp") != F.col("c_comp")) & alike).select(F.least("c", "node").alias("a"), F.greatest("c", "node").alias("b")).distinct()
         links = confirmed(pairs, sets, percent)
         if not links.isEmpty():
-            whole = links if comp is None else links.unionByName(comp.filter("x <> label").select(F.col("label").alias("a"), F.col("x").alias("b")))
-            before, comp = comp, components(whole)
+            known = links if comp is None else links.unionByName(comp.filter("x <> label").select(F.col("label").alias("a"), F.col("x").alias("b")))
+            before, comp = comp, components(known)
             discard(before)
         discard(links, large)
         if round_ > 1:
             # Centres are done: each was held against every member of its bucket that isn't connected with it.
-            before, members = members, stored(m.join(centres.select("key", F.col("c").alias("node")), ["key", "node"], "left_anti").drop("comp"), "rest")
+            before, members = members, stored(m.filter(~F.col("leads")).drop("comp", "large", "leads"), "rest")
             discard(before)
         discard(m, centres)
         round_ += 1
