@@ -37,7 +37,7 @@ MAX_CELLS = 1 << 28
 SLICE_BITS = 17
 ROWS = 2  #: of the sketch
 ANCHOR = 8
-PLACE_BITS = 28
+PLACE_BITS = 31  #: a text of at most 2 GB has fewer words
 CHUNK_WINDOWS = 1 << 20
 
 
