@@ -71,6 +71,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rallyframe.llm.align import aligned
+
+    return aligned(read(spark, sf_dir, "documents"), digest=True)
+
+
 def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rallyframe.llm.pieces import digests
 
