@@ -77,3 +77,34 @@ b AS (
 )
 SELECT page_id, url, array_to_string(l, chr(10)) AS text, length(array_to_string(l, chr(10))) AS n_chars FROM b
 """
+
+# Counts by one row for each run of words; sums and products in 128 bits.
+ORACLE["op11_phrase_mining"] = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents
+),
+q AS (SELECT lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+f AS (
+  SELECT lang, g, count(*) AS f FROM (
+    SELECT lang, unnest(list_transform(range(1, len(w) - m + 2), lambda i: list_slice(w, i, i + m - 1))) AS g
+    FROM (SELECT lang, w, unnest(range(1, 6)) AS m FROM q) WHERE len(w) >= m
+  ) GROUP BY lang, g
+),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM q GROUP BY lang),
+c AS (SELECT lang, g, f AS a FROM f WHERE len(g) >= 2 AND f >= 100),
+k AS (SELECT lang, g, a, unnest(range(1, len(g))) AS k FROM c),
+s AS (
+  SELECT k.lang, k.g, a, k, x.f AS l, y.f AS r, n, (CAST(1000 AS HUGEINT) * a * n) // (CAST(x.f AS HUGEINT) * y.f) AS score
+  FROM k JOIN n USING (lang) JOIN f x ON x.lang = k.lang AND x.g = list_slice(k.g, 1, k) JOIN f y ON y.lang = k.lang AND y.g = list_slice(k.g, k + 1, len(k.g))
+),
+best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+inside AS (
+  SELECT DISTINCT b.lang, b.g FROM c JOIN (SELECT 1) ON true, unnest(range(2, len(c.g))) t(m), unnest(range(1, len(c.g) - m + 2)) u(i)
+  JOIN c b ON b.lang = c.lang AND b.g = list_slice(c.g, i, i + m - 1) AND c.a >= b.a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank,
+  array_to_string(g, ' ') AS phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM best ANTI JOIN inside USING (lang, g)
+QUALIFY rank <= 2000
+"""
