@@ -115,22 +115,30 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                 size = np.diff(first)
                 keys = band_keys(bins_of(g, first, bands * rows), bands, rows)
                 none = pa.array(size == 0)
-                digest = [hashlib.md5(g[first[d] : first[d + 1]].tobytes()).digest() if size[d] else None for d in range(z - a)]
+                digest = [set_digest(g[first[d] : first[d + 1]]) if size[d] else None for d in range(z - a)]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(z - a + 1, dtype=np.int32) * bands), pa.array(keys.reshape(-1)), mask=none)
                 yield pa.record_batch([*(b[c].slice(a, z - a) for c in others), pa.array(digest, pa.binary()), pa.array(size.astype(np.int64)), lists], names=[*others, "digest", "size", "keys"])
 
     return docs.mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in others) + ", digest binary, size long, keys array<long>")
 
 
+def set_digest(g: np.ndarray) -> bytes:
+    return hashlib.md5(g.tobytes()).digest()
+
+
 def full_sets(docs: DataFrame, n: int) -> DataFrame:
+    """(node, set) of rows (i, t), named by i, or of rows (t), named by the set's digest."""
+    named = "i" in docs.columns
+
     def run(batches):
         for b in batches:
             for a, z, words in blocks(b["t"]):
                 g, first = shingle_sets(words, n)
                 lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(g.view(np.int64)))
-                yield pa.record_batch([b["i"].slice(a, z - a), lists], names=["node", "set"])
+                names = b["i"].slice(a, z - a) if named else pa.array([set_digest(g[x:y]) for x, y in zip(first[:-1], first[1:], strict=True)], pa.binary())
+                yield pa.record_batch([names, lists], names=["node", "set"])
 
-    return docs.mapInArrow(run, f"node {dict(docs.dtypes)['i']}, set array<long>")
+    return docs.mapInArrow(run, f"node {dict(docs.dtypes)['i'] if named else 'binary'}, set array<long>")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -238,10 +246,15 @@ def links_within_buckets(members: DataFrame, sets: DataFrame, percent: int, comp
 
 
 def grouped(rows_: DataFrame, n: int, percent: int, bands: int, rows: int, by_id: bool) -> tuple[DataFrame, DataFrame]:
-    """For rows (i, t): the stored signatures, and (digest, label), the component of each set; ``by_id``: rows that share an id are linked."""
+    """For rows (i, t): the stored signatures, and (digest, label), the component of each set.
+
+    ``by_id``: a set's node is the least id that has it, and rows that share an id are linked. Otherwise, for rows (i, t, k), k a key of
+    the row, the node is the set's digest, so sets under one id stay apart.
+    """
     signed = stored(signatures(rows_, n, bands, rows), "signatures")
     known = signed.filter("i is not null and digest is not null")
-    nodes = known.groupBy("digest").agg(F.min("i").alias("node"), F.first("size").alias("size"), F.first("keys").alias("keys"))
+    node = F.min("i") if by_id else F.first("digest")
+    nodes = known.groupBy("digest").agg(node.alias("node"), F.first("size").alias("size"), F.first("keys").alias("keys"))
     in_bucket = nodes.select("node", "size", F.explode("keys").alias("key")).repartition("key")
     # The size is asked for too so that both sides of the join below read one and the same shuffle.
     shared = in_bucket.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.max("size").alias("top"), F.count("*").alias("n")).filter("lo < hi and top > 0").select("key", "n")
@@ -249,9 +262,14 @@ def grouped(rows_: DataFrame, n: int, percent: int, bands: int, rows: int, by_id
     weight = members.groupBy("node").agg(F.sum("n").alias("weight"))
     weighed = stored(members.drop("n").join(weight, "node").select("key", "node", "size", "weight"), "weighed")
     discard(members)
-    involved = weighed.select(F.col("node").alias("i")).distinct()
-    sets = stored(full_sets(rows_.join(broadcast_if_small(involved), "i", "left_semi"), n), "sets")
-    by_set = known.groupBy("digest").agg(F.min("i").alias("node"))
+    involved = weighed.select("node").distinct()
+    if by_id:
+        texts = rows_.join(broadcast_if_small(involved.withColumnRenamed("node", "i")), "i", "left_semi").select("i", "t")
+    else:  # one row of each set
+        held = known.groupBy("digest").agg(F.min("k").alias("k")).join(involved, F.col("digest") == F.col("node"), "left_semi").select("k")
+        texts = rows_.join(broadcast_if_small(stored(held, "held")), "k", "left_semi").select("t")
+    sets = stored(full_sets(texts, n), "sets")
+    by_set = known.groupBy("digest").agg(node.alias("node"))
     same = None
     if by_id:
         several = known.groupBy("i").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).filter("lo < hi").select("i")
@@ -276,7 +294,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int =
 def drop_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``docs``, all columns, with one row of each group of texts: the one with the least id (then the least row key).
 
-    Rows are documents here: rows that share an id but not a text are only grouped if their texts are alike, and of
+    Rows are documents here, and nodes are sets: rows that share an id but not a text are only grouped if their texts are alike, and of
     rows equal in id and text one stays. Rows with a null id or without words stay.
     """
     key = row_key("doc_id", "text")
