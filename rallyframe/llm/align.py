@@ -7,10 +7,10 @@ end that both have, first to the right, then to the left; both halves go on, and
 shared end inside is one group. All intervals of a block of texts take each step together. Inside a group
 each stretch between neighbouring ends of either side links the A and the B token that cover it.
 
-Three passes. The first encodes each text once and stores the ids, in chunks of ``CHUNK_BYTES`` of text
-(a longer text is a chunk of its own). The second counts id pairs in each chunk, then by pair, and gives
-each chunk the totals of just its pairs; the highest count of each B id is broadcast, at most one row for
-each id of the vocabulary. The third aligns each chunk's texts again, from ids, and looks the totals up.
+Three passes. The first encodes and aligns each text once and stores ids and groups, compressed, in slabs of
+about 1 MB and chunks of ``CHUNK_BYTES`` of text (a longer text is a chunk of its own). The second counts id pairs
+in each chunk, then by pair, and gives each chunk the totals of just its pairs; the highest count of each B id is
+broadcast, at most one row for each id of the vocabulary. The third looks the totals up for each chunk's links.
 
 A text that is null or empty, or whose A or B bytes joined are not the space and the text, has no tokens.
 Repeated rows count each, null and repeated doc_ids too. Empty tables give empty results. Only the named
@@ -126,39 +126,67 @@ def shared_cuts(ea: np.ndarray, eb: np.ndarray, a_cut: np.ndarray, b_cut: np.nda
 
 
 class Aligned:
-    """Groups and links of some consecutive texts, from their ids."""
-
-    def __init__(self, t: Tokenizers, a: list[np.ndarray], b: list[np.ndarray]):
-        self.a_cut, self.b_cut = (np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int64) for ids in (a, b))
-        self.a, self.b = np.concatenate([*a, np.zeros(0, t.a_kind)]), np.concatenate([*b, np.zeros(0, t.b_kind)])
-        ea, eb = np.cumsum(t.a_size[self.a]), np.cumsum(t.b_size[self.b])
-        self.group_a, self.group_b = shared_cuts(ea, eb, self.a_cut, self.b_cut)
-        self.n_groups = np.diff(np.searchsorted(self.group_a, self.a_cut, "right"))
-        ends = np.union1d(ea, eb)
-        link_a = np.searchsorted(ea, ends)
+    """Ids, groups and links of some consecutive texts."""
+
+    def __init__(self, t: Tokenizers, a: np.ndarray, b: np.ndarray, a_cut: np.ndarray, b_cut: np.ndarray, shared: tuple[np.ndarray, np.ndarray] | None = None):
+        self.a, self.b, self.a_cut, self.b_cut = a, b, a_cut, b_cut
+        ea, eb = np.cumsum(t.a_size[a]), np.cumsum(t.b_size[b])
+        self.total = int(ea[-1]) if len(ea) else 0
+        if self.total < 1 << 31:
+            ea, eb = ea.astype(np.int32), eb.astype(np.int32)
+        self.ea, self.eb = ea, eb
+        self.group_a, self.group_b = shared or shared_cuts(ea, eb, a_cut, b_cut)
+        self.n_groups = np.diff(np.searchsorted(self.group_a, a_cut, "right"))
+
+    def links(self) -> np.ndarray:
+        """Each link's pair (A id * 2^32 + B id); sets ``n_links``."""
+        marks = np.zeros(self.total + 1, np.uint8)  # by end: 1 of an A token, 2 of a B token
+        marks[self.ea] = 1
+        marks[self.eb] += 2
+        marks = marks[marks > 0]
+        link_a, link_b = np.cumsum(marks & 1) - (marks & 1), np.cumsum(marks >> 1) - (marks >> 1)  # tokens that end before
         self.n_links = np.diff(np.searchsorted(link_a, self.a_cut))
-        self.pair = self.a[link_a].astype(np.int64) << 32 | self.b[np.searchsorted(eb, ends)]
+        return self.a[link_a].astype(np.int64) << 32 | self.b[link_b]
 
     def text(self) -> list[bytes]:
         """``a1,a2|b1;a3|b2,b3`` of each text."""
         na, nb = len(self.a), len(self.b)
-        own_a = np.searchsorted(self.group_a, np.arange(na), "right")
-        own_b = np.searchsorted(self.group_b, np.arange(nb), "right")
-        ids, after = np.empty(na + nb, np.int64), np.full(na + nb, ord(","), np.uint8)
-        at_a, at_b = np.arange(na) + np.r_[0, self.group_b][own_a], np.arange(nb) + self.group_a[own_b]
+        size_a, size_b = np.diff(self.group_a, prepend=0), np.diff(self.group_b, prepend=0)
+        ids, after = np.empty(na + nb, np.int32), np.full(na + nb, ord(","), np.uint8)
+        at_a, at_b = np.arange(na) + np.repeat(self.group_b - size_b, size_a), np.arange(nb) + np.repeat(self.group_a, size_b)
         ids[at_a], ids[at_b] = self.a, self.b
         after[at_a[self.group_a - 1]], after[at_b[self.group_b - 1]] = ord("|"), ord(";")
         out, ends = decimals(ids, after)
         at, out = np.r_[0, ends][self.a_cut + self.b_cut].tolist(), out.tobytes()
         return [out[x : max(x, y - 1)] for x, y in zip(at[:-1], at[1:], strict=True)]
 
+    def packed(self) -> bytes:
+        """Ids by byte planes and a bit for each token that ends a group, compressed."""
+        planes = [np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes() for x in (self.a, self.b)]
+        bits = [np.zeros(len(x), bool) for x in (self.a, self.b)]
+        bits[0][self.group_a - 1], bits[1][self.group_b - 1] = True, True
+        return pa.compress(b"".join([*planes, *(np.packbits(x).tobytes() for x in bits)]), codec="zstd", asbytes=True)
 
-def ids_of(column, kind: str) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_buffer(), kind) for x in column]
+    @classmethod
+    def unpacked(cls, t: Tokenizers, data, n_a: np.ndarray, n_b: np.ndarray) -> Aligned:
+        a_cut, b_cut = np.r_[0, np.cumsum(n_a)], np.r_[0, np.cumsum(n_b)]
+        na, nb, wa, wb = int(a_cut[-1]), int(b_cut[-1]), int(t.a_kind[-1]), int(t.b_kind[-1])
+        sizes = [na * wa, nb * wb, -(-na // 8), -(-nb // 8)]
+        raw_ = np.frombuffer(pa.decompress(data, sum(sizes), codec="zstd"), np.uint8)
+        pa_, pb, ba, bb = np.split(raw_, np.cumsum(sizes)[:-1])
+        side = lambda x, w, kind: np.ascontiguousarray(x.reshape(w, -1).T).reshape(-1).view(kind) if len(x) else np.zeros(0, kind)
+        ends = [np.flatnonzero(np.unpackbits(x, count=n)) + 1 for x, n in ((ba, na), (bb, nb))]
+        return cls(t, side(pa_, wa, t.a_kind), side(pb, wb, t.b_kind), a_cut, b_cut, tuple(ends))
+
+
+def slabs(t: Tokenizers, batch):
+    """(row of the batch, Aligned) of a batch with n_a, n_b and data."""
+    for k, data in enumerate(batch["data"]):
+        yield k, Aligned.unpacked(t, data.as_buffer(), *(batch[c][k].values.to_numpy().astype(np.int64) for c in ("n_a", "n_b")))
 
 
 def tokens(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """(chunk, i, a, b) of each row, stored: ids of both sides as little-endian unsigned integers."""
+    """(chunk, i, n_a, n_b, data), stored: the ids, numbers of tokens, and tokens with their groups of some rows (i, t)."""
     kind = dict(docs.dtypes)["i"]
 
     def run(batches):
@@ -172,34 +200,41 @@ def tokens(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
                         chunk, held = chunk + 1, 0
                     held += n
                     chunks.append(chunk)
-                yield pa.record_batch([pa.array(chunks, pa.int64()), batch["i"].slice(x, z - x), pa.array([v.tobytes() for v in a], pa.binary()), pa.array([v.tobytes() for v in b], pa.binary())], names=["chunk", "i", "a", "b"])
+                for c in sorted(set(chunks)):
+                    p, q = chunks.index(c), z - x - chunks[::-1].index(c)
+                    counts = [np.array([len(v) for v in ids[p:q]], np.int64) for ids in (a, b)]
+                    flat = [np.concatenate(ids[p:q]).astype(k) for ids, k in ((a, t.a_kind), (b, t.b_kind))]
+                    data = Aligned(t, *flat, *(np.r_[0, np.cumsum(n)] for n in counts)).packed()
+                    one = lambda v: pa.ListArray.from_arrays(pa.array(np.array([0, len(v)], np.int32)), v)
+                    yield pa.record_batch([pa.array([c], pa.int64()), one(batch["i"].slice(x + p, q - p)), *(one(pa.array(n.astype(np.int32))) for n in counts), pa.array([data], pa.binary())], names=["chunk", "i", "n_a", "n_b", "data"])
 
-    return stored(docs.mapInArrow(run, f"chunk long, i {kind}, a binary, b binary"), "tokens")
+    return stored(docs.mapInArrow(run, f"chunk long, i array<{kind}>, n_a array<int>, n_b array<int>, data binary"), "tokens")
 
 
 def chunk_pairs(ids: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """(chunk, pair, n): links of each chunk by id pair (A id * 2^32 + B id)."""
 
     def run(batches):
-        t, chunk, pair, n = loaded(path_a, path_b), None, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        t, chunk, held = loaded(path_a, path_b), None, []
 
         def out():
-            return pa.record_batch([pa.array(np.full(len(pair), chunk or 0)), pa.array(pair), pa.array(n)], names=["chunk", "pair", "n"])
+            pair = np.concatenate([p for p, _ in held])
+            pair, place = np.unique(pair, return_inverse=True)
+            n = np.bincount(place, np.concatenate([n for _, n in held]), len(pair)).astype(np.int64)
+            return pa.record_batch([pa.array(np.full(len(pair), chunk)), pa.array(pair), pa.array(n)], names=["chunk", "pair", "n"])
 
         for batch in batches:
-            marks = batch["chunk"].to_numpy()
-            starts = np.flatnonzero(np.r_[True, marks[1:] != marks[:-1]]) if len(marks) else np.zeros(0, np.int64)
-            for x, z in zip(starts.tolist(), [*starts[1:].tolist(), len(marks)], strict=True):
-                if chunk is not None and marks[x] != chunk:
+            marks = batch["chunk"].to_pylist()
+            for k, slab in slabs(t, batch):
+                if held and marks[k] != chunk:
                     yield out()
-                    pair, n = pair[:0], n[:0]
-                chunk, part = int(marks[x]), batch.slice(x, z - x)
-                new, times = np.unique(Aligned(t, ids_of(part["a"], t.a_kind), ids_of(part["b"], t.b_kind)).pair, return_counts=True)
-                both, place = np.unique(np.r_[pair, new], return_inverse=True)
-                pair, n = both, np.bincount(place, np.r_[n, times], len(both)).astype(np.int64)
-        yield out()
+                    held = []
+                chunk = marks[k]
+                held.append(np.unique(slab.links(), return_counts=True))
+        if held:
+            yield out()
 
-    return ids.select("chunk", "a", "b").mapInArrow(run, "chunk long, pair long, n long")
+    return ids.select("chunk", "n_a", "n_b", "data").mapInArrow(run, "chunk long, pair long, n long")
 
 
 def pair_counts(rows: DataFrame) -> DataFrame:
@@ -226,21 +261,21 @@ def aligned(docs: DataFrame, path_a: str | None = None, path_b: str | None = Non
         pair, count, best = pair[order], right["count"].to_numpy()[order], right["best"].to_numpy(zero_copy_only=False)[order]
         out = []
         for batch in left.to_batches():
-            x = Aligned(t, ids_of(batch["a"], t.a_kind), ids_of(batch["b"], t.b_kind))
-            at = np.searchsorted(pair, x.pair)
-            cut = np.r_[0, np.cumsum(x.n_links)]
-            total = lambda v: np.diff(np.r_[0, np.cumsum(v[at])][cut])  # noqa: B023, E731
-            numbers = [np.diff(x.a_cut), np.diff(x.b_cut), x.n_groups, x.n_links, total(best.astype(np.int64)), total(count)]
-            if digest:
-                groups = pa.array([hashlib.sha256(s).hexdigest() if s else "" for s in x.text()], pa.string())
-            else:
-                side = lambda ids_, ends: pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(ids_.astype(np.int32)))
-                pairs = pa.StructArray.from_arrays([side(x.a, x.group_a), side(x.b, x.group_b)], names=["a", "b"])
-                groups = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(x.n_groups)].astype(np.int32)), pairs)
-            out.append(pa.record_batch([batch["i"], *(pa.array(v.astype(np.int64)) for v in numbers), groups], names=names))
+            for k, x in slabs(t, batch):
+                at = np.searchsorted(pair, x.links())
+                cut = np.r_[0, np.cumsum(x.n_links)]
+                total = lambda v: np.diff(np.r_[0, np.cumsum(v[at])][cut])  # noqa: B023, E731
+                numbers = [np.diff(x.a_cut), np.diff(x.b_cut), x.n_groups, x.n_links, total(best.astype(np.int64)), total(count)]
+                if digest:
+                    groups = pa.array([hashlib.sha256(s).hexdigest() if s else "" for s in x.text()], pa.string())
+                else:
+                    side = lambda ids_, ends: pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(ids_.astype(np.int32)))
+                    pairs = pa.StructArray.from_arrays([side(x.a, x.group_a), side(x.b, x.group_b)], names=["a", "b"])
+                    groups = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(x.n_groups)].astype(np.int32)), pairs)
+                out.append(pa.record_batch([batch["i"][k].values, *(pa.array(v.astype(np.int64)) for v in numbers), groups], names=names))
         return pa.Table.from_batches(out)
 
     last = ("groups_sha256", "string") if digest else ("groups", "array<struct<a:array<int>,b:array<int>>>")
     names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", last[0]]
-    schema = f"doc_id {dict(ids.dtypes)['i']}, " + ", ".join(f"{c} long" for c in names[1:-1]) + ", " + " ".join(last)
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, " + ", ".join(f"{c} long" for c in names[1:-1]) + ", " + " ".join(last)
     return ids.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(run, schema)

@@ -408,19 +408,32 @@ def with_end(ids: np.ndarray, cut: np.ndarray, end_id: int) -> tuple[np.ndarray,
     return np.insert(ids, cut[1:], end_id), cut + np.arange(len(cut))
 
 
+@cache
+def digit_table(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Digits of the numbers under n, last first, as one row for each place; and how many each has."""
+    k = np.arange(n)
+    places = [k // 10**p % 10 + 48 for p in range(len(str(n)))]
+    return np.array(places, np.uint8), np.array([len(str(x)) for x in range(n)], np.int64)
+
+
 def decimals(ids: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Decimal digits of each id, each followed by its byte of ``after``, and where each ends."""
-    n, digits, ten = ids.astype(np.int64), np.ones(len(ids), np.int64), 10
-    while len(n) and (more := n >= ten).any():
-        digits += more
-        ten *= 10
-    ends = np.cumsum(digits + 1)
-    out = np.empty(int(ends[-1]) if len(ids) else 0, np.uint8)
-    if len(ids):
-        out[ends - 1] = after
-        for k in range(int(digits.max())):
-            has = digits > k
-            out[ends[has] - 2 - k] = 48 + n[has] // 10**k % 10
+    if not len(ids):
+        return np.zeros(0, np.uint8), np.zeros(0, np.int64)
+    digits, count = digit_table(1 << int(ids.max()).bit_length())
+    size = count[ids]
+    ends = np.cumsum(size + 1)
+    out = np.empty(int(ends[-1]), np.uint8)
+    out[ends - 1] = after
+    for k, place in enumerate(digits):
+        if k:
+            has = size > k
+            ids, ends_k, size = ids[has], ends_k[has], size[has]
+        else:
+            ends_k = ends
+        if not len(ids):
+            break
+        out[ends_k - 2 - k] = place[ids]
     return out, ends
 
 
