@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from rallyframe.llm.shared import discard, stored
 from rallyframe.llm.text import U, find_words, mix, raw, strings
 
-BLOCK_BYTES, BUDGET, HEAVY = 8 << 20, 500_000, 60_000
+BLOCK_BYTES, BUDGET, HEAVY = 4 << 20, 250_000, 30_000
 BREAK = np.zeros(256, bool)
 BREAK[[ord(c) for c in ".,;:!?\n\v\f\r"]] = True
 SEPARATOR = BREAK.copy()
@@ -112,8 +112,9 @@ def numbered(words: DataFrame) -> DataFrame:
 
 def suffixes(seq: np.ndarray, ids: np.ndarray, totals: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct suffixes of two words or more as (depth, m) ids with -1 after the last, their counts, and how many leading words have no bound under ``HEAVY``."""
-    g = np.where(seq >= 0, ids[seq], -1)
-    cols = np.full((depth, len(g)), -1, np.int64)
+    kind = np.int32 if ids.max(initial=-1) < 1 << 31 else np.int64
+    g = np.where(seq >= 0, ids[seq], -1).astype(kind)
+    cols = np.full((depth, len(g)), -1, kind)
     cols[0] = g
     for j in range(1, depth):
         cols[j, : len(g) - j] = np.where(cols[j - 1, : len(g) - j] >= 0, g[j:], -1)
@@ -142,8 +143,12 @@ def leaf_order(cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not cols.shape[1]:
         return np.zeros(0, np.int64), np.zeros(0, bool)
     order = np.lexsort(cols[::-1])
-    s = cols[:, order]
-    return order, np.r_[True, (s[:, 1:] != s[:, :-1]).any(0)]
+    new = np.zeros(len(order), bool)
+    new[0] = True
+    for c in cols:  # a word at a time: less memory than all at once
+        s = c[order]
+        new[1:] |= s[1:] != s[:-1]
+    return order, new
 
 
 def prefix_group(cols: np.ndarray, open_: np.ndarray, groups: int) -> np.ndarray:
