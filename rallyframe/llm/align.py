@@ -8,7 +8,7 @@ shared end inside is one group. All intervals of a block of texts take each step
 each stretch between neighbouring ends of either side links the A and the B token that cover it.
 
 Three passes. The first encodes and aligns each text once and stores ids and groups, compressed, in slabs of
-about 1 MB and chunks of ``CHUNK_BYTES`` of text (a longer text is a chunk of its own). The second counts id pairs
+about ``SLAB_BYTES`` and chunks of ``CHUNK_BYTES`` of text (a longer text is a chunk of its own). The second counts id pairs
 in each chunk, then by pair, and gives each chunk the totals of just its pairs; the highest count of each B id is
 broadcast, at most one row for each id of the vocabulary. The third looks the totals up for each chunk's links.
 
@@ -35,7 +35,7 @@ from rallyframe.llm.records import LibraryEncoder
 from rallyframe.llm.shared import stored
 from rallyframe.llm.text import IdTable, raw, strings
 
-CHUNK_BYTES, KEEP = 8 << 20, 600_000
+CHUNK_BYTES, SLAB_BYTES, KEEP = 8 << 20, 256 << 10, 400_000
 
 
 class Tokenizers:
@@ -194,14 +194,18 @@ def tokens(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         chunk, held = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
             for x, z, a, b, sizes in t.encode(batch["t"]):
-                chunks = []
-                for n in sizes.tolist():
+                parts, slab = [], 0  # (chunk, first row, row after the last)
+                for d, n in enumerate(sizes.tolist()):
                     if held and held + n > CHUNK_BYTES:
-                        chunk, held = chunk + 1, 0
+                        chunk, held, slab = chunk + 1, 0, 0
                     held += n
-                    chunks.append(chunk)
-                for c in sorted(set(chunks)):
-                    p, q = chunks.index(c), z - x - chunks[::-1].index(c)
+                    if slab and slab + n <= SLAB_BYTES:
+                        parts[-1][2] = d + 1
+                    else:
+                        parts.append([chunk, d, d + 1])
+                        slab = 0
+                    slab += n
+                for c, p, q in parts:
                     counts = [np.array([len(v) for v in ids[p:q]], np.int64) for ids in (a, b)]
                     flat = [np.concatenate(ids[p:q]).astype(k) for ids, k in ((a, t.a_kind), (b, t.b_kind))]
                     data = Aligned(t, *flat, *(np.r_[0, np.cumsum(n)] for n in counts)).packed()
