@@ -9,7 +9,7 @@ each stretch between neighbouring ends of either side links the A and the B toke
 
 Three passes. The first encodes and aligns each text once and stores ids and groups, compressed, in slabs of
 about ``SLAB_BYTES`` and chunks of ``CHUNK_BYTES`` of text (a longer text is a chunk of its own). The second counts id pairs
-in each chunk, then by pair, and gives each chunk the totals of just its pairs; the highest count of each B id is
+in each chunk, then by pair, and gives each chunk, whose slabs are stored in one bucket and stay there, the totals of just its pairs; the highest count of each B id is
 broadcast, at most one row for each id of the vocabulary. The third looks the totals up for each chunk's links.
 
 A text that is null or empty, or whose A or B bytes joined are not the space and the text, has no tokens.
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from rallyframe.llm.bpe import byte_bpe, byte_letters
 from rallyframe.llm.pieces import Pieces, decimals, piece_model
 from rallyframe.llm.records import LibraryEncoder
-from rallyframe.llm.shared import stored
+from rallyframe.llm.shared import stored, stored_in_buckets
 from rallyframe.llm.text import IdTable, raw, strings
 
 CHUNK_BYTES, SLAB_BYTES, KEEP = 8 << 20, 256 << 10, 400_000
@@ -212,7 +212,7 @@ def tokens(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
                     one = lambda v: pa.ListArray.from_arrays(pa.array(np.array([0, len(v)], np.int32)), v)
                     yield pa.record_batch([pa.array([c], pa.int64()), one(batch["i"].slice(x + p, q - p)), *(one(pa.array(n.astype(np.int32))) for n in counts), pa.array([data], pa.binary())], names=["chunk", "i", "n_a", "n_b", "data"])
 
-    return stored(docs.mapInArrow(run, f"chunk long, i array<{kind}>, n_a array<int>, n_b array<int>, data binary"), "tokens")
+    return stored_in_buckets(docs.mapInArrow(run, f"chunk long, i array<{kind}>, n_a array<int>, n_b array<int>, data binary"), "tokens", "chunk")
 
 
 def chunk_pairs(ids: DataFrame, path_a: str, path_b: str) -> DataFrame:

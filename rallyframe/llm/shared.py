@@ -33,6 +33,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def stored_in_buckets(df: DataFrame, name: str, key: str) -> DataFrame:
+    """The same in buckets of ``key``, as many as the session's shuffle partitions: grouping and joining by ``key`` reads them without a shuffle.
+
+    No shuffle deals the rows out: a task writes a file for each bucket that it has rows of.
+    """
+    spark = df.sparkSession
+    path, table = fresh_path(spark, name), f"rallyframe_{name}_{uuid.uuid4().hex}"
+    df.write.option("path", path).bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).sortBy(key).saveAsTable(table)
+    return spark.table(table)
+
+
 def discard(*frames: DataFrame | None) -> None:
     """Deletes tables that ``stored`` wrote; nothing that is still to be read may depend on them."""
     for df in frames:
