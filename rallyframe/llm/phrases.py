@@ -9,7 +9,7 @@ The tree is partitioned by prefix. A suffix goes by its first word, or, where th
 occurrences, by its first two, and so on to the first prefix that the totals of its words bound by ``HEAVY``. Prefixes
 are grouped by hash into as many groups as keep a group near ``BUDGET`` suffixes. Each group builds its part alone: the
 sorted suffixes are the leaves, what neighbours share gives the inner nodes, and a node's count is the total
-of its leaves. Nodes above the prefix depth are parts of a sum over groups.
+of its leaves. Nodes above the prefix depth go to groups by their own words, as one leaf of each block, so each node is whole in one group.
 
 Null texts are empty, null languages ``und``. Repeated rows count each. Empty tables give empty results.
 Only the named columns are read. A block's size bounds a task's memory; a longer text is a block of its own.
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from rallyframe.llm.shared import discard, stored
 from rallyframe.llm.text import U, find_words, mix, raw, strings
 
-BLOCK_BYTES, BUDGET, HEAVY = 4 << 20, 250_000, 30_000
+BLOCK_BYTES, BUDGET, HEAVY = 4 << 20, 250_000, 60_000
 BREAK = np.zeros(256, bool)
 BREAK[[ord(c) for c in ".,;:!?\n\v\f\r"]] = True
 SEPARATOR = BREAK.copy()
@@ -111,7 +111,11 @@ def numbered(words: DataFrame) -> DataFrame:
 
 
 def suffixes(seq: np.ndarray, ids: np.ndarray, totals: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct suffixes of two words or more as (depth, m) ids with -1 after the last, their counts, and how many leading words have no bound under ``HEAVY``."""
+    """Leaves of a block: (depth, m) ids with -1 after the last, their counts, and how many words of each are above its prefix depth.
+
+    A suffix of two words or more counts for nodes deeper than its leading words without a bound under ``HEAVY``; for each of the
+    shallower ones there is a leaf that ends there, with the total of the block.
+    """
     kind = np.int32 if ids.max(initial=-1) < 1 << 31 else np.int64
     g = np.where(seq >= 0, ids[seq], -1).astype(kind)
     cols = np.full((depth, len(g)), -1, kind)
@@ -122,20 +126,35 @@ def suffixes(seq: np.ndarray, ids: np.ndarray, totals: np.ndarray, depth: int) -
     order, new = leaf_order(cols)
     cols = cols[:, order[new]]
     count = np.diff(np.r_[np.flatnonzero(new), len(order)]).astype(np.int64)
-    total = np.zeros(int(ids.max(initial=-1)) + 2, np.int64) if len(ids) and ids.max() < 4 * len(ids) + 1_000_000 else None
-    if total is None:
-        known = np.argsort(ids, kind="stable")
-        of = lambda c: totals[known[np.searchsorted(ids[known], c)]]
-    else:
-        total[ids[ids >= 0]] = totals[ids >= 0]
-        of = lambda c: total[c]
-    open_, over = np.zeros(cols.shape[1], np.uint8), np.ones(cols.shape[1], bool)
+    known = np.argsort(ids, kind="stable")
+    sorted_ids = ids[known]
+    above, over = np.zeros(cols.shape[1], np.uint8), np.ones(cols.shape[1], bool)
     for j in range(depth):
         over &= cols[j] >= 0
         at = np.flatnonzero(over)
-        over[at] = of(cols[j][at]) > HEAVY
-        open_ += over
-    return cols, count, open_
+        over[at] = totals[known[np.searchsorted(sorted_ids, cols[j, at])]] > HEAVY
+        above += over
+    shared = neighbours(cols)
+    made = [(cols, count, above)]
+    for d in range(2, depth + 1):
+        at = np.flatnonzero(above >= d)
+        if len(at):
+            starts = np.flatnonzero(shared[at] < d)  # all leaves of such a node are among these
+            ends = np.full((depth, len(starts)), -1, kind)
+            ends[:d] = cols[:d, at[starts]]
+            made.append((ends, np.add.reduceat(count[at], starts), np.full(len(starts), d - 1, np.uint8)))
+    inside = (cols >= 0).sum(0) > above
+    made[0] = cols[:, inside], count[inside], above[inside]
+    return tuple(np.concatenate(x, -1) for x in zip(*made, strict=True))
+
+
+def neighbours(cols: np.ndarray) -> np.ndarray:
+    """Leading words that each of some sorted leaves shares with the one before."""
+    shared, same = np.zeros(cols.shape[1], np.int64), np.ones(max(cols.shape[1] - 1, 0), bool)
+    for c in cols:
+        same &= c[1:] == c[:-1]
+        shared[1:] += same
+    return shared
 
 
 def leaf_order(cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -151,29 +170,25 @@ def leaf_order(cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, new
 
 
-def prefix_group(cols: np.ndarray, open_: np.ndarray, groups: int) -> np.ndarray:
+def prefix_group(cols: np.ndarray, above: np.ndarray, groups: int) -> np.ndarray:
     h = np.zeros(cols.shape[1], U)
     for j in range(len(cols)):
-        inside = (open_ >= j) & (cols[j] >= 0)
+        inside = above >= j
         h[inside] = mix(h[inside] * U(0x9E3779B97F4A7C15) + cols[j][inside].astype(U) + U(1))
     return (h % U(groups)).astype(np.int64)
 
 
-def tree_nodes(cols: np.ndarray, count: np.ndarray, open_: np.ndarray, least: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(ids, count) of the nodes at each depth from 2 on that reach ``least`` or are parts of a sum over groups."""
+def tree_nodes(cols: np.ndarray, count: np.ndarray, above: np.ndarray, least: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(ids, count) of the nodes at each depth from 2 on that reach ``least``."""
     order, _ = leaf_order(cols)
-    cols, count, open_ = cols[:, order], count[order], open_[order]
-    shared = np.zeros(cols.shape[1], np.int64)  # words that a leaf shares with the one before
-    same = np.ones(max(cols.shape[1] - 1, 0), bool)
-    for c in cols:
-        same &= c[1:] == c[:-1]
-        shared[1:] += same
+    cols, count, above = cols[:, order], count[order], above[order]
+    shared = neighbours(cols)
     out = []
     for d in range(2, len(cols) + 1):
         starts = np.flatnonzero(shared < d)
-        total = np.add.reduceat(count, starts) if len(starts) else count
-        part = (open_[starts] >= d) & (d < len(cols))
-        keep = (cols[d - 1, starts] >= 0) & ((total >= least) | part)
+        total = np.add.reduceat(np.where((above < d) & (cols[d - 1] >= 0), count, 0), starts) if len(starts) else count
+        keep = total >= least
+        # A run of leaves shares d words, or its first leaf ends before them and is a run of its own.
         out.append((cols[:d, starts[keep]], total[keep]))
     return out
 
@@ -196,12 +211,12 @@ def phrase_counts(docs: DataFrame, least: int = 100, depth: int = 5, lang_col: s
                 k = flat.field("k").to_numpy(zero_copy_only=False)
                 ids, f = np.full(n_words, -1, np.int64), np.zeros(n_words, np.int64)
                 ids[k], f[k] = flat.field("id").to_numpy(zero_copy_only=False), flat.field("f").to_numpy(zero_copy_only=False)
-                cols, count, open_ = suffixes(np.frombuffer(unpacked(seq.as_buffer(), 4 * size), "<i4"), ids, f, depth)
-                group = prefix_group(cols, open_, groups)
+                cols, count, above = suffixes(np.frombuffer(unpacked(seq.as_buffer(), 4 * size), "<i4"), ids, f, depth)
+                group = prefix_group(cols, above, groups)
                 order = np.argsort(group, kind="stable")
                 at = np.flatnonzero(np.r_[True, np.diff(group[order]) != 0]) if len(order) else np.zeros(0, np.int64)
                 parts = [order[x:y] for x, y in zip(at.tolist(), [*at[1:].tolist(), len(order)], strict=True)]
-                data = [packed(cols[:, p].astype(kind), count[p], open_[p]) for p in parts]
+                data = [packed(cols[:, p].astype(kind), count[p], above[p]) for p in parts]
                 yield pa.record_batch([pa.array(group[order][at]), pa.array([len(p) for p in parts], pa.int64()), pa.array(data, pa.binary())], names=["group", "m", "data"])
 
     dealt = made.select("block", "seq", "size", F.size("words").alias("n_words")).join(marks, "block").drop("block").mapInArrow(deal, "group long, m long, data binary")
@@ -210,8 +225,8 @@ def phrase_counts(docs: DataFrame, least: int = 100, depth: int = 5, lang_col: s
         group, held = None, []
 
         def out():
-            cols, count, open_ = (np.concatenate(x, -1) for x in zip(*held, strict=True))
-            for ids, total in tree_nodes(cols, count, open_, least):
+            cols, count, above = (np.concatenate(x, -1) for x in zip(*held, strict=True))
+            for ids, total in tree_nodes(cols, count, above, least):
                 phrases = pa.ListArray.from_arrays(pa.array(np.arange(0, ids.size + 1, len(ids)).astype(np.int32)), pa.array(ids.T.reshape(-1).astype(np.int64)))
                 yield pa.record_batch([phrases, pa.array(total)], names=["phrase", "f"])
 
@@ -229,7 +244,7 @@ def phrase_counts(docs: DataFrame, least: int = 100, depth: int = 5, lang_col: s
             yield from out()
 
     grown = dealt.repartition("group").sortWithinPartitions("group").mapInArrow(grow, "phrase array<long>, f long")
-    phrases = stored(grown.groupBy("phrase").agg(F.sum("f").alias("f")).filter(F.col("f") >= least), "phrases")
+    phrases = stored(grown, "phrases")
     totals = stored(totals, "totals")
     words = stored(words, "words")
     discard(made)
