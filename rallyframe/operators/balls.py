@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rallyframe.operators.chunks import by_frame
 from rallyframe.params import DEFAULT, Params
 
-BY_FRAME = ["video_id", "frame_num"]
-
 
 def rescale(d: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """From the detector's picture size to the frame's, cut toward zero; the radius goes by the width."""
@@ -35,40 +34,49 @@ def in_video_bounds(d: DataFrame, limits: DataFrame) -> DataFrame:
 
 def first_ball(d: DataFrame) -> DataFrame:
     """The candidate of least index in each frame."""
-    return d.groupBy(*BY_FRAME).agg(F.min_by(F.struct("x", "y"), "det_idx").alias("b")).select(*BY_FRAME, "b.x", "b.y")
+    key = by_frame(d)
+    return d.groupBy(*key).agg(F.min_by(F.struct("x", "y"), "det_idx").alias("b")).select(*key, "b.x", "b.y")
 
 
 def per_frame(d: DataFrame) -> DataFrame:
     """(video_id, frame_num, balls): the frame's candidates in order of index."""
-    return d.groupBy(*BY_FRAME).agg(F.sort_array(F.collect_list(F.struct("det_idx", "x", "y"))).alias("balls"))
+    return d.groupBy(*by_frame(d)).agg(F.sort_array(F.collect_list(F.struct("det_idx", "x", "y"))).alias("balls"))
 
 
-def moving_by_frame(frames: DataFrame, d: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """(video_id, frame_num, balls) of every frame: candidates that no ball of the frame before is near to.
+def moving_by_grid(d: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """(video_id, frame_num, det_idx, x, y) of the candidates that no ball of the frame before (frame_num - 1) is nearer to than ``min_ball_movement``.
 
-    The frame before is frame_num - 1; where it is empty or absent all candidates move.
+    A grid join: each different place of a frame's balls is put into the cells, twice that wide, that its surroundings touch, four at most; a
+    ball is held against those of its own cell in the frame before. Whole-number places bound what stands in a cell, so crowded frames take time by their balls.
     """
-    w = Window.partitionBy("video_id").orderBy("frame_num")
-    spine = frames.select(*BY_FRAME).join(per_frame(d), BY_FRAME, "left")
-    before = F.when(F.lag("frame_num").over(w) == F.col("frame_num") - 1, F.lag("balls").over(w))
-    r2 = p.min_ball_movement**2
+    key, wide = by_frame(d), 2 * p.min_ball_movement
+    cell = lambda c: F.floor(c / wide)
+    cells = lambda c: F.sequence(cell(F.col(c) - p.min_ball_movement), cell(F.col(c) + p.min_ball_movement))
+    before = d.withColumn("frame_num", F.col("frame_num") + 1).select(*key, F.col("x").alias("qx"), F.col("y").alias("qy")).distinct()
+    before = before.select("*", F.explode(cells("qx")).alias("cx")).select("*", F.explode(cells("qy")).alias("cy"))
+    a, b = d.select(*key, "det_idx", "x", "y", cell(F.col("x")).alias("cx"), cell(F.col("y")).alias("cy")).alias("a"), before.alias("b")
+    dx, dy = F.col("a.x") - F.col("b.qx"), F.col("a.y") - F.col("b.qy")
+    on = (dx * dx + dy * dy).cast("double") < p.min_ball_movement**2
+    for c in (*key, "cx", "cy"):
+        on &= F.col(f"a.{c}") == F.col(f"b.{c}")
+    return a.join(b, on, "left_anti").select(*key, "det_idx", "x", "y")
 
-    def still(b, q):
-        dx, dy = b.x - q.x, b.y - q.y
-        return (dx * dx + dy * dy).cast("double") < r2
 
-    kept = F.filter("balls", lambda b: ~F.exists("before", lambda q: still(b, q)))
+def moving_by_frame(frames: DataFrame, d: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """(video_id, frame_num, balls) of every frame: its moving candidates in order of index, an empty array where there is none."""
+    key = by_frame(frames)
     none = F.array().cast("array<struct<det_idx:int,x:int,y:int>>")
-    return spine.withColumn("before", before).select(*BY_FRAME, F.coalesce(F.when(F.col("before").isNull(), F.col("balls")).otherwise(kept), none).alias("balls"))
+    return frames.select(*key).join(per_frame(moving_by_grid(d, p)), key, "left").withColumn("balls", F.coalesce("balls", none))
 
 
 def moving(frames: DataFrame, d: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """Rows of the candidates that move: (video_id, frame_num, det_idx, x, y)."""
-    return moving_by_frame(frames, d, p).select(*BY_FRAME, F.explode("balls").alias("b")).select(*BY_FRAME, "b.*")
+    """Rows of the candidates that move, in the frames of ``frames``."""
+    key = by_frame(frames)
+    return moving_by_grid(d, p).join(frames.select(*key), key, "left_semi")
 
 
 def moving_by_join(d: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """The same as an anti join; for tests and for tables without a spine of frames."""
+    """The same as an anti join of all pairs of neighbouring frames; for tests."""
     q = d.select("video_id", (F.col("frame_num") + 1).alias("frame_num"), F.col("x").alias("qx"), F.col("y").alias("qy"))
     dx, dy = F.col("x") - F.col("qx"), F.col("y") - F.col("qy")
     near = (dx * dx + dy * dy).cast("double") < p.min_ball_movement**2

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rallyframe.functions.geometry import angle, distance, midpoint, point, present, vector_angle
+from rallyframe.operators.chunks import by_frame
 from rallyframe.params import DEFAULT, Params
 from rallyframe.sources.schemas import KEYPOINT_NAMES
 
@@ -19,20 +20,23 @@ def gate(keypoints: DataFrame, p: Params = DEFAULT) -> DataFrame:
 def wide(gated: DataFrame) -> DataFrame:
     """One row for each person and frame, two columns for each keypoint."""
     one = lambda i, c: F.max(F.when(F.col("kp_idx") == i, F.col(c)))
-    return gated.groupBy("video_id", "frame_num", "person_idx").agg(*[one(i, c).alias(f"{n}_{c}") for i, n in enumerate(KEYPOINT_NAMES) for c in ("x", "y")])
+    return gated.groupBy(*by_frame(gated), "person_idx").agg(*[one(i, c).alias(f"{n}_{c}") for i, n in enumerate(KEYPOINT_NAMES) for c in ("x", "y")])
 
 
 def primary(rows: DataFrame) -> DataFrame:
     """The rows (poses, or keypoints) of the first person of each frame, whatever its index."""
-    first = F.min("person_idx").over(Window.partitionBy("video_id", "frame_num"))
+    first = F.min("person_idx").over(Window.partitionBy(*by_frame(rows)))
     names = [f"_c{i}" for i in range(len(rows.columns))]
     marked = rows.select(*[F.col(c).alias(n) for c, n in zip(rows.columns, names, strict=True)], (F.col("person_idx") == first).alias("_first"))
     return marked.filter("_first").select(*names).toDF(*rows.columns)
 
 
 def primary_pose(keypoints: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """The wide pose of each frame's first person; choosing before the pivot takes no second shuffle."""
-    return wide(gate(primary(keypoints), p)).drop("person_idx")
+    """The wide pose of each frame's first person: all are pivoted, then the one of least index is taken, by the same key."""
+    poses = wide(gate(keypoints, p))
+    key = by_frame(poses)
+    names = [c for c in poses.columns if c not in (*key, "person_idx")]
+    return poses.groupBy(*key).agg(F.min_by(F.struct(*names), "person_idx").alias("p")).select(*key, "p.*")
 
 
 def swing_type(p: Params = DEFAULT):
@@ -52,13 +56,14 @@ def swing_type(p: Params = DEFAULT):
 
 
 def label_frames(frames: DataFrame, poses: DataFrame, p: Params = DEFAULT, no_person: str = "No Swing") -> DataFrame:
-    labels = poses.select("video_id", "frame_num", swing_type(p).alias("swing_type"))
-    return frames.select("video_id", "frame_num").join(labels, ["video_id", "frame_num"], "left").withColumn("swing_type", F.coalesce("swing_type", F.lit(no_person)))
+    key = by_frame(frames)
+    labels = poses.select(*key, swing_type(p).alias("swing_type"))
+    return frames.select(*key).join(labels, key, "left").withColumn("swing_type", F.coalesce("swing_type", F.lit(no_person)))
 
 
 def elbow_angles(poses: DataFrame) -> DataFrame:
     side = lambda s: angle(point(f"{s}_shoulder"), point(f"{s}_elbow"), point(f"{s}_wrist"))
-    return poses.select("video_id", "frame_num", side("left").alias("left_elbow_angle"), side("right").alias("right_elbow_angle"))
+    return poses.select(*by_frame(poses), side("left").alias("left_elbow_angle"), side("right").alias("right_elbow_angle"))
 
 
 def shoulder_line():
@@ -108,11 +113,12 @@ def metric_columns(p: Params = DEFAULT) -> dict:
 
 def swing_metrics(poses: DataFrame, balls: DataFrame | None = None, p: Params = DEFAULT) -> DataFrame:
     """All body metrics of each pose; ``balls`` (video_id, frame_num, x, y) gives the contact columns."""
+    key = by_frame(poses)
     if balls is None:
         rows = poses.withColumns({"ball_x": F.lit(None).cast("int"), "ball_y": F.lit(None).cast("int")})
     else:
-        rows = poses.join(balls.select("video_id", "frame_num", F.col("x").alias("ball_x"), F.col("y").alias("ball_y")), ["video_id", "frame_num"], "left")
-    return rows.select("video_id", "frame_num", swing_type(p).alias("swing_type"), *[c.alias(n) for n, c in metric_columns(p).items()])
+        rows = poses.join(balls.select(*key, F.col("x").alias("ball_x"), F.col("y").alias("ball_y")), key, "left")
+    return rows.select(*key, swing_type(p).alias("swing_type"), *[c.alias(n) for n, c in metric_columns(p).items()])
 
 
 def metrics_long(metrics: DataFrame) -> DataFrame:
@@ -123,12 +129,17 @@ def metrics_long(metrics: DataFrame) -> DataFrame:
     return metrics.select("video_id", "frame_num", F.explode(F.array(*parts)).alias("m")).select("video_id", "frame_num", "m.*").filter("value is not null")
 
 
-def player_box(gated: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """Box round the visible keypoints of the primary person but the head's, padded and held in the frame."""
-    seen = primary(gated).filter("kp_idx >= 5 and x is not null")
+def person_boxes(gated: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """(video_id, frame_num, person_idx, x1, y1, x2, y2): box round each person's visible keypoints but the head's, padded and held in the frame."""
     low = lambda c: F.greatest(F.lit(0), F.min(c) - p.box_pad)
     high = lambda c, top: F.least(F.lit(top), F.max(c) + p.box_pad)
-    return seen.groupBy("video_id", "frame_num").agg(low("x").alias("x1"), low("y").alias("y1"), high("x", p.width).alias("x2"), high("y", p.height).alias("y2"))
+    seen = gated.filter("kp_idx >= 5 and x is not null")
+    return seen.groupBy(*by_frame(gated), "person_idx").agg(low("x").alias("x1"), low("y").alias("y1"), high("x", p.width).alias("x2"), high("y", p.height).alias("y2"))
+
+
+def player_box(gated: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """The box of the primary person; no row where nothing of it is visible."""
+    return person_boxes(primary(gated), p).drop("person_idx")
 
 
 def metric_display(metrics: DataFrame) -> DataFrame:

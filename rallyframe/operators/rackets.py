@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rallyframe.operators.chunks import by_frame, frame_order
 from rallyframe.params import DEFAULT, Params
 
-BY_FRAME = ["video_id", "frame_num"]
-
 
 def rackets(d: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """Detections of the racket class with enough confidence, box cut to whole numbers."""
@@ -17,24 +16,26 @@ def rackets(d: DataFrame, p: Params = DEFAULT) -> DataFrame:
 
 def associated(rackets_: DataFrame, poses: DataFrame) -> DataFrame:
     """The racket nearest to a visible wrist within 0.75 * (width + height); equal distances: lower racket, then left wrist."""
+    key = by_frame(poses)
     hand = lambda i, side: F.struct(F.lit(i).alias("hand"), F.col(f"{side}_wrist_x").alias("hx"), F.col(f"{side}_wrist_y").alias("hy"))
-    hands = poses.select(*BY_FRAME, F.explode(F.array(hand(0, "left"), hand(1, "right"))).alias("h")).select(*BY_FRAME, "h.*").filter("hx is not null")
+    hands = poses.select(*key, F.explode(F.array(hand(0, "left"), hand(1, "right"))).alias("h")).select(*key, "h.*").filter("hx is not null")
     dx, dy = (F.col("x1") + F.col("x2")) / 2 - F.col("hx"), (F.col("y1") + F.col("y2")) / 2 - F.col("hy")
-    pairs = rackets_.join(hands, BY_FRAME).withColumn("dist", F.sqrt(dx * dx + dy * dy))
+    pairs = rackets_.join(hands, key).withColumn("dist", F.sqrt(dx * dx + dy * dy))
     near = pairs.filter(F.col("dist") < (F.col("x2") - F.col("x1") + F.col("y2") - F.col("y1")) * 0.75)
-    best = near.groupBy(*BY_FRAME).agg(F.min_by(F.struct("x1", "y1", "x2", "y2", F.col("conf").alias("confidence")), F.struct("dist", "racket_idx", "hand")).alias("r"))
-    return best.select(*BY_FRAME, "r.*")
+    best = near.groupBy(*key).agg(F.min_by(F.struct("x1", "y1", "x2", "y2", F.col("conf").alias("confidence")), F.struct("dist", "racket_idx", "hand")).alias("r"))
+    return best.select(*key, "r.*")
 
 
-def recent(p: Params):
-    return Window.partitionBy("video_id").orderBy("frame_num").rangeBetween(-p.racket_lost_frames, 0)
+def recent(rows: DataFrame, p: Params):
+    return frame_order(rows).rangeBetween(-p.racket_lost_frames, 0)
 
 
 def carried(frames: DataFrame, found: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """The player's racket in each frame: found there, or at most ``racket_lost_frames`` frames ago."""
     box = F.when(F.col("x1").isNotNull(), F.struct("x1", "y1", "x2", "y2", "confidence", F.col("frame_num").alias("last_seen_frame")))
-    rows = frames.select(*BY_FRAME).join(found, BY_FRAME, "left")
-    return rows.select(*BY_FRAME, F.col("x1").isNotNull().alias("found"), F.last(box, ignorenulls=True).over(recent(p)).alias("r")).select(*BY_FRAME, "found", "r.*")
+    key = by_frame(frames)
+    rows = frames.select(*key).join(found, key, "left")
+    return rows.select(*key, F.col("x1").isNotNull().alias("found"), F.last(box, ignorenulls=True).over(recent(rows, p)).alias("r")).select(*key, "found", "r.*")
 
 
 def computed_state(p: Params = DEFAULT):
@@ -52,7 +53,8 @@ def states(carried_: DataFrame, balls: DataFrame, p: Params = DEFAULT, no_ball:
 
     ``no_ball='idle'`` gives ``IDLE / NO BALL`` where there is a racket but no ball.
     """
-    rows = carried_.join(balls.select(*BY_FRAME, F.col("x").alias("ball_x"), F.col("y").alias("ball_y")), BY_FRAME, "left")
+    key = by_frame(carried_)
+    rows = carried_.join(balls.select(*key, F.col("x").alias("ball_x"), F.col("y").alias("ball_y")), key, "left")
     has = F.col("x1").isNotNull()
     event = F.when(has & F.col("ball_x").isNotNull(), computed_state(p))
     if no_ball == "idle":
@@ -60,5 +62,5 @@ def states(carried_: DataFrame, balls: DataFrame, p: Params = DEFAULT, no_ball:
     else:
         event = event.when(F.col("found"), F.lit("associated_to_player"))
     rows = rows.withColumn("event", event)
-    state = F.when(has, F.last("event", ignorenulls=True).over(recent(p)))
-    return rows.withColumn("state", state).select(*BY_FRAME, "x1", "y1", "x2", "y2", "confidence", "last_seen_frame", "state")
+    state = F.when(has, F.last("event", ignorenulls=True).over(recent(rows, p)))
+    return rows.withColumn("state", state).select(*key, "x1", "y1", "x2", "y2", "confidence", "last_seen_frame", "state")

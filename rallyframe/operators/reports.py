@@ -2,34 +2,61 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from rallyframe.operators.pose import elbow_angles, label_frames, swing_metrics
+from rallyframe.functions.geometry import angle, point
+from rallyframe.functions.sized import broadcast_if_small
+from rallyframe.operators.balls import first_ball, moving_by_grid
+from rallyframe.operators.chunks import by_frame
+from rallyframe.operators.pose import metric_columns, primary_pose, swing_type
+from rallyframe.operators.rackets import associated, carried, rackets, states
 from rallyframe.params import DEFAULT, Params
 
 BY_FRAME = ["video_id", "frame_num"]
+RACKET = ("x1", "y1", "x2", "y2")
 
 
-def frame_assembly(frames: DataFrame, poses: DataFrame, balls: DataFrame, states: DataFrame, p: Params = DEFAULT) -> DataFrame:
+def assembled(frames: DataFrame, poses: DataFrame, balls: DataFrame, states_: DataFrame, p: Params, no_person: str) -> DataFrame:
+    """Every frame with its pose, ball and racket columns and ``swing_type``: one join for each table, all on the frame's key."""
+    key = by_frame(frames)
+    ball = balls.select(*key, F.col("x").alias("ball_x"), F.col("y").alias("ball_y"))
+    racket = states_.select(*key, *[F.col(c).alias(f"racket_{c}") for c in RACKET], "state")
+    rows = frames.select(*key).join(poses.withColumn("has_pose", F.lit(True)), key, "left").join(ball, key, "left").join(racket, key, "left")
+    return rows.withColumn("swing_type", F.when(F.col("has_pose"), swing_type(p)).otherwise(no_person))
+
+
+def frame_assembly(frames: DataFrame, poses: DataFrame, balls: DataFrame, states_: DataFrame, p: Params = DEFAULT, no_person: str = "No Swing") -> DataFrame:
     """Every frame with its label, metrics, active ball and racket, each null where there is none."""
-    labels = label_frames(frames, poses, p)
-    metrics = swing_metrics(poses, balls, p).drop("swing_type")
-    ball = balls.select(*BY_FRAME, F.col("x").alias("ball_x"), F.col("y").alias("ball_y"))
-    racket = states.select(*BY_FRAME, F.col("x1").alias("racket_x1"), F.col("y1").alias("racket_y1"), F.col("x2").alias("racket_x2"), F.col("y2").alias("racket_y2"), "state")
-    return labels.join(metrics, BY_FRAME, "left").join(ball, BY_FRAME, "left").join(racket, BY_FRAME, "left")
+    rows = assembled(frames, poses, balls, states_, p, no_person)
+    metrics = [c.alias(n) for n, c in metric_columns(p).items()]
+    return rows.select(*by_frame(frames), "swing_type", *metrics, "ball_x", "ball_y", *[f"racket_{c}" for c in RACKET], "state")
+
+
+def needed_frames(requests: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """(frame_num) of the requested frames and of those before them that they depend on."""
+    ids = requests.filter("frame_id >= 0").select("frame_id").distinct()
+    return ids.select(F.explode(F.sequence(F.greatest(F.lit(0), F.col("frame_id") - p.look_back), F.col("frame_id"))).alias("frame_num")).distinct()
 
 
-def keyframe_card(requests: DataFrame, frames: DataFrame, poses: DataFrame, balls: DataFrame, states: DataFrame, videos: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """The card of each requested frame that exists; ``NO RACKET/BALL`` where there is no state."""
+def keyframe_card(requests: DataFrame, frames: DataFrame, keypoints: DataFrame, racket_detections: DataFrame, candidates: DataFrame, videos: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """The card of each requested frame that exists; ``NO RACKET/BALL`` where there is no state.
+
+    The facts are cut down to the requested frames and the ``look_back`` frames before each, ahead of all pivots, windows and joins.
+    """
     dom, other = ("right", "left") if p.dominant_hand == "right" else ("left", "right")
-    asked = frames.join(F.broadcast(requests.select(F.col("frame_id").alias("frame_num")).distinct()), "frame_num").select(*BY_FRAME)
-    all_ = label_frames(asked, poses, p).join(swing_metrics(poses, balls, p).drop("swing_type"), BY_FRAME, "left").join(elbow_angles(poses), BY_FRAME, "left")
-    all_ = all_.join(states.select(*BY_FRAME, "state"), BY_FRAME, "left").join(videos.select("video_id", "fps"), "video_id", "left")
-    return all_.select(
-        *BY_FRAME, F.when(F.col("fps") > 0, F.col("frame_num") / F.col("fps")).alias("timestamp"), "swing_type", "shoulder_turn",
-        F.col(f"{other}_elbow_angle").alias("nondom_arm_elbow"), F.col(f"{dom}_elbow_angle").alias("dom_arm_elbow"),
-        F.coalesce("state", F.lit("NO RACKET/BALL")).alias("system_status"), "stance_width", "stance_type", "left_knee_angle", "right_knee_angle",
+    near = broadcast_if_small(needed_frames(requests, p))
+    frames, keypoints, racket_detections, candidates = (t.join(near, "frame_num", "left_semi") for t in (frames, keypoints, racket_detections, candidates))
+    poses, balls = primary_pose(keypoints, p), first_ball(moving_by_grid(candidates, p))
+    state = states(carried(frames, associated(rackets(racket_detections, p), poses), p), balls, p)
+    asked = frames.join(broadcast_if_small(requests.select(F.col("frame_id").alias("frame_num")).distinct()), "frame_num", "left_semi")
+    rows = assembled(asked, poses, balls, state, p, "No Swing").join(videos.select("video_id", "fps"), "video_id", "left")
+    m = metric_columns(p)
+    elbow = {s: angle(point(f"{s}_shoulder"), point(f"{s}_elbow"), point(f"{s}_wrist")) for s in (dom, other)}
+    return rows.select(
+        *BY_FRAME, F.when(F.col("fps") > 0, F.col("frame_num") / F.col("fps")).alias("timestamp"), "swing_type", m["shoulder_turn"].alias("shoulder_turn"),
+        elbow[other].alias("nondom_arm_elbow"), elbow[dom].alias("dom_arm_elbow"), F.coalesce("state", F.lit("NO RACKET/BALL")).alias("system_status"),
+        *[m[c].alias(c) for c in ("stance_width", "stance_type", "left_knee_angle", "right_knee_angle")],
     )
 
 
@@ -43,6 +70,22 @@ def run_summary(frames: DataFrame) -> DataFrame:
     return rows.withColumn("average_fps", F.when(F.col("seconds") > 0, F.col("frames") / F.col("seconds")).otherwise(0.0))
 
 
+def write_and_summarise(rows: DataFrame, path: str) -> DataFrame:
+    """Writes ``rows`` (video_id, frame_num, ...) with ``processed_at``, the clock as each row passes, and gives the run's summary from that same pass.
+
+    One row: frames, last_frame, seconds from the first to the last frame, and average_fps (0 without time). The table at ``path`` has what
+    ``run_summary`` and ``progress`` need for each video.
+    """
+    seen = Observation("run")
+    clock = F.timestamp_millis(F.java_method(F.lit("java.lang.System"), F.lit("currentTimeMillis")).cast("long"))
+    timed = rows.withColumn("processed_at", clock)
+    at = F.unix_millis("processed_at")
+    timed.observe(seen, F.count(F.lit(1)).alias("frames"), F.max("frame_num").alias("last_frame"), F.min(at).alias("first"), F.max(at).alias("last")).write.parquet(path)
+    got = seen.get
+    seconds = ((got["last"] or 0) - (got["first"] or 0)) / 1000
+    return rows.sparkSession.createDataFrame([(got["frames"], got["last_frame"], seconds, got["frames"] / seconds if seconds else 0.0)], "frames long, last_frame int, seconds double, average_fps double")
+
+
 def progress(frames: DataFrame, videos: DataFrame) -> DataFrame:
     """A row for each second of video (30 frames where fps is 0): percent done, time for the batch, time left at the pace so far."""
     w = Window.partitionBy("video_id").orderBy("frame_num")

@@ -2,21 +2,55 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rallyframe.functions.geometry import seconds
+from rallyframe.functions.sized import broadcast_if_small
 
-VIDEO = r"(?i)\.(mp4|avi|mov|mkv)$"
+#: The kinds of video files.
+KINDS = ("mp4", "avi", "mov", "mkv")
+VIDEO = rf"(?i)\.({'|'.join(KINDS)})$"
 
 
 def list_videos(spark: SparkSession, folder: str, recursive: bool = True, exclude: str | None = None) -> DataFrame:
-    """(path, length, modificationTime) of the video files under a folder; their content isn't read."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length", "modificationTime")
-    if not recursive:
-        inside = F.substring_index("path", folder.split(":", 1)[-1].rstrip("/") + "/", -1)
-        found = found.filter(~inside.contains("/"))
-    return catalogue(found, exclude)
+    """(path, length, modificationTime) of the video files under a folder; their content isn't read.
+
+    Not ``recursive``: the folder alone is listed, by a pattern for each kind of file, and no folder in it.
+    """
+    files = spark.read.format("binaryFile")
+    if recursive:
+        found = files.option("recursiveFileLookup", True).load(folder)
+    else:
+        either = lambda kind: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in kind)
+        try:
+            found = files.load(f"{folder.rstrip('/')}/*.{{{','.join(map(either, KINDS))}}}")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return spark.createDataFrame([], "path string, length long, modificationTime timestamp")
+    return catalogue(found.select("path", "length", "modificationTime"), exclude)
+
+
+def take_new_videos(spark: SparkSession, folder: str, out: str, checkpoint: str, exclude: str | None = None) -> DataFrame:
+    """Adds the video files that came since the last call to the table at ``out`` and gives them: a file stream that keeps what it took in ``checkpoint``.
+
+    ``taken`` in the table is the number of the call's batch, so a call that is repeated after a failure adds nothing twice.
+    """
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).load(folder)
+    found = catalogue(files.select("path", "length", "modificationTime"), exclude)
+    batches = []
+
+    def add(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{out}/taken={batch}")
+        batches.append(batch)
+
+    found.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    schema = "path string, length long, modificationTime timestamp, taken int"
+    if not batches:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(out).filter(F.col("taken").isin(batches))
 
 
 def catalogue(paths: DataFrame, exclude: str | None = None) -> DataFrame:
@@ -74,19 +108,20 @@ def videos_with(videos: DataFrame) -> DataFrame:
 
 def requests_by_id(videos: DataFrame, requests: DataFrame) -> DataFrame:
     """Every distinct request for every video, with why it can't be met or null."""
-    pairs = videos_with(videos).join(F.broadcast(requests.distinct()))  # requests are a short list
+    pairs = videos_with(videos).join(broadcast_if_small(requests.distinct()))  # each pair is a row of the result
     ok = (F.col("frame_id") >= 0) & (F.col("frame_id") < F.col("n_frames"))
     return pairs.withColumn("reason", F.when(F.col("frame_id").isNull() | ~ok, "invalid id"))
 
 
 def frames_by_id(videos: DataFrame, frames: DataFrame, requests: DataFrame) -> DataFrame:
-    got = requests_by_id(videos, requests).filter("reason is null").withColumn("frame_num", F.col("frame_id"))
-    got = got.join(frames.select("video_id", "frame_num"), ["video_id", "frame_num"])
-    return got.select("video_id", "video_name", "frame_num", F.lit("id").alias("source"), F.col("frame_id").cast("string").alias("requested"), F.format_string("%s_frame_%04d.png", "video_name", "frame_num").alias("file_name"))
+    """The requested frames that exist: frames are joined with requests by number, then with their videos."""
+    asked = broadcast_if_small(requests.filter("frame_id >= 0").select(F.col("frame_id").alias("frame_num")).distinct())
+    got = frames.select("video_id", "frame_num").join(asked, "frame_num").join(videos_with(videos), "video_id").filter(F.col("frame_num") < F.col("n_frames"))
+    return got.select("video_id", "video_name", "frame_num", F.lit("id").alias("source"), F.col("frame_num").cast("string").alias("requested"), F.format_string("%s_frame_%04d.png", "video_name", "frame_num").alias("file_name"))
 
 
 def requests_by_time(videos: DataFrame, requests: DataFrame) -> DataFrame:
-    pairs = videos_with(videos).join(F.broadcast(requests.distinct())).withColumn("seconds", seconds(F.col("ts")))
+    pairs = videos_with(videos).join(broadcast_if_small(requests.distinct())).withColumn("seconds", seconds(F.col("ts")))
     reason = F.when(F.col("seconds").isNull(), "bad format").when(F.col("seconds") > F.col("duration"), "beyond duration")
     return pairs.withColumns({"reason": reason, "frame_num": (F.col("seconds") * F.col("fps")).cast("int")})
 

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rallyframe.operators.chunks import cut, frame_order, left_by_earlier
 from rallyframe.params import DEFAULT, Params
 
 Ball = tuple[int, int]
@@ -62,17 +63,28 @@ class Tracker:
 
 def lost_counter(moving: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """Frames since a ball last moved, and whether the track is lost; before the first one, frames from the start on."""
-    w = Window.partitionBy("video_id").orderBy("frame_num").rowsBetween(Window.unboundedPreceding, 0)
-    seen = F.last(F.when(F.size("balls") > 0, F.col("frame_num")), ignorenulls=True).over(w)
-    lost = F.col("frame_num") - F.coalesce(seen, F.lit(-1))
-    return moving.select("video_id", "frame_num", lost.alias("lost_frames"), (lost > p.max_lost_frames).alias("is_lost"))
+    here = F.when(F.size("balls") > 0, F.col("frame_num"))
+    rows = left_by_earlier(cut(moving.select("video_id", "frame_num", "balls"), p), here, "earlier")
+    seen = F.last(here, ignorenulls=True).over(frame_order(rows).rowsBetween(Window.unboundedPreceding, 0))
+    lost = F.col("frame_num") - F.coalesce(seen, F.col("earlier"), F.lit(-1))
+    return rows.select("video_id", "frame_num", lost.alias("lost_frames"), (lost > p.max_lost_frames).alias("is_lost"))
 
 
 def segments(moving: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """(video_id, frame_num, segment_id, balls) of frames with a moving ball; a gap of more than ``max_lost_frames`` empty frames starts a segment."""
-    w = Window.partitionBy("video_id").orderBy("frame_num")
-    gap = F.col("frame_num") - F.lag("frame_num").over(w) > p.max_lost_frames + 1
-    return moving.filter(F.size("balls") > 0).withColumn("segment_id", F.sum(F.when(gap, 1).otherwise(0)).over(w).cast("int")).select("video_id", "frame_num", "segment_id", "balls")
+    """(video_id, frame_num, segment_id, balls) of frames with a moving ball; a gap of more than ``max_lost_frames`` empty frames starts a segment.
+
+    A chunk counts the gaps inside it; a row for each chunk, with its first and last such frame, tells the gaps between and before.
+    """
+    rows = cut(moving.filter(F.size("balls") > 0).select("video_id", "frame_num", "balls"), p)
+    w = frame_order(rows)
+    wide = lambda a, b: F.coalesce((a - b > p.max_lost_frames + 1).cast("int"), F.lit(0))
+    rows = rows.withColumn("gap", wide(F.col("frame_num"), F.lag("frame_num").over(w)))
+    chunks = rows.groupBy("video_id", "chunk").agg(F.min("frame_num").alias("first"), F.max("frame_num").alias("last"), F.sum("gap").alias("inside"))
+    v = Window.partitionBy("video_id").orderBy("chunk")
+    chunks = chunks.withColumn("before", wide(F.col("first"), F.lag("last").over(v)))
+    chunks = chunks.select("video_id", "chunk", (F.sum(F.col("before") + F.col("inside")).over(v) - F.col("inside")).alias("base"))
+    number = F.sum("gap").over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("base")
+    return rows.join(chunks, ["video_id", "chunk"]).select("video_id", "frame_num", number.cast("int").alias("segment_id"), "balls")
 
 
 def active_ball(moving: DataFrame, p: Params = DEFAULT) -> DataFrame:

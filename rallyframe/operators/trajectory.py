@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rallyframe.operators.chunks import cut, frame_order, left_by_earlier
 from rallyframe.params import DEFAULT, Params
 
 
@@ -20,14 +21,22 @@ def step(x="x", y="y", w=None):
     return F.sqrt((dx * dx + dy * dy).cast("double"))
 
 
-def step_distance(points: DataFrame) -> DataFrame:
+def with_point_before(points: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """``points`` with ``before``, the (frame_num, x, y) of the point before, from the chunk or the last of the chunks before it."""
+    point = F.struct("frame_num", "x", "y")
+    rows = left_by_earlier(cut(points.select("video_id", "frame_num", "x", "y"), p), point, "earlier")
+    return rows.withColumn("before", F.coalesce(F.lag(point).over(frame_order(rows)), "earlier")).drop("chunk", "earlier")
+
+
+def step_distance(points: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """Distance to the point before in the track, whatever frames lie between; null for the first."""
-    return points.select("video_id", "frame_num", step().alias("step"))
+    dx, dy = F.col("x") - F.col("before.x"), F.col("y") - F.col("before.y")
+    return with_point_before(points, p).select("video_id", "frame_num", F.sqrt((dx * dx + dy * dy).cast("double")).alias("step"))
 
 
-def step_statistics(points: DataFrame) -> DataFrame:
+def step_statistics(points: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """Mean and population deviation of the steps of each video."""
-    return step_distance(points).groupBy("video_id").agg(F.count("step").alias("n_steps"), F.avg("step").alias("mean_step"), F.stddev_pop("step").alias("std_step"))
+    return step_distance(points, p).groupBy("video_id").agg(F.count("step").alias("n_steps"), F.avg("step").alias("mean_step"), F.stddev_pop("step").alias("std_step"))
 
 
 def chunked(points: DataFrame, p: Params = DEFAULT) -> DataFrame:
@@ -100,24 +109,61 @@ def clean(x: np.ndarray, sigma: float) -> np.ndarray:
     return np.einsum("nw,nwk->nk", m[np.arange(n) - s], x[s[:, None] + np.arange(w)])
 
 
+class Smoother:
+    """Clean-up of one video's points as they come in order of frame: holds those that a later clean-up can still change, ``history`` at most after each call."""
+
+    def __init__(self, p: Params = DEFAULT):
+        self.p, self.frames, self.xy, self.next = p, np.zeros(0, np.int64), np.zeros((0, 2)), 0
+
+    def take(self, frames: np.ndarray, xy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Takes the next points and gives back those that are done."""
+        out = []
+        for k in range(0, len(frames), self.p.history):
+            self.frames, self.xy = np.r_[self.frames, frames[k : k + self.p.history]], np.r_[self.xy, xy[k : k + self.p.history]]
+            newest = int(self.frames[-1])
+            while self.next <= newest:
+                end = int(np.searchsorted(self.frames, self.next, "right"))
+                start = max(0, end - self.p.history)
+                if end > start:
+                    self.xy[start:end] = clean(self.xy[start:end], self.p.outlier_sigma)
+                self.next += self.p.checkpoint_frames
+            done = max(0, len(self.frames) - self.p.history)
+            out.append((self.frames[:done], self.xy[:done]))
+            self.frames, self.xy = self.frames[done:], self.xy[done:]
+        return (np.concatenate([f for f, _ in out]), np.concatenate([x for _, x in out])) if out else (frames, xy)
+
+
 def smooth_cumulatively(points: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """Clean-up at each frame divisible by ``checkpoint_frames`` over the last ``history`` points, as earlier clean-ups left them.
 
-    The recursion has no end in a video, so a video is one group; a group holds three
-    numbers for each frame with a ball.
+    The recursion has no end in a video, so a video is walked by one task, in batches: only ``history`` points of one
+    video are held from batch to batch, and a point is put out once so many came after it.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame_num")
-        f, x = pdf["frame_num"].to_numpy(), pdf[["x", "y"]].to_numpy(float)
-        for at in range(0, (int(f[-1]) // p.checkpoint_frames + 1) * p.checkpoint_frames, p.checkpoint_frames):
-            end = int(np.searchsorted(f, at, "right"))
-            start = max(0, end - p.history)
-            if end > start:
-                x[start:end] = clean(x[start:end], p.outlier_sigma)
-        return pd.DataFrame({"video_id": pdf["video_id"], "frame_num": f, "x": x[:, 0], "y": x[:, 1]})
-
-    return points.select("video_id", "frame_num", "x", "y").groupBy("video_id").applyInPandas(run, "video_id long, frame_num int, x double, y double")
+    def run(batches):
+        video, smoother = None, None
+        for b in batches:
+            v, f = b["video_id"].to_numpy(), b["frame_num"].to_numpy()
+            xy = np.stack([b["x"].to_numpy(), b["y"].to_numpy()], 1).astype(float)
+            starts = np.flatnonzero(np.r_[True, v[1:] != v[:-1]]) if len(v) else np.zeros(0, np.int64)
+            made = []
+            for x, z in zip(starts.tolist(), [*starts[1:].tolist(), len(v)], strict=True):
+                if v[x] != video:
+                    if smoother is not None:
+                        made.append((video, smoother.frames, smoother.xy))
+                    video, smoother = v[x], Smoother(p)
+                made.append((video, *smoother.take(f[x:z], xy[x:z])))
+            if made:
+                yield rows(made)
+        if smoother is not None:
+            yield rows([(video, smoother.frames, smoother.xy)])
+
+    def rows(made):
+        v, f, xy = np.concatenate([np.full(len(f), v) for v, f, _ in made]), np.concatenate([f for _, f, _ in made]), np.concatenate([x for *_, x in made])
+        return pa.record_batch([pa.array(v, pa.int64()), pa.array(f, pa.int32()), pa.array(xy[:, 0]), pa.array(xy[:, 1])], names=["video_id", "frame_num", "x", "y"])
+
+    dealt = points.select("video_id", "frame_num", "x", "y").repartition("video_id").sortWithinPartitions("video_id", "frame_num")
+    return dealt.mapInArrow(run, "video_id long, frame_num int, x double, y double")
 
 
 def trail(frames: DataFrame, points: DataFrame, p: Params = DEFAULT) -> DataFrame:

@@ -34,12 +34,21 @@ class Params:
     detector_width: int = 640
     detector_height: int = 360
     box_pad: int = 20
+    chunk_frames: int = 10_000  #: frames of a video that go together
+    halo_frames: int = 16  #: frames before them that their bounded look-backs need
 
     def __post_init__(self):
         if self.min_ball_radius > self.max_ball_radius:
             raise ValueError("min_ball_radius is over max_ball_radius")
         if self.history < 1 or self.trail < 1 or self.checkpoint_frames < 1:
             raise ValueError("history, trail and checkpoint_frames must be at least 1")
+        if not self.look_back <= self.halo_frames < self.chunk_frames:
+            raise ValueError("halo_frames must cover look_back and be less than chunk_frames")
+
+    @property
+    def look_back(self) -> int:
+        """Frames before one that its racket state can depend on: a carried event, the racket that it saw carried, its ball's frame before."""
+        return 2 * self.racket_lost_frames + 1
 
 
 DEFAULT = Params()

