@@ -7,12 +7,12 @@ rotated right by 15 bits plus a constant. The payload is: width of an id in byte
 4), whether the row has an id (1), doc_id (8), the token ids.
 
 Rows are dealt out by ranges of doc_id and sorted, and the texts are shuffled rather than
-the larger ids; part files in name order hold ascending doc_ids (null first, equal ids by
+the larger ids; part files in order of the numbers in their names hold ascending doc_ids (null first, equal ids by
 a hash of the text). Spark writes and reads the files, so any file system Spark knows will
 do and lost tasks leave nothing behind. The index (Parquet) has for each record: file,
 offset, size, doc_id, n_tokens and start, the ids of all records before it.
 
-Null texts count as empty: a record with the end id alone. Repeated rows are records of
+Null texts count as empty: a record with the end id alone. An id that is no whole number is kept as null. Repeated rows are records of
 their own. An empty table gives no records. Only the named columns are read.
 """
 
@@ -231,7 +231,8 @@ def write_index(spark: SparkSession, path: str, out: str) -> None:
     found.write.parquet(f"{out}-scan")
     scan = spark.read.schema(found.schema).parquet(f"{out}-scan")
     totals = scan.groupBy("file").agg(F.sum("n_tokens").alias("total"))  # one row for each file
-    bases = totals.select("file", (F.sum("total").over(Window.orderBy("file")) - F.col("total")).alias("base"))
+    number = F.regexp_extract("file", r"part-(\d+)[^/]*$", 1).cast("long")  # five digits at least: names as text would put 100000 before 99999
+    bases = totals.select("file", (F.sum("total").over(Window.orderBy(number, "file")) - F.col("total")).alias("base"))
     scan.join(bases, "file").select("file", "offset", "size", "doc_id", "n_tokens", (F.col("base") + F.col("before")).alias("start")).write.parquet(out)
 
 

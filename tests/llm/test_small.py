@@ -51,6 +51,17 @@ def test_words_are_those_of_the_pattern():
             assert [w.word(k).decode() for k in range(lo, hi)] == words(texts[d])
 
 
+def test_record_files_go_by_number(spark, tmp_path):
+    enc = records.LibraryEncoder(BPE)
+    write = lambda name, ids: (tmp_path / "out" / name).write_bytes(b"".join(records.frame(i, np.array([5] * i, np.uint16), enc.width) + b"\n" for i in ids))
+    (tmp_path / "out").mkdir()
+    write("part-99999-x.txt", (1, 2))
+    write("part-100000-x.txt", (3, 4))
+    records.write_index(spark, str(tmp_path / "out"), str(tmp_path / "index"))
+    rows = spark.read.parquet(str(tmp_path / "index")).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.start) for r in rows] == [(1, 0), (2, 1), (3, 3), (4, 6)]
+
+
 def test_records(spark, docs, empty, tmp_path):
     library = __import__("tokenizers").Tokenizer.from_file(BPE)
     got = {r.doc_id: r for r in records.written_and_read(docs).collect()}
