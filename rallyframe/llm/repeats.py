@@ -253,7 +253,7 @@ def marked(docs: DataFrame, width: int = WIDTH, max_cells: int = MAX_CELLS, id_c
     n_bytes = rows.agg(F.sum(F.octet_length("_t"))).first()[0] or 0
     cells = cells_for(n_bytes, max_cells)
     starts = repeated_starts(rows, width, sketch(rows, width, cells), cells, buckets_for(n_bytes))
-    per_key = starts.groupBy("key").agg(F.collect_list("starts").alias("_starts"))
+    per_key = starts.groupBy("key").agg(F.collect_set("starts").alias("_starts"))  # rows equal in id and text have one key and send the same lists
     return docs.withColumn("_k", row_key(id_col, text_col)).join(per_key, F.col("_k") == F.col("key"), "left").drop("_k", "key")
 
 

@@ -51,6 +51,15 @@ def test_words_are_those_of_the_pattern():
             assert [w.word(k).decode() for k in range(lo, hi)] == words(texts[d])
 
 
+def test_many_rows_equal_in_id_and_text(spark):
+    text = " ".join(f"w{i}" for i in range(300))
+    df = spark.range(2000).selectExpr("cast(null as long) as doc_id", f"'{text}' as text").unionByName(spark.createDataFrame([(1, "other " + text), (2, "short one")], "doc_id long, text string"))
+    marks = repeats.marked(df)
+    assert marks.selectExpr("max(aggregate(_starts, 0L, (a, s) -> a + octet_length(s)))").first()[0] <= 4 * 300 * 8
+    got = {(r.doc_id, r.n_words, r.n_removed): r["count"] for r in repeats.digests(df).groupBy("doc_id", "n_words", "n_removed").count().collect()}
+    assert got == {(None, 300, 300): 2000, (1, 301, 300): 1, (2, 2, 0): 1}
+
+
 def test_record_files_go_by_number(spark, tmp_path):
     enc = records.LibraryEncoder(BPE)
     write = lambda name, ids: (tmp_path / "out" / name).write_bytes(b"".join(records.frame(i, np.array([5] * i, np.uint16), enc.width) + b"\n" for i in ids))
