@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rallyframe.operators import balls, chunks, detect, motion, pose, rackets, reports, selection, tracker, trajectory
+from rallyframe.params import DEFAULT, Params
 from rallyframe.plans import oracle
 from rallyframe.session import co_partition
 from rallyframe.sources import facts
@@ -24,27 +25,27 @@ TIMES = ["00:00:01", "00:02", "2", "", "1:2:3:4", "16:04:13"]
 class Facts:
     """The fact tables of one data folder and the steps that several queries share."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.ev = spark, facts.event_frames(spark, sf_dir)
+    def __init__(self, spark: SparkSession, sf_dir: str, ev: DataFrame | None = None, p: Params = DEFAULT):
+        self.spark, self.p, self.ev = spark, p, facts.event_frames(spark, sf_dir) if ev is None else ev
 
     frames = property(lambda s: facts.frames(s.ev))
     videos = property(lambda s: facts.videos(s.ev))
     keypoints = property(lambda s: facts.keypoints(s.ev))
     detections = property(lambda s: facts.ball_detections(s.ev))
+    racket_detections = property(lambda s: facts.racket_detections(s.ev))
     poses = property(lambda s: pose.primary_pose(s.keypoints))
     boxes = property(lambda s: pose.player_box(pose.gate(s.keypoints)))
     people = property(lambda s: pose.person_boxes(pose.gate(s.keypoints)))
     candidates = property(lambda s: balls.in_bounds(s.detections))
     moving = property(lambda s: balls.moving_by_frame(s.frames, s.candidates))
-    active = property(lambda s: tracker.active_ball(s.moving))
+    active = property(lambda s: tracker.active_ball(s.moving, s.p))
     found = property(lambda s: rackets.associated(rackets.rackets(s.racket_detections), s.poses))
-    carried = property(lambda s: chunks.own(s.carried_c))
+    carried = property(lambda s: chunks.own(s.carried_c, s.p))
     # The same in chunks with a halo, so that a long video is worked on in many tasks.
-    frames_c = property(lambda s: chunks.spread(s.frames))
-    poses_c = property(lambda s: pose.primary_pose(chunks.spread(s.keypoints)))
-    first_c = property(lambda s: balls.first_ball(balls.moving_by_grid(chunks.spread(s.candidates))))
-    carried_c = property(lambda s: rackets.carried(s.frames_c, rackets.associated(chunks.spread(rackets.rackets(s.racket_detections)), s.poses_c)))
-    racket_detections = property(lambda s: facts.racket_detections(s.ev))
+    frames_c = property(lambda s: chunks.spread(s.frames, s.p))
+    poses_c = property(lambda s: pose.primary_pose(chunks.spread(s.keypoints, s.p)))
+    first_c = property(lambda s: balls.first_ball(balls.moving_by_grid(chunks.spread(s.candidates, s.p))))
+    carried_c = property(lambda s: rackets.carried(s.frames_c, rackets.associated(chunks.spread(rackets.rackets(s.racket_detections), s.p), s.poses_c)))
     ids = property(lambda s: s.spark.createDataFrame([(i,) for i in IDS], "frame_id int"))
     times = property(lambda s: s.spark.createDataFrame([(t,) for t in TIMES], "ts string"))
 
@@ -61,10 +62,10 @@ class Facts:
 
     @property
     def states(self) -> DataFrame:
-        return chunks.own(rackets.states(self.carried_c, self.first_c))
+        return chunks.own(rackets.states(self.carried_c, self.first_c), self.p)
 
     def assembled(self, track: DataFrame) -> DataFrame:
-        return chunks.own(reports.frame_assembly(self.frames_c, self.poses_c, track, rackets.states(self.carried_c, track)))
+        return chunks.own(reports.frame_assembly(self.frames_c, self.poses_c, track, rackets.states(self.carried_c, track)), self.p)
 
 
     def timed(self, rows: DataFrame) -> DataFrame:
@@ -143,10 +144,10 @@ QUERIES: dict[str, Callable[[Facts], DataFrame]] = {
     "racket_assoc": lambda x: x.found,
     "racket_carry": lambda x: x.carried,
     "racket_state": lambda x: x.states,
-    "lost_counter": lambda x: tracker.lost_counter(x.moving),
-    "track_segments": lambda x: tracker.segments(x.moving).select("video_id", "frame_num", "segment_id"),
+    "lost_counter": lambda x: tracker.lost_counter(x.moving, x.p),
+    "track_segments": lambda x: tracker.segments(x.moving, x.p).select("video_id", "frame_num", "segment_id"),
     "active_ball": lambda x: x.active,
-    "step_distance": lambda x: trajectory.step_distance(x.first),
+    "step_distance": lambda x: trajectory.step_distance(x.first, x.p),
     "step_statistics": lambda x: trajectory.step_statistics(x.first),
     "outlier_replace": lambda x: trajectory.replace_outliers(x.first),
     "savgol_segment": lambda x: trajectory.smooth_runs(x.first),
@@ -156,7 +157,7 @@ QUERIES: dict[str, Callable[[Facts], DataFrame]] = {
     "track_lines": lambda x: trajectory.lines(x.first),
     "stationary_runs": lambda x: trajectory.still_runs(x.detections.select("video_id", "det_idx", "frame_num", "x", "y"), by=("video_id", "det_idx")),
     "frame_assembly": lambda x: x.assembled(x.first_c),
-    "tracked_frames": lambda x: x.assembled(chunks.spread(x.active)),
+    "tracked_frames": lambda x: x.assembled(chunks.spread(x.active, x.p)),
     "video_catalogue": lambda x: selection.names(selection.catalogue(x.videos)).select("video_id", "path", "video_name", "annotated_path", "frames_dir", "named_frames_dir"),
     "video_meta": lambda x: selection.metadata(x.videos),
     "videos_rejected": lambda x: selection.split_valid(x.videos)[1].select("video_id", "path", "reject_reason"),
@@ -197,16 +198,21 @@ QUERIES: dict[str, Callable[[Facts], DataFrame]] = {
 }
 
 
+#: Queries that run on the longer videos of ``lineitem`` too, as ``long_*``, in chunks of 150 frames.
+LONG = ("ball_moving", "racket_carry", "racket_state", "lost_counter", "track_segments", "step_distance", "frame_assembly")
+LONG_CHUNKS = Params(chunk_frames=150)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    def make(f):
+    def make(f, long=False):
         def run(spark, sf_dir):
             co_partition(spark)
-            return rounded(f(Facts(spark, sf_dir)))
+            return rounded(f(Facts(spark, sf_dir, facts.line_frames(spark, sf_dir), LONG_CHUNKS) if long else Facts(spark, sf_dir)))
 
         return run
 
-    return {name: make(f) for name, f in QUERIES.items()}
+    return {name: make(f) for name, f in QUERIES.items()} | {f"long_{name}": make(QUERIES[name], True) for name in LONG}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: oracle.statement(name) for name in QUERIES if name in oracle.SELECT}
+    return {name: oracle.statement(name) for name in QUERIES if name in oracle.SELECT} | {f"long_{name}": oracle.statement(name, long=True) for name in LONG}

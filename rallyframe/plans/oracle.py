@@ -6,6 +6,11 @@ import re
 
 from rallyframe.sources.schemas import KEYPOINT_NAMES
 
+EVENTS = """ev AS (SELECT user_id AS v, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS f,
+  event_id AS e, ts, event_type AS kind FROM events)"""
+#: The longer videos, from lines.
+LINES = """ev AS (SELECT v, f, e, TIMESTAMP '1970-01-01' + to_seconds(f) AS ts, (['view', 'click', 'purchase', 'signup', 'error'])[e % 5 + 1] AS kind
+  FROM (SELECT l_suppkey AS v, l_orderkey * 7 + l_linenumber AS e, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey * 7 + l_linenumber) - 1 AS INTEGER) AS f FROM lineitem))"""
 HEAD = """
 ev AS (SELECT user_id AS v, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS f,
   event_id AS e, ts, event_type AS kind FROM events),
@@ -291,9 +296,10 @@ SELECT = {
 }
 
 
-def statement(name: str) -> str:
+def statement(name: str, long: bool = False) -> str:
     body = SELECT[name].lstrip()
     head = f"WITH RECURSIVE {HEAD.strip()}, {TRACK.strip()}" if re.search(r"\bact\b", body) else f"WITH RECURSIVE {HEAD.strip()}" if body.startswith("WITH RECURSIVE ") else f"WITH {HEAD.strip()}"
+    head = head.replace(EVENTS, LINES) if long else head
     for own in ("WITH RECURSIVE ", "WITH "):
         if body.startswith(own):
             return f"{head}, {body.removeprefix(own)}"

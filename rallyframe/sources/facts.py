@@ -15,6 +15,17 @@ def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select("v", (F.row_number().over(w) - 1).alias("f"), "e", "ts", "kind")
 
 
+KINDS = ("view", "click", "purchase", "signup", "error")
+
+
+def line_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from ``lineitem``: a supplier is a video, of several hundred frames, and a line is a frame."""
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), (F.col("e") % 5 + 1).cast("int"))
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_suppkey").alias("v"), (F.col("l_orderkey") * 7 + F.col("l_linenumber")).alias("e"))
+    f = F.row_number().over(Window.partitionBy("v").orderBy("e")) - 1  # lines of equal number are alike in all that is used
+    return lines.select("v", f.alias("f"), "e", F.timestamp_seconds(f).alias("ts"), kind.alias("kind"))
+
+
 def frames(ev: DataFrame) -> DataFrame:
     return ev.select(F.col("v").alias("video_id"), F.col("f").alias("frame_num"), F.col("ts").cast("timestamp").alias("event_time"), F.col("ts").cast("timestamp").alias("processed_at"))
 
