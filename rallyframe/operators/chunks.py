@@ -52,3 +52,22 @@ def left_by_earlier(rows: DataFrame, value: Column, name: str) -> DataFrame:
     before = Window.partitionBy("video_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     leaves = rows.groupBy("video_id", "chunk").agg(last.alias("left"))  # a row for each chunk
     return rows.join(leaves.select("video_id", "chunk", F.last("left", ignorenulls=True).over(before).alias(name)), ["video_id", "chunk"], "left")
+
+
+def with_before(rows: DataFrame, value: Column, name: str, p: Params = DEFAULT) -> DataFrame:
+    """``rows`` with ``value`` of the row before in the video, from the chunk or the last of the chunks before it; null for the first.
+
+    ``value`` must not be null, a struct where its parts may be.
+    """
+    marked = left_by_earlier(cut(rows, p), value, "earlier")
+    return marked.withColumn(name, F.coalesce(F.lag(value).over(frame_order(marked)), "earlier")).drop("chunk", "earlier")
+
+
+def numbered(rows: DataFrame, name: str, p: Params = DEFAULT) -> DataFrame:
+    """``rows`` with their place in the video, from 0 on: the place in the chunk and the rows of the chunks before."""
+    marked = cut(rows, p)
+    before = Window.partitionBy("video_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    counts = marked.groupBy("video_id", "chunk").agg(F.count(F.lit(1)).alias("rows"))
+    counts = counts.select("video_id", "chunk", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("base"))
+    place = F.row_number().over(frame_order(marked)) - 1
+    return marked.withColumn("place", place).join(counts, ["video_id", "chunk"]).withColumn(name, F.col("place") + F.col("base")).drop("chunk", "place", "base")

@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rallyframe.operators.chunks import by_frame, frame_order, with_before
 from rallyframe.operators.trajectory import in_order, step, with_point_before
 from rallyframe.params import DEFAULT, Params
 
@@ -23,11 +24,12 @@ def ball_speed(points: DataFrame, videos: DataFrame) -> DataFrame:
 
 def racket_motion(found: DataFrame) -> DataFrame:
     """Velocity and acceleration, a frame, of the racket's centre between frames where it was found."""
-    w = in_order()
     rows = found.select(*BY_FRAME, ((F.col("x1") + F.col("x2")) / 2).alias("x"), ((F.col("y1") + F.col("y2")) / 2).alias("y"))
-    gap = (F.col("frame_num") - F.lag("frame_num").over(w)).alias("gap")
-    rows = rows.select(*BY_FRAME, gap, *[((F.col(c) - F.lag(c).over(w)) / gap).alias(f"v{c}") for c in ("x", "y")])
-    return rows.select(*BY_FRAME, "vx", "vy", *[((F.col(f"v{c}") - F.lag(f"v{c}").over(w)) / F.col("gap")).alias(f"a{c}") for c in ("x", "y")])
+    rows = with_before(rows, F.struct("frame_num", "x", "y"), "b")
+    gap = F.col("frame_num") - F.col("b.frame_num")
+    rows = rows.select(*BY_FRAME, gap.alias("gap"), *[((F.col(c) - F.col(f"b.{c}")) / gap).alias(f"v{c}") for c in ("x", "y")])
+    rows = with_before(rows, F.struct("vx", "vy"), "b")
+    return rows.select(*BY_FRAME, "vx", "vy", *[((F.col(f"v{c}") - F.col(f"b.v{c}")) / F.col("gap")).alias(f"a{c}") for c in ("x", "y")])
 
 
 def ball_direction(points: DataFrame, boxes: DataFrame) -> DataFrame:
@@ -35,17 +37,18 @@ def ball_direction(points: DataFrame, boxes: DataFrame) -> DataFrame:
     centre = boxes.select(*BY_FRAME, ((F.col("x1") + F.col("x2")) / 2).alias("cx"), ((F.col("y1") + F.col("y2")) / 2).alias("cy"))
     dx, dy = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
     rows = points.join(centre, BY_FRAME).select(*BY_FRAME, F.sqrt(dx * dx + dy * dy).alias("distance"))
-    change = F.col("distance") - F.lag("distance").over(in_order())
+    rows = with_before(rows, F.struct("distance"), "b")
+    change = F.col("distance") - F.col("b.distance")
     return rows.select(*BY_FRAME, "distance", F.when(change < 0, "incoming").when(change > 0, "outgoing").when(change == 0, "level").alias("direction"))
 
 
 def swing_phase(states: DataFrame, follow: int = 5) -> DataFrame:
     """Phase of each frame from the racket's state: impact; follow-through up to ``follow`` frames after one; forward swing
     while the ball is near; preparation with a racket otherwise; idle without."""
-    w = in_order().rangeBetween(-follow, -1)
+    w = frame_order(states).rangeBetween(-follow, -1)
     after = F.max(F.when(F.col("state") == "IMPACT ZONE", F.col("frame_num"))).over(w).isNotNull()
     phase = F.when(F.col("state") == "IMPACT ZONE", "impact").when(after, "follow_through").when(F.col("state") == "APPROACHING BALL", "forward_swing").when(F.col("state").isNotNull(), "preparation").otherwise("idle")
-    return states.select(*BY_FRAME, phase.alias("phase"))
+    return states.select(*by_frame(states), phase.alias("phase"))
 
 
 def every_nth(frames: DataFrame, n: int) -> DataFrame:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rallyframe.operators.chunks import cut, frame_order, left_by_earlier
+from rallyframe.operators.chunks import by_frame, frame_order, numbered, with_before
 from rallyframe.params import DEFAULT, Params
 
 
@@ -23,9 +23,7 @@ def step(x="x", y="y", w=None):
 
 def with_point_before(points: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """``points`` with ``before``, the (frame_num, x, y) of the point before, from the chunk or the last of the chunks before it."""
-    point = F.struct("frame_num", "x", "y")
-    rows = left_by_earlier(cut(points.select("video_id", "frame_num", "x", "y"), p), point, "earlier")
-    return rows.withColumn("before", F.coalesce(F.lag(point).over(frame_order(rows)), "earlier")).drop("chunk", "earlier")
+    return with_before(points.select("video_id", "frame_num", "x", "y"), F.struct("frame_num", "x", "y"), "before", p)
 
 
 def step_distance(points: DataFrame, p: Params = DEFAULT) -> DataFrame:
@@ -41,7 +39,7 @@ def step_statistics(points: DataFrame, p: Params = DEFAULT) -> DataFrame:
 
 def chunked(points: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """``chunk`` and ``n``: runs of ``history`` points and the length of each."""
-    rows = points.withColumn("chunk", F.floor((F.row_number().over(in_order()) - 1) / p.history).cast("int"))
+    rows = numbered(points, "at", p).withColumn("chunk", F.floor(F.col("at") / p.history).cast("int")).drop("at")
     return rows.withColumn("n", F.count("*").over(Window.partitionBy("video_id", "chunk")).cast("int"))
 
 
@@ -168,11 +166,12 @@ def smooth_cumulatively(points: DataFrame, p: Params = DEFAULT) -> DataFrame:
 
 def trail(frames: DataFrame, points: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """Ball of the last ``trail`` frames of each frame, newest first, with marker size; one row for each mark."""
-    w = in_order().rowsBetween(-(p.trail - 1), 0)
+    key = by_frame(frames)
     ball = F.struct("frame_num", F.col("x"), F.col("y"))
-    rows = frames.select("video_id", "frame_num").join(points, ["video_id", "frame_num"], "left").withColumn("t", F.reverse(F.collect_list(ball).over(w)))
-    marks = rows.select("video_id", "frame_num", F.posexplode("t").alias("i", "m")).filter("m.x is not null")
-    return marks.select("video_id", "frame_num", F.col("i").alias("age"), F.col("m.x").alias("x"), F.col("m.y").alias("y"), (2 + (p.trail - F.col("i")) * 0.5).alias("size"))
+    rows = frames.select(*key).join(points, key, "left")
+    rows = rows.withColumn("t", F.reverse(F.collect_list(ball).over(frame_order(rows).rowsBetween(-(p.trail - 1), 0))))
+    marks = rows.select(*key, F.posexplode("t").alias("i", "m")).filter("m.x is not null")
+    return marks.select(*key, F.col("i").alias("age"), F.col("m.x").alias("x"), F.col("m.y").alias("y"), (2 + (p.trail - F.col("i")) * 0.5).alias("size"))
 
 
 def history(points: DataFrame, p: Params = DEFAULT) -> DataFrame:

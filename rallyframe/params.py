@@ -48,7 +48,7 @@ class Params:
     @property
     def look_back(self) -> int:
         """Frames before one that its racket state can depend on: a carried event, the racket that it saw carried, its ball's frame before."""
-        return 2 * self.racket_lost_frames + 1
+        return 2 * self.racket_lost_frames + 1  # ``halo_frames`` leaves five more for what looks back on states
 
 
 DEFAULT = Params()

@@ -150,9 +150,9 @@ QUERIES: dict[str, Callable[[Facts], DataFrame]] = {
     "step_distance": lambda x: trajectory.step_distance(x.first, x.p),
     "step_statistics": lambda x: trajectory.step_statistics(x.first),
     "outlier_replace": lambda x: trajectory.replace_outliers(x.first),
-    "savgol_segment": lambda x: trajectory.smooth_runs(x.first),
+    "savgol_segment": lambda x: trajectory.smooth_runs(x.first, x.p),
     "smooth_cumulative": lambda x: trajectory.smooth_cumulatively(x.active),
-    "trail8": lambda x: trajectory.trail(x.frames, x.first),
+    "trail8": lambda x: chunks.own(trajectory.trail(x.frames_c, x.first_c), x.p),
     "history40": lambda x: trajectory.history(x.first),
     "track_lines": lambda x: trajectory.lines(x.first),
     "stationary_runs": lambda x: trajectory.still_runs(x.detections.select("video_id", "det_idx", "frame_num", "x", "y"), by=("video_id", "det_idx")),
@@ -190,7 +190,7 @@ QUERIES: dict[str, Callable[[Facts], DataFrame]] = {
     "ball_speed": lambda x: motion.ball_speed(x.first, x.videos),
     "racket_motion": lambda x: motion.racket_motion(x.found),
     "ball_direction": lambda x: motion.ball_direction(x.first, x.boxes),
-    "swing_phase": lambda x: motion.swing_phase(x.states),
+    "swing_phase": lambda x: chunks.own(motion.swing_phase(rackets.states(x.carried_c, x.first_c)), x.p),
     "every_nth": lambda x: motion.every_nth(x.frames, 5).select("video_id", "frame_num"),
     "wrist_path": lambda x: motion.wrist_path(x.poses),
     "player_overlap": lambda x: motion.box_overlaps(x.people),
@@ -199,7 +199,7 @@ QUERIES: dict[str, Callable[[Facts], DataFrame]] = {
 
 
 #: Queries that run on the longer videos of ``lineitem`` too, as ``long_*``, in chunks of 150 frames.
-LONG = ("ball_moving", "racket_carry", "racket_state", "lost_counter", "track_segments", "step_distance", "frame_assembly")
+LONG = ("trail8", "swing_phase", "savgol_segment", "ball_moving", "racket_carry", "racket_state", "lost_counter", "track_segments", "step_distance", "frame_assembly")
 LONG_CHUNKS = Params(chunk_frames=150)
 
 
