@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rallyframe.llm.shared import discard, stored
+from rallyframe.llm.shared import discard, stored, stored_in_buckets
 from rallyframe.llm.text import U, find_words, mix, raw, strings
 
 BLOCK_BYTES, BUDGET, HEAVY = 4 << 20, 250_000, 60_000
@@ -36,7 +36,7 @@ LOWER[65:91] += 32
 
 
 def packed(*arrays: np.ndarray) -> bytes:
-    return pa.compress(b"".join(np.ascontiguousarray(a).tobytes() for a in arrays), codec="zstd", asbytes=True)
+    return pa.Codec("zstd", 6).compress(b"".join(np.ascontiguousarray(a).tobytes() for a in arrays), asbytes=True)
 
 
 def unpacked(data, size: int) -> bytes:
@@ -71,7 +71,7 @@ def block_of(texts: list[pa.Array]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 
 
 def blocks(docs: DataFrame) -> DataFrame:
-    """(block, lang, words, n, total, seq, size) of rows (lang, t), stored."""
+    """(block, lang, words, n, total, seq, size) of rows (lang, t), stored in buckets of blocks."""
 
     def run(batches):
         at, held, weight = TaskContext.get().partitionId() << 32, {}, {}
@@ -82,7 +82,7 @@ def blocks(docs: DataFrame) -> DataFrame:
             weight.pop(lang)
             at += 1
             lists = [pa.ListArray.from_arrays(pa.array(np.array([0, len(words)], np.int32)), x) for x in (words, pa.array(count.astype(np.int64)))]
-            numbers = pa.array([int(count.sum())]), pa.array([packed(seq)], pa.binary()), pa.array([len(seq)], pa.int64())
+            numbers = pa.array([int(count.sum())]), pa.array([packed(seq.view(np.uint8).reshape(-1, 4).T)], pa.binary()), pa.array([len(seq)], pa.int64())
             return pa.record_batch([pa.array([at - 1]), pa.array([lang], pa.string()), *lists, *numbers], names=["block", "lang", "words", "n", "total", "seq", "size"])
 
         for b in batches:
@@ -98,7 +98,7 @@ def blocks(docs: DataFrame) -> DataFrame:
         for lang in list(held):
             yield out(lang)
 
-    return stored(docs.mapInArrow(run, "block long, lang string, words array<string>, n array<long>, total long, seq binary, size long"), "blocks")
+    return stored_in_buckets(docs.mapInArrow(run, "block long, lang string, words array<string>, n array<long>, total long, seq binary, size long"), "blocks", "block")
 
 
 def numbered(words: DataFrame) -> DataFrame:
@@ -211,7 +211,7 @@ def phrase_counts(docs: DataFrame, least: int = 100, depth: int = 5, lang_col: s
                 k = flat.field("k").to_numpy(zero_copy_only=False)
                 ids, f = np.full(n_words, -1, np.int64), np.zeros(n_words, np.int64)
                 ids[k], f[k] = flat.field("id").to_numpy(zero_copy_only=False), flat.field("f").to_numpy(zero_copy_only=False)
-                cols, count, above = suffixes(np.frombuffer(unpacked(seq.as_buffer(), 4 * size), "<i4"), ids, f, depth)
+                cols, count, above = suffixes(np.frombuffer(unpacked(seq.as_buffer(), 4 * size), np.uint8).reshape(4, -1).T.copy().view("<i4").reshape(-1), ids, f, depth)
                 group = prefix_group(cols, above, groups)
                 order = np.argsort(group, kind="stable")
                 at = np.flatnonzero(np.r_[True, np.diff(group[order]) != 0]) if len(order) else np.zeros(0, np.int64)

@@ -43,12 +43,16 @@ def stored_in_buckets(df: DataFrame, name: str, key: str) -> DataFrame:
     spark = df.sparkSession
     path, table = fresh_path(spark, name), f"rallyframe_{name}_{uuid.uuid4().hex}"
     df.write.option("path", path).bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).sortBy(key).saveAsTable(table)
-    return spark.table(table)
+    out = spark.table(table)
+    out._stored_at, out._table = path, table
+    return out
 
 
 def discard(*frames: DataFrame | None) -> None:
-    """Deletes tables that ``stored`` wrote; nothing that is still to be read may depend on them."""
+    """Deletes tables that ``stored`` and ``stored_in_buckets`` wrote; nothing that is still to be read may depend on them."""
     for df in frames:
+        if table := getattr(df, "_table", None):
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
         if path := getattr(df, "_stored_at", None):
             sc = df.sparkSession.sparkContext
             at = sc._jvm.org.apache.hadoop.fs.Path(path)
