@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +31,7 @@ from pyspark.sql import functions as F
 from rallyframe.llm.bpe import byte_bpe, byte_letters
 from rallyframe.llm.pieces import Pieces, decimals, piece_model
 from rallyframe.llm.records import LibraryEncoder
-from rallyframe.llm.shared import stored, stored_in_buckets
+from rallyframe.llm.shared import kept_by_worker, stored, stored_in_buckets
 from rallyframe.llm.text import IdTable, raw, strings
 
 CHUNK_BYTES, SLAB_BYTES, KEEP = 8 << 20, 256 << 10, 400_000
@@ -73,7 +72,7 @@ class Tokenizers:
             yield x, z, a, b, sizes
 
 
-@cache
+@kept_by_worker
 def loaded(path_a: str, path_b: str) -> Tokenizers:
     return Tokenizers(path_a, path_b)
 

@@ -20,13 +20,14 @@ import hashlib
 import json
 import re
 import struct
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rallyframe.llm.shared import kept_by_worker
+
 KEEP, LONG_PIECE = 1_000_000, 64
 #: The split pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -171,7 +172,7 @@ class Bpe:
         return self.decode_bytes(ids.astype(np.int64)).decode("utf-8", "replace")
 
 
-@cache
+@kept_by_worker
 def loaded(path: str) -> Bpe:
     return Bpe(path)
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rallyframe.llm.shared import broadcast_if_small, discard, row_key, stored
+from rallyframe.llm.shared import broadcast_if_small, discard, let_go, row_key, stored
 from rallyframe.llm.text import U, Words, blocks, grams, mix
 
 BANDS, ROWS, PROBES, LANES, SHARE, FILL, FIRST = 48, 6, 64, 256, 4, 4096, 8
@@ -109,6 +109,7 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     types = dict(docs.dtypes)
 
     def run(batches):
+        let_go()
         for b in batches:
             for a, z, words in blocks(b["t"]):
                 g, first = shingle_sets(words, n)
@@ -131,6 +132,7 @@ def full_sets(docs: DataFrame, n: int) -> DataFrame:
     named = "i" in docs.columns
 
     def run(batches):
+        let_go()
         for b in batches:
             for a, z, words in blocks(b["t"]):
                 g, first = shingle_sets(words, n)

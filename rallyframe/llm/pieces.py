@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rallyframe.llm.shared import kept_by_worker
 from rallyframe.llm.text import BASE, BASE_INVERSE, U, IdTable, byte_weights, mix, powers, raw, strings
 
 KEEP, LONG_PART, SLAB, BLOCK_BYTES = 800_000, 48, 4096, 1 << 20
@@ -437,7 +438,7 @@ def decimals(ids: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out, ends
 
 
-@cache
+@kept_by_worker
 def loaded(path: str) -> Pieces:
     return Pieces(path)
 

@@ -22,14 +22,13 @@ import os
 import re
 import struct
 import zlib
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rallyframe.llm.shared import fresh_path
+from rallyframe.llm.shared import fresh_path, kept_by_worker
 from rallyframe.llm.text import U, IdTable, Words, blocks, mix
 
 #: The mask that record checksums take.
@@ -187,7 +186,7 @@ class LibraryEncoder:
         return ids, np.r_[0, ends]
 
 
-@cache
+@kept_by_worker
 def encoder(path: str) -> LibraryEncoder:
     return LibraryEncoder(path)
 

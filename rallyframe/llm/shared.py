@@ -4,11 +4,28 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SMALL_BYTES = 32 << 20
+_kept: list[Callable] = []
+
+
+def kept_by_worker(make: Callable) -> Callable:
+    """``make`` with its results kept until ``let_go``: tokenizers with the tables that they fill."""
+    held = cache(make)
+    _kept.append(held)
+    return held
+
+
+def let_go() -> None:
+    """Drops them. Spark hands Python workers on from stage to stage and query to query; tasks that need no tokenizer call this as they begin."""
+    for held in _kept:
+        held.cache_clear()
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's ``spark.checkpoint.dir``; a folder of our own only where it is unset and Spark is local (tests)."""

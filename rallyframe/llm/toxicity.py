@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rallyframe.llm.shared import crc_mod
+from rallyframe.llm.shared import crc_mod, let_go
 from rallyframe.llm.text import U, Words, blocks, mix
 
 
@@ -95,6 +95,7 @@ def labelled_features(docs: DataFrame, labels: DataFrame, p: Ftrl, label: str, h
     bits = p.bits
 
     def featurise(batches):
+        let_go()
         for b in batches:
             kept = []
             for _, _, words in blocks(b["_t"]):
@@ -127,6 +128,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], out: str = "score", te
     rows = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], F.col(text_col).alias("_t"))
 
     def run(batches):
+        let_go()
         m = shared.value
         w = np.zeros(1 << m.bits)
         w[m.index] = m.weight
