@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rallyframe.llm.bpe import byte_bpe, loaded
-from rallyframe.llm.shared import crc_mod, row_key, stored
+from rallyframe.llm.shared import crc_mod, kept_by_worker, let_go, row_key, stored
 from rallyframe.llm.text import U, IdTable, Words, blocks
 
 WINDOW, OVERLAP, WIDTH, HIDDEN = 32, 8, 24, 48
@@ -91,13 +91,9 @@ def lower_ascii(word: bytes) -> bytes:
     return word.lower()  # bytes: A-Z only
 
 
-_subwords: dict[str, Subwords] = {}
-
-
+@kept_by_worker
 def subwords(path: str) -> Subwords:
-    if path not in _subwords:
-        _subwords[path] = Subwords(path)
-    return _subwords[path]
+    return Subwords(path)
 
 
 @dataclass
@@ -256,13 +252,20 @@ def windows(ids: np.ndarray, bound: np.ndarray, end: int) -> tuple[np.ndarray, n
 
     ``ids`` are texts one after the other with offsets ``bound``; an input is the id before its target.
     """
-    step = WINDOW - OVERLAP
-    n = np.diff(bound)
-    many = np.maximum(1, 1 + -(-(n - WINDOW) // step))
-    own = np.repeat(np.arange(len(n)), many)
-    nth = np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many)
-    at = (nth * step)[:, None] + np.arange(WINDOW)
-    inside = at < n[own][:, None]
+    return windows_at(*window_list(bound), bound)
+
+
+def window_list(bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The text of each window, and its number in the text."""
+    many = np.maximum(1, 1 + -(-(np.diff(bound) - WINDOW) // (WINDOW - OVERLAP)))
+    own = np.repeat(np.arange(len(many)), many)
+    return own, np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many)
+
+
+def windows_at(own: np.ndarray, nth: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for some windows of the list."""
+    at = (nth * (WINDOW - OVERLAP))[:, None] + np.arange(WINDOW)
+    inside = at < (bound[own + 1] - bound[own])[:, None]
     scored = inside & ((np.arange(WINDOW) >= OVERLAP) | (nth == 0)[:, None])
     target = np.where(inside, at + bound[own][:, None], 0)
     before = np.where(at == 0, -1, target - 1)
@@ -295,12 +298,13 @@ def passed(held: DataFrame, kind: str, size: int, work) -> np.ndarray:
     """Sum over all chunks of the array of ``size`` that ``work`` makes of (ids, bound, chunk): in each task first, then by slices."""
 
     def run(batches):
+        let_go()
         total = np.zeros(size)
         for b in batches:
             for chunk, ids, bound, train in zip(b["chunk"].to_pylist(), b["ids"], b["bound"], b["train"], strict=True):
                 ids, bound, use = np.frombuffer(ids.as_buffer(), kind), np.frombuffer(bound.as_buffer(), np.int64), np.frombuffer(train.as_buffer(), bool)
                 n = np.diff(bound)
-                total += work(ids[np.repeat(use, n)].astype(np.int64), np.concatenate([[0], np.cumsum(n[use])]), chunk)
+                total += work(ids[np.repeat(use, n)], np.concatenate([[0], np.cumsum(n[use])]), chunk)
         at = range(0, size, SLICE)
         yield pa.record_batch([pa.array(range(len(at)), pa.int64()), pa.array([total[a : a + SLICE].astype(np.float32 if short else float).tobytes() for a in at], pa.binary())], names=["slice", "data"])
 
@@ -328,14 +332,15 @@ def share_of_round(n: int, epochs: int, k: int, chunk: int, seed: int) -> np.nda
 def learn(net: Network, ids: np.ndarray, bound: np.ndarray, chunk: int, k: int, epochs: int, rate: float = 0.01, seed: int = 2) -> np.ndarray:
     """Adam over a chunk's windows of round ``k``: counts of input rows and of groups, number of windows, parameters times these."""
     p = {c: v.copy() for c, v in net.p.items()}
-    before, target, scored = windows(ids, bound, net.end)
-    mine = share_of_round(len(target), epochs, k, chunk, seed)
+    own, nth = window_list(bound)
+    mine = share_of_round(len(own), epochs, k, chunk, seed)
     met, used = np.zeros(len(p["embed"])), np.zeros(len(p["out2"]))
     m1, m2 = ({c: np.zeros_like(v) for c, v in p.items()} for _ in range(2))
     steps = -(-len(mine) // BATCH)
     for step in range(1, steps + 1):
         pick = mine[(step - 1) * BATCH : step * BATCH]
-        bf, tg, on = before[pick], target[pick].reshape(-1), scored[pick].reshape(-1)
+        bf, tg, on = windows_at(own[pick], nth[pick], bound)  # a batch at a time: a chunk's windows all at once take 50 bytes an id
+        tg, on = tg.reshape(-1), on.reshape(-1)
         x = np.where(bf < 0, net.inputs[net.end], net.inputs[ids[bf]])
         y = ids[tg]
         g = gradient(p, x, net.group[y], net.place[y], on)
@@ -473,6 +478,7 @@ def score(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text
 
     def judged(batches):
         """The network's score of each text of a chunk."""
+        let_go()
         for b in batches:
             for chunk, ids, bound in zip(b["chunk"].to_pylist(), b["ids"], b["bound"], strict=True):
                 ids, bound = np.frombuffer(ids.as_buffer(), kind), np.frombuffer(bound.as_buffer(), np.int64)

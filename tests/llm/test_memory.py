@@ -1,14 +1,36 @@
 """What helpers of the operators hold at once, and what workers keep between stages."""
 
+import tracemalloc
+
+import numpy as np
 import pyarrow as pa
 import pytest
 
-from rallyframe.llm import bpe, near
+from rallyframe.llm import bpe, lm, near
 from rallyframe.llm.shared import let_go
 
 BPE = bpe.byte_bpe()
 
 
+def peak(f) -> int:
+    tracemalloc.start()
+    try:
+        f()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_learning_takes_few_times_its_ids(monkeypatch):
+    monkeypatch.setattr(lm, "ROUNDS", 400)
+    r = np.random.default_rng(5)
+    ids, bound = r.integers(0, 9000, 600_000).astype("<u2"), np.arange(0, 600_001, 300)
+    counts, starts = np.bincount(ids, minlength=9000).astype(float), np.arange(9000) % 2 == 0
+    group, place, share, inputs, many, n_starts = lm.make_groups(counts, starts, 0)
+    net = lm.Network(group, place, share, inputs, lm.start_parameters(many, group, place, counts), starts, n_starts, 0)
+    assert peak(lambda: lm.learn(net, ids, bound, 0, 0, 1)) < 32 * len(ids)
+
+
 class Captured:
     """Stands for a frame of (i, t): mapInArrow gives back the function that workers run."""
 
@@ -30,3 +52,27 @@ def test_let_go_keeps_what_is_in_use():
     held = bpe.loaded(BPE)
     let_go()
     assert len(held.encode("a text")) == 8 and bpe.loaded(BPE) is not held
+
+
+def test_training_passes_let_go_of_subwords():
+    bpe.loaded(BPE), lm.subwords(BPE)
+
+    class Held:
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, run, schema):
+            list(run(iter([])))
+            return self
+
+        def groupBy(self, name):
+            return self
+
+        def applyInArrow(self, f, schema):
+            return self
+
+        def collect(self):
+            return []
+
+    lm.passed(Held(), "<u2", 3, None)
+    assert bpe.loaded.cache_info().currsize == lm.subwords.cache_info().currsize == 0
