@@ -64,8 +64,8 @@ def block_of(texts: list[pa.Array]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     ends = np.cumsum(size)
     chars = data[np.arange(ends[-1]) + np.repeat(w.starts[first] - (ends - size), size)]
     words = pa.Array.from_buffers(pa.large_string(), len(first), [None, pa.py_buffer(np.r_[0, ends].astype(np.int64)), pa.py_buffer(chars)])
-    breaks = np.r_[0, np.cumsum(BREAK[data])]
-    apart = np.r_[breaks[w.starts[1:]] > breaks[w.ends[:-1]], True]
+    breaks = np.flatnonzero(BREAK[data])
+    apart = np.r_[np.searchsorted(breaks, w.starts[1:]) > np.searchsorted(breaks, w.ends[:-1]), True]
     apart[w.first[1:][np.diff(w.first) > 0] - 1] = True  # a text ends a piece
     return words.cast(pa.string()), count, np.insert(seq, np.flatnonzero(apart) + 1, -1).astype(np.int32)
 

@@ -69,10 +69,16 @@ class Words:
     def hashes(self, seed: int = 1, lower: bool = False) -> np.ndarray:
         if not len(self.starts):
             return np.zeros(0, U)
-        n = len(self.data)
         weights = np.where(self.separator, U(0), byte_weights(seed, lower))
-        terms = weights[self.data] * powers(BASE, n)[:n]
-        return mix(np.add.reduceat(terms, self.starts) * powers(BASE_INVERSE, n)[self.starts])
+        out, a = np.empty(len(self.starts), U), 0
+        while a < len(out):  # some 40 bytes are held for each byte: words of ``BLOCK_BYTES`` at a time, a longer word alone
+            at = self.starts[a]
+            z = max(a + 1, int(np.searchsorted(self.ends, at + BLOCK_BYTES, "right")))
+            n, here = int(self.ends[z - 1] - at), self.starts[a:z] - at
+            terms = weights[self.data[at : at + n]] * powers(BASE, n)[:n]
+            out[a:z] = mix(np.add.reduceat(terms, here) * powers(BASE_INVERSE, n)[here])
+            a = z
+        return out
 
     def word(self, k: int) -> bytes:
         return self.data[self.starts[k] : self.ends[k]].tobytes()

@@ -6,8 +6,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from rallyframe.llm import bpe, lm, near
+from rallyframe.llm import bpe, lm, near, phrases, text
 from rallyframe.llm.shared import let_go
+from rallyframe.llm.text import Words, blocks
 
 BPE = bpe.byte_bpe()
 
@@ -21,6 +22,24 @@ def peak(f) -> int:
         tracemalloc.stop()
 
 
+def test_hashes_go_by_slices(monkeypatch):
+    r = np.random.default_rng(3)
+    t = pa.array([" ".join("xYéz"[: 1 + k % 4] * (1 + k % 7) for k in r.integers(0, 50, 400)), "", "a" * 300 + " b", "  tail \n"])
+    (whole,) = [w for _, _, w in blocks(t, limit=1 << 20)]
+    want = [whole.hashes(seed=s, lower=low) for s, low in ((1, False), (5, True))]
+    monkeypatch.setattr(text, "BLOCK_BYTES", 64)
+    assert all((whole.hashes(seed=s, lower=low) == w).all() for (s, low), w in zip(((1, False), (5, True)), want, strict=True))
+    assert len(Words(whole.data, whole.starts[:0], whole.ends[:0], np.zeros(1, int), whole.separator).hashes()) == 0
+
+
+def test_a_block_of_phrases_takes_few_times_its_size():
+    r = np.random.default_rng(4)
+    texts = pa.array([" ".join(f"word{k}" for k in r.integers(0, 5000, 2000)) for _ in range(220)], pa.large_string())
+    size = texts.nbytes
+    assert size > 3 << 20
+    assert peak(lambda: phrases.block_of([texts])) < 24 * size
+
+
 def test_learning_takes_few_times_its_ids(monkeypatch):
     monkeypatch.setattr(lm, "ROUNDS", 400)
     r = np.random.default_rng(5)
