@@ -43,6 +43,34 @@ def unpacked(data, size: int) -> bytes:
     return pa.decompress(data, size, codec="zstd", asbytes=True)
 
 
+def planes(x: np.ndarray) -> np.ndarray:
+    """The first bytes of all numbers, then the second ones, and so on: the upper bytes of small numbers pack well."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.dtype.itemsize).T
+
+
+def packed_leaves(cols: np.ndarray, count: np.ndarray, above: np.ndarray) -> tuple[bytes, int]:
+    """Leaves (ids, counts, words above the prefix depth) in order, each by the words that it doesn't share with the one before; the size unpacked."""
+    order, _ = leaf_order(cols)
+    cols, count, above = cols[:, order], count[order].astype("<i8"), above[order].astype(np.uint8)
+    shared, length = neighbours(cols).astype(np.uint8), (cols >= 0).sum(0).astype(np.uint8)
+    parts = [shared, length, above, planes(count), *(planes(c[(shared <= j) & (length > j)]) for j, c in enumerate(cols))]
+    return packed(*parts), sum(x.nbytes for x in parts)
+
+
+def unpacked_leaves(data, m: int, size: int, depth: int, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    x = np.frombuffer(unpacked(data, size), np.uint8)
+    shared, length, above = x[:m], x[m : 2 * m], x[2 * m : 3 * m]
+    numbers = lambda at, n, kind: x[at : at + n * int(kind[-1])].reshape(int(kind[-1]), n).T.copy().view(kind).reshape(-1)
+    cols, at = np.full((depth, m), -1, kind), 11 * m
+    for j in range(depth):
+        own = shared <= j
+        new = np.flatnonzero(own & (length > j))
+        cols[j, new] = numbers(at, len(new), kind)
+        cols[j] = cols[j, np.maximum.accumulate(np.where(own, np.arange(m), 0))]
+        at += len(new) * int(kind[-1])
+    return cols, numbers(3 * m, m, "<i8"), above
+
+
 def block_of(texts: list[pa.Array]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct words (commonest first), their counts, and all pieces as numbers of words with -1 after each piece."""
     data, off = raw(pa.concat_arrays(texts))
@@ -102,8 +130,10 @@ def blocks(docs: DataFrame) -> DataFrame:
 
 
 def numbered(words: DataFrame) -> DataFrame:
-    """``words`` with an ``id`` from 0 on, stored."""
-    marked = stored(words.withColumn("m", F.monotonically_increasing_id()), "words")
+    """``words`` with an ``id`` from 0 on, commonest first (small numbers pack well), stored."""
+    counted = stored(words, "counted")
+    marked = stored(counted.orderBy(F.col("f").desc(), "lang", "word").withColumn("m", F.monotonically_increasing_id()), "words")
+    discard(counted)
     part = F.shiftright("m", 33)
     parts = marked.groupBy(part.alias("part")).agg(F.count("*").alias("rows"))  # a row for each partition
     base = parts.select("part", (F.sum("rows").over(Window.orderBy("part")) - F.col("rows")).alias("base"))
@@ -216,10 +246,11 @@ def phrase_counts(docs: DataFrame, least: int = 100, depth: int = 5, lang_col: s
                 order = np.argsort(group, kind="stable")
                 at = np.flatnonzero(np.r_[True, np.diff(group[order]) != 0]) if len(order) else np.zeros(0, np.int64)
                 parts = [order[x:y] for x, y in zip(at.tolist(), [*at[1:].tolist(), len(order)], strict=True)]
-                data = [packed(cols[:, p].astype(kind), count[p], above[p]) for p in parts]
-                yield pa.record_batch([pa.array(group[order][at]), pa.array([len(p) for p in parts], pa.int64()), pa.array(data, pa.binary())], names=["group", "m", "data"])
+                made_ = [packed_leaves(cols[:, p].astype(kind), count[p], above[p]) for p in parts]
+                sizes = [pa.array(x, pa.int64()) for x in ([len(p) for p in parts], [n for _, n in made_])]
+                yield pa.record_batch([pa.array(group[order][at]), *sizes, pa.array([x for x, _ in made_], pa.binary())], names=["group", "m", "size", "data"])
 
-    dealt = made.select("block", "seq", "size", F.size("words").alias("n_words")).join(marks, "block").drop("block").mapInArrow(deal, "group long, m long, data binary")
+    dealt = made.select("block", "seq", "size", F.size("words").alias("n_words")).join(marks, "block").drop("block").mapInArrow(deal, "group long, m long, size long, data binary")
 
     def grow(batches):
         group, held = None, []
@@ -230,16 +261,13 @@ def phrase_counts(docs: DataFrame, least: int = 100, depth: int = 5, lang_col: s
                 phrases = pa.ListArray.from_arrays(pa.array(np.arange(0, ids.size + 1, len(ids)).astype(np.int32)), pa.array(ids.T.reshape(-1).astype(np.int64)))
                 yield pa.record_batch([phrases, pa.array(total)], names=["phrase", "f"])
 
-        width = int(kind[-1])
         for b in batches:
-            for g, m, data in zip(b["group"].to_pylist(), b["m"].to_pylist(), b["data"], strict=True):
+            for g, m, size, data in zip(b["group"].to_pylist(), b["m"].to_pylist(), b["size"].to_pylist(), b["data"], strict=True):
                 if g != group and held:
                     yield from out()
                     held = []
                 group = g
-                x = unpacked(data.as_buffer(), m * (depth * width + 9))
-                ends = m * depth * width, m * (depth * width + 8)
-                held.append((np.frombuffer(x[: ends[0]], kind).reshape(depth, m), np.frombuffer(x[ends[0] : ends[1]], "<i8"), np.frombuffer(x[ends[1] :], np.uint8)))
+                held.append(unpacked_leaves(data.as_buffer(), m, size, depth, kind))
         if held:
             yield from out()
 

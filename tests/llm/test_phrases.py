@@ -5,6 +5,8 @@ import re
 from collections import Counter
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from rallyframe.llm import phrases
@@ -80,3 +82,25 @@ def test_query_matches_sql(spark):
     assert sorted(got.columns) == sorted(want.columns)
     cols = ", ".join(got.columns)
     assert sorted(map(tuple, got.collect())) == sorted(c.sql(f"select {cols} from want").fetchall())
+
+
+@pytest.mark.parametrize("kind", ["<i4", "<i8"])
+def test_leaves_are_packed_by_what_differs(kind):
+    r = np.random.default_rng(8)
+    cols = np.sort(r.zipf(1.3, (5, 20_000)).clip(max=70_000), 1).astype(kind)
+    cols[1] = r.integers(0, 300, 20_000)
+    for j in range(1, 5):
+        cols[j, (cols[j - 1] < 0) | (r.random(20_000) < 0.2)] = -1
+    count, above = r.integers(1, 5, 20_000), r.integers(0, 4, 20_000).astype(np.uint8)
+    for p in (slice(0), slice(1), slice(None)):
+        x, size = phrases.packed_leaves(cols[:, p], count[p], above[p])
+        got = phrases.unpacked_leaves(pa.py_buffer(x), cols[:, p].shape[1], size, 5, kind)
+        order, _ = phrases.leaf_order(cols[:, p])
+        assert all((a == b[..., order]).all() and a.shape == b.shape for a, b in zip(got, (cols[:, p], count[p], above[p]), strict=True))
+    assert len(x) < 0.9 * len(phrases.packed(cols, count, above))
+
+
+def test_commonest_words_get_the_least_ids(spark, rows):
+    table = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    ids = sorted((w.id, w.f) for w in phrases.phrase_counts(table, least=2)[1].collect())
+    assert [i for i, _ in ids] == list(range(len(ids))) and [f for _, f in ids] == sorted((f for _, f in ids), reverse=True)
