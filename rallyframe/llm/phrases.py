@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rallyframe.llm.shared import discard, stored, stored_in_buckets
+from rallyframe.llm.shared import discard, stored, stored_in_buckets, stored_small
 from rallyframe.llm.text import U, find_words, mix, raw, strings
 
 BLOCK_BYTES, BUDGET, HEAVY = 4 << 20, 250_000, 60_000
@@ -131,7 +131,7 @@ def blocks(docs: DataFrame) -> DataFrame:
 
 def numbered(words: DataFrame) -> DataFrame:
     """``words`` with an ``id`` from 0 on, commonest first (small numbers pack well), stored."""
-    counted = stored(words, "counted")
+    counted = stored_small(words, "counted")
     marked = stored(counted.orderBy(F.col("f").desc(), "lang", "word").withColumn("m", F.monotonically_increasing_id()), "words")
     discard(counted)
     part = F.shiftright("m", 33)
@@ -272,7 +272,7 @@ def phrase_counts(docs: DataFrame, least: int = 100, depth: int = 5, lang_col: s
             yield from out()
 
     grown = dealt.repartition("group").sortWithinPartitions("group").mapInArrow(grow, "phrase array<long>, f long")
-    phrases = stored(grown, "phrases")
+    phrases = stored_small(grown, "phrases")
     totals = stored(totals, "totals")
     words = stored(words, "words")
     discard(made)

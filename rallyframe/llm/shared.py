@@ -52,6 +52,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def stored_small(df: DataFrame, name: str) -> DataFrame:
+    """``stored`` in files of the session's advisory size: for few rows that many tasks make. Each file costs its task a new process where the folder is local."""
+    return stored(df.hint("rebalance"), name)
+
+
 def stored_in_buckets(df: DataFrame, name: str, key: str) -> DataFrame:
     """The same in buckets of ``key``, as many as the session's shuffle partitions: grouping and joining by ``key`` reads them without a shuffle.
 

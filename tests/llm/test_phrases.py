@@ -3,6 +3,7 @@
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -104,3 +105,17 @@ def test_commonest_words_get_the_least_ids(spark, rows):
     table = spark.createDataFrame(rows, "lang string, text string").repartition(3)
     ids = sorted((w.id, w.f) for w in phrases.phrase_counts(table, least=2)[1].collect())
     assert [i for i, _ in ids] == list(range(len(ids))) and [f for _, f in ids] == sorted((f for _, f in ids), reverse=True)
+
+
+def test_few_phrases_go_to_few_files(spark, rows, monkeypatch):
+    monkeypatch.setattr(phrases, "BUDGET", 50)
+    was = {f"spark.sql.adaptive.{k}": spark.conf.get(f"spark.sql.adaptive.{k}") for k in ("advisoryPartitionSizeInBytes", "coalescePartitions.minPartitionSize", "coalescePartitions.parallelismFirst")}
+    try:
+        for k, v in zip(was, ("4k", "4k", "false"), strict=True):
+            spark.conf.set(k, v)
+        _, words, found = phrases.phrase_counts(spark.createDataFrame(rows, "lang string, text string").repartition(3), least=60)
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    files = Path(found._stored_at.removeprefix("file:")).glob("*.parquet")
+    assert found.count() > 5 and len(list(files)) == 1
