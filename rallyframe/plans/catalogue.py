@@ -14,7 +14,7 @@ from rallyframe.session import co_partition
 from rallyframe.sources import facts
 from rallyframe.sources.schemas import SCHEMAS, read_facts, write_by_video
 from rallyframe.streaming import late, live
-from rallyframe.streaming.replay import TICK, as_stream, replay, shared_folder
+from rallyframe.streaming.replay import TICK, as_stream, replay, shared_folder, state_partitions
 
 BY_FRAME = ["video_id", "frame_num"]
 
@@ -88,11 +88,16 @@ class Facts:
     def apart(self, table: str) -> DataFrame:
         """The racket carry as a stream in which frames divisible by 17 of the first quarter come once more at the end, too late."""
         live.open_states(self.spark)
-        at, rows = shared_folder(self.spark), self.racket_frames
-        lo, hi = self.frames.agg(F.min(F.unix_micros("event_time")), F.max(F.unix_micros("event_time"))).first()
-        again = rows.filter((F.col("frame_num") % 17 == 0) & ((F.unix_micros("event_time") - F.lit(lo)) * 4 < F.lit(hi - lo)))
-        out = live.carry_racket(as_stream(rows, at, 4, again=again), delay="1 hour", idle="60 days")
-        late.write_apart(out, f"{at}/out", f"{at}/state").awaitTermination()
+        at = shared_folder(self.spark)
+
+        def again(rows: DataFrame) -> DataFrame:
+            lo, hi = rows.agg(F.min(F.unix_micros("event_time")), F.max(F.unix_micros("event_time"))).first()
+            return rows.filter((F.col("frame_num") % 17 == 0) & ((F.unix_micros("event_time") - F.lit(lo)) * 4 < F.lit(hi) - F.lit(lo)))
+
+        out = live.carry_racket(as_stream(self.racket_frames, at, 4, again=again), delay="1 hour", idle="60 days")
+        with state_partitions(self.spark):
+            query = late.write_apart(out, f"{at}/out", f"{at}/state")
+        query.awaitTermination()
         schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in out.schema if f.name != "late")
         return late.read_apart(self.spark, f"{at}/out", schema, table).filter(F.col("video_id") != TICK)
 
@@ -177,7 +182,7 @@ QUERIES: dict[str, Callable[[Facts], DataFrame]] = {
     "live_checkpoints": lambda x: x.replayed(lambda s: live.checkpoints(s, gap="8 days"), x.point_frames),
     "live_progress": lambda x: x.replayed(live.progress, x.frames).select("video_id", F.unix_seconds("second").alias("second"), "frames"),
     "live_rallies": lambda x: x.replayed(lambda s: live.rallies(s, gap="1 hour"), x.frames.join(x.first, BY_FRAME)).select("video_id", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"), "frames"),
-    "live_assembly": lambda x: x.replayed(lambda *s: live.assemble(*s, delay="1 hour"), x.frames, x.pose_arrays, x.timed(x.found), x.timed(x.first), ticks=5).drop("event_time"),
+    "live_assembly": lambda x: x.replayed(lambda *s: live.assemble(*s, delay="1 hour"), x.frames, x.pose_arrays, x.timed(x.found), x.timed(x.first), ticks=3).drop("event_time"),
     "live_in_time": lambda x: x.apart("in_time"),
     "live_late": lambda x: x.apart("late"),
     "detect_apart": lambda x: detect.detect_apart(x.frames, test_detector, "ball_detections", shared_folder(x.spark))[0],

@@ -31,8 +31,11 @@ def label_poses(poses: DataFrame, p: Params = DEFAULT, keep: tuple[str, ...] = (
 
 
 def open_states(spark: SparkSession) -> None:
-    """State of ``track`` and ``carry_racket`` needs this store; to be set before such a stream starts."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    """State of ``track`` and ``carry_racket`` needs this store; to be set before such a stream starts. Batches store what they change, and joins have one store a partition, not four."""
+    states = "spark.sql.streaming.stateStore"
+    spark.conf.set(f"{states}.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set(f"{states}.rocksdb.changelogCheckpointing.enabled", "true")
+    spark.conf.set("spark.sql.streaming.join.stateFormatVersion", "3")
 
 
 def near(a, b, p: Params) -> bool:
