@@ -8,7 +8,9 @@ the last frame taken is late and is marked so rather than tracked (``late.write_
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +22,8 @@ from rallyframe.params import DEFAULT, Params
 from rallyframe.sources.schemas import KEYPOINT_NAMES
 
 BALLS = "array<struct<det_idx:int,x:int,y:int>>"
+#: Groups of videos whose state is kept together; part of the state, so a stream that goes on from its checkpoint can't have another number.
+GROUPS, NO_VIDEO = 256, -1
 FRAMES = f"video_id long, frame_num int, event_time timestamp, balls {BALLS}"
 
 
@@ -45,12 +49,12 @@ def near(a, b, p: Params) -> bool:
 class InOrder(StatefulProcessor):
     """Takes each video's frames in order of event time, whatever order they come in.
 
-    A frame waits in list state until the watermark has passed its event time; an event-time timer stands at the first frame that
-    waits. A frame at or before the last one taken is late: it comes out at once, marked. A video is forgotten ``idle``
-    after its last frame, by a timer too.
+    State is kept by group of videos, so that its calls are by group and not by video. A frame waits in list state until the watermark
+    has passed its event time; an event-time timer stands at the group's first frame that waits. A frame at or before the last
+    one taken of its video is late: it comes out at once, marked. A video is forgotten ``idle`` after its last frame, by a timer too.
     """
 
-    #: Fields of the memory between frames, and of the result.
+    #: Fields of a video's memory between frames, and of the result.
     memory, result = "", []
 
     def __init__(self, p: Params, idle: str):
@@ -67,63 +71,68 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "at long, frame_num int, flat array<int>")
-        self.place = handle.getValueState("place", "taken int, last long, timer long")
-        self.kept = handle.getValueState("memory", self.memory)
+        self.waiting = handle.getListState("waiting", "frames binary, sizes binary, flat binary")  # blocks of (video, time, frame) and their values
+        self.videos = handle.getListState("videos", f"video_id long, taken int, newest long, {self.memory}")
+        self.timer = handle.getValueState("timer", "at long")
 
     def rows(self, key, made: list[tuple]) -> Iterator[pd.DataFrame]:
         if made:
-            out = pd.DataFrame([(key[0], n, *values, late) for n, values, late in made], columns=["video_id", "frame_num", *self.result, "late"])
+            out = pd.DataFrame([(None if key[0] == NO_VIDEO else v, n, *values, late) for v, n, values, late in made], columns=["video_id", "frame_num", *self.result, "late"])
             yield out.astype({"video_id": "Int64", "frame_num": "Int32"} | dict.fromkeys(self.result, "Int32"))
 
-    def known(self) -> tuple:
-        return self.place.get() if self.place.exists() else (None, None, None)
+    def known(self) -> dict[int, tuple]:
+        return {v: tuple(of) for v, *of in self.videos.get()} if self.videos.exists() else {}
 
-    def wake(self, at: int, timer: int | None) -> int:
-        if timer is None or at < timer:
-            self.handle.registerTimer(at)
-            return at
-        return timer
+    def wake(self, at: int) -> None:
+        self.handle.registerTimer(at)
+        self.timer.update((at,))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        taken, last, timer = self.known()
-        late, held = [], []
+        taken, late, blocks = {v: of[0] for v, of in self.known().items()}, [], []
         for b in rows:
-            for at, n, flat in zip(b["at"].tolist(), b["frame_num"].tolist(), b["flat"], strict=True):
-                if taken is not None and n <= taken:
-                    late.append((n, [None] * len(self.result), True))
-                else:
-                    held.append((int(at), int(n), [int(x) for x in flat]))
-        if held:
-            self.waiting.appendList(held)
-            last = max(at for at, _, _ in held) if last is None else max(last, *(at for at, _, _ in held))
-            timer = self.wake(min(at for at, _, _ in held), timer)
-            self.place.update((taken, last, timer))
+            frames = b[["video_id", "at", "frame_num"]].astype("int64")
+            passed = (frames["frame_num"] <= frames["video_id"].map(taken)).to_numpy()
+            late += [(v, n, [None] * len(self.result), True) for v, n in frames.loc[passed, ["video_id", "frame_num"]].itertuples(index=False)]
+            if not passed.all():
+                flat = [f for f, p in zip(b["flat"], passed, strict=True) if not p]
+                blocks.append((frames[~passed].to_numpy(), np.array([len(f) for f in flat]), pd.Series(np.concatenate(flat)).astype("int64").to_numpy()))
+        if blocks:
+            held = [np.concatenate(x) for x in zip(*blocks, strict=True)]
+            self.waiting.appendList([tuple(x.astype("int64").tobytes() for x in held)])
+            first, timer = int(held[0][:, 1].min()), self.timer.get()[0] if self.timer.exists() else None
+            if timer is None or first < timer:
+                self.wake(first)
         yield from self.rows(key, late)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        taken, last, timer = self.known()
-        if last is None or expiredTimerInfo.getExpiryTimeInMs() != timer:
+        if not self.timer.exists() or expiredTimerInfo.getExpiryTimeInMs() != self.timer.get()[0]:
             return  # an older timer: an earlier frame had set a new one
-        passed = timerValues.getCurrentWatermarkInMs()
-        frames = sorted(self.waiting.get(), key=lambda f: (f[1], f[0])) if self.waiting.exists() else []
-        ready, rest = [f for f in frames if f[0] <= passed], [f for f in frames if f[0] > passed]
-        made = []
-        if ready:
-            self.start(self.kept.get() if self.kept.exists() else None)
-            for _, n, flat in ready:
-                if taken is not None and n <= taken:
-                    made.append((n, [None] * len(self.result), True))
-                    continue
-                made.append((n, self.step(n, list(flat)), False))
-                taken = n
-            self.kept.update(self.remember())
-            self.waiting.put(rest) if rest else self.waiting.clear()
-        if not rest and last + self.idle <= passed:
-            for s in (self.waiting, self.place, self.kept):
-                s.clear()
-        else:
-            self.place.update((taken, last, self.wake(min((f[0] for f in rest), default=last + self.idle), None)))
+        passed, videos, made = timerValues.getCurrentWatermarkInMs(), self.known(), []
+        blocks = [[np.frombuffer(bytes(x), "int64") for x in block] for block in self.waiting.get()] if self.waiting.exists() else []
+        frames, sizes, flat = [np.concatenate(x) for x in zip(*blocks, strict=True)] if blocks else [np.zeros(0, "int64")] * 3
+        frames, ends = frames.reshape(-1, 3), np.cumsum(sizes)
+        ready = frames[:, 1] <= passed
+        order = np.lexsort((frames[:, 1], frames[:, 2], frames[:, 0]))
+        order = order[ready[order]]
+        values = zip(*frames[order].T.tolist(), (ends - sizes)[order].tolist(), ends[order].tolist(), strict=True)
+        for v, own in groupby(values, key=lambda f: f[0]):
+            taken, newest, *memory = videos.get(v, (None, None))
+            self.start(tuple(memory) if memory else None)
+            for _, at, n, lo, hi in own:
+                newest = at if newest is None else max(newest, at)
+                late = taken is not None and n <= taken
+                made.append((v, n, [None] * len(self.result) if late else self.step(n, flat[lo:hi].tolist()), late))
+                taken = taken if late else n
+            videos[v] = (taken, newest, *self.remember())
+        rest = frames[~ready]
+        waits = set(rest[:, 0].tolist())
+        videos = {v: of for v, of in videos.items() if v in waits or of[1] + self.idle > passed}
+        self.videos.put([(v, *of) for v, of in videos.items()]) if videos else self.videos.clear()
+        if ready.any():
+            left = np.repeat(~ready, sizes)
+            self.waiting.put([tuple(x.tobytes() for x in (rest, sizes[~ready], flat[left]))]) if len(rest) else self.waiting.clear()
+        ahead = [*rest[:, 1].tolist(), *(of[1] + self.idle for v, of in videos.items() if v not in waits)]
+        self.wake(min(ahead)) if ahead else self.timer.clear()
         yield from self.rows(key, made)
 
     def close(self) -> None:
@@ -174,9 +183,11 @@ class CarryInOrder(InOrder):
 
 def taken_in_order(frames: DataFrame, flat: Column, delay: str, processor: InOrder) -> DataFrame:
     """``frames`` (video_id, frame_num, event_time, ...) through a processor. The event time goes on as a number, so that late rows reach it."""
-    rows = frames.withWatermark("event_time", delay).select("video_id", "frame_num", F.unix_millis("event_time").alias("at"), F.coalesce(flat, F.array().cast("array<int>")).alias("flat"))
+    group = F.when(F.col("video_id").isNull(), NO_VIDEO).otherwise(F.pmod(F.xxhash64("video_id"), F.lit(GROUPS))).cast("int").alias("group")
+    flat = F.coalesce(flat, F.array().cast("array<int>")).alias("flat")
+    rows = frames.withWatermark("event_time", delay).select(group, F.coalesce("video_id", F.lit(0)).alias("video_id"), "frame_num", F.unix_millis("event_time").alias("at"), flat)
     schema = "video_id long, frame_num int, " + ", ".join(f"{c} int" for c in processor.result) + ", late boolean"
-    return rows.groupBy("video_id").transformWithStateInPandas(processor, schema, "append", "eventTime")
+    return rows.groupBy("group").transformWithStateInPandas(processor, schema, "append", "eventTime")
 
 
 def track(frames: DataFrame, p: Params = DEFAULT, delay: str = "10 seconds", idle: str = "10 minutes") -> DataFrame:

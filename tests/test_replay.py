@@ -22,6 +22,25 @@ def stream_of(spark, path, batches):
     return spark.readStream.schema(FOUND).option("maxFilesPerTrigger", 1).parquet(path)
 
 
+def test_state_is_kept_by_group_of_videos(spark, tmp_path):
+    """1,200 videos, and rows without a video: as many entries of state as groups have, and each video has its own memory and late rows."""
+    live.open_states(spark)
+    videos = [*range(1200), None]
+    batches = [[frame(v, n, None if v is None else v if n == (v % 3) else None) for n in (2, 0, 1) for v in videos], [frame(v, 9) for v in videos], [frame(5, 1, 77), frame(None, 2, 77), frame(5, 10)], [frame(7, 40)]]
+    rows = live.carry_racket(stream_of(spark, str(tmp_path / "in"), batches), delay="20 seconds", idle="1 day")
+    q = rows.writeStream.format("memory").queryName("grouped").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {}
+    for r in spark.sql("select * from grouped").collect():
+        got.setdefault((r.video_id, r.frame_num), []).append((r.late, r.x1, r.last_seen_frame))
+    want = {(v, n): [(False, v, v % 3) if v is not None and v % 3 <= n < 9 else (False, None, None)] for v in videos for n in (0, 1, 2, 9)}
+    want[5, 1].append((True, None, None))
+    want[None, 2].append((True, None, None))
+    want[5, 10] = [(False, None, None)]
+    assert {k: sorted(v, key=str) for k, v in got.items() if k != (7, 40)} == {k: sorted(v, key=str) for k, v in want.items()}
+    assert q.lastProgress.stateOperators[0].numRowsTotal <= 1000
+
+
 @pytest.mark.parametrize("most", [250_000, 100])
 def test_micro_batches_in_several_files(spark, tmp_path, monkeypatch, most):
     """Each stretch of event time is one micro-batch, however many files it has; stretches without rows too."""
