@@ -17,6 +17,7 @@ from rallyframe.streaming import late, live
 from rallyframe.streaming.replay import TICK, as_stream, replay, shared_folder, state_partitions
 
 BY_FRAME = ["video_id", "frame_num"]
+FOLDERS = 128  #: of frames written by video
 
 IDS = [21, 37, 62, 87, -1, 21, 99999]
 TIMES = ["00:00:01", "00:02", "2", "", "1:2:3:4", "16:04:13"]
@@ -107,11 +108,12 @@ class Facts:
         return read_facts(self.spark, "ball_detections", at, kind)
 
     def by_video(self) -> DataFrame:
-        """Frames written by video and read back, with their place in the video's file."""
+        """Frames written by video and read back, with their place in the video's part of its file."""
         at = shared_folder(self.spark)
-        write_by_video(self.frames, at)
-        rows = self.spark.read.schema(SCHEMAS["frames"]).parquet(at)
-        return rows.select(*BY_FRAME, (F.col("_metadata.row_index") + 1).alias("position"))
+        write_by_video(self.frames, at, folders=FOLDERS)
+        rows = self.spark.read.schema(SCHEMAS["frames"]).parquet(at).select(*BY_FRAME, F.col("_metadata.row_index").alias("at"))
+        first = rows.groupBy(F.col("video_id").alias("v")).agg(F.min("at").alias("first"))  # a video is whole in one file
+        return rows.join(first, F.col("video_id").eqNullSafe(F.col("v"))).select(*BY_FRAME, (F.col("at") - F.col("first") + 1).alias("position"))
 
 
 def test_detector():

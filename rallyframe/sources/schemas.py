@@ -31,12 +31,19 @@ def read_facts(spark: SparkSession, table: str, path: str, fmt: str = "parquet")
     return spark.read.schema(SCHEMAS[table]).format(fmt).load(path)
 
 
-def write_by_video(frames: DataFrame, path: str, buckets: int = 1) -> None:
-    """One folder for each video, frames in order in each file; ``buckets`` > 1 splits long videos by ranges of frames."""
+def write_by_video(frames: DataFrame, path: str, buckets: int = 1, folders: int | None = None) -> None:
+    """One folder for each video, frames in order in each file; ``buckets`` > 1 splits long videos by ranges of frames.
+
+    For many short videos, whose files would cost more than their frames, ``folders`` is a number of folders: videos are dealt out to them
+    by hash and stand in their files one after the other, each whole and in order.
+    """
     from pyspark.sql import functions as F
 
     part = F.lit(0) if buckets == 1 else F.floor(F.col("frame_num") / F.lit(100_000)) % buckets
-    (frames.withColumn("_part", part).repartition("video_id", "_part").drop("_part").sortWithinPartitions("video_id", "frame_num").write.mode("errorifexists").partitionBy("video_id").parquet(path))
+    by = "video_id" if folders is None else "folder"
+    rows = frames if folders is None else frames.withColumn(by, F.pmod(F.xxhash64("video_id"), F.lit(folders)))
+    rows = rows.withColumn("_part", part).repartition(by, "_part").drop("_part").sortWithinPartitions(*dict.fromkeys((by, "video_id", "frame_num")))
+    rows.write.mode("errorifexists").partitionBy(by).parquet(path)
 
 
 def write_facts(rows: DataFrame, name: str, buckets: int = 200, p: Params = DEFAULT) -> DataFrame:

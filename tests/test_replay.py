@@ -1,4 +1,4 @@
-"""Replayed streams of many videos and rows: state by group of videos, files by size, state partitions by cores."""
+"""Many videos and rows: streams with state by group of videos, files by size and state partitions by cores; written frames."""
 
 import glob
 import os
@@ -6,6 +6,7 @@ import os
 import pandas as pd
 import pytest
 
+from rallyframe.plans import catalogue
 from rallyframe.streaming import live, replay
 
 T0 = pd.Timestamp("2024-01-01")
@@ -67,3 +68,11 @@ def test_state_partitions_follow_the_cores(spark, tmp_path, monkeypatch):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", was)
     assert len([d for d in os.listdir(tmp_path / "r" / "state" / "state" / "0") if d.isdigit()]) == spark.sparkContext.defaultParallelism
+
+
+def test_many_videos_are_written_to_few_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(catalogue, "shared_folder", lambda _: f"file://{tmp_path}/w")
+    ev = spark.createDataFrame([(v, n, T0.to_pydatetime()) for v in [*range(300), None] for n in (4, 0, 3, 1, 2)], "v long, f int, ts timestamp").repartition(7)
+    got = [(r.video_id, r.frame_num, r.position) for r in catalogue.Facts(spark, "", ev).by_video().collect()]
+    assert sorted(got, key=str) == sorted([(v, n, n + 1) for v in [*range(300), None] for n in range(5)], key=str)
+    assert len(glob.glob(str(tmp_path / "w" / "**" / "*.parquet"), recursive=True)) <= 128
